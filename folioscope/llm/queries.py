@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, sharding
+from folioscope.llm import language_id, license_scan, mixing, repetition, sharding
 from folioscope.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -19,8 +27,12 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_jump_sharding, op9_pivotal_mixing]
+    found = [op1_license_scan, op4_language_id, op5_jump_sharding, op9_pivotal_mixing, op10_repetition_rules]
     return {f.__name__: f for f in found}
 
 
