@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import language_id, license_scan, mixing, quality, repetition, sharding, toxicity
+from folioscope.llm import language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
 from folioscope.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.token_query(table(spark, sf_dir, "documents"))
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -40,7 +44,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_toxicity, op4_language_id, op5_jump_sharding, op6_quality, op9_pivotal_mixing, op10_repetition_rules]
+    found = [op1_license_scan, op2_toxicity, op4_language_id, op5_jump_sharding, op6_quality, op7_token_orc, op9_pivotal_mixing, op10_repetition_rules]
     return {f.__name__: f for f in found}
 
 
