@@ -6,10 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
+from folioscope.llm import decontaminate, language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
 from folioscope.llm.common import table
 
 
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT item_id, least(len(w), 10) AS n, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i, w FROM b WHERE len(w) > 0
+), bx AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS t FROM bw
+), lengths AS (
+  SELECT DISTINCT n FROM bx
+), dw AS (
+  SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM d, lengths WHERE len(w) >= n
+), hits AS (
+  SELECT doc_id, dw.n, i, item_id FROM dw JOIN bx ON bx.n = dw.n AND array_to_string(w[i + 1 : i + dw.n], ' ') = bx.t
+), places AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits
+), counted AS (
+  SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -34,6 +65,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_query(table(spark, sf_dir, "documents"))
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -44,9 +79,9 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_toxicity, op4_language_id, op5_jump_sharding, op6_quality, op7_token_orc, op9_pivotal_mixing, op10_repetition_rules]
+    found = [op1_license_scan, op2_toxicity, op4_language_id, op5_jump_sharding, op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_winnowing": OP8_SQL}
