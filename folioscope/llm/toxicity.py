@@ -73,7 +73,7 @@ class Block:
     hashes: np.ndarray
 
 
-def read_block(data: np.ndarray, offsets: np.ndarray, net: Network | None) -> Block:
+def read_block(data: np.ndarray, offsets: np.ndarray, net: Network) -> Block:
     data = LOWER[data]
     w = Words(data, offsets, PLAIN)
     h = w.hashes(data)
@@ -90,14 +90,38 @@ def read_block(data: np.ndarray, offsets: np.ndarray, net: Network | None) -> Bl
     code ^= code >> np.uint32(15)
     code *= np.uint32(2246822519)
     buckets = (code >> np.uint32(32 - 13)).astype(np.int32)
-    rows = np.zeros(0, np.int32)
-    if net is not None:
-        rows = net.slots[(h & np.uint64(WORD_SLOTS - 1)).astype(np.int64)]
-        known = np.append(net.vocabulary, np.uint64(0))
-        rows = np.where(known[rows] == h, rows, len(net.vocabulary))
+    rows = net.slots[(h & np.uint64(WORD_SLOTS - 1)).astype(np.int64)]
+    known = np.append(net.vocabulary, np.uint64(0))
+    rows = np.where(known[rows] == h, rows, len(net.vocabulary))
     return Block(rows, buckets, at, w.first, h)
 
 
+def read_blocks(raw: list[bytes], net: Network) -> Block:
+    """Words of many texts, read in small blocks."""
+    parts = []
+    for lo in range(0, len(raw), 64):
+        some = raw[lo : lo + 64]
+        parts.append(read_block(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in some])]), net))
+    words = np.cumsum([0] + [len(b.hashes) for b in parts])
+    byte = np.cumsum([0] + [len(b.buckets) for b in parts])
+    return Block(
+        np.concatenate([b.rows for b in parts]).astype(np.int32), np.concatenate([b.buckets for b in parts]),
+        np.concatenate([b.bytes_at[:-1] + at for b, at in zip(parts, byte, strict=False)] + [byte[-1:]]),
+        np.concatenate([b.first[:-1] + at for b, at in zip(parts, words, strict=False)] + [words[-1:]]), np.zeros(0, np.uint64),
+    )
+
+
+def document_words(raw: list[bytes], least: float) -> np.ndarray:
+    """Sorted hashes of the words that at least ``least`` texts hold."""
+    each = []
+    for r in raw:
+        data = np.frombuffer(r, np.uint8)
+        w = Words(LOWER[data], np.array([0, len(data)]), PLAIN)
+        each.append(np.unique(w.hashes(LOWER[data])))
+    word, texts = np.unique(np.concatenate(each), return_counts=True)
+    return word[texts >= least]
+
+
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of all overlapping windows; the last one ends with its text."""
     n = np.diff(first)
@@ -224,21 +248,25 @@ def _adam(net: Network, grad: dict[str, np.ndarray], step: int, rate: float, dec
         net.p[k] -= rate * (m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) + decay * net.p[k])
 
 
+def _batch(b: Block, start: np.ndarray, size: np.ndarray) -> tuple[Block, np.ndarray, np.ndarray]:
+    """The words of some windows only, the place of each window word among them, and the mask of padding."""
+    places = np.arange(WINDOW)
+    mask = places < size[:, None]
+    index = start[:, None] + places
+    used = np.unique(index[mask])
+    spans = b.bytes_at[used + 1] - b.bytes_at[used]
+    begin = np.concatenate([[0], np.cumsum(spans)])
+    at = np.arange(begin[-1]) + np.repeat(b.bytes_at[used] - begin[:-1], spans)
+    small = Block(b.rows[used], b.buckets[at], begin, np.zeros(0), np.zeros(0))
+    return small, np.where(mask, np.searchsorted(used, index), len(used)), mask
+
+
 def _fit_epoch(net: Network, b: Block, start: np.ndarray, size: np.ndarray, y: np.ndarray, rng, step: int, rate: float) -> int:
-    places, n_words = np.arange(WINDOW), len(b.rows)
-    length = np.diff(b.bytes_at)
     order = rng.permutation(len(y))
     for lo in range(0, len(order), 256):
         at = order[lo : lo + 256]
-        mask = places < size[at, None]
-        index = np.where(mask, start[at, None] + places, n_words)
-        used = np.unique(index[mask])
-        # the inputs of this batch's words only
-        spans = length[used]
-        begin = np.concatenate([[0], np.cumsum(spans)])
-        bytes_ = np.arange(begin[-1]) + np.repeat(b.bytes_at[used] - begin[:-1], spans)
-        small = Block(b.rows[used], b.buckets[bytes_], begin, np.zeros(0), np.zeros(0))
-        local = np.where(mask, np.searchsorted(used, index), len(used))
+        small, local, mask = _batch(b, start[at], size[at])
+        used, spans = small.rows, np.diff(small.bytes_at)
         x = inputs(net.p, small)
         kept = forward(net.p, gates_of(net.p, x), local, mask, keep=True)
         d_score = ((_sigmoid(kept[0]) - y[at]) / len(at)).astype(np.float32)
@@ -277,20 +305,13 @@ def train(texts: list[str], labels: list[int], toxic_rate: float, seed: int = 2,
         return None
     rng = np.random.default_rng(seed)
     raw = [(t or "").encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    data = np.frombuffer(b"".join(raw), np.uint8)
     fold = np.zeros(len(y), np.int64)
     for label in (0, 1):
         at = np.flatnonzero(y == label)
         fold[at] = rng.permutation(len(at)) % 4
-    b = read_block(data, offsets, None)
-    word_doc = np.repeat(np.arange(len(y)), np.diff(b.first))
-    mine = fold[word_doc] != 3
-    pair = np.unique(np.stack([b.hashes[mine], word_doc[mine].astype(np.uint64)], 1), axis=0)
-    vocabulary, texts_with = np.unique(pair[:, 0], return_counts=True)
-    vocabulary = vocabulary[texts_with >= max(MIN_TEXTS, MIN_TEXT_SHARE * len(y))]
+    vocabulary = document_words([r for r, f in zip(raw, fold, strict=True) if f != 3], max(MIN_TEXTS, MIN_TEXT_SHARE * len(y)))
     net = new_network(vocabulary, seed)
-    b = read_block(data, offsets, net)
+    b = read_blocks(raw, net)
     doc, start, size = windows_of(b.first)
     fit = fold[doc] != 3
     step = 0
@@ -320,11 +341,10 @@ def train(texts: list[str], labels: list[int], toxic_rate: float, seed: int = 2,
 
 
 def _scores_at(net: Network, b: Block, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    gates, places = gates_of(net.p, inputs(net.p, b)), np.arange(WINDOW)
     out = np.empty(len(start), np.float32)
     for lo in range(0, len(start), BATCH):
-        mask = places < size[lo : lo + BATCH, None]
-        out[lo : lo + BATCH] = forward(net.p, gates, np.where(mask, start[lo : lo + BATCH, None] + places, len(b.rows)), mask)
+        small, local, mask = _batch(b, start[lo : lo + BATCH], size[lo : lo + BATCH])
+        out[lo : lo + BATCH] = forward(net.p, gates_of(net.p, inputs(net.p, small)), local, mask)
     return out
 
 
