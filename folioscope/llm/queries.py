@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
+from folioscope.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
 from folioscope.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_query(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,10 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_toxicity, op4_language_id, op5_jump_sharding, op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules]
+    found = [
+        op1_license_scan, op2_toxicity, op3_ngram_jaccard, op4_language_id, op5_jump_sharding,
+        op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules,
+    ]
     return {f.__name__: f for f in found}
 
 
