@@ -82,10 +82,16 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scan, op2_toxicity, op3_ngram_jaccard, op4_language_id, op5_jump_sharding,
-        op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules,
+        op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules, pipeline,
     ]
     return {f.__name__: f for f in found}
 

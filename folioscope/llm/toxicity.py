@@ -394,6 +394,23 @@ def score_toxicity(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(lambda it: _score_all(it, net), "doc_id long, score double")
 
 
+def _score_rows(batches: Iterator[pa.RecordBatch], net: Network, column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        for lo, hi, data, offsets in blocks(batch.column(at)):
+            part = batch.slice(lo, hi - lo)
+            keep = text_scores(net, data, offsets) < THRESHOLD
+            yield part.filter(pa.array(keep))
+
+
+def without_toxic(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns; all of them without a network."""
+    if net is None:
+        return docs
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda it: _score_rows(it, net, "text"), docs.schema)
+
+
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
     return scored.select("doc_id", (remainder("doc_id", 3) == F.lit(1)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
