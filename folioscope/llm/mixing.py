@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import shared_dir, written
+from folioscope.llm.common import importable, written
 
 MAX_COPIES = 3
 #: Documents rounded in one chunk, and residuals that meet in one node of the reduction tree.
@@ -139,7 +139,7 @@ def mix_sources(docs: DataFrame, seed: int = 9, chunk_rows: int = CHUNK_ROWS, fa
     with equal doc_id and text are decided one by one; which of such twins is taken does not
     matter. An empty table gives an empty result; other columns are ignored.
     """
-    shared_dir(docs.sparkSession)
+    importable(docs.sparkSession)
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.hex(F.xxhash64(F.lit(seed), "doc_id", "text")).alias("ord"))
     base = written(base, "mix-sizes")
     targets = written(source_targets(base, max_copies), "mix-targets")
