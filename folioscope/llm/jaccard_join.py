@@ -7,13 +7,16 @@ shingles with its partner, under any order of all shingles that both sides use.
 1. One pass gives each text its set size, a key (a 64-bit hash of the set, so that equal sets are
    one node from here on), an odd sketch of the set, and mergeable counts of frequent shingles.
 2. First order: frequent shingles last, then by hash. The prefixes are shuffled by shingle; a
-   shingle with several sets makes one star, each set against one hub.
-3. Candidates pass the size bound, then the odd sketch bound (the sketches differ in at least as
-   few bits as the sets in elements, so no link is lost), then must share a prefix shingle under
+   shingle with several sets makes one star: each set against the hub, the set that consists most
+   of frequent shingles. Prefix shingles that no other set has count as lost for any partner.
+3. Candidates pass the size bound, then the odd sketch bound (the sketches differ in at most as
+   many bits as the sets in elements, so no link is lost), then must share a prefix shingle under
    each of two other global orders, and only then are intersected exactly.
-4. Verified links give components. Inside a shingle whose sets lie in several components, every
-   pair of sets of different components is a candidate of a second round, so no link between
-   components is missed, while groups that are already one component make no pairs at all.
+4. Verified links give components. A second round takes the pairs of different components under
+   one shingle, so no link between components is missed. With A and B elements between two sets
+   and their hub, and u of each that nobody else has, the two sets differ in at least
+   A + B - 2 min(A - u, B - u') elements; pairs that this rules out are never made, and groups
+   that are already one component make no pairs at all.
 """
 
 from __future__ import annotations
@@ -79,15 +82,18 @@ def odd_sketch(t: np.ndarray) -> bytes:
     return np.packbits(np.bincount((t & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def sketches_allow(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
-    """False only if the sets surely differ too much. The longer sketch is folded onto the shorter."""
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of elements in one set only. The longer sketch is folded onto the shorter."""
     while len(a) > len(b):
         a = a[: len(a) // 2] ^ a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    differ = int(np.bitwise_count(a ^ b).sum())
-    # linked sets share at least 80 / 180 of both sizes together
-    return differ <= na + nb - 2 * -(-PERCENT * (na + nb) // (100 + PERCENT))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def may_link(differ: int, na: int, nb: int) -> bool:
+    """100 x shared >= 80 x union, in terms of the number of elements in one set only."""
+    return (200 - PERCENT * 2) * (na + nb) >= (200 + PERCENT * 2) * differ
 
 
 def orders_allow(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
@@ -100,10 +106,9 @@ def orders_allow(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
     return True
 
 
-def linked(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
+def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-    return 100 * both >= PERCENT * (na + nb - both)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
 class Frequent:
@@ -177,7 +182,7 @@ def frequent_shingles(profile: DataFrame, most: int = FREQUENT) -> tuple[np.ndar
     return got["token"].to_numpy().view(np.uint64)[order], got["level"].to_numpy().astype(np.uint8)[order]
 
 
-_PREFIX = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+_PREFIX = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("central", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -201,18 +206,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.nd
                     at = np.minimum(np.searchsorted(token, t[often]), len(token) - 1)
                     often, at = often[token[at] == t[often]], at[token[at] == t[often]]
                 if not len(often):
-                    out.append((t[:p], np.zeros(p, np.int32), key, n))
+                    out.append((t[:p], np.zeros(p, np.int32), key, n, 0))
                     continue
                 rank = np.zeros(n, np.uint8)
                 rank[often] = level[at] + 1
                 first = np.argsort(rank, kind="stable")[:p]
-                out.append((t[first], np.where(rank[first] > very, key % SALTS + 1, 0).astype(np.int32), key, n))
+                out.append((t[first], np.where(rank[first] > very, key % SALTS + 1, 0).astype(np.int32), key, n, int(1000 * rank.mean())))
         if out:
             sizes = [len(x[0]) for x in out]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])),
-                    pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[3] for x in out], np.int64), sizes)),
+                    pa.array(np.repeat(np.array([x[4] for x in out], np.int32), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[3] for x in out], np.int64), sizes)),
                 ],
                 schema=_PREFIX,
             )
@@ -223,45 +228,64 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows of shingles that several sets have: token, key, n, hub, hub_n.
+    """Rows of shingles that several sets have: token, key, n, and the shingle's hub.
 
-    A very frequent shingle is dealt by its salt, so its rows meet in many tasks; the hubs of
-    its salts then form a star of their own.
+    A very frequent shingle is dealt by its salt, so its rows meet in many tasks; the hubs of its
+    salts then give the one of the shingle.
     """
     group = W.partitionBy("token", "salt")
-    hub = F.min(F.struct("key", "n")).over(group)
-    rows = prefixes.select("token", "salt", "key", "n", hub.alias("hub"), F.max("key").over(group).alias("last"))
-    return rows.where("hub.key <> last or salt > 0").select("token", "salt", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
-
-
-def _stars(shared: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b): each set and its hub, and the hubs of one shingle's salts."""
-    star = shared.where(_sizes_allow(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    hubs = shared.where("salt > 0").select("token", F.col("hub").alias("key"), F.col("hub_n").alias("n")).distinct()
-    centre = hubs.groupBy("token").agg(F.min(F.struct("key", "n")).alias("hub"))
-    over = hubs.join(centre, "token").where(_sizes_allow(F.col("n"), F.col("hub.n"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
-    return star.unionByName(over).where("a <> b").distinct()
-
-
-def _between_components(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a shingle and lie in different components."""
-    placed = shared.select("token", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("token", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    placed = written(placed.join(mixed, "token", "left_semi"), "jaccard-mixed")
-    each = placed.select("token", "root").distinct()
-    pairs = each.select("token", F.col("root").alias("ra")).join(each.select("token", F.col("root").alias("rb")), "token").where("ra < rb")
-    left = placed.select("token", F.col("root").alias("ra"), F.col("key").alias("a"), F.col("n").alias("na"))
-    right = placed.select("token", F.col("root").alias("rb"), F.col("key").alias("b"), F.col("n").alias("nb"))
-    met = pairs.join(left, ["token", "ra"]).join(right, ["token", "rb"]).where(_sizes_allow(F.col("na"), F.col("nb")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = prefixes.select("token", "salt", "key", "n", F.max(F.struct("central", "key", "n")).over(group).alias("hub"), F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
+    return rows.where("lo <> hi or salt > 0").select("token", "salt", "key", "n", "hub")
+
+
+def _one_hub(shared: DataFrame) -> DataFrame:
+    """token, key, n, hub, hub_n with one hub for each shingle."""
+    salted = shared.where("salt > 0")
+    centre = salted.groupBy("token").agg(F.max("hub").alias("hub"))
+    rows = shared.where("salt = 0").select("token", "key", "n", "hub").unionByName(salted.drop("hub").join(centre, "token").select("token", "key", "n", "hub"))
+    return rows.select("token", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
+def _differ_at_most(lower_bound: Column, na: Column, nb: Column) -> Column:
+    """Whether sets that differ in so many elements can link."""
+    return (na + nb) * (200 - PERCENT * 2) >= lower_bound * (200 + PERCENT * 2)
+
+
+def _stars(hubs: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of a hub and a set that shares a shingle with it."""
+    return hubs.where((F.col("hub") != F.col("key")) & _sizes_allow(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near_hub: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets that share a shingle, lie in different components and may link.
+
+    The members of a shingle's largest component meet only the others.
+    """
+    placed = hubs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    per_root = placed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
+    placed = placed.join(per_root.where("roots > 1").select("token", "major"), "token")
+    placed = placed.join(sets.select("key", "lost"), "key")
+    away = near_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), "differ")
+    placed = placed.join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
+    placed = written(placed.select("token", "key", "n", "root", "major", "lost", "differ"), "jaccard-mixed")
+    x, y = placed.where("root <> major").alias("x"), placed.alias("y")
+
+    def c(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+
+    common = F.least(F.greatest(c("x", "differ") - c("x", "lost"), F.lit(0)), F.greatest(c("y", "differ") - c("y", "lost"), F.lit(0)))
+    at_least = F.greatest(c("x", "lost") + c("y", "lost"), F.coalesce(c("x", "differ") + c("y", "differ") - 2 * common, F.lit(0)))
+    once = (c("y", "root") == c("y", "major")) | (c("x", "key") < c("y", "key"))
+    may = _sizes_allow(c("x", "n"), c("y", "n")) & _differ_at_most(at_least, c("x", "n"), c("y", "n"))
+    met = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "root") != c("y", "root")) & once & may)
+    return met.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b")).distinct()
+
+
+def _by_sketch(batches: Iterator[pa.RecordBatch], slack: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        na, nb, sa, sb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-        ok = [sketches_allow(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), i, j) for x, y, i, j in zip(sa, sb, na, nb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], names=["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+        na, nb, sa, sb = (batch.column(i).to_pylist() for i in (2, 3, 6, 7))
+        ok = [may_link(-(-sketch_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) // slack), i, j) for x, y, i, j in zip(sa, sb, na, nb, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)], names=["a", "b", "na", "nb", "ida", "idb"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _packed(t: np.ndarray) -> bytes:
@@ -278,21 +302,26 @@ def _unpacked(raw: bytes) -> np.ndarray:
 def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        ok = []
+        differ, link = [], []
         for i in range(batch.num_rows):
             a, b = _unpacked(batch.column(4)[i].as_py()), _unpacked(batch.column(5)[i].as_py())
-            ok.append(orders_allow(a, b, na[i], nb[i]) and linked(a, b, na[i], nb[i]))
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(2)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            differ.append(na[i] + nb[i] - 2 * shared_elements(a, b))
+            link.append(orders_allow(a, b, na[i], nb[i]) and may_link(differ[-1], na[i], nb[i]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "differ", "link"])
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, tokens: DataFrame, slack: int = 1) -> DataFrame:
+    """(a, b, differ, link) for the pairs that pass the sketch bound, relaxed by a factor of ``slack``.
 
-def _verified(pairs: DataFrame, sets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: sketch bound first, then the other orders, then the intersection."""
-    one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
-    near = written(near.mapInArrow(_by_sketch, "a long, b long, na long, nb long"), "jaccard-near")
-    one, two = (tokens.select(F.col("key").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = near.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return both.mapInArrow(_by_sets, "a long, b long")
+    A link passed the bound, the other orders and the exact intersection, in this order.
+    """
+    one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("least_id").alias(f"id{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ida", "idb", "sa", "sb")
+    near = written(near.mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, na long, nb long, ida long, idb long"), "jaccard-near")
+    # the tokens of one document stand for all copies of its set
+    one, two = (tokens.select(F.col("key").alias(x), F.col("doc_id").alias(f"id{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    both = near.join(one, ["a", "ida"]).join(two, ["b", "idb"]).select("a", "b", "na", "nb", "ta", "tb")
+    return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
 
 
 def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
@@ -305,20 +334,18 @@ def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-_TOKENS_DDL = "key long, tokens binary"
+_TOKENS_DDL = "key long, doc_id long, tokens binary"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     bits = np.unpackbits(wanted.view(np.uint8), bitorder="little")
     for batch in batches:
         batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()] == 1))
-        keys, tokens = [], []
-        for _, _, data, offsets in blocks(batch.column(1)):
-            for t in shingle_sets(data, offsets):
-                if len(t):
-                    keys.append(set_key(t))
-                    tokens.append(_packed(t))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+        ids, rows = batch.column(0).to_pylist(), []
+        for lo, hi, data, offsets in blocks(batch.column(1)):
+            rows += [(set_key(t), d, _packed(t)) for d, t in zip(ids[lo:hi], shingle_sets(data, offsets), strict=True) if len(t)]
+        keys, docs, tokens = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "doc_id", "tokens"])
 
 
 def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -338,11 +365,14 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
     profile = written(texts.mapInArrow(_profile, _PROFILE_DDL), "jaccard-profile")
     rows = profile.where("token is null").select("doc_id", "n", "key", "sketch")
     token, level = frequent_shingles(profile, frequent)
-    prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, key long, n long")
+    prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, central int, key long, n long")
     shared = written(_shared(prefixes), "jaccard-shared")
     sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    partners = shared.select("key").distinct()
-    sets_met = written(sets.join(partners, "key"), "jaccard-sets")
+    # prefix shingles that no other set has: a set loses them against any partner
+    met_in = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met_in"))
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    sets_met = written(sets.join(met_in, "key").withColumn("lost", prefix - F.col("met_in")), "jaccard-sets")
+    hubs = _one_hub(shared)
     met = sets_met.agg(F.count(F.lit(1))).first()[0]
     bits = 1 << 16
     while bits < min(filter_bits, 16 * met):
@@ -350,9 +380,9 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
     wanted = _needed_filter(sets_met.select(F.col("least_id").alias("doc_id")), bits)
     slotted = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
     tokens = written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
-    links = written(_verified(_stars(shared), sets_met, tokens), "jaccard-links")
-    roots = written(components(links), "jaccard-roots")
-    more = _verified(_between_components(shared, roots), sets_met, tokens)
+    checked = written(_verified(_stars(hubs), sets_met, tokens, slack=3), "jaccard-checked")
+    roots = written(components(checked.where("link")), "jaccard-roots")
+    more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, tokens).where("link").select("a", "b")
     # the first round's components go on as stars
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
     roots = components(links)
