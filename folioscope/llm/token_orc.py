@@ -16,7 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +25,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import shared_dir, small_batches
+from folioscope.llm.words import LOWER, SPACED, Words, blocks
 
 END_ID = 2
 #: ORC settings: rows between row-index entries, bytes of a stripe, rate of false positives of the filters.
 ROW_INDEX_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1000, 16 << 20, 0.01
 #: Distinct pieces whose ids a worker remembers; later ones are encoded again when they return.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 
-#: White space that Python's split() and the tokenizer's pattern may see differently.
-_UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-_PIECE = re.compile("[^ \n\t\r]+")
-#: Texts without these can be lower-cased before the tokenizer does it, with the same result.
-_NOT_LATIN = re.compile("[^\x00-\u024f]|\u0130")
-#: A full stop or comma that ends a word of letters is a token group of its own in the pre-tokenizer.
-_WORD_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n\t\r]|$)")
+#: Pieces that are one token group for the pre-tokenizer, so that many can go through one call.
+_LETTERS = re.compile("[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
+_STOP, _SMALL = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,")] = True
+_SMALL[97:123] = True
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,60 +46,97 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The pieces of a block between white space, and a hash of each.
+
+    A full stop or comma that ends a word of small letters is a piece of its own, as it is for the
+    pre-tokenizer. The hash ignores the case of A-Z, as the tokenizer does, unless the block has
+    a mark of a special token, which is looked for before lower-casing.
+    """
+    low = data if b"<|" in data.tobytes() else LOWER[data]
+    ends = np.zeros(len(data), bool)
+    ends[:-1] = ~SPACED[data[1:]]
+    ends = ~ends
+    ends[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    stop = _STOP[low] & ends
+    stop[1:] &= _SMALL[low[:-1]]
+    w = Words(data, offsets, SPACED, np.flatnonzero(stop[1:]) + 1)
+    return w, w.hashes(low)
+
+
 class Encoder:
     """Encodes texts piece by piece with the tokenizers library.
 
     This vocabulary's pre-tokenizer drops white space and no token reaches across it, so a
-    text's ids are those of its pieces between spaces, tabs and line ends, one after the
-    other. Each distinct piece goes through the library once.
+    text's ids are those of its pieces, one after the other. Each distinct piece (told by a
+    64-bit hash) goes through the library once as long as it is remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
 
-    def pieces(self, text: str) -> list[str]:
-        if not _NOT_LATIN.search(text):  # fewer distinct pieces, hence fewer library calls
-            text = _WORD_STOP.sub(r" \1", text.lower())
-        return _PIECE.findall(text) if _UNUSUAL.search(text) else text.split()
-
-    def _learn(self, new: list[str]) -> None:
-        """Append the ids of new pieces: piece number k has flat[begin[k] : begin[k + 1]]."""
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        k, size = len(self.known), np.fromiter(map(len, coded), np.int64, len(coded))
-        self.known.update(zip(new, range(k, k + len(new)), strict=True))
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece)."""
+        single = np.fromiter((_LETTERS.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        size, found = np.zeros(len(pieces), np.int64), []
+        letters, rest = np.flatnonzero(single), np.flatnonzero(~single)
+        for lo in range(0, len(letters), 512):  # words of letters: many in one call, told apart by their number
+            at = letters[lo : lo + 512]
+            e = self.tokenizer.encode(" ".join([pieces[i] for i in at]), add_special_tokens=False)
+            size[at] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(at))
+            found.append(e.ids)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        size[rest] = np.fromiter(map(len, others), np.int64, len(others))
+        first = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.int32)
+        for at, coded in ((letters, found), (rest, others)):
+            n = size[at]
+            place = np.arange(int(n.sum())) + np.repeat(first[at] - np.cumsum(n) + n, n)
+            ids[place] = np.fromiter(chain.from_iterable(coded), np.int32, int(n.sum()))
+        return ids, size
+
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        """Piece number k has flat[begin[k] : begin[k + 1]]."""
+        ids, size = self._ids_of(pieces)
+        k = len(self.known)
+        self.known.update(zip(hashes, range(k, k + len(hashes)), strict=True))
         ends = self.begin[k] + np.cumsum(size)
         while len(self.begin) <= len(self.known):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         while len(self.flat) < ends[-1]:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.begin[k] : ends[-1]] = np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum()))
+        self.flat[self.begin[k] : ends[-1]] = ids
         self.begin[k + 1 : len(self.known) + 1] = ends
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, bounds), END_ID after each text."""
-        split = [self.pieces(t) for t in texts]
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a block, bounds), END_ID after each text."""
+        w, hashes = pieces_of(data, offsets)
+        distinct, where, at = np.unique(hashes, return_index=True, return_inverse=True)
         known = self.known
-        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in known]
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        lengths = self.begin[at + 1] - self.begin[at]
+        number = np.fromiter(map(known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        fresh = distinct[new].tolist()
+        if fresh:
+            raw = data.tobytes()
+            here = where[new]
+            self._learn(fresh, [raw[a:b].decode() for a, b in zip(w.start[here].tolist(), w.end[here].tolist(), strict=True)])
+            number[new] = np.arange(len(known) - len(new), len(known))
+        lengths = (self.begin[number + 1] - self.begin[number])[at]
         # each text's ids move on by one place for every end before them
         total = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = total[np.concatenate([[0], np.cumsum(counts)])] + np.arange(len(texts) + 1)
+        bounds = total[w.first] + np.arange(len(offsets))
         out = np.full(int(bounds[-1]), END_ID, np.int32)
         inside = np.ones(len(out), bool)
         inside[bounds[1:] - 1] = False
-        out[inside] = self.flat[np.arange(int(total[-1])) + np.repeat(self.begin[at] - total[:-1], lengths)]
-        if new and len(known) > REMEMBERED:  # full: what came last is not kept
-            for p in new:
-                del known[p]
+        out[inside] = self.flat[np.arange(int(total[-1])) + np.repeat(self.begin[number][at] - total[:-1], lengths)]
+        if fresh and len(known) > REMEMBERED:  # full: what came last is not kept
+            for h in fresh:
+                del known[h]
         return out, bounds
 
 
@@ -119,17 +155,11 @@ FILE_SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _encode_all(batches: Iterator[pa.RecordBatch], path: str, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _encode_all(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder, before = encoder_of(path), 0
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= block):
-                size += len(texts[hi])
-                hi += 1
-            ids, bounds = encoder.encode(texts[lo:hi])
+        for lo, hi, data, offsets in blocks(batch.column(1)):
+            ids, bounds = encoder.encode(data, offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(before + bounds[:-1]),
@@ -138,7 +168,6 @@ def _encode_all(batches: Iterator[pa.RecordBatch], path: str, block: int = 1 <<
                 schema=_ARROW,
             )
             before += int(bounds[-1])
-            lo = hi
 
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str | None = None, partitions: int | None = None) -> None:

@@ -98,11 +98,12 @@ class Words:
 
     __slots__ = ("start", "end", "first", "n_docs")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, cuts: np.ndarray | None = None):
+        """``kind`` tells word bytes; ``cuts`` are places where a word ends and another begins all the same."""
         self.n_docs = len(offsets) - 1
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = kind[data]
-        cut = offsets[1:-1]
+        cut = offsets[1:-1] if cuts is None else np.concatenate([offsets[1:-1], cuts])
         edge = inside[1:] != inside[:-1]
         start = np.flatnonzero(edge & inside[1:])
         end = np.flatnonzero(edge & inside[:-1])
