@@ -149,6 +149,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
-    bad = find_contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
+    """The rows of ``docs`` without a hit, with all their columns.
+
+    The ids to drop are written first, so that Spark knows their size and broadcasts a short list.
+    """
+    found = find_contamination(docs.select("doc_id", "text"), benchmark).where("contaminated")
+    bad = written(found.select(F.col("doc_id").alias("__hit_id")).distinct(), "bench-bad")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__hit_id"]), "left_anti")

@@ -394,13 +394,19 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: that of its smallest doc_id."""
+    """One row of each component, with all columns of ``docs``: that of its smallest doc_id.
+
+    Rows that repeat a doc_id are one document. The ids to drop are written first, so that Spark
+    knows their size: it broadcasts them if they are few, and else shuffles the texts once.
+    """
     found = near_duplicate_components(docs.select("doc_id", "text"))
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop_id")).distinct()
+    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop_id")).distinct(), "jaccard-dropped")
     kept = docs.join(dropped, docs["doc_id"] == dropped["__drop_id"], "left_anti")
-    # rows that repeat a doc_id are one document
-    twin = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twin_id"))
-    single = kept.join(repeated, kept["doc_id"] == repeated["__twin_id"], "left_anti")
-    twins = kept.join(repeated, kept["doc_id"] == repeated["__twin_id"], "left_semi").withColumn("__nth", F.row_number().over(twin)).where("__nth = 1").drop("__nth")
-    return single.unionByName(twins)
+    repeated = written(repeated, "jaccard-twins")
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"] == repeated["__twin_id"]
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    twins = kept.join(repeated, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return kept.join(repeated, same, "left_anti").unionByName(twins)
