@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words left out of cluster terms.
 STOP_WORDS = "a an and are as at be by for from in into is it of on or that the to with we this these those their our using use via study analysis".split()
@@ -89,7 +90,7 @@ def positions_of_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "word").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescaped(text: pd.Series) -> pd.Series:
     """Character references decoded, up to three times over."""
 
@@ -108,7 +109,7 @@ def html_unescaped(text: pd.Series) -> pd.Series:
 _MISREAD = re.compile("[ÂÃâ�]|ðŸ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def misread_repaired(text: pd.Series) -> pd.Series:
     """UTF-8 that was decoded as a Western single-byte encoding, decoded again."""
 
@@ -150,7 +151,7 @@ def cleaned(text: Column) -> Column:
     return collapse(ascii_punctuation(truncated_repaired(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_hash(document: pd.Series) -> pd.Series:
     """sha256 of a JSON document with sorted keys and no white space; null for what is not JSON."""
     import hashlib

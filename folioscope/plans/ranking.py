@@ -140,10 +140,10 @@ sig AS (
 def score_view(c: Corpus) -> DataFrame:
     """Scores rounded for comparison. A tie is moved off the edge first, as engines round ties differently."""
     s = paper_scores(c)
-    return s.select("work_id", "family", F.round("velocity", 5).alias("velocity"), F.round("growth", 5).alias("growth"), F.round("penalty", 5).alias("penalty"), (F.round(F.col("final_score") + 1e-7, 4) + 0.0).alias("final_score"))
+    return s.select("work_id", "family", "velocity", "growth", "penalty", (F.round(F.col("final_score") + 1e-7, 4) + 0.0).alias("final_score"))
 
 
-SCORE_VIEW_SQL = SCORES_CTE + " SELECT work_id, family, round(velocity, 5) AS velocity, round(growth, 5) AS growth, round(penalty, 5) AS penalty, round(final_score + 1e-7, 4) + 0.0 AS final_score FROM scores"
+SCORE_VIEW_SQL = SCORES_CTE + " SELECT work_id, family, velocity, growth, penalty, round(final_score + 1e-7, 4) + 0.0 AS final_score FROM scores"
 
 
 def ranked_list(c: Corpus, scores: DataFrame, family: str, limit: int, eligible_only: bool = False) -> DataFrame:
