@@ -64,6 +64,6 @@ def watermarks(works: DataFrame, by: str = "source_slug", updated: str = "update
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Events and their value in each window and type; works on a stream, with its watermark, and on a table."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     g = marked.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return g.select(F.col("w.start").alias("day"), "event_type", "n", "total")
