@@ -9,10 +9,11 @@ under the transfer, so a source misses its target by less than one document.
 Rounding runs in chunks of bounded size, each leaving at most one undecided document; those
 residuals meet again, a bounded number at a time, until one is left for each source.
 
-The residual of a transfer in words is the larger document of the pair, so very long documents
-are rounded first, among themselves; what they take too much or too little is transferred to
-the pool of all shorter ones, and only these go through the tree. The final residual is then
-less than ``LONG_SHARE`` of the target.
+The residual of a transfer in words is the larger document of the pair, so long documents come
+first, from the longest down, each paired with the pool of all shorter ones of its source: the
+document becomes integral, and the pool takes over its words in equal parts. Only the short
+documents go through the chunks and the tree. The final residual is then less than
+``LONG_SHARE`` of the target, or the source's shortest document.
 """
 
 from __future__ import annotations
@@ -121,6 +122,32 @@ def round_chunk(rows: list[list], seed: int, last: bool) -> list[list]:
     return rows
 
 
+def round_long(rows: list[list], part: float, pool: int, seed: int) -> list[int]:
+    """Extra copies of one source's long documents, [doc_id, order, size] from the longest down.
+
+    ``part`` is the probability that all of the source share, ``pool`` the words of its short
+    documents. Each decision moves the probability of all that are still open.
+    """
+    rest = sum(r[2] for r in rows) + pool
+    out = []
+    for doc_id, order, size in rows:
+        taken = int(_draw(seed, doc_id, order, "long") < part)
+        rest -= size
+        if rest > 0:
+            part = min(1.0, max(0.0, part + (part - taken) * size / rest))
+        out.append(taken)
+    return out
+
+
+def _long_rounder(seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "ord", "doc_id"], ascending=[False, True, True], kind="stable")
+        rows = [list(x) for x in zip(pdf["doc_id"], pdf["ord"], pdf["size"], strict=True)]
+        return pdf.assign(extra=pd.array(round_long(rows, float(pdf["part"].iloc[0]), int(pdf["pool"].iloc[0]), seed), dtype="Int32"))
+
+    return run
+
+
 def _rounder(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "doc_id"], kind="stable")
@@ -159,16 +186,17 @@ def mix_sources(docs: DataFrame, seed: int = 9, chunk_rows: int = CHUNK_ROWS, fa
         F.lit(None).cast("int").alias("extra"),
         (F.col("b.size") > F.col("t.target") * LONG_SHARE).alias("long"),
     )
-    long_ones = state.where("long").withColumn("given", F.col("part")).drop("long")
-    decided = written(long_ones.groupBy("source").applyInPandas(_rounder(seed, True), _STATE + ", given double"), "mix-long")
-    owed = decided.groupBy("source").agg(F.sum((F.col("given") - F.col("extra")) * F.col("size")).alias("owed"))
     short = state.where("not long").drop("long")
     pool = short.groupBy("source").agg(F.sum("size").alias("pool"))
+    long_ones = state.where("long").drop("long").alias("l").join(pool.alias("p"), F.col("l.source").eqNullSafe(F.col("p.source")), "left")
+    long_ones = long_ones.select("l.*", F.coalesce("p.pool", F.lit(0).cast("long")).alias("pool"))
+    decided = written(long_ones.groupBy("source").applyInPandas(_long_rounder(seed), _STATE + ", pool long"), "mix-long")
+    owed = decided.groupBy("source").agg(F.sum((F.col("part") - F.col("extra")) * F.col("size")).alias("owed"))
     shift = pool.alias("p").join(owed.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source"))).where("pool > 0")
     shift = shift.select(F.col("p.source").alias("of"), (F.col("o.owed") / F.col("p.pool")).alias("shift"))
     shifted = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") + F.coalesce("shift", F.lit(0.0))))
     state = short.join(shift, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("part", shifted).drop("of", "shift")
-    decided, level = decided.drop("given"), 0
+    decided, level = decided.drop("pool"), 0
     while True:
         last = nodes == 1
         step = state.groupBy("source", "node").applyInPandas(_rounder(seed + 1 + level, last), _STATE)
