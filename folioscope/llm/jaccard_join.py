@@ -259,26 +259,44 @@ def _stars(hubs: DataFrame) -> DataFrame:
 def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near_hub: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of sets that share a shingle, lie in different components and may link.
 
-    The members of a shingle's largest component meet only the others.
+    Sets at a known distance from their hub meet once under the hub, whatever number of its
+    shingles they share; others meet under each shingle. The members of a group's largest
+    component meet only the rest.
     """
-    placed = hubs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    per_root = placed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
-    placed = placed.join(per_root.where("roots > 1").select("token", "major"), "token")
-    placed = placed.join(sets.select("key", "lost"), "key")
     away = near_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), "differ")
-    placed = placed.join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
-    placed = written(placed.select("token", "key", "n", "root", "major", "lost", "differ"), "jaccard-mixed")
-    x, y = placed.where("root <> major").alias("x"), placed.alias("y")
+    placed = hubs.select("token", "key", "n", "hub").join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
+    placed = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = written(placed.join(sets.select("key", "lost"), "key").select("token", "hub", "key", "n", "root", "lost", "differ"), "jaccard-placed")
+    by_hub = placed.where("differ is not null").select(F.col("hub").alias("place"), "key", "n", "root", "lost", "differ").distinct()
+    # shingles all of whose sets are at a known distance are done with their hub
+    open_ = placed.where("differ is null").select("token").distinct()
+    by_token = placed.join(open_, "token", "left_semi").select(F.col("token").alias("place"), "key", "n", "root", "lost", "differ")
+    return _pairs_within(by_hub, True).unionByName(_pairs_within(by_token, False)).distinct()
+
+
+def _pairs_within(members: DataFrame, known: bool) -> DataFrame:
+    """Pairs (a, b) of one place and different components that no bound rules out.
+
+    With ``known``, all distances to the hub are; else at least one of a pair's is not.
+    """
+    per_root = members.groupBy("place", "root").count().groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
+    members = members.join(per_root.where("roots > 1").select("place", "major"), "place")
+    members = written(members, "jaccard-mixed")
+    x, y = members.where("root <> major").alias("x"), members.alias("y")
 
     def c(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
-    common = F.least(F.greatest(c("x", "differ") - c("x", "lost"), F.lit(0)), F.greatest(c("y", "differ") - c("y", "lost"), F.lit(0)))
-    at_least = F.greatest(c("x", "lost") + c("y", "lost"), F.coalesce(c("x", "differ") + c("y", "differ") - 2 * common, F.lit(0)))
+    at_least = c("x", "lost") + c("y", "lost")
+    if known:
+        common = F.least(F.greatest(c("x", "differ") - c("x", "lost"), F.lit(0)), F.greatest(c("y", "differ") - c("y", "lost"), F.lit(0)))
+        at_least = F.greatest(at_least, c("x", "differ") + c("y", "differ") - 2 * common)
     once = (c("y", "root") == c("y", "major")) | (c("x", "key") < c("y", "key"))
     may = _sizes_allow(c("x", "n"), c("y", "n")) & _differ_at_most(at_least, c("x", "n"), c("y", "n"))
-    met = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "root") != c("y", "root")) & once & may)
-    return met.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b")).distinct()
+    if not known:
+        may = may & (c("x", "differ").isNull() | c("y", "differ").isNull())
+    met = x.join(y, (c("x", "place") == c("y", "place")) & (c("x", "root") != c("y", "root")) & once & may)
+    return met.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b"))
 
 
 def _by_sketch(batches: Iterator[pa.RecordBatch], slack: int) -> Iterator[pa.RecordBatch]:
