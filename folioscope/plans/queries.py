@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, labels, metrics, neighbors
-from folioscope.plans import catalog, ranking
+from folioscope.operators import bridges, experiments, labels, metrics, neighbors
+from folioscope.plans import catalog, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
 from folioscope.streaming import ingest
@@ -450,6 +450,121 @@ def bucket_coverage(c: Corpus) -> DataFrame:
     return files.bucket_coverage(c.table("events").withColumnRenamed("event_type", "bucket"), "bucket", "event_id", 5)
 
 
+# Reports and experiments
+
+
+@query(reports.CLUSTER_INSPECTION_SQL, mapped=True)
+def cluster_inspection(c: Corpus) -> DataFrame:
+    return reports.cluster_inspection(c.vectors.select("work_id", "cluster_id"), c.works)
+
+
+def _sheet(c: Corpus) -> DataFrame:
+    k = F.col("o_orderkey")
+    relevance = F.when(k % 5 == 0, "good").when(k % 5 == 1, "acceptable").when(k % 5 == 2, "miss").when(k % 5 == 3, "irrelevant")
+    novelty = F.when(k % 3 == 0, "surprising").when(k % 3 == 1, "obvious").otherwise("useful")
+    bridge = F.when(k % 7 == 0, "not_applicable").when(k % 7 == 1, "yes").when(k % 7 == 2, "partial").otherwise("no")
+    return c.table("orders").select(F.col("o_orderpriority").alias("family"), relevance.alias("relevance_label"), novelty.alias("novelty_label"), bridge.alias("bridge_like_label"))
+
+
+@query(reports.REVIEW_SUMMARY_SQL)
+def review_summary(c: Corpus) -> DataFrame:
+    return reports.review_summary(_sheet(c), "family")
+
+
+@query(reports.PAIRWISE_SQL)
+def review_deltas(c: Corpus) -> DataFrame:
+    return reports.pairwise_deltas(reports.review_summary(_sheet(c), "family"), "family", "good_or_acceptable")
+
+
+@query(
+    bridges.BRIDGE_CTE
+    + """, cut AS (SELECT bridge_score AS cutoff FROM (SELECT bridge_score, row_number() OVER (ORDER BY bridge_score DESC) AS rn, count(*) OVER () AS n FROM rows_ WHERE bridge_score IS NOT NULL) WHERE rn = greatest(1, (n + 1) // 2)),
+    el AS (SELECT work_id, bridge_score FROM rows_, cut WHERE n >= 15 AND bridge_score >= cutoff AND cross_share >= 0.4),
+    h AS (SELECT (SELECT list(work_id ORDER BY work_id) FROM (SELECT work_id FROM rows_ ORDER BY bridge_score DESC, work_id LIMIT 20)) AS f, (SELECT list(work_id ORDER BY work_id) FROM (SELECT work_id FROM el ORDER BY bridge_score DESC, work_id LIMIT 20)) AS e,
+      (SELECT list(work_id ORDER BY work_id) FROM (SELECT work_id FROM em ORDER BY score DESC, work_id LIMIT 20)) AS m),
+    j AS (SELECT f <> coalesce(e, []) AS differs, len(list_intersect(f, e)) AS fe, round(len(list_intersect(f, e)) / len(list_distinct(list_concat(f, e)))::DOUBLE, 6) AS jfe, round(len(list_intersect(f, m)) / len(list_distinct(list_concat(f, m)))::DOUBLE, 6) AS jfm,
+      round(len(list_intersect(coalesce(e, []), m)) / len(list_distinct(list_concat(e, m)))::DOUBLE, 6) AS jem FROM h)
+    SELECT CAST(coalesce(fe, 0) AS INTEGER) AS full_eligible_shared, coalesce(jfe, 0) AS full_eligible_jaccard, jfm AS full_emerging_jaccard, jem AS eligible_emerging_jaccard, differs, jem < jfm AS less_emerging_like,
+      CASE WHEN NOT differs OR jfe >= 1 THEN 'eligible_filter_not_distinct_enough' WHEN jem < jfm THEN 'candidate_for_small_weight_experiment' ELSE 'inspect_cluster_quality_first' END AS suggested_step FROM j"""
+)
+def distinctness(c: Corpus) -> DataFrame:
+    rows = bridges.eligibility(bridges.bridge_rows(c.vectors))
+    full = bridges.head_ids(rows, "bridge_score", "work_id", 20)
+    eligible = bridges.head_ids(rows.where("eligible"), "bridge_score", "work_id", 20)
+    return reports.distinctness(full, eligible, bridges.head_ids(_emerging(c), "score", "work_id", 20), True, 1)
+
+
+@query(reports.COVERAGE_SQL, mapped=True)
+def coverage_by_rank(c: Corpus) -> DataFrame:
+    order = [F.desc("citation_count"), F.asc("work_id")]
+    head = c.included.orderBy(*order).limit(1000)
+    return reports.coverage_by_bucket(head.select("is_core_corpus", F.row_number().over(W.orderBy(*order)).alias("rank")), "is_core_corpus", [10, 50, 200])
+
+
+@query(reports.PARITY_SQL)
+def key_parity(c: Corpus) -> DataFrame:
+    return reports.key_parity(c.table("labels").select("doc_id"), c.vectors.select(F.col("work_id").alias("doc_id")), "doc_id")
+
+
+@query(reports.HYDRATED_SQL, mapped=True)
+def hydrate_works(c: Corpus) -> DataFrame:
+    w = F.col("work_id")
+    payload = c.works.where(w % 5 != 4).select("work_id", F.when(w % 3 == 0, " ").when(w % 3 == 1, "New title").alias("title"), F.when(w % 2 == 0, "Filled").alias("abstract"))
+    return reports.hydrated(c.works.select("work_id", "title", "abstract"), payload, "work_id", ["title", "abstract"])
+
+
+@query(reports.TREND_SQL, mapped=True)
+def response_trend(c: Corpus) -> DataFrame:
+    m = c.included.where("year >= 1999").groupBy("source_slug", "year").agg(F.round(F.avg("citation_count"), 0).alias("y"))
+    return reports.response_trend(m, "year", "y", "source_slug")
+
+
+@query(search.SEARCH_SQL)
+def text_search(c: Corpus) -> DataFrame:
+    return search.search(c.texts, "paper_id", ["the", "with"], none_of=["idiot"])
+
+
+@query()
+def search_fragments(c: Corpus) -> DataFrame:
+    found = search.search(c.texts, "paper_id", ["the", "with"])
+    return c.texts.join(found, "paper_id").select("paper_id", "rank", search.fragments(["the", "with"])(F.col("abstract")).alias("fragments"))
+
+
+@query(experiments.MOVES_SQL, mapped=True)
+def rank_moves(c: Corpus) -> DataFrame:
+    a, b = [F.desc("citation_count"), F.asc("work_id")], [F.desc("year"), F.desc("citation_count"), F.asc("work_id")]
+    old = c.included.orderBy(*a).limit(100).select("work_id", F.row_number().over(W.orderBy(*a)).alias("o"))
+    new = c.included.orderBy(*b).limit(100).select("work_id", F.row_number().over(W.orderBy(*b)).alias("n"))
+    y = F.when(F.col("work_id") % 3 != 0, F.col("is_core_corpus"))
+    both = old.join(new, "work_id", "full_outer").join(c.included.select("work_id", y.alias("y")), "work_id").fillna(101, ["o", "n"])
+    return experiments.moves(both, "o", "n", "y", 100)
+
+
+def _training(c: Corpus) -> DataFrame:
+    d = c.labels.select("doc_id", "source", F.col("good").cast("double").alias("label"), F.log1p("n_chars").alias("length"), "score")
+    return experiments.grouped_folds(d, "doc_id", "label", 3, "folds")
+
+
+@query()
+def out_of_fold_scores(c: Corpus) -> DataFrame:
+    return experiments.out_of_fold(_training(c), experiments.scorer(["length", "score"], ["source"]), 3).select("doc_id", "fold", "label", F.round("probability", 4).alias("probability"))
+
+
+@query()
+def strength_sweep(c: Corpus) -> DataFrame:
+    return experiments.strength_sweep(_training(c), ["length", "score"], [0.001, 0.1], 3)
+
+
+@query(
+    """WITH h AS (SELECT l.doc_id, quality = 1 AS good, min(l.doc_id) OVER (PARTITION BY md5(text)) AS group_id, count(*) OVER (PARTITION BY md5(text)) AS group_size FROM labels l JOIN documents USING (doc_id))
+    SELECT doc_id, group_id, group_size, CASE WHEN group_id % 4 = 0 THEN 'eval' ELSE 'train' END AS split FROM h"""
+)
+def holdout_groups(c: Corpus) -> DataFrame:
+    t = c.table("labels").join(c.table("documents").select("doc_id", F.md5("text").alias("work")), "doc_id").select("doc_id", "work")
+    g = experiments.canonical_groups(t, "work", "doc_id")
+    return experiments.holdout(g, g.where("group_id % 4 = 0").select("work"), "work").select("doc_id", "group_id", "group_size", "split")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Corpus(spark, sf_dir))) for name, f in _QUERIES.items()}
 

@@ -177,30 +177,39 @@ CROSS JOIN (VALUES ('emerging', 1), ('bridge', 2), ('undercited', 3)) f(family,
 
 
 def explanations(scores: DataFrame) -> DataFrame:
-    """Each row's signals with the weight that they had after leaving out null ones, and a strength word."""
-    w = WEIGHTS
-    weight = {n: sum((F.when(F.col("family") == f, getattr(w[f], n)).otherwise(0.0) for f in FAMILIES), F.lit(0.0)) for n in ("velocity", "growth", "penalty")}
-    used = weight["velocity"] + weight["growth"]
+    """One row for each score and signal: its role, value, contribution to the final score, and strength.
+
+    A null signal is not computed and its weight goes to the others; a signal without weight is
+    measured only; the penalty counts against the score.
+    """
+    names = ("semantic", "velocity", "growth", "bridge")
+
+    def weight(name: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for f in FAMILIES for x in (f, getattr(WEIGHTS[f], name))]), F.col("family"))
+
+    total = sum((F.when(F.col(n).isNotNull(), weight(n)).otherwise(0.0) for n in names), F.lit(0.0))
 
     def strength(x: Column) -> Column:
-        return F.when(x >= 0.66, "high").when(x >= 0.33, "moderate").otherwise("low")
-
-    return scores.select(
-        "work_id",
-        "family",
-        F.round(weight["velocity"] / used, 4).alias("velocity_weight"),
-        F.round(weight["growth"] / used, 4).alias("growth_weight"),
-        strength(F.col("velocity")).alias("velocity_strength"),
-        strength(F.col("growth")).alias("growth_strength"),
-    )
+        return F.when(x >= 0.66, "high").when(x >= 0.33, "medium").when(x.isNotNull(), "low")
+
+    parts = []
+    for n in names:
+        x, w = F.col(n), weight(n)
+        role = F.when(x.isNull(), "not_computed").when(w > 0, "used").otherwise("measured")
+        parts.append(F.struct(F.lit(n).alias("signal"), role.alias("role"), x.alias("value"), F.when(x.isNotNull(), F.when(total > 0, w / total * x).otherwise(0.0)).alias("contribution"), strength(x).alias("strength")))
+    penalty = F.coalesce("penalty", F.lit(0.0))
+    parts.append(F.struct(F.lit("penalty").alias("signal"), F.lit("penalty").alias("role"), penalty.alias("value"), (-weight("penalty") * penalty).alias("contribution"), strength(penalty).alias("strength")))
+    each = scores.select("work_id", "family", F.explode(F.array(*parts)).alias("s")).select("work_id", "family", "s.*")
+    return each.withColumn("contribution", F.round(F.col("contribution") + 1e-8, 5) + 0.0)
 
 
 EXPLANATIONS_SQL = SCORES_CTE + """
-, w AS (SELECT * FROM (VALUES ('emerging', 0.6, 0.4), ('bridge', 0.35, 0.65), ('undercited', 0.3, 0.7)) t(family, v, g))
-SELECT work_id, scores.family, round(v, 4)::DOUBLE AS velocity_weight, round(g, 4)::DOUBLE AS growth_weight,
-  CASE WHEN velocity >= 0.66 THEN 'high' WHEN velocity >= 0.33 THEN 'moderate' ELSE 'low' END AS velocity_strength,
-  CASE WHEN growth >= 0.66 THEN 'high' WHEN growth >= 0.33 THEN 'moderate' ELSE 'low' END AS growth_strength
-FROM scores JOIN w ON w.family = scores.family"""
+, w AS (SELECT * FROM (VALUES ('emerging', 0.6, 0.4, 0.05), ('bridge', 0.35, 0.65, 0.2), ('undercited', 0.3, 0.7, 0.25)) t(family, v, g, p)),
+s AS (SELECT work_id, scores.family, velocity, growth, penalty, v, g, p FROM scores JOIN w ON w.family = scores.family),
+x AS (SELECT work_id, family, 'velocity' AS signal, 'used' AS role, velocity AS value, v * velocity AS c FROM s UNION ALL SELECT work_id, family, 'growth', 'used', growth, g * growth FROM s
+  UNION ALL SELECT work_id, family, 'penalty', 'penalty', penalty, -p * penalty FROM s
+  UNION ALL SELECT work_id, family, 'semantic', 'not_computed', NULL, NULL FROM s UNION ALL SELECT work_id, family, 'bridge', 'not_computed', NULL, NULL FROM s)
+SELECT work_id, family, signal, role, value, round(c + 1e-8, 5) + 0.0 AS contribution, CASE WHEN value >= 0.66 THEN 'high' WHEN value >= 0.33 THEN 'medium' WHEN value IS NOT NULL THEN 'low' END AS strength FROM x"""
 
 
 def evaluation_arms(c: Corpus, scores: DataFrame, family: str = "undercited", k: int = 50) -> DataFrame:
