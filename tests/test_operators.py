@@ -307,3 +307,67 @@ def test_empty_tables(spark):
     schema = T.StructType([T.StructField("work_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("cluster_id", T.StringType())])
     empty = spark.createDataFrame([], schema)
     assert neighbors.neighbor_mix(empty, 3).count() == 0 and neighbors.bridge_boundary(empty).count() == 0
+
+
+# Reports, search, experiments
+
+
+def test_search_words_phrases_and_exclusions(spark):
+    from folioscope.plans import search
+
+    p = frame(spark, "id long, title string, abstract string", (1, "Deep music tagging", "We tag music."), (2, "Music", "tagging speech"), (3, None, "music tagging of birds"), (4, "tagging", None))
+    assert [r["id"] for r in search.search(p, "id", ["music", "Tagging"]).collect()] == [1, 2, 3]
+    assert [r["id"] for r in search.search(p, "id", ["music"], none_of=["speech", "birds"]).collect()] == [1]
+    assert {r["id"] for r in search.search(p, "id", [], phrase=["music", "tagging"]).collect()} == {1, 3}
+    assert search.search(p, "id", ["absent"]).count() == 0
+    marked = p.select(search.fragments(["music"], 3, 1)("abstract").alias("f")).collect()
+    assert [r["f"] for r in marked] == ["We tag [[music.]]", None, "[[music]] tagging of", None] or marked[1]["f"] is None
+    assert {r["term"]: r["positions"] for r in search.postings(p.where("id = 2"), "id").collect()} == {"music": [0], "tagging": [0], "speech": [1]}
+
+
+def test_caller_order_needs_one_row_for_each_id(spark):
+    from folioscope.plans import reports
+
+    rows = frame(spark, "k long, v string", (1, "a"), (2, "b"), (3, "c"), (3, "d"))
+    assert [r["v"] for r in reports.in_caller_order([2, 1], rows, "k").collect()] == ["b", "a"]
+    for ids in ([1, 3], [9]):
+        with pytest.raises(ValueError):
+            reports.in_caller_order(ids, rows, "k")
+
+
+def test_review_summary_without_applicable_rows(spark):
+    from folioscope.plans import reports
+
+    r = reports.review_summary(frame(spark, "relevance_label string, novelty_label string, bridge_like_label string", ("good", None, "not_applicable"), (None, "useful", "not_applicable"))).first()
+    assert (r["good_only"], r["surprising_or_useful"], r["bridge_like"]) == (0.5, 0.5, None)
+
+
+def test_holdout_does_not_leak(spark):
+    from folioscope.operators import experiments
+
+    rows = experiments.holdout(frame(spark, "w string, r long", ("a", 1), ("a", 2), ("b", 3)), frame(spark, "w string", ("a",)), "w")
+    assert experiments.leaked(rows, "w").count() == 0
+    assert sorted(r["split"] for r in rows.collect()) == ["eval", "eval", "train"]
+
+
+def test_transfer_between_pools(spark):
+    from folioscope.operators import experiments
+
+    rows = frame(spark, "pool string, x double, label double", *[(p, float(i) + (i % 3), float(i > 5)) for p in "ab" for i in range(12)])
+    got = {(r["trained_on"], r["tested_on"]): r["roc_auc"] for r in experiments.transfer_matrix(rows, experiments.scorer(["x"]), "pool").collect()}
+    assert set(got) == {(a, b) for a in "ab" for b in "ab"} and all(v > 0.9 for v in got.values())
+
+
+def test_explanations_leave_out_null_signals(spark):
+    s = frame(spark, "work_id long, family string, semantic double, velocity double, growth double, bridge double, penalty double", (1, "bridge", None, 1.0, None, 0.5, 0.5))
+    got = {r["signal"]: (r["role"], r["contribution"]) for r in ranking.explanations(s).collect()}
+    assert got == {"semantic": ("not_computed", None), "velocity": ("used", 1.0), "growth": ("not_computed", None), "bridge": ("measured", 0.0), "penalty": ("penalty", -0.1)}
+
+
+def test_trends_and_sources(spark):
+    from folioscope.plans import reports
+
+    p = frame(spark, "g string, x int, y double", ("up", 1, 1.0), ("up", 2, 2.0), ("flat", 1, 1.0), ("flat", 2, 1.0), ("mix", 1, 1.0), ("mix", 2, 0.0), ("mix", 3, 2.0), ("one", 1, 1.0))
+    assert by(reports.response_trend(p, "x", "y", "g"), "g", "trend") == {"up": "rising", "flat": "flat", "mix": "mixed", "one": "too_few"}
+    known = frame(spark, "source_id string, display_name string, aliases array<string>", ("S1", "Journal of  Sound", ["JoS"]), ("S2", "Other", None))
+    assert by(files.source_ids(frame(spark, "name string", (" jos ",), ("journal of sound",), ("none",)), known), "name", "source_id") == {" jos ": "S1", "journal of sound": "S1", "none": None}
