@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. A stage begins by deleting the tables that
+earlier stages have left in the shared folder: its own ``docs`` don't read them any more.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import decontaminate, jaccard_join, mixing, sharding, toxicity
-from folioscope.llm.common import shared_dir, table
+from folioscope.llm.common import shared_dir, stage_tables, table
 
 #: Columns that every stage but the last passes on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,28 +20,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network does not call toxic."""
-    network = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.without_toxic(docs, network)
+    with stage_tables(spark):
+        network = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+        return toxicity.without_toxic(docs, network)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return jaccard_join.one_of_each(docs)
+    with stage_tables(spark):
+        return jaccard_join.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    with stage_tables(spark):
+        return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    return mixing.mixed_documents(docs)
+    with stage_tables(spark):
+        return mixing.mixed_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of each row of the mix."""
-    return sharding.assign_shards(docs)
+    with stage_tables(spark):
+        return sharding.assign_shards(docs)
 
 
 STAGES = [

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +45,39 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_stage_tables: list[str] = []
+_in_stage = False
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; cuts lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back; cuts lineage and survives lost executors.
+
+    Results read such tables later, so they stay; the folder is to be emptied between jobs.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _in_stage:
+        _stage_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """Inside, a pipeline stage. Tables that earlier stages have left are deleted at the start:
+    stage results are written and read again, so nothing reads those any more."""
+    global _in_stage
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _stage_tables:
+        path = jvm.org.apache.hadoop.fs.Path(_stage_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+    _in_stage = True
+    try:
+        yield
+    finally:
+        _in_stage = False
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the decimal text of an id, modulo ``modulus``: decides which rows are held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
