@@ -33,11 +33,11 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _BETWEEN), "")
 
 
 def n_words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN), "")).cast("long")
 
 
 def _places(n: Column, length: int) -> Column:
