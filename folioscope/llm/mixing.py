@@ -42,7 +42,7 @@ _STATE = "source string, node long, doc_id long, ord string, size long, whole lo
 
 def word_count(text: Column) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
 
 
 def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
