@@ -98,3 +98,59 @@ def plan_candidate(p: Policy, noise: tuple[NoiseRule, ...], bucket: Bucket, text
     if bucket.deferred:
         chain = chain.when(~strong, out(False, "defer_bucket_requires_strong_topic_signal")).when(~allowed, out(False, "defer_bucket_weak_hook"))
     return chain.when(strong & allowed, out(True, "strong_topic_and_bucket_allow")).when(strong, out(True, "strong_topic_signal")).otherwise(out(True, "bucket_allow_signal"))
+
+
+# The terms of the music-research corpus policy, its noise rules and its expansion buckets.
+
+STRONG_TERMS = (
+    "music information retrieval", "audio representation learning", "music tagging", "music transcription", "source separation", "beat tracking", "onset detection", "music similarity", "mir evaluation",
+    "self-supervised audio", "contrastive audio", "audio embeddings",
+)
+EDGE_TERMS = ("neural audio effects", "differentiable dsp", "music generation", "audio generation")
+EXCLUSION_TERMS = ("speech recognition", "speaker verification", "biomedical audio", "medical audio")
+MUSIC_HOOKS = (
+    "music", "musical", "midi", "ismir", "music information retrieval", " mir", "mir ", "playlist", "harmony", "melody", "score", "symbolic", "demix", "musdb", "sisec", "source separation",
+    "audio representation", "music tagging", "beat track",
+)
+MUSIC_POLICY = Policy(2016, "en", ("article", "proceedings-article", "preprint"), EXCLUSION_TERMS, STRONG_TERMS, EDGE_TERMS, {"tismir": "core", "jaes": "core", "ismir": "core"})
+NOISE_RULES = (
+    NoiseRule("noise_animal_or_non_music_biology", ("manatee", "dugong", "marine mammal", "ornithology", "zoology", "wildlife conservation", "whale song"), MUSIC_HOOKS),
+    NoiseRule("noise_generic_database_without_music_hook", ("relational database", "rdbms", "sql server", "database management system"), MUSIC_HOOKS),
+    NoiseRule("noise_generic_database_without_music_hook", ("nearest neighbor", "k-nearest neighbor", "knn "), ("music", "audio")),
+    NoiseRule("noise_speech_focus_without_music_hook", ("speaker verification", "speaker recognition", "voice biometrics", "automatic speech recognition", "speech-only", "speech only", "text-to-speech", "speech synthesis"), MUSIC_HOOKS),
+    NoiseRule("noise_biomedical_audio_without_music_hook", ("medical audio", "biomedical audio", "clinical audio", "patient monitoring audio"), MUSIC_HOOKS),
+)
+#: Holds for the recommender bucket only.
+ECOMMERCE_RULE = NoiseRule("noise_ecommerce_recommendation_without_music", ("e-commerce", "ecommerce", "product recommendation", "shopping cart", "retail recommendation"), ("music",))
+BUCKETS = (
+    Bucket("core_mir_existing_sources", ()),
+    Bucket("audio_ml_signal_processing", (("audio", "signal"), ("music", "mir", "representation", "embedding", "separation", "spectrogram"))),
+    Bucket("music_recommender_systems", (("music",), ("recommend", "playlist", "listener", "session"))),
+    Bucket("source_separation_benchmarks", (("source separation", "demix", "stem", "musdb", "sisec"), MUSIC_HOOKS)),
+    Bucket("cultural_computational_musicology", (("musicology", "computational music", "digital musicology"),), deferred=True),
+    Bucket("ethics_law_fairness_user_studies", (("music",), ("fairness", "ethics", "user study", "dataset", "bias")), deferred=True),
+)
+#: Buckets that take a text with one of several alternatives, each a list of terms that must all stand in it.
+ALTERNATIVES = {
+    "ismir_proceedings_or_mir_conference": (("ismir",), ("music information retrieval",), ("music retrieval",), ("audio", "music")),
+    "symbolic_music_and_harmony": (("harmony",), ("counterpoint",), ("musicxml",), ("score", "music"), ("symbolic music",), ("chord",)),
+}
+
+
+def bucket_allows(name: str, text: Column) -> Column:
+    """Whether the bucket of that name takes the text; unknown buckets take none."""
+    if name in ALTERNATIVES:
+        out = F.lit(False)
+        for terms in ALTERNATIVES[name]:
+            each = F.lit(True)
+            for t in terms:
+                each = each & F.contains(text, F.lit(t))
+            out = out | each
+        return out
+    for b in BUCKETS:
+        if b.name == name:
+            out = F.lit(True)
+            for group in b.groups:
+                out = out & any_of(text, group)
+            return out
+    return F.lit(False)

@@ -66,11 +66,14 @@ def embedding_text(title: Column, abstract: Column) -> Column:
 
 
 def year_band(year: Column) -> Column:
-    return F.when(year.isNull(), "unknown").when(year >= 2000, "recent").when(year >= 1997, "middle").otherwise("older")
+    """The bands by which reviewers' samples are balanced."""
+    return F.when(year.isNull(), "year_missing").when(year <= 2018, "year_le_2018").when(year <= 2020, "year_2019_2020").when(year <= 2022, "year_2021_2022").when(year <= 2024, "year_2023_2024").otherwise("year_ge_2025")
 
 
 def citation_band(citations: Column) -> Column:
-    return F.when(citations.isNull(), "unknown").when(citations <= 10, "low").when(citations <= 50, "medium").otherwise("high")
+    """Fixed values, as above; a missing count is 0."""
+    c = F.coalesce(citations, F.lit(0))
+    return F.when(c <= 0, "cite_0").when(c <= 9, "cite_1_9").when(c <= 49, "cite_10_49").when(c <= 199, "cite_50_199").otherwise("cite_ge_200")
 
 
 def stable_id(*parts: Column, separator: str = "\t") -> Column:

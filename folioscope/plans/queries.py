@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, experiments, labels, metrics, neighbors
+from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors
 from folioscope.plans import catalog, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
@@ -565,6 +565,64 @@ def holdout_groups(c: Corpus) -> DataFrame:
     return experiments.holdout(g, g.where("group_id % 4 = 0").select("work"), "work").select("doc_id", "group_id", "group_size", "split")
 
 
+# Curation
+
+
+@query(curation.READINESS_SQL, mapped=True)
+def readiness_blockers(c: Corpus) -> DataFrame:
+    k = F.col("work_id")
+    w = c.included.withColumn("type", F.when(k % 17 == 0, "Unknown").when(k % 19 != 0, "article")).withColumn("language", F.when(k % 23 != 0, "en"))
+    return curation.readiness(w, "source_slug")
+
+
+@query(curation.FEATURE_SUMMARY_SQL, mapped=True)
+def feature_summary(c: Corpus) -> DataFrame:
+    return curation.feature_summary(c.included, ["year", "citation_count"], "source_slug")
+
+
+@query(curation.COVERAGE_SQL, mapped=True)
+def feature_coverage(c: Corpus) -> DataFrame:
+    return curation.feature_coverage(c.works, c.vectors, c.work_topics)
+
+
+@query(curation.USABLE_SQL, mapped=True)
+def usable_sources(c: Corpus) -> DataFrame:
+    return curation.usable_sources(c.included, "source_slug", 100, 0.4, F.col("is_core_corpus"))
+
+
+@query(
+    """WITH r AS (SELECT vec_id AS work_id, (vec_id * 7 % 100) / 100.0::DOUBLE AS f, (vec_id * 13 % 100) / 100.0::DOUBLE AS x FROM embeddings), p AS (SELECT *, 1 - (rank() OVER (ORDER BY f DESC) + (count(*) OVER (PARTITION BY f) - 1) / 2.0::DOUBLE - 1) / (count(*) OVER () - 1) AS fp,
+      1 - (rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE - 1) / (count(*) OVER () - 1) AS xp FROM r)
+    SELECT work_id, arm, round(score, 6) AS score FROM (SELECT work_id, 'heuristic_final_score_baseline' AS arm, f AS score FROM p UNION ALL SELECT work_id, 'holdout_embedding_probability_baseline', x FROM p UNION ALL SELECT work_id, 'hybrid_rank_mean_50_50', 0.5 * fp + 0.5 * xp FROM p
+      UNION ALL SELECT work_id, 'hybrid_rank_mean_75_25_heuristic', 0.75 * fp + 0.25 * xp FROM p UNION ALL SELECT work_id, 'hybrid_rank_mean_25_75_heuristic', 0.25 * fp + 0.75 * xp FROM p)"""
+)
+def scoring_arms(c: Corpus) -> DataFrame:
+    r = c.vectors.select("work_id", (F.col("work_id") * 7 % 100 / 100.0).alias("f"), (F.col("work_id") * 13 % 100 / 100.0).alias("x"))
+    p = r.withColumns({"fp": numeric.rank_percentile_ends(F.col("f"), F.lit(1)), "xp": numeric.rank_percentile_ends(F.col("x"), F.lit(1))})
+    return curation.scoring_arms(p, "work_id", "f", "x", "fp", "xp").withColumn("score", F.round("score", 6))
+
+
+@query()
+def neighbor_mix_payloads(c: Corpus) -> DataFrame:
+    return curation.mix_payload(neighbors.neighbor_mix(c.vectors), 15)
+
+
+@query()
+def text_repair(c: Corpus) -> DataFrame:
+    return curation.repair_counts(curation.repaired(c.table("pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title")), ["title"]))
+
+
+@query(
+    """WITH b AS (SELECT paper_id, CASE WHEN y IS NULL THEN 'year_missing' WHEN y <= 2018 THEN 'year_le_2018' WHEN y <= 2020 THEN 'year_2019_2020' WHEN y <= 2022 THEN 'year_2021_2022' WHEN y <= 2024 THEN 'year_2023_2024' ELSE 'year_ge_2025' END AS year_band,
+      CASE WHEN n <= 0 THEN 'cite_0' WHEN n <= 9 THEN 'cite_1_9' WHEN n <= 49 THEN 'cite_10_49' WHEN n <= 199 THEN 'cite_50_199' ELSE 'cite_ge_200' END AS citation_band
+      FROM (SELECT doc_id AS paper_id, CASE WHEN doc_id % 9 <> 0 THEN 2015 + doc_id % 12 END AS y, n_chars % 300 AS n FROM documents))
+    SELECT year_band, citation_band, count(*) AS papers FROM b GROUP BY 1, 2"""
+)
+def sampling_bands(c: Corpus) -> DataFrame:
+    d = c.table("documents").select(F.when(F.col("doc_id") % 9 != 0, 2015 + F.col("doc_id") % 12).alias("y"), (F.col("n_chars") % 300).alias("n"))
+    return d.groupBy(text.year_band(F.col("y")).alias("year_band"), text.citation_band(F.col("n")).alias("citation_band")).agg(F.count(F.lit(1)).alias("papers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Corpus(spark, sf_dir))) for name, f in _QUERIES.items()}
 

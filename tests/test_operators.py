@@ -371,3 +371,62 @@ def test_trends_and_sources(spark):
     assert by(reports.response_trend(p, "x", "y", "g"), "g", "trend") == {"up": "rising", "flat": "flat", "mix": "mixed", "one": "too_few"}
     known = frame(spark, "source_id string, display_name string, aliases array<string>", ("S1", "Journal of  Sound", ["JoS"]), ("S2", "Other", None))
     assert by(files.source_ids(frame(spark, "name string", (" jos ",), ("journal of sound",), ("none",)), known), "name", "source_id") == {" jos ": "S1", "journal of sound": "S1", "none": None}
+
+
+# Runs and curation
+
+
+def test_runs_and_their_log(spark, tmp_path, sf_dir):
+    from folioscope.plans import runs
+    from folioscope.sources.corpus import Corpus
+
+    store, c = runs.RunStore(spark, f"{tmp_path}/runs"), Corpus(spark, sf_dir)
+    counts = runs.ranking_run(store, c, "r1", "v1", clustered=True, semantic=True, bridge_weight=0.1)
+    assert counts["emerging"] == counts["bridge"] > counts["undercited"] and store.newest("scores") == "r1"
+    with pytest.raises(ZeroDivisionError):
+        store.execute("r2", "scores", "v1", {}, lambda: 1 / 0)
+    states = {r["run_id"]: (r["status"], r["error"]) for r in store.runs().collect()}
+    assert states["r1"][0] == "succeeded" and states["r2"] == ("failed", "division by zero")
+    runs.ranking_run(store, c, "r3", "v2")
+    assert store.newest("scores") == "r3" and store.newest("scores", "v1") == "r1" and store.newest("clusters") is None
+    head = runs.served(store, "bridge", 5, "v1")
+    assert [r["rank"] for r in head.collect()] == [1, 2, 3, 4, 5]
+    assert runs.clustering_run(store, c.vectors, "k1", "v1", 3)["rows"] == c.vectors.count()
+    with pytest.raises(LookupError):
+        runs.served(store, "bridge", 5, "none")
+
+
+def test_music_buckets(spark):
+    blob = F.lit("a study of chord and harmony in music tagging")
+    assert one(spark, policy.bucket_allows("symbolic_music_and_harmony", blob)) is True
+    assert one(spark, policy.bucket_allows("music_recommender_systems", blob)) is False
+    assert one(spark, policy.bucket_allows("core_mir_existing_sources", blob)) is True
+    assert one(spark, policy.bucket_allows("unknown", blob)) is False
+    p, b = policy.MUSIC_POLICY, next(x for x in policy.BUCKETS if x.name == "ethics_law_fairness_user_studies")
+    none = F.lit(None).cast("string")
+    reason = lambda t: one(spark, policy.plan_candidate(p, policy.NOISE_RULES, b, F.lit(t), none))["reason"]
+    assert reason("knn of images") == "noise_generic_database_without_music_hook"
+    assert reason("whale song") == "noise_animal_or_non_music_biology"
+    assert reason("music tagging fairness") == "strong_topic_and_bucket_allow"
+    assert reason("music and bias") == "defer_bucket_requires_strong_topic_signal"
+    assert reason("bees") == "no_strong_topic_or_bucket_allow_signal"
+
+
+@pytest.mark.parametrize(("name", "match"), [("Proceedings of the 24th International Society for Music Information Retrieval Conference", True), ("Transactions of the ISMIR", False), ("ISMIR 2020", True), ("Music Information Retrieval", False), (None, False)])
+def test_conference_names(spark, name, match):
+    from folioscope.operators import curation
+
+    assert one(spark, curation.conference_name(F.lit(name).cast("string"))) is match
+
+
+def test_venue_and_audit_rows(spark):
+    from folioscope.operators import curation
+
+    d = frame(spark, "id long, locations array<struct<source_id string, name string, raw_name string>>", (1, [("S9", "x", None)]), (2, [("S1", None, "ISMIR 2019")]), (3, []), (4, None))
+    got = by(d.select("id", curation.venue_match(F.col("locations"), "S9", curation.conference_name).alias("m")), "id", "m")
+    assert got == {1: "source_id", 2: "location_name", 3: None, 4: None}
+    rows = frame(spark, "row_id string, split string, ranking_run_id string, n long", ("a", "audit_only", "r", 2), ("a", "audit_only", "r", 1), (None, "audit_only", "r", 3), (None, "audit_only", "r", 4), ("b", "train", "r", 5))
+    kept, dropped = curation.audit_rows(rows, "r", "row_id", "n")
+    assert sorted(r["n"] for r in kept.collect()) == [1, 3, 4] and dropped.first()["dropped"] == 1
+    fixed = curation.repaired(frame(spark, "k long, t string", (1, "a  b"), (2, "ok"), (3, None)), ["t"])
+    assert tuple(curation.repair_counts(fixed).first()) == (3, 1)
