@@ -337,8 +337,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, tokens: DataFrame, slack: int =
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ida", "idb", "sa", "sb")
     near = written(near.mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, na long, nb long, ida long, idb long"), "jaccard-near")
     # the tokens of one document stand for all copies of its set
-    one, two = (tokens.select(F.col("key").alias(x), F.col("doc_id").alias(f"id{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = near.join(one, ["a", "ida"]).join(two, ["b", "idb"]).select("a", "b", "na", "nb", "ta", "tb")
+    one, two = (tokens.select(F.col("key").alias(f"key{x}"), F.col("doc_id").alias(f"of{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    both = near.join(one, (F.col("a") == F.col("keya")) & F.col("ida").eqNullSafe(F.col("ofa")))
+    both = both.join(two, (F.col("b") == F.col("keyb")) & F.col("idb").eqNullSafe(F.col("ofb"))).select("a", "b", "na", "nb", "ta", "tb")
     return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
 
 

@@ -11,6 +11,7 @@ file then gives global positions.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import uuid
@@ -30,6 +31,8 @@ from folioscope.llm.words import LOWER, SPACED, Words, blocks
 END_ID = 2
 #: ORC settings: rows between row-index entries, bytes of a stripe, rate of false positives of the filters.
 ROW_INDEX_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1000, 16 << 20, 0.01
+#: Rows of a file, on average, where that needs more files than Spark's own number of shuffle partitions.
+ROWS_PER_FILE = 20_000
 #: Distinct pieces whose ids a worker remembers; later ones are encoded again when they return.
 REMEMBERED = 1_000_000
 
@@ -180,7 +183,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str | None = None, partiti
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or tokenizer_path()
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / ROWS_PER_FILE))
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", tie)
     coded = ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(lambda it: _encode_all(it, path), FILE_SCHEMA)

@@ -384,3 +384,12 @@ def test_pipeline_runs_whole(spark, sf_dir):
 
     out = p.run(spark, sf_dir)
     assert out.count() > 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
+
+
+def test_links_of_rows_without_an_id(spark):
+    """A set that only rows without an id have still links others."""
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = base[:], base[3:], base[6:]
+    d = spark.createDataFrame([(7, " ".join(a)), (None, " ".join(b)), (9, " ".join(c)), (11, "alone")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicate_components(d).collect()}
+    assert got == {7: 7, None: 7, 9: 7, 11: 11}
