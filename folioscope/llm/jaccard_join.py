@@ -235,7 +235,8 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     """
     group = W.partitionBy("token", "salt")
     rows = prefixes.select("token", "salt", "key", "n", F.max(F.struct("central", "key", "n")).over(group).alias("hub"), F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
-    return rows.where("lo <> hi or salt > 0").select("token", "salt", "key", "n", "hub")
+    # a set that came in several tasks counts once; this needs no shuffle of its own
+    return rows.where("lo <> hi or salt > 0").select("token", "salt", "key", "n", "hub").dropDuplicates(["token", "salt", "key"])
 
 
 def _one_hub(shared: DataFrame) -> DataFrame:
