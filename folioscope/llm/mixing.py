@@ -12,8 +12,7 @@ residuals meet again, a bounded number at a time, until one is left for each sou
 The residual of a transfer in words is the larger document of the pair, so long documents come
 first, from the longest down, each paired with the pool of all shorter ones of its source: the
 document becomes integral, and the pool takes over its words in equal parts. Only the short
-documents go through the chunks and the tree. The final residual is then less than
-``LONG_SHARE`` of the target, or the source's shortest document.
+documents go through the chunks and the tree. The final residual is then a short document.
 """
 
 from __future__ import annotations
@@ -32,9 +31,9 @@ MAX_COPIES = 3
 #: Documents rounded in one chunk, and residuals that meet in one node of the reduction tree.
 CHUNK_ROWS = 1024
 FAN_IN = 64
-#: A document with more than this share of its source's target counts as long. A source has at
-#: most source words / (share x target) of them, however large it is.
-LONG_SHARE = 0.002
+#: A document is long if it has more than this share of its source's target, and of its source's
+#: own words: so a source has at most 1 / LONG_OF_SOURCE long documents, however large it is.
+LONG_SHARE, LONG_OF_SOURCE = 0.002, 0.0005
 
 _STATE = "source string, node long, doc_id long, ord string, size long, whole long, part double, extra int"
 
@@ -183,7 +182,7 @@ def mix_sources(docs: DataFrame, seed: int = 9, chunk_rows: int = CHUNK_ROWS, fa
         whole.alias("whole"),
         F.greatest(F.lit(0.0), ratio - whole).alias("part"),
         F.lit(None).cast("int").alias("extra"),
-        (F.col("b.size") > F.col("t.target") * LONG_SHARE).alias("long"),
+        (F.col("b.size") > F.greatest(F.col("t.target") * LONG_SHARE, F.col("t.source_size") * LONG_OF_SOURCE)).alias("long"),
     )
     short = state.where("not long").drop("long")
     pool = short.groupBy("source").agg(F.sum("size").alias("pool"))
