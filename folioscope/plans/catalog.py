@@ -21,8 +21,7 @@ def top_topics(work_topics: DataFrame, most: int = 3) -> DataFrame:
 
 def topic_trends(c: Corpus, snapshot: str, since_year: int, min_works: int, limit: int) -> DataFrame:
     """Topics of a snapshot with works since a year, before it, and a growth label."""
-    members = c.memberships.where((F.col("snapshot") == snapshot) & (F.col("inclusion_status") == "included")).select("work_id")
-    works = c.works.select("work_id", "year").join(members, "work_id", "left_semi")
+    works = c.members(snapshot)
     recent = F.col("year") >= since_year
     found = c.work_topics.join(works, "work_id").groupBy("topic_id", "topic_name").agg(
         F.count_distinct("work_id").alias("total_works"),
@@ -104,8 +103,7 @@ FROM (SELECT *, greatest(0.0, least(1.0, (year - 1998) / CAST(4 AS DOUBLE))) AS
 
 def missing_vectors(c: Corpus, snapshot: str) -> DataFrame:
     """Included works of a snapshot without a vector."""
-    members = c.memberships.where((F.col("snapshot") == snapshot) & (F.col("inclusion_status") == "included"))
-    return members.select("work_id").join(c.vectors.select("work_id"), "work_id", "left_anti")
+    return c.members(snapshot).select("work_id").join(c.vectors.select("work_id"), "work_id", "left_anti")
 
 
 MISSING_VECTORS_SQL = "SELECT work_id FROM memberships WHERE snapshot = 'snap-1998' AND inclusion_status = 'included' AND work_id NOT IN (SELECT vec_id FROM embeddings)"

@@ -82,6 +82,10 @@ class Corpus:
         each = self.works.where(F.col("year") <= LAST_SNAPSHOT_YEAR).select("work_id", "inclusion_status", "source_slug", F.explode(made).alias("y"))
         return each.select("work_id", F.concat(F.lit("snap-"), F.col("y").cast("string")).alias("snapshot"), "inclusion_status", "source_slug")
 
+    def members(self, snapshot: str) -> DataFrame:
+        """Included works of one snapshot: the same rows as in ``memberships``, without making the others."""
+        return self.included.where(F.col("year") <= int(snapshot.rpartition("-")[2])).select("work_id", "year", "source_slug")
+
     @cached_property
     def vectors(self) -> DataFrame:
         """(work_id, vector, cluster_id)."""
