@@ -58,9 +58,9 @@ class Corpus:
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
         parts = self.table("part").select("p_partkey", "p_brand")
         each = lines.join(parts, lines.l_partkey == parts.p_partkey)
-        return each.groupBy(F.col("l_orderkey").alias("work_id"), F.col("p_brand").alias("topic_name")).agg(
-            F.round(F.sum("l_extendedprice"), 2).alias("score"), F.regexp_extract(F.first("p_brand"), r"(\d+)$", 1).cast("int").alias("topic_id")
-        )
+        scored = each.groupBy(F.col("l_orderkey").alias("work_id"), F.col("p_brand").alias("topic_name")).agg(F.round(F.sum("l_extendedprice"), 2).alias("score"))
+        # the number after the aggregation: a string in its buffer would make it sort
+        return scored.withColumn("topic_id", F.regexp_extract("topic_name", r"(\d+)$", 1).cast("int"))
 
     @cached_property
     def work_authors(self) -> DataFrame:
