@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,69 @@ from folioscope.llm import decontaminate, jaccard_join, language_id, license_sca
 from folioscope.llm.common import table
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_SPACED_WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+
+def template_regex(wording: str) -> str:
+    """A template as a pattern over a text's words, each with a space before it."""
+    out = []
+    for part in re.findall(r"\[\[|\]\]|\{\{\w+:\d+\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", wording.lower()):
+        if part in ("[[", "]]"):
+            out.append("(?:" if part == "[[" else ")?")
+        elif part[0] == "{":
+            out.append("(?: [^ ]+){0,%s}" % part.strip("{}").split(":")[1])
+        else:
+            out.append(f" {part}")
+    return "".join(out) + "(?: |$)"
+
+
+def _op1_sql() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(0, len(w) - {len(p.split())} + 1)) AS i FROM d) WHERE w[i + 1 : i + {len(p.split())}] = {p.split()}" for p, label in license_scan.PHRASES
+    )
+    templates = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label FROM d WHERE regexp_matches(t, '{template_regex(wording)}')" for label, wording in license_scan.TEMPLATES)
+    return f"""
+WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') AS t FROM (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORD}) AS w FROM documents)),
+p AS ({places}), m AS ({templates}),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels,
+  coalesce(a.labels, '') AS labels, CAST(CASE WHEN d.doc_id IN (SELECT doc_id FROM m) THEN 1 WHEN n > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_SPACED_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node) USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_SPACED_WORD}) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 4))) AS i FROM d)),
+r AS (SELECT doc_id, i, g FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+p AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(0, 5) t(k)),
+c AS (SELECT doc_id, count(*) AS n_repeat_words, sum(length(w[i + 1])) AS chars FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+x AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, {_SPACED_WORD}))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, {_SPACED_WORD})))) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(chars, 0) AS chars FROM d LEFT JOIN c USING (doc_id)
+), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x),
+-- pairs of equal windows one after the other, at one distance, are one longer repeat
+q AS (SELECT a.doc_id, a.i, b.i - a.i AS apart FROM r a JOIN f ON f.doc_id = a.doc_id AND NOT base_failed JOIN r b ON b.doc_id = a.doc_id AND b.g = a.g AND b.i > a.i),
+o AS (SELECT doc_id, max(n) + 4 AS longest FROM (SELECT doc_id, apart, run, count(*) AS n FROM (SELECT doc_id, apart, i - row_number() OVER (PARTITION BY doc_id, apart ORDER BY i) AS run FROM q) GROUP BY 1, 2, 3) GROUP BY doc_id)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND chars <= {repetition.MAX_COVERED} * word_chars AND NOT (coalesce(longest, 0) > {repetition.MAX_REPEAT_WORDS} AND coalesce(longest, 0) > {repetition.MAX_REPEAT_SHARE} * n_words) AS kept
+FROM f LEFT JOIN o USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -42,7 +106,7 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("n_templates")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +143,8 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    found = repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing": OP8_SQL}
+    return {"op1_license_scan": _op1_sql(), "op3_ngram_jaccard": OP3_SQL, "op8_winnowing": OP8_SQL, "op10_repetition_rules": OP10_SQL}
