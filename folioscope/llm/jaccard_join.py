@@ -329,14 +329,16 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "differ", "link"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, tokens: DataFrame, slack: int = 1) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1) -> DataFrame:
     """(a, b, differ, link) for the pairs that pass the sketch bound, relaxed by a factor of ``slack``.
 
-    A link passed the bound, the other orders and the exact intersection, in this order.
+    A link passed the bound, the other orders and the exact intersection, in this order. Only
+    the texts of pairs that passed the bound are taken up again.
     """
     one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("least_id").alias(f"id{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ida", "idb", "sa", "sb")
     near = written(near.mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, na long, nb long, ida long, idb long"), "jaccard-near")
+    tokens = _tokens_of(texts, near.select(F.explode(F.array("ida", "idb")).alias("doc_id")), filter_bits)
     # the tokens of one document stand for all copies of its set
     one, two = (tokens.select(F.col("key").alias(f"key{x}"), F.col("doc_id").alias(f"of{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = near.join(one, (F.col("a") == F.col("keya")) & F.col("ida").eqNullSafe(F.col("ofa")))
@@ -368,6 +370,16 @@ def _tokens(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "doc_id", "tokens"])
 
 
+def _tokens_of(texts: DataFrame, needed: DataFrame, filter_bits: int) -> DataFrame:
+    """(key, doc_id, tokens) of the needed documents, and of a few others that share a filter slot."""
+    bits, most = 1 << 16, 8 * needed.count()
+    while bits < min(filter_bits, most):
+        bits *= 2
+    wanted = _needed_filter(needed, bits)
+    slotted = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
+    return written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
+
+
 def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
 
@@ -393,16 +405,9 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     sets_met = written(sets.join(met_in, "key").withColumn("lost", prefix - F.col("met_in")), "jaccard-sets")
     hubs = _one_hub(shared)
-    met = sets_met.agg(F.count(F.lit(1))).first()[0]
-    bits = 1 << 16
-    while bits < min(filter_bits, 16 * met):
-        bits *= 2
-    wanted = _needed_filter(sets_met.select(F.col("least_id").alias("doc_id")), bits)
-    slotted = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
-    tokens = written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
-    checked = written(_verified(_stars(hubs), sets_met, tokens, slack=3), "jaccard-checked")
+    checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=3), "jaccard-checked")
     roots = written(components(checked.where("link")), "jaccard-roots")
-    more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, tokens).where("link").select("a", "b")
+    more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, texts, filter_bits).where("link").select("a", "b")
     # the first round's components go on as stars
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
     roots = components(links)
