@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.session import importable
+
 FIRST_SNAPSHOT_YEAR, LAST_SNAPSHOT_YEAR = 1995, 2001
 #: Lowest year and highest citation count of the low-citation pool.
 LOW_CITE_MIN_YEAR, LOW_CITE_MAX_CITATIONS = 1999, 30
@@ -24,6 +26,9 @@ class Corpus:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self) -> None:
+        importable(self.spark)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
