@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.session import checkpoint_dir
+
 
 def _token(label: Column) -> Column:
     return F.nullif(F.lower(F.trim(label)), F.lit(""))
@@ -182,6 +184,7 @@ def sequential_dedup(df: DataFrame, order: str, keys: list[str], most_rounds: in
     sharer is decided gets its own verdict: kept if all of them were dropped. Rows without an
     earlier sharer are decided at once, so the rounds follow the longest chain of sharers.
     """
+    checkpoint_dir(df.sparkSession)
     rows = df.select(order, *keys)
     waiting, decided = rows, None
     for _ in range(most_rounds):

@@ -16,3 +16,11 @@ def importable(spark: SparkSession) -> None:
     root, known = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or (as in tests) one of our own where it is unset."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/folioscope-shared"
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured.rstrip("/")
