@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.session import importable
+from folioscope.session import checkpoint_dir, importable
 
 #: Rows in one Arrow batch: a batch of very long documents must still fit a Python worker.
 ARROW_ROWS = 1024
@@ -26,13 +26,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) one of our own."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = "/tmp/folioscope-shared"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    """The folder all executors share, for intermediate tables."""
+    return checkpoint_dir(spark)
 
 
 _stage_tables: list[str] = []
