@@ -265,13 +265,15 @@ def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near
     component meet only the rest.
     """
     away = near_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), "differ")
-    placed = hubs.select("token", "key", "n", "hub").join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
-    placed = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = written(placed.join(sets.select("key", "lost"), "key").select("token", "hub", "key", "n", "root", "lost", "differ"), "jaccard-placed")
-    by_hub = placed.where("differ is not null").select(F.col("hub").alias("place"), "key", "n", "root", "lost", "differ").distinct()
+    states = sets.select("key", "lost").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # one row for each hub and set, however many shingles they share
+    members = hubs.select("hub", "key", "n").distinct().join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
+    members = written(members.join(states, "key").select("hub", "key", "n", "root", "lost", "differ"), "jaccard-members")
+    by_hub = members.where("differ is not null").withColumnRenamed("hub", "place")
     # shingles all of whose sets are at a known distance are done with their hub
-    open_ = placed.where("differ is null").select("token").distinct()
-    by_token = placed.join(open_, "token", "left_semi").select(F.col("token").alias("place"), "key", "n", "root", "lost", "differ")
+    open_ = hubs.select("token", "hub", "key").join(members.where("differ is null").select("hub", "key"), ["hub", "key"], "left_semi").select("token").distinct()
+    by_token = hubs.select("token", "hub", "key").join(open_, "token", "left_semi").join(members, ["hub", "key"])
+    by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "lost", "differ")
     return _pairs_within(by_hub, True).unionByName(_pairs_within(by_token, False)).distinct()
 
 
@@ -281,8 +283,7 @@ def _pairs_within(members: DataFrame, known: bool) -> DataFrame:
     With ``known``, all distances to the hub are; else at least one of a pair's is not.
     """
     per_root = members.groupBy("place", "root").count().groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
-    members = members.join(per_root.where("roots > 1").select("place", "major"), "place")
-    members = written(members, "jaccard-mixed")
+    members = written(members.join(per_root.where("roots > 1").select("place", "major"), "place"), "jaccard-mixed")
     x, y = members.where("root <> major").alias("x"), members.alias("y")
 
     def c(side: str, name: str) -> Column:
