@@ -339,9 +339,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, filter_bits:
     one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("least_id").alias(f"id{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ida", "idb", "sa", "sb")
     near = written(near.mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, na long, nb long, ida long, idb long"), "jaccard-near")
-    tokens = _tokens_of(texts, near.select(F.explode(F.array("ida", "idb")).alias("doc_id")), filter_bits)
-    # the tokens of one document stand for all copies of its set
-    one, two = (tokens.select(F.col("key").alias(f"key{x}"), F.col("doc_id").alias(f"of{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    tokens = _tokens_of(texts, near, filter_bits)
+    # the tokens of one document stand for all copies of its set; few sets are hubs, so each side takes its own
+    one, two = (tokens.where(f"for_{x}").select(F.col("key").alias(f"key{x}"), F.col("doc_id").alias(f"of{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = near.join(one, (F.col("a") == F.col("keya")) & F.col("ida").eqNullSafe(F.col("ofa")))
     both = both.join(two, (F.col("b") == F.col("keyb")) & F.col("idb").eqNullSafe(F.col("ofb"))).select("a", "b", "na", "nb", "ta", "tb")
     return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
@@ -357,26 +357,29 @@ def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-_TOKENS_DDL = "key long, doc_id long, tokens binary"
+_TOKENS_DDL = "key long, doc_id long, tokens binary, for_a boolean, for_b boolean"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    bits = np.unpackbits(wanted.view(np.uint8), bitorder="little")
+def _tokens(batches: Iterator[pa.RecordBatch], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for_a, for_b = (np.unpackbits(w.view(np.uint8), bitorder="little").astype(bool) for w in wanted)
     for batch in batches:
-        batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()] == 1))
-        ids, rows = batch.column(0).to_pylist(), []
+        slot = batch.column(2).to_numpy()
+        batch = batch.filter(pa.array(for_a[slot] | for_b[slot]))
+        slot = batch.column(2).to_numpy()
+        ids, sides, rows = batch.column(0).to_pylist(), list(zip(for_a[slot].tolist(), for_b[slot].tolist(), strict=True)), []
         for lo, hi, data, offsets in blocks(batch.column(1)):
-            rows += [(set_key(t), d, _packed(t)) for d, t in zip(ids[lo:hi], shingle_sets(data, offsets), strict=True) if len(t)]
-        keys, docs, tokens = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "doc_id", "tokens"])
+            rows += [(set_key(t), d, _packed(t), *side) for d, t, side in zip(ids[lo:hi], shingle_sets(data, offsets), sides[lo:hi], strict=True) if len(t)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "tokens", "for_a", "for_b"])
 
 
-def _tokens_of(texts: DataFrame, needed: DataFrame, filter_bits: int) -> DataFrame:
-    """(key, doc_id, tokens) of the needed documents, and of a few others that share a filter slot."""
-    bits, most = 1 << 16, 8 * needed.count()
+def _tokens_of(texts: DataFrame, near: DataFrame, filter_bits: int) -> DataFrame:
+    """The tokens of the documents ``ida`` and ``idb`` of some pairs, and of a few others that share a filter slot."""
+    bits, most = 1 << 16, 16 * near.count()
     while bits < min(filter_bits, most):
         bits *= 2
-    wanted = _needed_filter(needed, bits)
+    wanted = [_needed_filter(near.select(F.col(c).alias("doc_id")), bits) for c in ("ida", "idb")]
     slotted = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
     return written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
 
@@ -406,7 +409,7 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
     sets_met = written(sets.join(met_in, "key").withColumn("lost", prefix - F.col("met_in")), "jaccard-sets")
     hubs = _one_hub(shared)
-    checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=3), "jaccard-checked")
+    checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=2), "jaccard-checked")
     roots = written(components(checked.where("link")), "jaccard-roots")
     more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, texts, filter_bits).where("link").select("a", "b")
     # the first round's components go on as stars
