@@ -8,15 +8,15 @@ shingles with its partner, under any order of all shingles that both sides use.
    one node from here on), an odd sketch of the set, and mergeable counts of frequent shingles.
 2. First order: frequent shingles last, then by hash. The prefixes are shuffled by shingle; a
    shingle with several sets makes one star: each set against the hub, the set that consists most
-   of frequent shingles. Prefix shingles that no other set has count as lost for any partner.
+   of frequent shingles.
 3. Candidates pass the size bound, then the odd sketch bound (the sketches differ in at most as
    many bits as the sets in elements, so no link is lost), then must share a prefix shingle under
    each of two other global orders, and only then are intersected exactly.
 4. Verified links give components. A second round takes the pairs of different components under
    one shingle, so no link between components is missed. With A and B elements between two sets
-   and their hub, and u of each that nobody else has, the two sets differ in at least
-   A + B - 2 min(A - u, B - u') elements; pairs that this rules out are never made, and groups
-   that are already one component make no pairs at all.
+   and their hub, the two sets differ in at least |A - B| elements, and in at least as many as
+   the bits in which their folded odd sketches differ; pairs that this rules out are never made,
+   and groups that are already one component make no pairs at all.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ FREQUENT = 1 << 20
 VERY_FREQUENT, SALTS = 2048, 64
 #: Bits of the filter that spares texts without a candidate the third pass; it only saves work.
 FILTER_BITS = 1 << 26
+#: Longs of a folded sketch in the second round (2,048 bits); it only saves pairs.
+FOLDED = 32
 #: Odd multipliers that define the second and third order.
 ORDERS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 _FORTY = np.uint64((1 << 40) - 1)
@@ -265,38 +267,58 @@ def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near
     component meet only the rest.
     """
     away = near_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), "differ")
-    states = sets.select("key", "lost").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    states = sets.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    bits = sets.select("key", "sketch").mapInArrow(_folded, "key long, bits array<long>, half array<long>")
     # one row for each hub and set, however many shingles they share
     members = hubs.select("hub", "key", "n").distinct().join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
-    members = written(members.join(states, "key").select("hub", "key", "n", "root", "lost", "differ"), "jaccard-members")
+    members = written(members.join(states, "key").select("hub", "key", "n", "root", "differ"), "jaccard-members")
     by_hub = members.where("differ is not null").withColumnRenamed("hub", "place")
     # shingles all of whose sets are at a known distance are done with their hub
     open_ = hubs.select("token", "hub", "key").join(members.where("differ is null").select("hub", "key"), ["hub", "key"], "left_semi").select("token").distinct()
     by_token = hubs.select("token", "hub", "key").join(open_, "token", "left_semi").join(members, ["hub", "key"])
-    by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "lost", "differ")
-    return _pairs_within(by_hub, True).unionByName(_pairs_within(by_token, False)).distinct()
+    by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "differ")
+    return _pairs_within(by_hub, bits, True).unionByName(_pairs_within(by_token, bits, False)).distinct()
 
 
-def _pairs_within(members: DataFrame, known: bool) -> DataFrame:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sketch as longs, folded to FOLDED at most, and folded once more for a partner of half its length."""
+    for batch in batches:
+        bits, half = [], []
+        for raw in batch.column(1).to_pylist():
+            x = np.frombuffer(raw, "<i8")
+            while len(x) > FOLDED:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            bits.append(x)
+            half.append(x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) > 1 else x)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int64()))], names=["key", "bits", "half"])
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+
+
+def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame:
     """Pairs (a, b) of one place and different components that no bound rules out.
 
     With ``known``, all distances to the hub are; else at least one of a pair's is not.
     """
     per_root = members.groupBy("place", "root").count().groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
-    members = written(members.join(per_root.where("roots > 1").select("place", "major"), "place"), "jaccard-mixed")
+    members = written(members.join(per_root.where("roots > 1").select("place", "major"), "place").join(bits, "key"), "jaccard-mixed")
     x, y = members.where("root <> major").alias("x"), members.alias("y")
 
     def c(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
-    at_least = c("x", "lost") + c("y", "lost")
-    if known:
-        common = F.least(F.greatest(c("x", "differ") - c("x", "lost"), F.lit(0)), F.greatest(c("y", "differ") - c("y", "lost"), F.lit(0)))
-        at_least = F.greatest(at_least, c("x", "differ") + c("y", "differ") - 2 * common)
     once = (c("y", "root") == c("y", "major")) | (c("x", "key") < c("y", "key"))
-    may = _sizes_allow(c("x", "n"), c("y", "n")) & _differ_at_most(at_least, c("x", "n"), c("y", "n"))
-    if not known:
+    may = _sizes_allow(c("x", "n"), c("y", "n"))
+    if known:
+        may = may & _differ_at_most(F.abs(c("x", "differ") - c("y", "differ")), c("x", "n"), c("y", "n"))
+    else:
         may = may & (c("x", "differ").isNull() | c("y", "differ").isNull())
+    # sets of so like sizes have sketches of one length, or one of twice the other's
+    longer = F.size(c("x", "bits")) - F.size(c("y", "bits"))
+    apart = F.when(longer == 0, _bits_apart(c("x", "bits"), c("y", "bits"))).when(longer > 0, _bits_apart(c("x", "half"), c("y", "bits"))).otherwise(_bits_apart(c("x", "bits"), c("y", "half")))
+    may = may & _differ_at_most(apart, c("x", "n"), c("y", "n"))
     met = x.join(y, (c("x", "place") == c("y", "place")) & (c("x", "root") != c("y", "root")) & once & may)
     return met.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b"))
 
@@ -404,10 +426,7 @@ def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_
     prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, central int, key long, n long")
     shared = written(_shared(prefixes), "jaccard-shared")
     sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    # prefix shingles that no other set has: a set loses them against any partner
-    met_in = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met_in"))
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    sets_met = written(sets.join(met_in, "key").withColumn("lost", prefix - F.col("met_in")), "jaccard-sets")
+    sets_met = written(sets.join(shared.select("key").distinct(), "key", "left_semi"), "jaccard-sets")
     hubs = _one_hub(shared)
     checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=2), "jaccard-checked")
     roots = written(components(checked.where("link")), "jaccard-roots")

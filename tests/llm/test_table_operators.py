@@ -76,6 +76,20 @@ def test_edited_copies_and_shared_passages(spark, seed, options):
     check_components(spark, list(enumerate(texts)), **options)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_growing_chains_with_a_hub(spark, seed):
+    """Each text is the one before with new words; links stand at 0.8 exactly, and a third text is the hub."""
+    rng = random.Random(seed)
+    texts = []
+    for c in range(12):
+        words = [f"c{c}x{i}x{rng.randrange(10**6)}" for i in range(300)]
+        texts += [" ".join(words[: n + 4]) for n in (64, 80, 100, 125)]
+        texts += [" ".join(words[: n + 4] + [f"o{c}x{i}" for i in range(own)]) for n, own in ((60, 15), (50, 30), (8, 92))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicate_components(d).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_very_frequent_shingles_are_salted(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", 4)
     rng = random.Random(5)
