@@ -25,8 +25,9 @@ from folioscope.llm.words import SPACED, Words, blocks, mix
 MIN_WORDS = 5
 #: Share of a text's word characters that repeats of MIN_WORDS or more may cover.
 MAX_COVERED = 0.2
-#: Longest single repeat: words, and share of all words. A text fails that has both more.
-MAX_REPEAT_WORDS, MAX_REPEAT_SHARE = 60, 0.15
+#: Longest single repeat: words, and share of all words. A text fails that has both more. The share
+#: is 0: a repeat stands twice, so any share near the base rule's would never decide.
+MAX_REPEAT_WORDS, MAX_REPEAT_SHARE = 60, 0.0
 #: Fixed by the contract of the base rules.
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT, SYMBOLS = 10, 20, b"#*$%&|<>"
 
@@ -179,7 +180,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated 5-word windows.
     kept: not base_failed, repeats cover at most MAX_COVERED of the word characters, and no
-    single repeat is longer than both MAX_REPEAT_WORDS and MAX_REPEAT_SHARE of the words.
+    single repeat is longer than MAX_REPEAT_WORDS (and than MAX_REPEAT_SHARE of the words, if set).
 
     A null or empty text has no words and fails the base rule. Rows are judged one by one, so
     ties and repeated rows give equal rows; an empty table gives an empty result; a very long

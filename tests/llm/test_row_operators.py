@@ -146,6 +146,16 @@ def test_repetition_cases(spark):
     assert repetition.repetition_rules(docs(spark)).count() == 0
 
 
+def test_one_long_passage_twice_fails_a_long_text(spark):
+    def text(repeat):
+        again = " ".join(f"a{i}" for i in range(repeat))
+        return f"{again} {' '.join(f'b{i}' for i in range(10_000 - 2 * repeat))} {again}"
+
+    d = {r["doc_id"]: r for r in repetition.repetition_rules(docs(spark, text(60), text(61), text(300), text(900))).collect()}
+    assert not any(r["base_failed"] for r in d.values()) and [d[i]["longest_repeat"] for i in range(4)] == [60, 61, 300, 900]
+    assert [d[i]["kept"] for i in range(4)] == [True, False, False, False]
+
+
 # Language
 
 
