@@ -296,7 +296,7 @@ def impute_zscore(c: Corpus) -> DataFrame:
 @query()
 def logistic_gd(c: Corpus) -> DataFrame:
     d = labels.stratified_folds(c.labels.select("doc_id", "good", (F.col("n_chars") / 1000.0).alias("x"), F.col("good").cast("double").alias("y")), "good", "doc_id", 5)
-    return labels.logistic_by_descent(d, ["x"], "y", "fold", epochs=500)
+    return labels.logistic_by_descent(d, ["x"], "y", "fold")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -430,3 +431,21 @@ def test_venue_and_audit_rows(spark):
     assert sorted(r["n"] for r in kept.collect()) == [1, 3, 4] and dropped.first()["dropped"] == 1
     fixed = curation.repaired(frame(spark, "k long, t string", (1, "a  b"), (2, "ok"), (3, None)), ["t"])
     assert tuple(curation.repair_counts(fixed).first()) == (3, 1)
+
+
+def test_registered_descent_takes_all_steps(spark, sf_dir):
+    """Against plain descent of 6,000 steps over every row, without grouping."""
+    from folioscope.plans import queries
+    from folioscope.sources.corpus import Corpus
+
+    c = Corpus(spark, sf_dir)
+    rows = labels.stratified_folds(c.labels.select("doc_id", "good", "n_chars"), "good", "doc_id", 5).toPandas()
+    got = {r["test"]: (r["weights"], r["bias"]) for r in queries.queries()["logistic_gd"](spark, sf_dir).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for test, (weights, bias) in got.items():
+        part = rows[rows["fold"] != test]
+        x, y, w, b = part["n_chars"].to_numpy(float) / 1000, part["good"].to_numpy(float), 0.0, 0.0
+        for _ in range(6000):
+            error = 1 / (1 + np.exp(-np.clip(x * w + b, -30, 30))) - y
+            w, b = w - 0.15 * ((x * error).mean() + 1e-3 * w), b - 0.15 * error.mean()
+        assert abs(weights[0] - w) < 2e-4 and abs(bias - b) < 2e-4
