@@ -19,8 +19,18 @@ def importable(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (as in tests) one of our own where it is unset."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/folioscope-shared"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own; on a cluster that is
+    an error, as no machine-local folder can be read by other executors.
+    """
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir")
+    if not configured:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = context._jsc.sc().getCheckpointDir()
+        configured = current.get() if current.isDefined() else f"/tmp/folioscope-shared-{context.applicationId}"
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(configured)
     return configured.rstrip("/")
