@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.session import checkpoint_dir, importable
 
-#: Rows in one Arrow batch: a batch of very long documents must still fit a Python worker.
-ARROW_ROWS = 1024
+#: An Arrow batch ends at so many rows or bytes, whichever comes first; one longer text is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that worker memory does not depend on text length."""
+    """Bound Arrow batches in rows and bytes, so that a worker's memory follows its longest text alone.
+
+    Results are lazy and read these settings when they run, so they stay set in the session;
+    smaller values of the caller's are kept.
+    """
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).lower().rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,37 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
     return checkpoint_dir(spark)
 
 
-_stage_tables: list[str] = []
-_in_stage = False
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; cuts lineage and survives lost executors.
 
-    Results read such tables later, so they stay; the folder is to be emptied between jobs.
+    Results read such tables later, so they stay until the folder is emptied, or, inside
+    ``scratch_tables``, until that block ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _in_stage:
-        _stage_tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """Inside, a pipeline stage. Tables that earlier stages have left are deleted at the start:
-    stage results are written and read again, so nothing reads those any more."""
-    global _in_stage
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _stage_tables:
-        path = jvm.org.apache.hadoop.fs.Path(_stage_tables.pop())
-        path.getFileSystem(conf).delete(path, True)
-    _in_stage = True
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are deleted at the end; nothing lazy may outlive the block.
+
+    Each block has a folder of its own, so pipelines that run side by side don't touch each other's.
+    """
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
     try:
         yield
     finally:
-        _in_stage = False
+        _scratch.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: str, modulus: int):
@@ -68,6 +75,11 @@ def remainder(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def held_out(doc_id: str, modulus: int, which: int):
+    """Whether a row is held out. A row without an id is not; it is never learned from either."""
+    return F.coalesce(remainder(doc_id, modulus) == F.lit(which), F.lit(False))
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int, total: int | None = None) -> DataFrame:
     """About ``bound`` rows, chosen by a hash of ``key``: the same rows on every run.
 

@@ -6,6 +6,7 @@ batch or document length beyond the longest single document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +14,12 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
-_mixer = np.random.default_rng(20240229)
-_BYTE_CODE = _mixer.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Odd multipliers of the hashes.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _GOLD = np.uint64(0xD6E8FEB86659FD93)
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, grown when a longer block comes."""
-    if len(_powers["up"]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = max(n, 2 * len(_powers["up"]), BLOCK_BYTES + 1)
-        for name, step in (("up", _BASE), ("down", inverse)):
-            a = np.full(size, step, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["up"], _powers["down"]
+#: Words of more bytes are hashed one by one with BLAKE2; they are few.
+LANES = 32
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * _GOLD
     x = x ^ (x >> np.uint64(29))
-    x = x * _BASE
+    x = x * _STEP
     return x ^ (x >> np.uint64(32))
 
 
@@ -123,12 +112,48 @@ class Words:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = _power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * _GOLD))
+        """A 64-bit hash of each word's bytes.
+
+        Eight bytes at a time are mixed into the state, with shifts and products in turn, so
+        the hash is no linear function of the bytes; words of up to eight bytes and one length
+        never collide.
+        """
+        length = self.end - self.start
+        h = length.astype(np.uint64) * _GOLD
+        eights = lanes(data)
+        at = np.flatnonzero(length <= 8 * LANES)
+        place = self.start[at]
+        left = length[at]
+        while len(at):
+            lane = eights[place] & _LOW[np.minimum(left, 8)]
+            h[at] = mix(h[at] ^ lane)
+            more = np.flatnonzero(left > 8)
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > 8 * LANES).tolist():
+            raw = data[self.start[i] : self.end[i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+        return h
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def same_words(data: np.ndarray, start: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes from each ``start`` equal those from ``other``."""
+    eights = lanes(data)
+    same = np.ones(len(start), bool)
+    at = np.flatnonzero(start != other)
+    a, b, left = start[at], other[at], length[at]
+    while len(at):
+        low = _LOW[np.minimum(left, 8)]
+        same[at] &= (eights[a] & low) == (eights[b] & low)
+        more = np.flatnonzero((left > 8) & same[at])
+        at, a, b, left = at[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
 
 
 def word_hash(word: bytes) -> int:
