@@ -5,18 +5,22 @@ least 0.8. A set of n shingles that links must share one of its first n - ceil(0
 shingles with its partner, under any order of all shingles that both sides use. The steps:
 
 1. One pass gives each text its set size, a key (a 64-bit hash of the set, so that equal sets are
-   one node from here on), an odd sketch of the set, and mergeable counts of frequent shingles.
-2. First order: frequent shingles last, then by hash. The prefixes are shuffled by shingle; a
+   one node from here on), its prefixes under the second and third order, an odd sketch of the
+   set, and mergeable counts of frequent shingles.
+2. First order: frequent shingles last, then by hash. These prefixes are shuffled by shingle; a
    shingle with several sets makes one star: each set against the hub, the set that consists most
    of frequent shingles.
-3. Candidates pass the size bound, then the odd sketch bound (the sketches differ in at most as
-   many bits as the sets in elements, so no link is lost), then must share a prefix shingle under
-   each of two other global orders, and only then are intersected exactly.
-4. Verified links give components. A second round takes the pairs of different components under
-   one shingle, so no link between components is missed. With A and B elements between two sets
-   and their hub, the two sets differ in at least |A - B| elements, and in at least as many as
-   the bits in which their folded odd sketches differ; pairs that this rules out are never made,
-   and groups that are already one component make no pairs at all.
+3. The filters of all orders are intersected: a candidate of the first order and the size bound
+   must share a prefix shingle under the second and under the third order too. No set has been
+   fetched up to here.
+4. Verification: a lower bound of the difference from the odd sketches, then the exact
+   intersection of the sets, which are taken up again for the surviving pairs only.
+5. Verified links give components. A second round takes the pairs of different components under
+   one shingle, so no link between components is missed; they pass the same filters and the same
+   verification. With A and B elements between two sets and their hub, the two sets differ in at
+   least |A - B| elements, and in at least as many as the bits in which their folded odd sketches
+   differ; pairs that this rules out are never made, and groups that are already one component
+   make no pairs at all. A large group is dealt out in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -37,8 +41,11 @@ from folioscope.llm.words import LOWER, SPACED, Words, blocks, grams, mix
 SHINGLE, PERCENT = 5, 80
 #: Frequent shingles kept (at most): 9 bytes each are broadcast.
 FREQUENT = 1 << 20
-#: A shingle counted this often is dealt over SALTS tasks.
-VERY_FREQUENT, SALTS = 2048, 64
+#: A shingle counted more often is dealt over as many tasks as its count holds this number. One that
+#: no task has seen twice is not counted; it has one row of each task at most.
+VERY_FREQUENT = 2048
+#: Sets of one group that meet in one block of the second round.
+BLOCK = 256
 #: Bits of the filter that spares texts without a candidate the third pass; it only saves work.
 FILTER_BITS = 1 << 26
 #: Longs of a folded sketch in the second round (2,048 bits); it only saves pairs.
@@ -98,14 +105,14 @@ def may_link(differ: int, na: int, nb: int) -> bool:
     return (200 - PERCENT * 2) * (na + nb) >= (200 + PERCENT * 2) * differ
 
 
-def orders_allow(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
-    """Whether 40-bit sets share a prefix shingle under each of the other orders."""
-    for factor in ORDERS:
-        x, y = np.sort((a * factor) & _FORTY)[: prefix_length(na)], np.sort((b * factor) & _FORTY)[: prefix_length(nb)]
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        if not (y[at] == x).any():
-            return False
-    return True
+def order_prefix(t: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """The prefix of a set under one of the hash orders: the upper 32 bits of its smallest values.
+
+    Equal shingles have equal values, so sets that share a prefix shingle share one of these.
+    """
+    p = prefix_length(len(t))
+    x = t * factor
+    return (np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
@@ -138,35 +145,42 @@ class Frequent:
         self.pending, self.size = [], 0
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("many", pa.int64())])
-_PROFILE_DDL = "doc_id long, n long, key long, sketch binary, token long, many long"
+_PROFILE = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())),
+        ("token", pa.int64()), ("many", pa.int64()),
+    ]
+)
+_PROFILE_DDL = "doc_id long, row long, n long, key long, sketch binary, second array<int>, third array<int>, token long, many long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and at the end a row for each shingle that came more than once in this task."""
+    """A row for each text, and at the end a row for each shingle that came more than once in this task.
+
+    Sketch and prefixes stand on the first row of each set in the task only.
+    """
     counts, seen = Frequent(), set()
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids, of_row = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         rows = []
         for lo, hi, data, offsets in blocks(batch.column(1)):
-            for doc_id, t in zip(ids[lo:hi], shingle_sets(data, offsets), strict=True):
-                if not len(t):
-                    rows.append((doc_id, 0, None, None))
+            for doc_id, row, t in zip(ids[lo:hi], of_row[lo:hi], shingle_sets(data, offsets), strict=True):
+                key = set_key(t) if len(t) else None
+                if key is None or key in seen:
+                    rows.append((doc_id, row, len(t), key, None, None, None))
                     continue
-                key = set_key(t)
-                rows.append((doc_id, len(t), key, odd_sketch(t)))
-                if key not in seen:  # copies of a set are one node and count once
-                    seen.add(key)
-                    counts.add(t)
+                seen.add(key)  # copies of a set are one node and count once
+                counts.add(t)
+                rows.append((doc_id, row, len(t), key, odd_sketch(t), *(order_prefix(t, factor) for factor in ORDERS)))
         if rows:
-            doc, n, key, sketch = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], schema=_PROFILE)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PROFILE, strict=False)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], schema=_PROFILE)
     counts.settle()
     again = counts.count > 1
     token, many = counts.token[again].view(np.int64), counts.count[again]
     for lo in range(0, len(token), 1 << 16):
         part = token[lo : lo + (1 << 16)]
-        none = [pa.nulls(len(part), f.type) for f in list(_PROFILE)[:4]]
+        none = [pa.nulls(len(part), f.type) for f in list(_PROFILE)[:7]]
         yield pa.RecordBatch.from_arrays([*none, pa.array(part), pa.array(many[lo : lo + (1 << 16)])], schema=_PROFILE)
 
 
@@ -193,6 +207,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.nd
     maybe[(token >> np.uint64(42)).astype(np.int64)] = True
     seen: set[int] = set()
     very = int(math.log2(VERY_FREQUENT))
+    any_key = lambda key: int(mix(np.array([key], np.int64).view(np.uint64))[0] >> np.uint64(16))
     for batch in batches:
         out = []
         for _, _, data, offsets in blocks(batch.column(1)):
@@ -213,7 +228,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.nd
                 rank = np.zeros(n, np.uint8)
                 rank[often] = level[at] + 1
                 first = np.argsort(rank, kind="stable")[:p]
-                out.append((t[first], np.where(rank[first] > very, key % SALTS + 1, 0).astype(np.int32), key, n, int(1000 * rank.mean())))
+                # a level is one less than the rank; each more of it doubles the salts
+                salts = np.int64(1) << np.maximum(rank[first].astype(np.int64) - 1 - very, 0)
+                salt = np.where(salts > 1, 1 + (any_key(key) & (salts - 1)), 0).astype(np.int32)
+                out.append((t[first], salt, key, n, int(1000 * rank.mean())))
         if out:
             sizes = [len(x[0]) for x in out]
             yield pa.RecordBatch.from_arrays(
@@ -242,10 +260,16 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 
 def _one_hub(shared: DataFrame) -> DataFrame:
-    """token, key, n, hub, hub_n with one hub for each shingle."""
+    """token, key, n, hub, hub_n with one hub for each shingle.
+
+    The hubs of a shingle's salts are compared, and the best goes back to each salt, so the rows
+    of a very frequent shingle stay dealt out.
+    """
     salted = shared.where("salt > 0")
-    centre = salted.groupBy("token").agg(F.max("hub").alias("hub"))
-    rows = shared.where("salt = 0").select("token", "key", "n", "hub").unionByName(salted.drop("hub").join(centre, "token").select("token", "key", "n", "hub"))
+    each = salted.groupBy("token", "salt").agg(F.max("hub").alias("hub"))
+    best = each.groupBy("token").agg(F.max("hub").alias("hub"))
+    by_salt = each.select("token", "salt").join(best, "token")
+    rows = shared.where("salt = 0").select("token", "key", "n", "hub").unionByName(salted.drop("hub").join(by_salt, ["token", "salt"]).select("token", "key", "n", "hub"))
     return rows.select("token", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
@@ -300,15 +324,26 @@ def _bits_apart(a: Column, b: Column) -> Column:
 def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame:
     """Pairs (a, b) of one place and different components that no bound rules out.
 
-    With ``known``, all distances to the hub are; else at least one of a pair's is not.
+    With ``known``, all distances to the hub are; else at least one of a pair's is not. The
+    members outside a place's largest component meet all of its members, BLOCK by BLOCK.
     """
-    per_root = members.groupBy("place", "root").count().groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
-    members = written(members.join(per_root.where("roots > 1").select("place", "major"), "place").join(bits, "key"), "jaccard-mixed")
-    x, y = members.where("root <> major").alias("x"), members.alias("y")
+    per_root = members.groupBy("place", "root").count()
+    places = per_root.groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("roots"))
+    # one row for each mixed place: Spark broadcasts it by its measured size, and else splits skewed partitions
+    blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    places = written(places.where("roots > 1").select("place", "major", blocks_of(F.col("all") - F.col("most")).alias("x_blocks"), blocks_of(F.col("all")).alias("y_blocks")), "jaccard-places")
+    members = written(members.join(places, "place").join(bits, "key"), "jaccard-mixed")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("key"), F.col(f"{own}_blocks")).cast("int")
+        return side.withColumn(f"{own}_at", mine).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+
+    x, y = dealt(members.where("root <> major"), "x", "y").alias("x"), dealt(members, "y", "x").alias("y")
 
     def c(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
+    met = (c("x", "place") == c("y", "place")) & (c("x", "x_at") == c("y", "x_at")) & (c("x", "y_at") == c("y", "y_at"))
     once = (c("y", "root") == c("y", "major")) | (c("x", "key") < c("y", "key"))
     may = _sizes_allow(c("x", "n"), c("y", "n"))
     if known:
@@ -319,15 +354,24 @@ def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame
     longer = F.size(c("x", "bits")) - F.size(c("y", "bits"))
     apart = F.when(longer == 0, _bits_apart(c("x", "bits"), c("y", "bits"))).when(longer > 0, _bits_apart(c("x", "half"), c("y", "bits"))).otherwise(_bits_apart(c("x", "bits"), c("y", "half")))
     may = may & _differ_at_most(apart, c("x", "n"), c("y", "n"))
-    met = x.join(y, (c("x", "place") == c("y", "place")) & (c("x", "root") != c("y", "root")) & once & may)
-    return met.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b"))
+    pairs = x.join(y, met & (c("x", "root") != c("y", "root")) & once & may)
+    return pairs.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b"))
+
+
+def in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix shingle under the second and the third order too, with what
+    verification needs of both sets: size, row and sketch."""
+    columns = ("n", "row", "sketch", "second", "third")
+    one, two = (sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    met = pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    return met.select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
 
 
 def _by_sketch(batches: Iterator[pa.RecordBatch], slack: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         na, nb, sa, sb = (batch.column(i).to_pylist() for i in (2, 3, 6, 7))
         ok = [may_link(-(-sketch_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) // slack), i, j) for x, y, i, j in zip(sa, sb, na, nb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)], names=["a", "b", "na", "nb", "ida", "idb"]).filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)], names=["a", "b", "n_a", "n_b", "row_a", "row_b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _packed(t: np.ndarray) -> bytes:
@@ -348,30 +392,27 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             a, b = _unpacked(batch.column(4)[i].as_py()), _unpacked(batch.column(5)[i].as_py())
             differ.append(na[i] + nb[i] - 2 * shared_elements(a, b))
-            link.append(orders_allow(a, b, na[i], nb[i]) and may_link(differ[-1], na[i], nb[i]))
+            link.append(may_link(differ[-1], na[i], nb[i]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "differ", "link"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1) -> DataFrame:
-    """(a, b, differ, link) for the pairs that pass the sketch bound, relaxed by a factor of ``slack``.
+    """(a, b, differ, link) for the pairs that pass all orders and the sketch bound, relaxed by a factor of ``slack``.
 
-    A link passed the bound, the other orders and the exact intersection, in this order. Only
-    the texts of pairs that passed the bound are taken up again.
+    Only the texts of pairs that passed both are taken up again.
     """
-    one, two = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("least_id").alias(f"id{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ida", "idb", "sa", "sb")
-    near = written(near.mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, na long, nb long, ida long, idb long"), "jaccard-near")
+    near = in_all_orders(pairs, sets).mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, n_a long, n_b long, row_a long, row_b long")
+    near = written(near, "jaccard-near")
     tokens = _tokens_of(texts, near, filter_bits)
-    # the tokens of one document stand for all copies of its set; few sets are hubs, so each side takes its own
-    one, two = (tokens.where(f"for_{x}").select(F.col("key").alias(f"key{x}"), F.col("doc_id").alias(f"of{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = near.join(one, (F.col("a") == F.col("keya")) & F.col("ida").eqNullSafe(F.col("ofa")))
-    both = both.join(two, (F.col("b") == F.col("keyb")) & F.col("idb").eqNullSafe(F.col("ofb"))).select("a", "b", "na", "nb", "ta", "tb")
+    # the tokens of one row stand for all copies of its set; few sets are hubs, so each side takes its own
+    one, two = (tokens.where(f"for_{x}").select(F.col("key").alias(x), F.col("row").alias(f"row_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
+    both = near.join(one, ["a", "row_a"]).join(two, ["b", "row_b"]).select("a", "b", "n_a", "n_b", "t_a", "t_b")
     return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
 
 
 def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
     """A bit for each slot that a needed row falls on; at most bits / 64 rows come to the driver."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    slot = F.pmod(F.col("row"), F.lit(bits))
     words = needed.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
     got = words.toPandas()
     out = np.zeros(bits // 64, np.int64)
@@ -379,82 +420,115 @@ def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-_TOKENS_DDL = "key long, doc_id long, tokens binary, for_a boolean, for_b boolean"
+_TOKENS_DDL = "key long, row long, tokens binary, for_a boolean, for_b boolean"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for_a, for_b = (np.unpackbits(w.view(np.uint8), bitorder="little").astype(bool) for w in wanted)
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        slot = batch.column(2).to_numpy()
+        slot = batch.column(3).to_numpy()
         batch = batch.filter(pa.array(for_a[slot] | for_b[slot]))
-        slot = batch.column(2).to_numpy()
-        ids, sides, rows = batch.column(0).to_pylist(), list(zip(for_a[slot].tolist(), for_b[slot].tolist(), strict=True)), []
+        slot = batch.column(3).to_numpy()
+        of_row, sides, rows = batch.column(2).to_pylist(), list(zip(for_a[slot].tolist(), for_b[slot].tolist(), strict=True)), []
         for lo, hi, data, offsets in blocks(batch.column(1)):
-            rows += [(set_key(t), d, _packed(t), *side) for d, t, side in zip(ids[lo:hi], shingle_sets(data, offsets), sides[lo:hi], strict=True) if len(t)]
+            for row, t, side in zip(of_row[lo:hi], shingle_sets(data, offsets), sides[lo:hi], strict=True):
+                if len(t) and row not in seen:  # repeated rows give one
+                    seen.add(row)
+                    rows.append((set_key(t), row, _packed(t), *side))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc_id", "tokens", "for_a", "for_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "row", "tokens", "for_a", "for_b"])
 
 
 def _tokens_of(texts: DataFrame, near: DataFrame, filter_bits: int) -> DataFrame:
-    """The tokens of the documents ``ida`` and ``idb`` of some pairs, and of a few others that share a filter slot."""
+    """The tokens of the rows ``row_a`` and ``row_b`` of some pairs, and of a few others that share a filter slot."""
     bits, most = 1 << 16, 16 * near.count()
     while bits < min(filter_bits, most):
         bits *= 2
-    wanted = [_needed_filter(near.select(F.col(c).alias("doc_id")), bits) for c in ("ida", "idb")]
-    slotted = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
+    wanted = [_needed_filter(near.select(F.col(c).alias("row")), bits) for c in ("row_a", "row_b")]
+    slotted = texts.withColumn("slot", F.pmod("row", F.lit(bits)))
     return written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
 
 
-def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
+def _row_of(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: id and text. Rows equal in both are copies of one row."""
+    return F.xxhash64(doc_id, text)
 
-    A null or empty text, or one without words, has no shingles, links with nothing and is its
-    own component. Equal sets always link, so exact copies are one component. Rows with the
-    same doc_id stay, each with the component of its own text. A null doc_id takes part, but
-    is never the smallest. An empty table gives an empty result; other columns are ignored.
 
-    Sets are held by 64-bit hashes of shingles and of whole sets, and compared by 40 bits of
-    each shingle in the last step; a wrong link needs a collision there.
-    """
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select("doc_id", "text")
+def _assigned(docs: DataFrame, frequent: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): doc_id, row, n, key of each row, and for each set (key) the root of its component,
+    its number of rows, and the first of them as struct(without id, doc_id, row)."""
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", "text", _row_of(F.col("doc_id"), F.col("text")).alias("row"))
     profile = written(texts.mapInArrow(_profile, _PROFILE_DDL), "jaccard-profile")
-    rows = profile.where("token is null").select("doc_id", "n", "key", "sketch")
+    rows = profile.where("token is null")
     token, level = frequent_shingles(profile, frequent)
     prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, central int, key long, n long")
     shared = written(_shared(prefixes), "jaccard-shared")
-    sets = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets_met = written(sets.join(shared.select("key").distinct(), "key", "left_semi"), "jaccard-sets")
+    met = rows.where("key is not null").join(shared.select("key").distinct(), "key", "left_semi")
+    facts = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", "second", "third")]
+    sets_met = written(met.groupBy("key").agg(F.min("row").alias("row"), *facts), "jaccard-sets")
     hubs = _one_hub(shared)
     checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=2), "jaccard-checked")
     roots = written(components(checked.where("link")), "jaccard-roots")
     more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, texts, filter_bits).where("link").select("a", "b")
     # the first round's components go on as stars
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
-    roots = components(links)
-    named = sets.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    named = named.select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_key = named.select("key", "root").join(smallest, "root").select("key", "component_id")
+    roots = components(links).withColumnRenamed("node", "key")
+    rows = rows.select("doc_id", "row", "n", "key")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    sets = rows.where("key is not null").groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows"))
+    return rows, sets.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def near_duplicate_components(docs: DataFrame, frequent: int = FREQUENT, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs``.
+
+    A null or empty text, or one without words, has no shingles, links with nothing and is its
+    own component. Equal sets always link, so exact copies are one component. Rows with the
+    same doc_id stay, each with the component of its own text. A null doc_id takes part, but
+    is never the smallest. An empty table gives an empty result; other columns are ignored.
+
+    Sets are held by 64-bit hashes of shingles and of whole sets, and compared by 40 bits of
+    each shingle in the last step; a wrong link needs a collision there.
+    """
+    rows, sets = _assigned(docs, frequent, filter_bits)
+    smallest = sets.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    by_key = sets.select("key", "root").join(smallest, "root").select("key", "component_id")
     return rows.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, with all columns of ``docs``: that of its smallest doc_id.
 
-    Rows that repeat a doc_id are one document. The ids to drop are written first, so that Spark
-    knows their size: it broadcasts them if they are few, and else shuffles the texts once.
+    Rows are told apart by doc_id and text: rows that share an id but not a component all stay, as
+    each stands for its own. A null id is larger than all others; ties go by a hash of the
+    text, and of rows equal in id and text the one with the least other columns stays (they must
+    be orderable). A text without words links with nothing, so all such rows stay, repeated ones
+    too. An empty table gives an empty result; columns may have any names.
+
+    The rows to drop are written first, so that Spark knows their size: it broadcasts them if
+    they are few, and else shuffles the texts once.
     """
-    found = near_duplicate_components(docs.select("doc_id", "text"))
-    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop_id")).distinct(), "jaccard-dropped")
-    kept = docs.join(dropped, docs["doc_id"] == dropped["__drop_id"], "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twin_id"))
-    repeated = written(repeated, "jaccard-twins")
+    rows, sets = _assigned(docs, FREQUENT, FILTER_BITS)
+    per_root = sets.groupBy("root").agg(F.min("first").alias("kept"), F.sum("rows").alias("size")).where("size > 1")
+    grouped = written(rows.select("row", "key").join(sets.select("key", "root").join(per_root, "root").select("key", F.col("kept.row").alias("kept")), "key").groupBy("row", "kept").count(), "jaccard-grouped")
+    # repeated rows of a kept one go too: they are dropped here, and one of them comes back below
+    dropped = written(grouped.where("row <> kept or count > 1").select(F.col("row").alias(_mark(docs))), "jaccard-dropped")
+    repeated = written(grouped.where("row = kept and count > 1").select(F.col("row").alias(_mark(docs))), "jaccard-repeated")
+    row = _row_of(docs["doc_id"], docs["text"])
+    kept = docs.join(dropped, row == dropped[_mark(docs)], "left_anti")
     if repeated.isEmpty():
         return kept
-    same = kept["doc_id"] == repeated["__twin_id"]
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    twins = kept.join(repeated, same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return kept.join(repeated, same, "left_anti").unionByName(twins)
+    twins = docs.join(repeated, row == repeated[_mark(docs)])
+    one = twins.groupBy(_mark(docs)).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("r"))
+    return kept.unionByName(one.select("r.*"))
+
+
+def _mark(docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    name = "row_mark"
+    while name in docs.columns:
+        name += "_"
+    return name
