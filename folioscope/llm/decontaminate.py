@@ -85,20 +85,56 @@ def _window_rows(df: DataFrame, lengths: list[int], only: Column | None = None)
         if only is not None:
             at = F.filter(at, _is_met(k, only))
         parts.append(F.transform(at, _window(k)))
-    return df.select("key", F.explode(F.concat(*parts)).alias("w")).select("key", "w.*")
+    return df.select("key", "n", F.explode(F.concat(*parts)).alias("w")).select("key", "n", "w.*")
 
 
-def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(print, text, item_id) of each item's windows, and the window lengths that occur (at most SPAN of them)."""
+def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(windows, groups, lengths): print, text and group of each distinct window; the items of each
+    group, those that have the same windows in common; and the window lengths that occur, at most SPAN of them."""
     items = benchmark.select(F.col("item_id").alias("key"), words_of(F.col("text")).alias("words"))
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(SPAN)).alias("n")).where("n > 0").distinct().collect())
+    spark = benchmark.sparkSession
     if not lengths:
-        return benchmark.sparkSession.createDataFrame([], "print long, text string, item_id string"), []
-    # an item has windows of one length only: its own, or SPAN
-    rows = _window_rows(_with_fingerprints(items, lengths), lengths)
-    sized = items.select("key", F.least(F.size("words"), F.lit(SPAN)).alias("own"))
-    rows = rows.join(sized.distinct(), "key").where("length = own")
-    return rows.select("print", "text", F.col("key").cast("string").alias("item_id")).distinct(), lengths
+        return spark.createDataFrame([], "print long, text string, group long"), spark.createDataFrame([], "group long, items array<string>, without boolean"), []
+    # an item has windows of one length only: its own number of words, or SPAN
+    rows = _window_rows(_with_fingerprints(items, lengths), lengths).where(F.col("length") == F.least("n", F.lit(SPAN)))
+    of = rows.select("print", "text", F.col("key").cast("string").alias("item")).distinct()
+    of = of.groupBy("print", "text").agg(F.array_sort(F.collect_list("item")).alias("items"), F.max(F.col("item").isNull()).alias("without"))
+    of = of.withColumn("group", F.xxhash64("items", "without"))
+    of = written(of, "bench-windows")
+    return of.select("print", "text", "group"), of.select("group", "items", "without").dropDuplicates(["group"]), lengths
+
+
+def _hits(docs: DataFrame, windows: DataFrame, groups: DataFrame, lengths: list[int]) -> DataFrame:
+    """key, n_hit, n_items, items_sha256 of the texts with a hit."""
+    texts = docs.select(_row_key().alias("key"), "text")
+    printed = _with_fingerprints(texts.select("key", words_of(F.col("text")).alias("words")), lengths)
+    prints = F.concat(*[F.array_distinct(f"f{n}") for n in lengths])
+    met = printed.select("key", F.explode(prints).alias("print")).join(windows.select("print").distinct(), "print", "left_semi")
+    met = written(met.groupBy("key").agg(F.collect_set("print").alias("met")), "bench-met")
+    # copies of a row have one key and one result, so one of them is enough
+    again = texts.join(met, "key").groupBy("key").agg(F.min("text").alias("text"), F.first("met").alias("met"))
+    again = again.select("key", "met", words_of(F.col("text")).alias("words"))
+    found = _window_rows(_with_fingerprints(again, lengths), lengths, F.col("met"))
+    # the extension: all words of the window are those of an item's
+    found = written(found.join(windows, ["print", "text"]).select("key", "place", "length", "group"), "bench-found")
+    by_place = W.partitionBy("key").orderBy("place", "length")
+    reach = F.max(F.col("place") + F.col("length")).over(by_place.rowsBetween(W.unboundedPreceding, -1))
+    end = F.col("place") + F.col("length")
+    hit = found.select("key", F.greatest(F.lit(0), end - F.greatest(F.col("place"), F.coalesce(reach, F.lit(0)))).alias("new"))
+    hit = hit.groupBy("key").agg(F.sum("new").alias("n_hit"))
+    # texts with the same groups share one list of items; the lists are made once for each combination
+    combined = found.groupBy("key").agg(F.array_sort(F.collect_set("group")).alias("groups")).withColumn("combination", F.xxhash64("groups"))
+    each = combined.select("combination", "groups").dropDuplicates(["combination"]).select("combination", F.explode("groups").alias("group")).join(groups, "group")
+    without = each.groupBy("combination").agg(F.max("without").alias("without"))
+    items = each.select("combination", F.explode("items").alias("item")).distinct().groupBy("combination").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = without.join(items, "combination", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    items = items.select("combination", (F.size("items") + F.col("without").cast("int")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return hit.join(combined.select("key", "combination"), "key").join(items, "combination").select("key", "n_hit", "n_items", "items_sha256")
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -106,44 +142,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A word is hit if it lies inside a window of an item that stands in the text. items_sha256
     hashes the ids of all such items, sorted as strings and comma-joined (none: the empty
-    string). Null and empty texts have no words; null and empty items have no windows.
+    string). Null and empty texts have no words; null and empty items have no windows. Items
+    without an id count as one item together and add nothing to the list. An item id that
+    repeats with several texts is one item with the windows of all.
+
     Rows are told apart by doc_id and text, so repeated rows get equal results. Without
     benchmark items nothing is contaminated. Other columns of either table are ignored.
 
     The fingerprints of a text are joined to those of the items; Spark broadcasts the item side
-    if it measures as small, and else shuffles. Only texts with a hit are taken up again.
+    if it measures as small, and else shuffles. Only texts with a hit are taken up again. Items
+    with a window in common are one group there, so no text meets them one by one.
     """
-    windows, lengths = item_windows(benchmark)
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.select("doc_id", key.alias("key"), n_words_of(F.col("text")).alias("n_words"))
+    windows, groups, lengths = item_windows(benchmark)
+    rows = docs.select("doc_id", _row_key().alias("key"), n_words_of(F.col("text")).alias("n_words"))
     nothing = F.sha2(F.lit(""), 256)
     if not lengths:
         return rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    windows = written(windows, "bench-windows")
-    texts = docs.select(key.alias("key"), "text")
-    printed = _with_fingerprints(texts.select("key", words_of(F.col("text")).alias("words")), lengths)
-    prints = F.concat(*[F.array_distinct(f"f{n}") for n in lengths])
-    met = printed.select("key", F.explode(prints).alias("print")).join(windows.select("print").distinct(), "print", "left_semi")
-    met = written(met.groupBy("key").agg(F.collect_set("print").alias("met")), "bench-met")
-    again = texts.join(met, "key").select("key", "met", words_of(F.col("text")).alias("words"))
-    found = _window_rows(_with_fingerprints(again, lengths), lengths, F.col("met")).distinct()
-    # the extension: all words of the window are those of an item's
-    found = written(found.join(windows.select("print", "text").distinct(), ["print", "text"], "left_semi"), "bench-found")
-    by_place = W.partitionBy("key").orderBy("place", "length")
-    reach = F.max(F.col("place") + F.col("length")).over(by_place.rowsBetween(W.unboundedPreceding, -1))
-    end = F.col("place") + F.col("length")
-    hit = found.select("key", F.greatest(F.lit(0), end - F.greatest(F.col("place"), F.coalesce(reach, F.lit(0)))).alias("new"))
-    hit = hit.groupBy("key").agg(F.sum("new").alias("n_hit"))
-    items = found.select("key", "print", "text").distinct().join(windows, ["print", "text"]).select("key", "item_id").distinct()
-    items = items.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    result = hit.join(items, "key")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(result, "key", "left").select(
+    return rows.join(_hits(docs, windows, groups, lengths), "key", "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.when(F.col("items").isNull(), nothing).otherwise(F.sha2(F.array_join("items", ","), 256)).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", nothing).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -151,8 +172,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns.
 
-    The ids to drop are written first, so that Spark knows their size and broadcasts a short list.
+    Each row is judged by its own text: of rows that share an id only those with a hit go, and
+    rows without an id are judged like all others. Null and empty texts stay; without benchmark
+    items all rows do. Columns may have any names.
+
+    The rows to drop are written first, so that Spark knows their size and broadcasts a short list.
     """
-    found = find_contamination(docs.select("doc_id", "text"), benchmark).where("contaminated")
-    bad = written(found.select(F.col("doc_id").alias("__hit_id")).distinct(), "bench-bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__hit_id"]), "left_anti")
+    windows, groups, lengths = item_windows(benchmark)
+    if not lengths:
+        return docs
+    bad = written(_hits(docs.select("doc_id", "text"), windows, groups, lengths).select("key"), "bench-bad")
+    return docs.join(bad, F.xxhash64(docs["doc_id"], docs["text"]) == bad["key"], "left_anti")
