@@ -7,6 +7,9 @@ row groups by their minima, maxima and Bloom filters.
 
 Each row keeps the number of ids before it in its own file; a table with one row for each
 file then gives global positions.
+
+Rows of one doc_id are dealt out by a hash of their text and by their place in the input, so an id that
+holds a large share of all rows fills as many files as others would.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import shared_dir, small_batches
-from folioscope.llm.words import LOWER, SPACED, Words, blocks
+from folioscope.llm.common import shared_dir, small_batches, written
+from folioscope.llm.words import LOWER, SPACED, Words, blocks, same_words
 
 END_ID = 2
 #: ORC settings: rows between row-index entries, bytes of a stripe, rate of false positives of the filters.
@@ -50,10 +53,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
-    """The pieces of a block between white space, and a hash of each.
+    """The pieces of a block between white space, and the bytes by which they are compared.
 
     A full stop or comma that ends a word of small letters is a piece of its own, as it is for the
-    pre-tokenizer. The hash ignores the case of A-Z, as the tokenizer does, unless the block has
+    pre-tokenizer. The case of A-Z is ignored, as the tokenizer does, unless the block has
     a mark of a special token, which is looked for before lower-casing.
     """
     low = data if b"<|" in data.tobytes() else LOWER[data]
@@ -63,23 +66,37 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]
     ends[offsets[1:][np.diff(offsets) > 0] - 1] = True
     stop = _STOP[low] & ends
     stop[1:] &= _SMALL[low[:-1]]
-    w = Words(data, offsets, SPACED, np.flatnonzero(stop[1:]) + 1)
-    return w, w.hashes(low)
+    return Words(data, offsets, SPACED, np.flatnonzero(stop[1:]) + 1), low
+
+
+def distinct_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces, their bytes, one piece of each distinct kind, the kind of each piece)."""
+    w, low = pieces_of(data, offsets)
+    _, where, at = np.unique(w.hashes(low), return_index=True, return_inverse=True)
+    length = w.end - w.start
+    if len(w) and not ((length == length[where][at]) & same_words(low, w.start, w.start[where][at], length)).all():
+        # two kinds share a hash: tell all pieces apart by their bytes
+        raw = low.tobytes()
+        kinds: dict[bytes, int] = {}
+        at = np.array([kinds.setdefault(raw[a:b], len(kinds)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+        where = np.unique(at, return_index=True)[1]
+    return w, low, where, at
 
 
 class Encoder:
     """Encodes texts piece by piece with the tokenizers library.
 
     This vocabulary's pre-tokenizer drops white space and no token reaches across it, so a
-    text's ids are those of its pieces, one after the other. Each distinct piece (told by a
-    64-bit hash) goes through the library once as long as it is remembered.
+    text's ids are those of its pieces, one after the other. Each distinct piece goes through
+    the library once as long as it is remembered. Hashes only sort the pieces of a block:
+    which are equal is decided by their bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
 
@@ -103,11 +120,11 @@ class Encoder:
             ids[place] = np.fromiter(chain.from_iterable(coded), np.int32, int(n.sum()))
         return ids, size
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: list[bytes], pieces: list[str]) -> None:
         """Piece number k has flat[begin[k] : begin[k + 1]]."""
         ids, size = self._ids_of(pieces)
         k = len(self.known)
-        self.known.update(zip(hashes, range(k, k + len(hashes)), strict=True))
+        self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
         ends = self.begin[k] + np.cumsum(size)
         while len(self.begin) <= len(self.known):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
@@ -118,16 +135,16 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a block, bounds), END_ID after each text."""
-        w, hashes = pieces_of(data, offsets)
-        distinct, where, at = np.unique(hashes, return_index=True, return_inverse=True)
-        known = self.known
-        number = np.fromiter(map(known.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        w, low, where, at = distinct_pieces(data, offsets)
+        known, raw = self.known, low.tobytes()
+        keys = [raw[a:b] for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)]
+        number = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(number < 0)
-        fresh = distinct[new].tolist()
+        fresh = [keys[i] for i in new.tolist()]
         if fresh:
-            raw = data.tobytes()
+            text = data.tobytes()
             here = where[new]
-            self._learn(fresh, [raw[a:b].decode() for a, b in zip(w.start[here].tolist(), w.end[here].tolist(), strict=True)])
+            self._learn(fresh, [text[a:b].decode() for a, b in zip(w.start[here].tolist(), w.end[here].tolist(), strict=True)])
             number[new] = np.arange(len(known) - len(new), len(known))
         lengths = (self.begin[number + 1] - self.begin[number])[at]
         # each text's ids move on by one place for every end before them
@@ -177,15 +194,15 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str | None = None, partiti
     """Tokenize every row of ``docs`` and write ORC files under ``to`` in ascending doc_id order.
 
     A null or empty text has the end id alone. Rows with the same doc_id all stay, ordered by
-    a hash of their text; a null doc_id sorts first. Without rows there are no ids. Other columns
+    a hash of their text; a null doc_id sorts first, and rows equal in both stay side by side. Without rows there are no ids. Other columns
     are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or tokenizer_path()
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / ROWS_PER_FILE))
-    tie = F.xxhash64("text")
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", tie)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+    ordered = rows.repartitionByRange(n, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
     coded = ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(lambda it: _encode_all(it, path), FILE_SCHEMA)
     writer = coded.write.mode("errorifexists").option("compression", "zstd")
     writer = writer.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(BLOOM_FPP))
@@ -196,13 +213,24 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).orc(path)
 
 
+#: Files whose sizes are summed in one task.
+FILES_PER_GROUP = 1024
+
+
 def with_positions(tokens: DataFrame) -> DataFrame:
-    """Adds ``start``: the number of ids of all rows before, over all files."""
-    sizes = tokens.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    # one row for each file
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0).cast("long")).alias("offset"))
-    return tokens.join(offsets, "part").withColumn("start", F.col("offset") + F.col("before")).drop("offset")
+    """Adds ``start``: the number of ids of all rows before, over all files.
+
+    One row for each file is summed up in groups of FILES_PER_GROUP, and the groups after that, so
+    no task orders all files. The offsets are written, so that Spark knows that they are small.
+    """
+    sizes = tokens.groupBy("part").agg(F.sum("n_tokens").alias("in_part")).withColumn("group", F.floor(F.col("part") / FILES_PER_GROUP))
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    groups = sizes.groupBy("group").agg(F.sum("in_part").alias("in_group"))
+    groups = groups.select("group", F.coalesce(F.sum("in_group").over(before.orderBy("group")), none).alias("before_group"))
+    inside = F.coalesce(F.sum("in_part").over(before.partitionBy("group").orderBy("part")), none)
+    offsets = sizes.withColumn("inside", inside).join(groups, "group").select("part", (F.col("before_group") + F.col("inside")).alias("offset"))
+    return tokens.join(written(offsets, "token-offsets"), "part").withColumn("start", F.col("offset") + F.col("before")).drop("offset")
 
 
 def lookup(tokens: DataFrame, doc_ids: list[int]) -> DataFrame:
@@ -227,6 +255,11 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 
 def token_query(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Write the files of ``docs`` to the shared folder, read them back, and give ``checksums``.
+
+    Null and empty texts have the end id alone; repeated rows stay; a null doc_id comes first; an
+    empty table gives no rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, to, tokenizer)
