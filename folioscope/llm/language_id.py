@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_sample, remainder, small_batches
+from folioscope.llm.common import bounded_sample, held_out, remainder, small_batches
 from folioscope.llm.words import blocks
 
 #: Training rows at most (about): the classifier is fitted on a hash-chosen sample of this size.
@@ -26,10 +26,15 @@ BUCKET_BITS, ORDERS = 15, (1, 2, 3)
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _FACTOR = np.array([2654435761, 40503, 2246822519], np.uint32) | np.uint32(1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category stands in the text; digits and fractions are none."""
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
 def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points (ASCII lower-cased, other ASCII than letters as spaces) and document offsets in them."""
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -89,14 +94,19 @@ def _ftrl_weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], languages: list[str], seed: int = 4) -> LanguageModel:
-    """Fit on texts with their languages; a fifth of them only sets the temperature."""
-    names = sorted(set(languages))
-    size = 1 << BUCKET_BITS
-    y = np.array([names.index(x) for x in languages], np.int64)
+    """Fit on texts with their languages."""
     rows = []
     for text in texts:
         data = np.frombuffer((text or "").encode(), np.uint8)
         rows += term_counts(*_characters(data, np.array([0, len(data)])))
+    return train_on_counts(rows, languages, seed)
+
+
+def train_on_counts(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str], seed: int = 4) -> LanguageModel:
+    """Fit on the n-gram counts of texts with their languages; a fifth of them only sets the temperature."""
+    names = sorted(set(languages))
+    size = 1 << BUCKET_BITS
+    y = np.array([names.index(x) for x in languages], np.int64)
     seen = np.zeros(size)
     for found, _ in rows:
         seen[found] += 1
@@ -137,7 +147,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
             raw = data.tobytes()
             counts = term_counts(*_characters(data, offsets)) if model else iter([(None, None)] * (hi - lo))
             for a, b, (found, count) in zip(offsets[:-1], offsets[1:], counts, strict=True):
-                if model is None or not _LETTER.search(raw[a:b].decode("utf-8", "replace")):
+                if model is None or not has_letter(raw[a:b].decode("utf-8", "replace")):
                     named.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -147,15 +157,26 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(named, pa.string()), pa.array(score, pa.float64())], schema=OUT)
 
 
-def fit_language_model(docs: DataFrame, held_out: int | None = 2, modulus: int = 4, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Train on about ``sample_rows`` rows with a language and outside the held-out remainder; None if there are none."""
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in blocks(batch.column(1)):
+            found, count = zip(*term_counts(*_characters(data, offsets)), strict=True)
+            columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(found, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "found", "counts"])
+
+
+def fit_language_model(docs: DataFrame, fold: int | None = 2, modulus: int = 4, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
+    """Train on about ``sample_rows`` rows with an id, a text and a language and outside the held-out
+    remainder; None if there are none. The driver takes their n-gram counts, at most 2^BUCKET_BITS for
+    each row whatever its length, and no text."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull())
-    if held_out is not None:
-        labelled = labelled.where(remainder("doc_id", modulus) != held_out)
-    labelled = labelled.select("doc_id", "text", "lang")
-    # a bounded sample, and the only rows that come to the driver
-    got = bounded_sample(labelled, "doc_id", sample_rows, 4).orderBy("doc_id", "text").select("text", "lang").toPandas()
-    return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
+    if fold is not None:
+        labelled = labelled.where(remainder("doc_id", modulus) != fold)
+    picked = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", sample_rows, 4)
+    counted = picked.mapInArrow(_count_all, "doc_id long, lang string, found array<int>, counts array<int>")
+    got = counted.orderBy("doc_id", "lang", "found", "counts").select("lang", "found", "counts").toPandas()
+    return train_on_counts(list(zip(got["found"], got["counts"], strict=True)), got["lang"].tolist()) if len(got) else None
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -170,6 +191,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
 
 
 def language_query(docs: DataFrame) -> DataFrame:
-    model = fit_language_model(docs)
-    found = identify_languages(docs, model)
-    return found.select("doc_id", (remainder("doc_id", 4) == F.lit(2)).alias("held_out"), "lang_pred", "score")
+    """Fit on the rows outside the held-out fold and predict for every row; see ``identify_languages``.
+
+    A row without an id is never held out and never learned from. Without labelled rows all are `und`.
+    """
+    found = identify_languages(docs, fit_language_model(docs))
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
