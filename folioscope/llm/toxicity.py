@@ -21,11 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_sample, remainder, small_batches
+from folioscope.llm.common import bounded_sample, held_out, remainder, small_batches
 from folioscope.llm.words import LOWER, PLAIN, Words, blocks
 
 #: Training rows at most (about) of each label: the network is fitted on a hash-chosen sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+#: Longer labelled texts (in bytes) are not trained on, so that the sample is bounded in bytes too.
+LONGEST_FIT_TEXT = 1 << 17
+#: Windows of one training epoch: toxic ones at most (fewer than REPEATED come several times), clean
+#: ones between the two bounds, and the number of highest windows taken from each toxic text. These
+#: bound the work of fitting only; scoring takes all windows of all texts.
+FIT_TOXIC, REPEATED, FIT_CLEAN, FIT_HIGHEST = 3072, 1024, (2048, 6144), 2
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 CHAR_BUCKETS, WORD_SLOTS = 1 << 13, 1 << 17
@@ -323,9 +329,9 @@ def train(texts: list[str], labels: list[int], toxic_rate: float, seed: int = 2,
             of = doc[toxic][by]
             begin = np.concatenate([[True], of[1:] != of[:-1]])
             place = np.arange(len(by)) - np.maximum.accumulate(np.where(begin, np.arange(len(by)), 0))
-            toxic = toxic[by][place < 2]
-        many = min(len(clean), max(2 * len(toxic), 2048), 6144)
-        toxic = rng.choice(toxic, 3072, replace=False) if len(toxic) > 3072 else np.tile(toxic, max(1, 1024 // max(1, len(toxic))))
+            toxic = toxic[by][place < FIT_HIGHEST]
+        many = min(len(clean), max(2 * len(toxic), FIT_CLEAN[0]), FIT_CLEAN[1])
+        toxic = rng.choice(toxic, FIT_TOXIC, replace=False) if len(toxic) > FIT_TOXIC else np.tile(toxic, max(1, REPEATED // max(1, len(toxic))))
         at = np.concatenate([toxic, rng.choice(clean, many, replace=False)])
         step = _fit_epoch(net, b, start[at], size[at], y[doc[at]].astype(np.float32), rng, step, 0.01 if epoch < epochs - 3 else 0.003)
     net.moments = {}
@@ -368,18 +374,22 @@ def _score_all(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], schema=OUT)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> Network | None:
-    """Train on about ``sample`` toxic and clean rows outside the held-out remainder; None without both labels."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> Network | None:
+    """Train on about ``sample`` toxic and clean rows outside the held-out remainder; None without both labels.
+
+    Rows without an id and labels other than 0 and 1 are not learned from.
+    """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
-    if held_out is not None:
-        known = known.where(remainder("doc_id", modulus) != held_out)
+    if fold is not None:
+        known = known.where(remainder("doc_id", modulus) != fold)
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not count.get(0) or not count.get(1):
         return None
     picked = bounded_sample(known.where("toxic = 1"), "doc_id", sample[0], 21, count[1])
     picked = picked.unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", sample[1], 22, count[0]))
     # the sample has a documented bound, so it may be broadcast, and only its texts come to the driver
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text", "toxic").toPandas()
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_FIT_TEXT)
+    got = short.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text", "toxic").toPandas()
     return train(got["text"].tolist(), got["toxic"].tolist(), count[1] / (count[0] + count[1]))
 
 
@@ -404,7 +414,12 @@ def _score_rows(batches: Iterator[pa.RecordBatch], net: Network, column: str) ->
 
 
 def without_toxic(docs: DataFrame, net: Network | None) -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD, with all their columns; all of them without a network."""
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns; all of them without a network.
+
+    Each row is judged by its own text: repeated ids and repeated rows are no special case, and ids are
+    not looked at. A null or empty text, or one without a word, has the base rate as its score.
+    An empty table stays empty; columns may have any names.
+    """
     if net is None:
         return docs
     small_batches(docs.sparkSession)
@@ -412,5 +427,9 @@ def without_toxic(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fit on the labelled rows outside the held-out fold and score every row; see ``score_toxicity``.
+
+    A row without an id is never held out and never learned from.
+    """
     scored = score_toxicity(docs, fit_toxicity(docs, labels))
-    return scored.select("doc_id", (remainder("doc_id", 3) == F.lit(1)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
