@@ -1,14 +1,21 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are labelled good; web text without a label is the unlabelled mixture. With
-class prior c, the risk is::
+Trusted positives are rows labelled good. Unlabelled web text is a sample of all documents, whose labels
+are not looked at, so there is one however many documents have labels. With class prior c, the
+risk is::
 
     c * R_pos(+)  +  max(0, R_unl(-) - c * R_pos(-))
 
 The second part estimates the loss on negatives from the mixture. When a batch drives it below
-zero the network overfits, and the step goes the other way on that part. The prior is the
-share of good texts among labelled training rows. A small network on whole-text statistics is
-trained in numpy; negative labels are never used as targets.
+zero the network overfits, and the step goes the other way on that part.
+
+The prior is estimated from positives and unlabelled texts alone: a network learns to tell the two
+apart, and on texts kept back from it, the share of unlabelled texts above a cut is divided by the share
+of positives above it. Where the highest-scored texts are all positives, this ratio is the
+prior; the cut is the one whose ratio has the lowest upper confidence bound.
+
+A text enters as hashed words and word pairs, whose vectors are learned, and as whole-text statistics.
+Negative labels are never used.
 """
 
 from __future__ import annotations
@@ -21,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_sample, remainder, small_batches
+from folioscope.llm.common import bounded_sample, held_out, remainder, small_batches
 from folioscope.llm.words import LOWER, SPACED, Words, blocks, grams
 
 #: Training rows at most (about): trusted positives, and unlabelled texts.
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 6000
-HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.003, 1e-3
+HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 0.003, 1e-3
 THRESHOLD = 0.5
+#: Slots of hashed words and word pairs, and their weight beside the statistics.
+SLOT_BITS, SLOT_SCALE = 9, 3.0
+SLOTS = 1 << SLOT_BITS
+#: Confidence of the prior's bound, and the weight of its width.
+PRIOR_DELTA, PRIOR_GAMMA = 0.1, 0.01
 
 FEATURES = (
     "log_words", "word_length", "upper", "digit", "ascii_punctuation", "markup", "bars", "exclaims", "non_ascii", "mixed_words",
@@ -98,100 +110,152 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Root counts of each text's words and word pairs (A-Z lower-cased) by slot, scaled to length 1."""
+    low = LOWER[data]
+    w = Words(low, offsets, SPACED)
+    h, doc = w.hashes(low), w.doc()
+    pair = grams(h, 2)
+    inside = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
+    shift = np.uint64(64 - SLOT_BITS)
+    at = np.concatenate([doc * SLOTS + (h >> shift).astype(np.int64), (doc[1:] * SLOTS + (pair >> shift).astype(np.int64))[inside]])
+    x = np.sqrt(np.bincount(at, minlength=w.n_docs * SLOTS).reshape(w.n_docs, SLOTS).astype(np.float32))
+    return x / np.maximum(1e-6, np.sqrt((x * x).sum(1, keepdims=True)))
+
+
+def inputs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Statistics and hashed words of each text of a block, side by side."""
+    return np.concatenate([text_features(data, offsets).astype(np.float32), SLOT_SCALE * hashed_words(data, offsets)], 1)
+
+
 @dataclass
 class QualityModel:
+    """``mean`` and ``scale`` are those of the statistics; hashed words go in as they are."""
+
     mean: np.ndarray
     scale: np.ndarray
     p: dict[str, np.ndarray]
     prior: float
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        k = len(self.mean)
+        return np.concatenate([np.clip((x[:, :k] - self.mean) / self.scale, -6, 6), x[:, k:]], 1).astype(np.float32)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.tanh(x @ self.p["w1"] + self.p["b1"]) @ self.p["w2"] + self.p["b2"]
+        return np.tanh(self.scaled(x) @ self.p["w1"] + self.p["b1"]) @ self.p["w2"] + self.p["b2"]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64), -30, 30)))
+
+
+def _risk_slope(f: np.ndarray, n_positive: int, prior: float | None) -> np.ndarray:
+    """Slope of the risk of a batch with its positives first; without a prior, of telling them from the rest."""
+    q = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    n_rest = len(f) - n_positive
+    if prior is None:
+        return np.concatenate([(q[:n_positive] - 1) / n_positive, q[n_positive:] / n_rest]) / 2
+    minus = np.logaddexp(0, f)  # the loss of calling a text negative
+    enough = minus[n_positive:].mean() >= prior * minus[:n_positive].mean()
+    sign = 1.0 if enough else -1.0
+    positive = (prior * (q[:n_positive] - 1) if enough else 0.0) - sign * prior * q[:n_positive]
+    return np.concatenate([positive / n_positive, sign * q[n_positive:] / n_rest])
+
 
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 6, epochs: int = EPOCHS, statistics: int | None = None) -> QualityModel:
+    """Minimise the non-negative risk with the logistic loss by Adam. Without ``prior``, tell the two samples apart.
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 6) -> QualityModel:
-    """Minimise the non-negative risk with the logistic loss by Adam."""
+    The first ``statistics`` columns are standardised (all, if there are no more than those).
+    """
     rng = np.random.default_rng(seed)
+    k = positive.shape[1] if statistics is None else statistics
     both = np.concatenate([positive, unlabelled])
     d = both.shape[1]
-    p = {"w1": rng.standard_normal((d, HIDDEN)) / np.sqrt(d), "b1": np.zeros(HIDDEN), "w2": rng.standard_normal(HIDDEN) * 0.1, "b2": np.zeros(1)}
-    model = QualityModel(both.mean(0), both.std(0) + 1e-6, p, prior)
-    zp, zu = (np.clip((x - model.mean) / model.scale, -6, 6) for x in (positive, unlabelled))
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+    normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
+    first = np.concatenate([normal(1 / np.sqrt(k), k, HIDDEN), normal(0.05, d - k, HIDDEN)])
+    p = {"w1": first, "b1": np.zeros(HIDDEN, np.float32), "w2": normal(0.1, HIDDEN), "b2": np.zeros(1, np.float32)}
+    model = QualityModel(both[:, :k].mean(0), both[:, :k].std(0) + 1e-6, p, prior or 0.0)
+    zp, zu = model.scaled(positive), model.scaled(unlabelled)
+    moments = {name: [np.zeros_like(v), np.zeros_like(v)] for name, v in p.items()}
     step, batches = 0, max(4, len(zu) // 256)
-    for epoch in range(EPOCHS):
+    for _ in range(epochs):
         pos, unl = np.array_split(rng.permutation(len(zp)), batches), np.array_split(rng.permutation(len(zu)), batches)
         for i, j in zip(pos, unl, strict=True):
             if not len(i) or not len(j):
                 continue
             x = np.concatenate([zp[i], zu[j]])
             a = np.tanh(x @ p["w1"] + p["b1"])
-            f = a @ p["w2"] + p["b2"]
-            q = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            minus = np.logaddexp(0, f)  # the loss of calling a text negative
-            gap = minus[len(i) :].mean() - prior * minus[: len(i)].mean()
-            g = np.zeros(len(x))
-            sign = 1.0 if gap >= 0 else -1.0
-            if gap >= 0:
-                g[: len(i)] += prior * (q[: len(i)] - 1) / len(i)
-            g[len(i) :] += sign * q[len(i) :] / len(j)
-            g[: len(i)] -= sign * prior * q[: len(i)] / len(i)
+            g = _risk_slope(a @ p["w2"] + p["b2"], len(i), prior).astype(np.float32)
             da = g[:, None] * p["w2"] * (1 - a**2)
             grad = {"w1": x.T @ da, "b1": da.sum(0), "w2": a.T @ g, "b2": np.array([g.sum()])}
             step += 1
-            for k, v in grad.items():
-                m, s = moments[k]
+            for name, v in grad.items():
+                m, s = moments[name]
                 m *= 0.9
                 m += 0.1 * v
                 s *= 0.99
                 s += 0.01 * v * v
-                p[k] -= RATE * (m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8) + DECAY * p[k])
+                p[name] -= (RATE * (m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8) + DECAY * p[name])).astype(np.float32)
     return model
 
 
-_FEATURE_DDL = "doc_id long, x array<double>"
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in the mixture, from scores of texts that the scorer was not fitted on."""
+    cut = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cut, "left") / len(x)
+    of_positive, of_unlabelled = above(positive), above(unlabelled)
+    log = np.log(4 / PRIOR_DELTA) / 2
+    width = np.sqrt(log / len(unlabelled)) + np.sqrt(log / len(positive))
+    best = int(np.argmin((of_unlabelled + (1 + PRIOR_GAMMA) * width) / of_positive))
+    return float(min(1.0, of_unlabelled[best] / of_positive[best]))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, statistics: int | None = None, seed: int = 6) -> QualityModel:
+    """Estimate the prior with a third of both samples kept back, then minimise the risk on all of them."""
+    rng = np.random.default_rng(seed)
+    kept = [rng.random(len(x)) < 1 / 3 for x in (positive, unlabelled)]
+    prior = 0.5
+    if all(k.any() and not k.all() for k in kept):
+        apart = train(positive[~kept[0]], unlabelled[~kept[1]], None, seed, EPOCHS // 2, statistics)
+        prior = estimate_prior(apart.scores(positive[kept[0]]), apart.scores(unlabelled[kept[1]]))
+    # a prior of one would leave no negatives to estimate
+    return train(positive, unlabelled, min(0.98, max(0.02, prior)), seed, statistics=statistics)
+
+
+_FEATURE_DDL = "doc_id long, x array<float>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
-            x = pa.array(list(text_features(data, offsets)), pa.list_(pa.float64()))
+            x = pa.array(list(inputs(data, offsets)), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), x], names=["doc_id", "x"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: QualityModel | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in blocks(batch.column(1)):
-            s = model.scores(text_features(data, offsets)) if model is not None else np.full(hi - lo, 0.5)
+            s = model.scores(inputs(data, offsets)) if model is not None else np.full(hi - lo, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_POSITIVE, SAMPLE_UNLABELLED)) -> QualityModel | None:
-    """Train on about ``sample`` trusted positives and unlabelled texts; None without either."""
+def fit_quality(docs: DataFrame, labels: DataFrame, fold: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_POSITIVE, SAMPLE_UNLABELLED)) -> QualityModel | None:
+    """Train on about ``sample`` trusted positives and unlabelled texts, both outside the held-out
+    remainder; None without either. Rows without an id are not learned from."""
     small_batches(docs.sparkSession)
-    known = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
-    if held_out is not None:
-        known = known.where(remainder("doc_id", modulus) != held_out)
-    total, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
-    if not good:
-        return None
-    body = docs.select("doc_id", "text")
-    # both samples have a documented bound; only their features come to the driver
-    positive = body.join(F.broadcast(bounded_sample(known.where("quality = 1").select("doc_id"), "doc_id", sample[0], 61, good)), "doc_id")
-    rest = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    unlabelled = body.join(F.broadcast(bounded_sample(rest, "doc_id", sample[1], 62)), "doc_id")
+    good = labels.select("doc_id").where("doc_id is not null and quality = 1").distinct()
+    body = docs.select("doc_id", "text").where("doc_id is not null")
+    if fold is not None:
+        good, body = good.where(remainder("doc_id", modulus) != fold), body.where(remainder("doc_id", modulus) != fold)
+    # both samples have a documented bound; only their inputs come to the driver
+    positive = body.join(F.broadcast(bounded_sample(good, "doc_id", sample[0], 61)), "doc_id")
+    unlabelled = bounded_sample(body, "doc_id", sample[1], 62)
     found = []
     for part in (positive, unlabelled):
-        got = part.mapInArrow(_features, _FEATURE_DDL).orderBy("doc_id", "x").toPandas()
-        found.append(np.array(got["x"].tolist()))
+        got = part.mapInArrow(_features, _FEATURE_DDL).orderBy("doc_id", "x").select("x").toPandas()
+        found.append(np.array(got["x"].tolist(), np.float32))
     if not len(found[0]) or not len(found[1]):
         return None
-    # a prior of one would leave no negatives to estimate
-    return train(found[0], found[1], min(0.98, good / total))
+    return fit(found[0], found[1], len(FEATURES))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
@@ -206,5 +270,9 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Fit outside the held-out fold and score every row; see ``score_quality``.
+
+    A row without an id is never held out and never learned from.
+    """
     scored = score_quality(docs, fit_quality(docs, labels))
-    return scored.select("doc_id", (remainder("doc_id", 3) == F.lit(1)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
