@@ -1,5 +1,6 @@
 """License scan, language id, quality, toxicity and repetition: rows judged one by one."""
 
+import collections
 import random
 import zlib
 
@@ -34,9 +35,42 @@ def test_words_and_hashes_are_those_of_the_pattern():
         assert got == [rule(t) for t in texts]
 
 
+def test_hash_is_no_linear_function_of_the_bytes():
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo a power of two."""
+    a = bytes(97 + bin(i).count("1") % 2 for i in range(1024))
+    b = bytes(97 + 98 - x for x in a)
+    for n in (1024, 256, 64):
+        assert words.word_hash(a[:n]) != words.word_hash(b[:n])
+    rng = np.random.default_rng(1)
+    some = {bytes(rng.integers(97, 99, int(n), dtype=np.uint8)) for n in rng.integers(1, 40, 5000)}
+    assert len({words.word_hash(x) for x in some}) == len(some)
+
+
+def test_same_words():
+    data = np.frombuffer(b"abcdefghijk abcdefghijk abcdefghijz abc", np.uint8)
+    got = words.same_words(data, np.array([0, 0, 0, 0]), np.array([12, 24, 0, 36]), np.array([11, 11, 11, 3]))
+    assert got.tolist() == [True, False, True, True]
+
+
 # License scan
 
 
+def test_whole_license_texts_from_a_folder(spark, tmp_path):
+    (tmp_path / "own.txt").write_text("own-whole\nThis work may be used by anyone [[ at all ]] for {{use:3}} purposes only")
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    d = docs(spark, "This work may be used by anyone, for good purposes only.", "This work may be used by anyone for one two three four purposes only")
+    assert [r[0] for r in rows(license_scan.scan_licenses(d, templates), "labels")] == ["", "own-whole"]
+
+
+def test_whole_texts_accept_no_change_of_wording(spark):
+    for label, wording in license_scan.TEMPLATES:
+        if label == "bsd-3-whole":
+            text = wording.replace("[[", "").replace("]]", "")
+            text = __import__("re").sub(r"\{\{\w+:\d+\}\}", "THE OWNERS", text)
+    good, bad = rows(license_scan.scan_licenses(docs(spark, text, text.replace("PROCUREMENT", "PURCHASE"))), "doc_id", "labels")
+    assert "bsd-3-whole" in good[1].split(",") and "bsd-3-whole" not in bad[1].split(",") and "bsd-text" in bad[1].split(",")
+
+
 def test_template_regions():
     a = license_scan.compile_template("t", "foo bar [[ baz {{n:2}} ]] end")
 
@@ -172,6 +206,48 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_numbers_and_fractions_are_no_letters(spark):
+    model = language_id.train(["the cat and the dog"] * 5 + ["der hund und die katze"] * 5, ["en"] * 5 + ["de"] * 5)
+    d = docs(spark, "½ ②", "²", "12 -- 3", "ª", "é", "猫")
+    assert [r[1] == "und" for r in rows(language_id.identify_languages(d, model), "doc_id", "lang_pred")] == [True, True, True, False, False, False]
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Counts by a dictionary of n-grams, TF-IDF and softmax one text at a time."""
+    import math
+
+    texts = ["The cat sat on the mat.", "Der Hund, die Katze & ein Fuß", "le chat é", "x"]
+    model = language_id.train(["the cat and the dog"] * 6 + ["der hund und die katze"] * 6 + ["le chat et le chien"] * 6, ["en"] * 6 + ["de"] * 6 + ["fr"] * 6)
+
+    def bucket(gram):
+        factor, c = [int(x) for x in language_id._FACTOR], len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for k, point in enumerate(gram):
+            c = (c ^ point) * factor[k] & 0xFFFFFFFF
+            c ^= c >> 15
+        return (c * 2654435769 & 0xFFFFFFFF) >> 32 - language_id.BUCKET_BITS
+
+    def one(text):
+        points = [ord(c.lower() if "A" <= c <= "Z" else c) for c in text]
+        points = [32 if p < 97 or 122 < p < 128 else p for p in points]
+        count = collections.Counter(bucket(points[i : i + n]) for n in (1, 2, 3) for i in range(len(points) - n + 1))
+        x = {b: math.log1p(n) * model.idf[b] for b, n in count.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        z = [sum(v / size * float(model.weights[b][k]) for b, v in x.items()) + model.bias[k] for k in range(3)]
+        e = [math.exp(v / model.temperature) for v in z]
+        return model.languages[int(np.argmax(e))], max(e) / sum(e)
+
+    got = rows(language_id.identify_languages(docs(spark, *texts), model), "doc_id", "lang_pred", "score")
+    for (_, name, score), text in zip(got, texts, strict=True):
+        assert (name, pytest.approx(score, abs=1e-4)) == one(text)
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    t = table(spark, CASES)
+    for got in (language_id.language_query(t), quality.quality_query(t, none), toxicity.toxicity_query(t, none)):
+        assert got.where("held_out is null").count() == 0 and not got.where("doc_id is null").first()["held_out"]
+
+
 def test_language_cases(spark):
     t = table(spark, CASES)
     model = language_id.train(["the cat and the dog"] * 5 + ["der hund und die katze"] * 5, ["en"] * 5 + ["de"] * 5)
@@ -208,6 +284,80 @@ def test_classifiers_on_held_out_rows(spark, name, label, least, threshold):
     assert auc([truth[r["doc_id"]] for r in held], [r["score"] for r in held]) > least
 
 
+def test_toxicity_scores_equal_brute_force():
+    """Windows, cells and attention one number at a time."""
+    import math
+
+    rng = np.random.default_rng(4)
+    vocabulary = np.sort(np.array([words.word_hash(w) for w in (b"you", b"idiot", b"the")], np.uint64))
+    net = toxicity.new_network(vocabulary, 3)
+    net.p["words"][:-1] = rng.standard_normal((3, toxicity.DIM)) * 0.5
+    net.slope, net.offset, net.base_rate = 1.3, -0.2, 0.07
+    texts = ["You IDIOT the end", "", "a " * 45 + "idiot", "one", "The the you " * 30]
+    h = toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def vector(w):
+        b = w.encode()
+        total = np.zeros(toxicity.DIM)
+        for i, c in enumerate(b):
+            left, right = (b[i - 1] if i else 0), (b[i + 1] if i + 1 < len(b) else 0)
+            code = (left * 65599 + c) * 40503 + right * 2654435761 & 0xFFFFFFFF
+            code ^= code >> 15
+            total += net.p["chars"][(code * 2246822519 & 0xFFFFFFFF) >> 19]
+        known = words.word_hash(b)
+        own = net.p["words"][vocabulary.tolist().index(known)] if known in vocabulary.tolist() else 0
+        return own + total / len(b)
+
+    def window(ws):
+        states = []
+        for d in (0, 1):
+            at, out = np.zeros(h), []
+            for w in ws if d == 0 else ws[::-1]:
+                g = (vector(w) @ net.p["w_in"] + net.p["b_in"])[d * 3 * h : (d + 1) * 3 * h]
+                u = at @ net.p["u"][d]
+                z, r = [sig(v) for v in (g + u)[:h]], np.array([sig(v) for v in (g + u)[h : 2 * h]])
+                c = np.tanh(g[2 * h :] + r * u[2 * h :])
+                at = c + np.array(z) * (at - c)
+                out.append(at)
+            states.append(out if d == 0 else out[::-1])
+        look = [np.tanh(sum(states[d][t] @ net.p["w_att"][d] for d in (0, 1))) @ net.p["v_att"] for t in range(len(ws))]
+        weight = np.exp(look) / np.exp(look).sum()
+        return sum(weight[t] * sum(states[d][t] @ net.p["w_out"][d] for d in (0, 1)) for t in range(len(ws))) + net.p["b_out"][0]
+
+    def text(t):
+        ws = plain(t)
+        if not ws:
+            return net.base_rate
+        starts = range(0, max(1, len(ws) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        best = max(window(ws[i : i + toxicity.WINDOW]) for i in starts)
+        return sig(net.slope * best + net.offset)
+
+    raw = [t.encode() for t in texts]
+    got = toxicity.text_scores(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert got == pytest.approx([text(t) for t in texts], abs=1e-4)
+
+
+def test_toxicity_cut_on_planted_texts(spark):
+    """Texts with and without a word of abuse, learned from two folds: the cut of 0.7 tells the third apart."""
+    rng = random.Random(2)
+    vocabulary = [f"word{i}" for i in range(300)]
+
+    def text(toxic):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))]
+        if toxic:
+            for _ in range(3):
+                t[rng.randrange(len(t))] = rng.choice(["idiotic", "scumbag", "moron"])
+        return " ".join(t)
+
+    marks = [int(rng.random() < 0.2) for _ in range(900)]
+    d = spark.createDataFrame([(i, text(y)) for i, y in enumerate(marks)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(marks)], "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity_query(d, labels).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] for r in held if marks[r["doc_id"]]]) > 0.9
+    assert np.mean([r["predicted"] for r in held if not marks[r["doc_id"]]]) < 0.03
+
+
 def test_classifier_cases(spark):
     t, none = table(spark, CASES), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for query in (quality.quality_query, toxicity.toxicity_query):
@@ -252,5 +402,26 @@ def test_quality_risk_learns_from_positives_and_mixture_only():
     assert (m.scores(good) > 0.5).mean() > 0.9 and (m.scores(bad) < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_comes_from_the_mixture(prior):
+    rng = np.random.default_rng(1)
+    n = 4000
+    good, mixed = rng.normal(2, 1, (2000, 4)), np.concatenate([rng.normal(2, 1, (int(n * prior), 4)), rng.normal(-2, 1, (n - int(n * prior), 4))])
+    m = quality.fit(good, mixed)
+    assert abs(m.prior - prior) < 0.06
+    assert (m.scores(rng.normal(2, 1, (500, 4))) > 0.5).mean() > 0.95 and (m.scores(rng.normal(-2, 1, (500, 4))) < 0.5).mean() > 0.95
+
+
+def test_quality_where_every_document_has_a_label(spark):
+    rng = random.Random(3)
+    fine = lambda: " ".join(rng.choice("the river house walks over green hills and small birds sing".split()) for _ in range(60)) + "."
+    junk = lambda: " ".join(rng.choice("click $$$ buy now !!! free ### win".split()) for _ in range(60))
+    marks = [int(rng.random() < 0.6) for _ in range(600)]
+    d = spark.createDataFrame([(i, fine() if y else junk()) for i, y in enumerate(marks)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(marks)], "doc_id long, quality int")
+    held = [r for r in quality.quality_query(d, labels).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == marks[r["doc_id"]] for r in held]) > 0.95
+
+
 def test_lower_is_ascii_only():
     assert lower("ÄB") == "Äb"

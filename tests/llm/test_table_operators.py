@@ -103,6 +103,45 @@ def test_very_frequent_shingles_are_salted(spark, monkeypatch):
     check_components(spark, list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("broken", [0, 1])
+def test_each_order_filters(spark, monkeypatch, broken):
+    """A candidate without a common prefix shingle under one of the further orders is no candidate."""
+    texts = [(i, " ".join(f"w{k}" for k in range(i, 60 + i))) for i in range(3)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.near_duplicate_components(d).collect()} == {0}
+    sets = spark.createDataFrame(
+        [(k, 10, k, bytearray(8), [k if i == broken else 7], [k if i == 1 - broken else 7]) for k, i in ((1, 0), (2, 0), (3, 2), (4, 2))],
+        "key long, n long, row long, sketch binary, second array<int>, third array<int>",
+    )
+    pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
+    assert [(r["a"], r["b"]) for r in jaccard_join.in_all_orders(pairs, sets).collect()] == [(3, 4)]
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """Texts that are mostly one passage, in several components: more members than a block holds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", 4)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for group in range(6):
+        own = [f"g{group}x{i}" for i in range(16)]
+        for _ in range(7):
+            t = passage + own
+            t[rng.randrange(len(t))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    check_components(spark, list(enumerate(texts)), frequent=64)
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b, c, d_, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows_ = [(1, a, "k"), (2, a, "k"), (2, b, "k"), (3, c, "k"), (3, d_, "k"), (None, e, "z"), (None, e, "y"), (None, a, "k"), (None, None, "k"), (4, "", "k"), (4, "", "k"), (5, b + " more", "k")]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, row_mark string")
+    kept = sorted(map(tuple, jaccard_join.one_of_each(d).collect()), key=repr)
+    assert kept == sorted([(1, a, "k"), (2, b, "k"), (3, c, "k"), (3, d_, "k"), (None, e, "y"), (None, None, "k"), (4, "", "k"), (4, "", "k")], key=repr)
+
+
 def test_near_duplicate_cases(spark):
     got = rows(jaccard_join.near_duplicate_components(table(spark, CASES)), "doc_id", "n_shingles", "component_id")
     by_id = {r[0]: r for r in got}
@@ -131,7 +170,9 @@ def test_filters_lose_no_link():
             sa, sb = (np.frombuffer(jaccard_join.odd_sketch(x), np.uint8) for x in (a, b))
             assert jaccard_join.sketch_distance(sa, sb) <= differ
             pa_, pb = (jaccard_join._unpacked(jaccard_join._packed(x)) for x in (a, b))
-            assert jaccard_join.orders_allow(pa_, pb, len(a), len(b)) and jaccard_join.shared_elements(pa_, pb) == both
+            assert jaccard_join.shared_elements(pa_, pb) == both
+            for factor in jaccard_join.ORDERS:
+                assert set(jaccard_join.order_prefix(a, factor).tolist()) & set(jaccard_join.order_prefix(b, factor).tolist())
     assert linked > 50
 
 
@@ -176,6 +217,39 @@ def test_jump_walk_moves_only_what_it_must(spark):
         assert d[f"s{k}"].value_counts().min() > 0.9 * n / k
 
 
+def plain_walk(key, n):
+    """The jump walk by Spark's hash in plain Python: (shard of n, shard of n + 1)."""
+    import struct
+
+    import xxhash
+
+    def draw(bucket):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return (xxhash.xxh64_intdigest(struct.pack("<q", bucket), seed) >> 33) + 1
+
+    at, following = 0, int((0 + 1.0) * 2.0**31 / draw(0))
+    while following < n:
+        at, following = following, int((following + 1.0) * 2.0**31 / draw(following))
+    return at, following if following < n + 1 else at
+
+
+def test_shards_equal_a_plain_walk(spark):
+    ids = [*range(3000), -5, 2**62, None]
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.assign_shards(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")).collect()}
+    assert got == {i: plain_walk(i, 24) for i in ids}
+    assert 3000 / 25 / 2 < sum(g == 24 for _, g in got.values()) < 3000 / 25 * 2
+
+
+def test_copies_of_one_row_and_of_one_id(spark):
+    rows_ = [(7, "same")] * 50 + [(None, f"t{i}") for i in range(60)] + [(i, "x") for i in range(20)]
+    got = sharding.assign_shards(spark.createDataFrame(rows_, "doc_id long, text string"), 3, rows_per_block=4).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows_)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_cases(spark):
     got = sharding.assign_shards(table(spark, CASES), 3, rows_per_block=1).collect()
     slots = collections.defaultdict(list)
@@ -218,6 +292,53 @@ def test_token_cases(spark, tmp_path):
     assert token_orc.token_query(docs(spark)).count() == 0
 
 
+def test_pieces_with_one_hash_stay_apart(spark, monkeypatch):
+    from folioscope.llm.words import Words
+
+    monkeypatch.setattr(Words, "hashes", lambda self, data: np.zeros(len(self), np.uint64))
+    e = token_orc.Encoder(token_orc.tokenizer_path())
+    text = "one two Three one, two. four"
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = e.encode(data, np.array([0, len(data)]))
+    assert ids.tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_a_hot_id_fills_several_files(spark, tmp_path):
+    d = spark.createDataFrame([(5, "same text")] * 300 + [(5, f"t{i}") for i in range(300)] + [(i, "x") for i in range(10)], "doc_id long, text string")
+    token_orc.write_tokens(d, f"{tmp_path}/hot", partitions=6)
+    tokens = token_orc.read_tokens(spark, f"{tmp_path}/hot")
+    sizes = [r["count"] for r in tokens.groupBy("part").count().collect()]
+    assert max(sizes) < 300 and sum(sizes) == 610
+    check_tokens_sorted = token_orc.with_positions(tokens).orderBy("start").select("doc_id", "start", "n_tokens").collect()
+    at = 0
+    for r in check_tokens_sorted:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in check_tokens_sorted]
+    assert ids == sorted(ids)
+
+
+def test_file_footers(spark, tmp_path):
+    """Stripes, integer run-length encoding, row index and Bloom filter, as the ORC library reads them."""
+    token_orc.write_tokens(docs(spark, *[f"word{i} and {i} more" for i in range(3000)]), f"{tmp_path}/f", partitions=1)
+    path = next(Path(f"{tmp_path}/f").glob("*.orc"))
+    orc = spark.sparkContext._jvm.org.apache.orc
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = orc.OrcFile.createReader(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path)), orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_orc.ROW_INDEX_STRIDE and reader.getNumberOfRows() == 3000
+    assert reader.getCompressionKind().toString() == "ZSTD" and reader.getStripes().size() >= 1
+    # the stripe footer follows index and data of the stripe
+    stripe = reader.getStripes().get(0)
+    rows_ = reader.rows()
+    footer = rows_.readStripeFooter(stripe)
+    column = reader.getSchema().findSubtype("doc_id").getId()
+    assert footer.getColumns(column).getKind().toString() == "DIRECT_V2"
+    kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+    assert (column, "ROW_INDEX") in kinds and (column, "BLOOM_FILTER_UTF8") in kinds
+    ids = reader.getSchema().findSubtype("ids").getId()
+    assert footer.getColumns(ids + 1).getKind().toString() == "DIRECT_V2" and not any(c == ids and k.startswith("BLOOM") for c, k in kinds)
+
+
 def test_encoder_forgets_what_does_not_fit(monkeypatch):
     import pyarrow as pa
 
@@ -277,6 +398,24 @@ def test_short_items_overlaps_and_repeats(spark):
         assert sorted(got) == sorted(brute_hits(texts, [(r["item_id"], r["text"]) for r in chosen.collect()]))
 
 
+def test_items_without_an_id_and_ids_with_two_texts(spark):
+    ten, other = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(14))
+    items = [(None, ten), (None, ten + " x"), (1, "short one"), (1, other), (2, other), (3, other)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, ten), (2, "x " + other), (3, "a short one here"), (4, "b0 b1"), (None, ten), (None, "clean"), (5, "clean")]
+    got = rows(decontaminate.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), b), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, 10, 1, sha(""), True), (2, 14, 3, sha("1,2,3"), True), (3, 2, 1, sha("1"), True), (4, 0, 0, sha(""), False), (None, 10, 1, sha(""), True), (None, 0, 0, sha(""), False), (5, 0, 0, sha(""), False)]
+    assert got == sorted(want, key=repr)
+
+
+def test_clean_documents_goes_by_row(spark):
+    ten = " ".join(f"a{i}" for i in range(10))
+    d = spark.createDataFrame([(1, ten, 1), (1, "other words", 2), (None, ten, 3), (None, None, 4), (2, "", 5), (2, "", 5)], "doc_id long, text string, key int")
+    b = spark.createDataFrame([(1, ten)], "item_id long, text string")
+    assert rows(decontaminate.clean_documents(d, b), "doc_id", "key") == sorted([(1, 2), (None, 4), (2, 5), (2, 5)], key=repr)
+
+
 def test_decontamination_cases(spark):
     t = table(spark, CASES)
     b = spark.createDataFrame([(1, CASES[0][1])], "item_id long, text string")
@@ -338,15 +477,42 @@ def test_targets_stop_and_share_again(spark):
     assert sum(got.values()) == pytest.approx(sum(sizes.values()))
 
 
-def test_rounding_keeps_words_and_chances():
-    sums, taken = [], np.zeros(50)
-    for seed in range(400):
-        done = mixing.round_chunk([[i, "", 5 + i % 7, 0.3] for i in range(50)], seed, last=True)
-        sums.append(sum(r[4] * r[2] for r in done))
-        taken += [r[4] for r in done]
-    exact = sum((5 + i % 7) * 0.3 for i in range(50))
-    assert max(abs(s - exact) for s in sums) <= 11
-    assert np.all(np.abs(taken / 400 - 0.3) < 0.1)
+def rounded(size, part, seed):
+    order = np.argsort(-np.array(size), kind="stable")
+    back = np.empty(len(size), int)
+    _, extra = mixing.round_chunk([(i, "") for i in range(len(size))], np.array(size)[order], np.array(part)[order], seed, last=True)
+    back[order] = extra
+    return back
+
+
+@pytest.mark.parametrize(
+    ("size", "part"),
+    [([5 + i % 7 for i in range(50)], [0.3] * 50), ([20_000] * 10 + [5] * 30, [0.9] * 40), ([9000] * 3 + [7] * 20, [0.3] * 23), ([50, 3, 40, 2, 9, 1], [0.2, 0.7, 0.5, 0.5, 0.9, 0.1])],
+)
+def test_rounding_keeps_words_and_chances(size, part):
+    sums, taken, runs = [], np.zeros(len(size)), 2000
+    for seed in range(runs):
+        done = rounded(size, part, seed)
+        sums.append((done * size).sum())
+        taken += done
+    exact = float(np.dot(size, part))
+    assert max(abs(s - exact) for s in sums) <= max(size)
+    p = np.array(part)
+    assert (np.abs(taken / runs - p) < 4.5 * np.sqrt(p * (1 - p) / runs)).all()
+
+
+def test_copies_of_one_row_in_two_sources(spark):
+    d = spark.createDataFrame([(1, "w w w", s, i) for s in ("a", "b") for i in range(100)], "doc_id long, text string, source string, mix_plan int")
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns
+    got = {r["source"]: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert abs(got["a"] - 66.7) < 1 and abs(got["b"] - 133.3) < 1
+    assert {r["n"] for r in mixing.mix_sources(d).groupBy("copies").agg(F.count("*").alias("n")).collect()} and mixing.mix_sources(d, chunk_rows=8).count() == 200
+
+
+def test_mixing_keeps_large_ids_beside_nulls(spark):
+    d = spark.createDataFrame([(2**62 + 1, "a b"), (None, "c d"), (2**62 + 3, None)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    assert {r["doc_id"] for r in mixing.mix_sources(d).collect()} == {2**62 + 1, None, 2**62 + 3}
 
 
 def test_mixing_through_the_tree(spark):
@@ -395,11 +561,38 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline as p
+    from folioscope.llm.common import shared_dir
 
+    folder = Path(shared_dir(spark).removeprefix("file://"))
     out = p.run(spark, sf_dir)
+    assert not list(folder.glob("scratch-*/*"))
     assert out.count() > 0 and {"doc_id", "shard", "slot"} <= set(out.columns)
 
 
+def test_scratch_tables_are_each_block_s_own(spark):
+    from folioscope.llm.common import scratch_tables, written
+
+    with scratch_tables(spark):
+        outer = written(spark.range(3), "a")
+        with scratch_tables(spark):
+            assert written(spark.range(5), "a").count() == 5
+        assert outer.count() == 3
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated ids and rows, an empty table."""
+    import corpus_pipeline as p
+
+    d = table(spark, CASES)
+    for name, stage in p.STAGES:
+        out = stage(spark, d, sf_dir)
+        if name != "sharding":
+            assert out.columns == d.columns
+        assert stage(spark, d.limit(0), sf_dir).count() == 0
+        if name in ("toxicity", "decontamination"):
+            assert out.count() == len(CASES)
+
+
 def test_links_of_rows_without_an_id(spark):
     """A set that only rows without an id have still links others."""
     base = [f"w{i}" for i in range(60)]
