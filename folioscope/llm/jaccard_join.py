@@ -44,8 +44,8 @@ FREQUENT = 1 << 20
 #: A shingle counted more often is dealt over as many tasks as its count holds this number. One that
 #: no task has seen twice is not counted; it has one row of each task at most.
 VERY_FREQUENT = 2048
-#: Sets of one group that meet in one block of the second round.
-BLOCK = 256
+#: Sets of one group that meet in one block of the second round: outside its largest component, and all.
+X_BLOCK, Y_BLOCK = 4096, 1024
 #: Bits of the filter that spares texts without a candidate the third pass; it only saves work.
 FILTER_BITS = 1 << 26
 #: Longs of a folded sketch in the second round (2,048 bits); it only saves pairs.
@@ -325,13 +325,16 @@ def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame
     """Pairs (a, b) of one place and different components that no bound rules out.
 
     With ``known``, all distances to the hub are; else at least one of a pair's is not. The
-    members outside a place's largest component meet all of its members, BLOCK by BLOCK.
+    members outside a place's largest component meet all of its members, block by block.
     """
-    per_root = members.groupBy("place", "root").count()
-    places = per_root.groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("roots"))
+    per_root = members.groupBy("place", "root").agg(F.count(F.lit(1)).alias("count"), F.bit_xor(F.xxhash64("key")).alias("xor"), F.sum(F.xxhash64("key", F.lit(1)) % (1 << 40)).alias("sum"))
+    same = [F.bit_xor("xor").alias("xor"), F.sum("sum").alias("sum")]
+    places = per_root.groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("roots"), *same)
+    # places with the same members make the same pairs: one of them is enough
+    places = places.where("roots > 1").groupBy("all", "xor", "sum").agg(F.min_by(F.struct("place", "major", "most"), "place").alias("p")).select("all", "p.*")
     # one row for each mixed place: Spark broadcasts it by its measured size, and else splits skewed partitions
-    blocks_of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    places = written(places.where("roots > 1").select("place", "major", blocks_of(F.col("all") - F.col("most")).alias("x_blocks"), blocks_of(F.col("all")).alias("y_blocks")), "jaccard-places")
+    blocks_of = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    places = written(places.select("place", "major", blocks_of(F.col("all") - F.col("most"), X_BLOCK).alias("x_blocks"), blocks_of(F.col("all"), Y_BLOCK).alias("y_blocks")), "jaccard-places")
     members = written(members.join(places, "place").join(bits, "key"), "jaccard-mixed")
 
     def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
@@ -362,6 +365,9 @@ def in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix shingle under the second and the third order too, with what
     verification needs of both sets: size, row and sketch."""
     columns = ("n", "row", "sketch", "second", "third")
+    # few sets are in pairs: Spark broadcasts their keys if they measure as small
+    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-paired")
+    sets = sets.join(keys, "key", "left_semi")
     one, two = (sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
     met = pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
     return met.select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
@@ -401,7 +407,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, filter_bits:
 
     Only the texts of pairs that passed both are taken up again.
     """
-    near = in_all_orders(pairs, sets).mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, n_a long, n_b long, row_a long, row_b long")
+    near = in_all_orders(written(pairs, "jaccard-pairs"), sets).mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, n_a long, n_b long, row_a long, row_b long")
     near = written(near, "jaccard-near")
     tokens = _tokens_of(texts, near, filter_bits)
     # the tokens of one row stand for all copies of its set; few sets are hubs, so each side takes its own

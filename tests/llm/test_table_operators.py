@@ -119,7 +119,8 @@ def test_each_order_filters(spark, monkeypatch, broken):
 
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
     """Texts that are mostly one passage, in several components: more members than a block holds."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "X_BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "Y_BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "VERY_FREQUENT", 4)
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(60)]
