@@ -1,8 +1,8 @@
-"""Small numeric expressions: rounding, clamping, rank percentiles, sigmoid."""
+"""Small numeric expressions: rounding, clamping, scaling, sigmoid."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -21,26 +21,6 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
 
 
-def _average_rank(value: Column, within: list[Column]) -> tuple[Column, Column]:
-    """(mean rank from 1 of ties, highest value first; number of rows)."""
-    group: WindowSpec = Window.partitionBy(*within)
-    rank = F.rank().over(group.orderBy(value.desc()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*within, value))
-    return rank + (ties - 1) / F.lit(2.0), F.count(F.lit(1)).over(group)
-
-
-def rank_percentile_ends(value: Column, *within: Column) -> Column:
-    """1 for the best and 0 for the worst row, ties averaged; a single row has 1."""
-    rank, n = _average_rank(value, list(within))
-    return F.when(n == 1, 1.0).otherwise(1.0 - (rank - 1.0) / (n - 1))
-
-
-def rank_percentile_middle(value: Column, *within: Column) -> Column:
-    """The middle of the row's share of the ranking: 1 - (average rank - 0.5) / n."""
-    rank, n = _average_rank(value, list(within))
-    return 1.0 - (rank - 0.5) / n
-
-
 def min_max(value: Column, *within: Column) -> Column:
     """Scaled to [0, 1]; 0.5 for constant values."""
     group = Window.partitionBy(*within)

@@ -38,13 +38,25 @@ def preview(text: Column, most: int = 240) -> Column:
     return F.when(F.length(t) > most, cut).otherwise(t)
 
 
+@F.pandas_udf(T.StringType())
+def casefolded(text: pd.Series) -> pd.Series:
+    """Full case folding, as no built-in function has it: 'ß' becomes 'ss', a final sigma an inner one."""
+    return text.str.casefold()
+
+
 def doi_key(doi: Column) -> Column:
-    """Lower-cased and without the resolver's address; null if nothing is left."""
-    return F.nullif(F.regexp_replace(F.lower(F.trim(doi)), "^(https?://doi\\.org/)+", ""), F.lit(""))
+    """Case-folded and without the resolver's address; null if nothing is left."""
+    return F.nullif(F.regexp_replace(casefolded(F.trim(doi)), "^(https?://doi\\.org/)+", ""), F.lit(""))
 
 
 def title_key(title: Column) -> Column:
-    return F.substring(collapse(F.lower(F.coalesce(title, F.lit("")))), 1, 280)
+    return F.substring(collapse(casefolded(F.coalesce(title, F.lit("")))), 1, 280)
+
+
+def prefix_match(preview: Column, full: Column, most: int = 80) -> Column:
+    """Whether the full text begins as the preview does, over ``most`` characters at most; null if one is blank."""
+    p, f = (casefolded(collapse(F.coalesce(x, F.lit("")))) for x in (preview, full))
+    return F.when((p != "") & (f != ""), F.startswith(f, F.substring(p, 1, most)))
 
 
 def work_token(value: Column) -> Column:
@@ -139,6 +151,7 @@ _TRUNCATED = (
 
 
 def truncated_repaired(text: Column) -> Column:
+    """The four patterns below, and their repair."""
     for wrong, right in _TRUNCATED:
         text = F.replace(text, F.lit(wrong), F.lit(right))
     text = F.regexp_replace(text, "([a-z])â([A-Z])", "$1-$2")

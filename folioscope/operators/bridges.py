@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.operators.neighbors import bridge_boundary, nearest
+from folioscope.operators.ranks import before
+from folioscope.session import stored
 
 
 def overlap(a: Column, b: Column, empty: float | None = 1.0) -> Column:
@@ -53,24 +55,42 @@ def eligibility(rows: DataFrame, k: int = 15, cross_min: float = 0.40, excluded_
     return rows.crossJoin(F.broadcast(top_half_cutoff(rows))).withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("cutoff")
 
 
-#: The variants of the sensitivity grid (id, signal, comparison, threshold).
+def top_percent_cutoff(rows: DataFrame, percents: tuple[float, ...]) -> DataFrame:
+    """One row with a column p<percent> for each: the score at place max(1, n x percent) from the top, half to even."""
+    counted = rows.where("bridge_score is not null").groupBy("bridge_score").agg(F.count(F.lit(1)).alias("ties"))
+    n = counted.agg(F.sum("ties").alias("n"))
+    placed = before(counted, [], [F.desc("bridge_score")], {"above": F.col("ties")}).crossJoin(F.broadcast(n))
+    place = lambda p: F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(p)).cast("long"))
+    return placed.agg(*[F.max(F.when(F.col("above") + F.col("ties") >= place(p), F.col("bridge_score"))).alias(f"p{round(100 * p)}") for p in percents])
+
+
+#: The variants of the sensitivity grid, with the condition of each.
 VARIANTS = (
-    ("distinct_clusters_gte_2", "distinct_clusters", ">=", 2.0), ("distinct_clusters_gte_3", "distinct_clusters", ">=", 3.0),
-    ("same_share_lte_0_75", "same_share", "<=", 0.75), ("same_share_lte_0_6", "same_share", "<=", 0.60), ("same_share_lte_0_5", "same_share", "<=", 0.50),
-    ("cross_share_gte_0_25", "cross_share", ">=", 0.25), ("cross_share_gte_0_4", "cross_share", ">=", 0.40), ("cross_share_gte_0_5", "cross_share", ">=", 0.50),
+    ("existing_bridge_eligible", "eligible"),
+    ("bridge_score_top_75pct", "bridge_score >= p75"), ("bridge_score_top_50pct", "bridge_score >= p50"), ("bridge_score_top_25pct", "bridge_score >= p25"),
+    ("distinct_neighbor_clusters_gte_2", "distinct_clusters >= 2"), ("distinct_neighbor_clusters_gte_3", "distinct_clusters >= 3"),
+    ("same_cluster_share_lte_0_75", "same_share <= 0.75"), ("same_cluster_share_lte_0_6", "same_share <= 0.6"), ("same_cluster_share_lte_0_5", "same_share <= 0.5"),
+    ("cross_cluster_share_gte_0_25", "cross_share >= 0.25"), ("cross_cluster_share_gte_0_4", "cross_share >= 0.4"), ("cross_cluster_share_gte_0_5", "cross_share >= 0.5"),
+    ("top50_and_cross_cluster_gte_0_40", "bridge_score >= p50 AND cross_share >= 0.4"), ("top50_and_same_cluster_lte_0_60", "bridge_score >= p50 AND same_share <= 0.6"),
+    ("top25_and_cross_cluster_gte_0_40", "bridge_score >= p25 AND cross_share >= 0.4"),
 )
 
 
 def sensitivity(rows: DataFrame, emerging: DataFrame, k: int = 20) -> DataFrame:
     """For each variant: eligible works, head size, overlap of its head with the emerging head, and verdicts.
 
-    ``emerging`` has work_id and score. The grid is a small table; works are compared to it once.
+    ``rows`` are those of ``eligibility``, ``emerging`` has work_id and score. The grid is a small
+    table; works are compared to it once. A variant without a work has no row.
     """
-    tests = F.array(*[F.when(F.col(c) >= t if op == ">=" else F.col(c) <= t, F.lit(v)) for v, c, op, t in VARIANTS])
-    each = rows.select("work_id", "bridge_score", F.explode(F.array_compact(tests)).alias("variant"))
+    rows = stored(rows, "bridge-rows")
+    cut = rows.crossJoin(F.broadcast(top_percent_cutoff(rows, (0.75, 0.50, 0.25))))
+    tests = F.array(*[F.when(F.expr(condition), F.lit(v)) for v, condition in VARIANTS])
+    each = cut.select("work_id", "bridge_score", F.explode(F.array_compact(tests)).alias("variant"))
     size = each.groupBy("variant").agg(F.count(F.lit(1)).alias("eligible_total"), F.round(F.median("bridge_score"), 6).alias("median_bridge_score"))
-    nth = F.row_number().over(W.partitionBy("variant").orderBy(F.desc("bridge_score"), "work_id"))
-    heads = each.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("variant").agg(F.collect_list("work_id").alias("head"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("bridge_score")).alias("s"), "work_id")))
+    # the best k of each part of the table, and then of these
+    part = F.row_number().over(W.partitionBy("variant", F.pmod(F.xxhash64("work_id"), F.lit(64))).orderBy(F.desc("bridge_score"), "work_id"))
+    heads = each.withColumn("nth", part).where(F.col("nth") <= k).groupBy("variant").agg(F.transform(F.slice(best, 1, k), lambda x: x["work_id"]).alias("head"))
     full = head_ids(rows, "bridge_score", "work_id", k).withColumnRenamed("ids", "full")
     other = head_ids(emerging, "score", "work_id", k).withColumnRenamed("ids", "emerging")
     o = size.join(heads, "variant").crossJoin(F.broadcast(full)).crossJoin(F.broadcast(other))
@@ -118,12 +138,15 @@ ELIGIBILITY_SQL = BRIDGE_CTE + """
 , cut AS (SELECT bridge_score AS cutoff FROM (SELECT bridge_score, row_number() OVER (ORDER BY bridge_score DESC) AS rn, count(*) OVER () AS n FROM rows_ WHERE bridge_score IS NOT NULL) WHERE rn = greatest(1, (n + 1) // 2))
 SELECT work_id, bridge_score, round(cross_share, 6) AS cross_share, coalesce(n >= 15 AND bridge_score >= cutoff AND cross_share >= 0.4, false) AS eligible FROM rows_, cut"""
 RESIDUAL_SQL = BRIDGE_CTE + " SELECT work_id, round(bridge_score - 0.5 * score, 5) AS objective FROM rows_ JOIN em USING (work_id) ORDER BY objective DESC, work_id LIMIT 20"
-SENSITIVITY_SQL = BRIDGE_CTE + """
-, v AS (SELECT * FROM (VALUES ('distinct_clusters_gte_2'), ('distinct_clusters_gte_3'), ('same_share_lte_0_75'), ('same_share_lte_0_6'), ('same_share_lte_0_5'), ('cross_share_gte_0_25'), ('cross_share_gte_0_4'), ('cross_share_gte_0_5')) t(variant)),
-each_ AS (SELECT variant, work_id, bridge_score, row_number() OVER (PARTITION BY variant ORDER BY bridge_score DESC, work_id) AS nth FROM v, rows_ WHERE CASE variant
-  WHEN 'distinct_clusters_gte_2' THEN distinct_clusters >= 2 WHEN 'distinct_clusters_gte_3' THEN distinct_clusters >= 3 WHEN 'same_share_lte_0_75' THEN same_share <= 0.75 WHEN 'same_share_lte_0_6' THEN same_share <= 0.6
-  WHEN 'same_share_lte_0_5' THEN same_share <= 0.5 WHEN 'cross_share_gte_0_25' THEN cross_share >= 0.25 WHEN 'cross_share_gte_0_4' THEN cross_share >= 0.4 ELSE cross_share >= 0.5 END),
-f AS (SELECT list(work_id) AS l FROM (SELECT work_id FROM rows_ ORDER BY bridge_score DESC, work_id LIMIT 20)),
+_CASES = " ".join(f"WHEN '{v}' THEN {c}" for v, c in VARIANTS)
+SENSITIVITY_SQL = BRIDGE_CTE + f"""
+, ranked AS (SELECT bridge_score, row_number() OVER (ORDER BY bridge_score DESC) AS rn, count(*) OVER () AS n FROM rows_ WHERE bridge_score IS NOT NULL),
+cuts AS (SELECT max(bridge_score) FILTER (WHERE rn = greatest(1, round_even(n * 0.75, 0))) AS p75, max(bridge_score) FILTER (WHERE rn = greatest(1, round_even(n * 0.5, 0))) AS p50,
+  max(bridge_score) FILTER (WHERE rn = greatest(1, round_even(n * 0.25, 0))) AS p25, max(bridge_score) FILTER (WHERE rn = greatest(1, (n + 1) // 2)) AS half FROM ranked),
+marked AS (SELECT *, coalesce(n >= 15 AND bridge_score >= half AND cross_share >= 0.4, false) AS eligible FROM rows_, cuts),
+v AS (SELECT * FROM (VALUES {', '.join(f"('{v}')" for v, _ in VARIANTS)}) t(variant)),
+each_ AS (SELECT variant, work_id, bridge_score, row_number() OVER (PARTITION BY variant ORDER BY bridge_score DESC, work_id) AS nth FROM v, marked WHERE CASE variant {_CASES} END),
+"""+"""f AS (SELECT list(work_id) AS l FROM (SELECT work_id FROM rows_ ORDER BY bridge_score DESC, work_id LIMIT 20)),
 g AS (SELECT list(work_id) AS l FROM (SELECT work_id FROM em ORDER BY score DESC, work_id LIMIT 20)),
 h AS (SELECT variant, count(*) AS eligible_total, round(median(bridge_score), 6) AS median_bridge_score, list(work_id) FILTER (WHERE nth <= 20) AS head FROM each_ GROUP BY variant),
 j AS (SELECT h.*, len(list_intersect(head, f.l)) AS hf, len(list_intersect(head, g.l)) AS hg, len(list_intersect(f.l, g.l)) AS fg, len(f.l) AS nf, len(g.l) AS ng, len(head) AS nh FROM h, f, g),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.metrics import roc_auc
+from folioscope.operators.ranks import before
 
 
 def canonical_groups(rows: DataFrame, key: str, row: str) -> DataFrame:
@@ -30,8 +31,14 @@ def leaked(rows: DataFrame, key: str) -> DataFrame:
 
 
 def grouped_folds(rows: DataFrame, key: str, label: str, k: int, seed: str) -> DataFrame:
-    """Folds by group: all rows of a work in one, with works of either label dealt out by a hash."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+    """Folds by group: all rows of a work in one, and works of either label dealt out in turn.
+
+    A work counts as positive if any of its rows is. The works of a label are numbered in the order of a
+    hash, so each fold gets as many of them as any other, give or take one.
+    """
+    works = rows.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_class")).withColumn("_order", F.xxhash64(F.lit(seed), F.col(key)))
+    placed = before(works, ["_class"], [F.col("_order"), F.col(key)], {"_nth": F.lit(1)})
+    return rows.join(placed.select(key, (F.col("_nth") % k).cast("int").alias("fold")), key)
 
 
 def scorer(numeric: list[str], categorical: list[str] = (), strength: float = 0.01) -> Pipeline:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import before
+
 
 def roc_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """Area under the ROC curve by the rank sum of the positives, ties at their mean rank.
@@ -67,11 +69,9 @@ FROM r GROUP BY source"""
 
 def average_precision(df: DataFrame, score: str, label: str, key: str, *by: str) -> DataFrame:
     """Mean of the precision at each positive row; null without a positive one."""
-    group = W.partitionBy(*by).orderBy(*_order(score, label, key))
-    hit = F.col(label).cast("long")
-    running = F.sum(hit).over(group.rowsBetween(W.unboundedPreceding, W.currentRow))
-    each = df.withColumn("precision", F.when(F.col(label), running / F.row_number().over(group)))
-    return each.groupBy(*by).agg(F.round(F.avg("precision"), 6).alias("average_precision"))
+    placed = before(df.select(*by, score, label, key), list(by), _order(score, label, key), {"rows": F.lit(1), "hits": F.col(label).cast("int")})
+    precision = F.when(F.col(label), (F.col("hits") + 1) / (F.col("rows") + 1))
+    return placed.groupBy(*by).agg(F.round(F.avg(precision), 6).alias("average_precision"))
 
 
 AVERAGE_PRECISION_SQL = """
@@ -138,5 +138,5 @@ def rank_displacement(a: DataFrame, b: DataFrame, key: str, rank: str = "rank")
 
 RANK_DISPLACEMENT_SQL = """
 WITH r AS (SELECT work_id, row_number() OVER (ORDER BY citation_count DESC, work_id) AS ra, row_number() OVER (ORDER BY year DESC, work_id) AS rb FROM included),
-d AS (SELECT abs(ra - rb) AS d FROM r WHERE ra <= 500 AND rb <= 500)
+d AS (SELECT abs(ra - rb) AS d FROM r)
 SELECT count(*) AS shared, round(avg(d), 6) AS mean, quantile_cont(d, 0.5)::DOUBLE AS median, round(quantile_cont(d, 0.9), 6)::DOUBLE AS p90, CAST(max(d) AS INTEGER) AS max FROM d"""

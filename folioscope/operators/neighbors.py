@@ -29,9 +29,10 @@ def similar_to(vectors: DataFrame, work_id: int, k: int) -> DataFrame:
 
 
 SIMILAR_SQL = """
-WITH t AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)
-SELECT vec_id AS work_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 4) AS similarity FROM embeddings, t WHERE vec_id <> 7
-ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 15"""
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+p AS (SELECT query_id, vec_id AS work_id, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, work_id) AS nth FROM p)
+SELECT query_id, work_id, CAST(nth AS INTEGER) AS nth, round(s, 4) AS similarity FROM r WHERE nth <= 15"""
 
 
 def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from folioscope.sources.corpus import LOW_CITE_MAX_CITATIONS, LOW_CITE_MIN_YEAR, Corpus
 
 
-def top_topics(work_topics: DataFrame, most: int = 3) -> DataFrame:
-    """(work_id, topics): names of the ``most`` highest-scored topics, joined by '|'.
+def top_topics(work_topics: DataFrame, most: int | None = 3) -> DataFrame:
+    """(work_id, topics): names of the ``most`` highest-scored topics (None: of all), joined by '|'.
 
     One aggregation for all works replaces a lateral subquery for each.
     """
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("topic_name").alias("n"))))
-    names = F.transform(F.slice(ordered, 1, most), lambda x: x["n"])
+    names = F.transform(ordered if most is None else F.slice(ordered, 1, most), lambda x: x["n"])
     return work_topics.groupBy("work_id").agg(F.array_join(names, "|").alias("topics"))
 
 
@@ -63,7 +63,7 @@ def paper_details(c: Corpus) -> DataFrame:
     """Every included work with all its authors in order and all its topics by score."""
     names = F.array_sort(F.collect_list(F.struct("author_position", "author_name")))
     authors = c.work_authors.join(c.authors, "author_id").groupBy("work_id").agg(F.array_join(F.transform(names, lambda x: x["author_name"]), "|").alias("authors"))
-    topics = top_topics(c.work_topics, 1000)
+    topics = top_topics(c.work_topics, None)
     return c.included.select("work_id", "title", "year").join(authors, "work_id", "left").join(topics, "work_id", "left")
 
 
@@ -115,7 +115,7 @@ def search_page(c: Corpus, words: list[str], limit: int, offset: int, year_from:
     Each word adds 0.55 in the title, 0.30 in the abstract and 0.15 in the topics, up to 1. All
     filters are optional and combine by AND. A page past the end is empty.
     """
-    topics = top_topics(c.work_topics, 1000)
+    topics = top_topics(c.work_topics, None)
     w = c.included.join(topics, "work_id", "left")
     keep = [F.lit(True)]
     if scope == "core":

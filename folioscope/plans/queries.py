@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors
+from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, ranks
 from folioscope.plans import catalog, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
@@ -97,7 +97,7 @@ def ranked_list(c: Corpus) -> DataFrame:
 
 @query(ranking.FAMILY_RANKS_SQL, mapped=True)
 def paper_family_ranks(c: Corpus) -> DataFrame:
-    return ranking.family_ranks(ranking.paper_scores(c), c.included.where("year = 2001"))
+    return ranking.family_ranks(ranking.paper_scores(c), c.included)
 
 
 @query(ranking.EXPLANATIONS_SQL, mapped=True)
@@ -122,7 +122,8 @@ def latest_run(c: Corpus) -> DataFrame:
 
 @query(neighbors.SIMILAR_SQL)
 def similar_papers(c: Corpus) -> DataFrame:
-    return neighbors.similar_to(c.vectors, 7, 15)
+    found = neighbors.nearest(c.vectors, c.vectors.where("work_id % 100 = 0"), 15)
+    return found.select("query_id", "work_id", "nth", F.round("similarity", 4).alias("similarity"))
 
 
 @query(neighbors.NEIGHBOR_MIX_SQL)
@@ -156,7 +157,7 @@ def eligibility_top_half(c: Corpus) -> DataFrame:
 
 @query(bridges.SENSITIVITY_SQL)
 def sensitivity_grid(c: Corpus) -> DataFrame:
-    return bridges.sensitivity(bridges.bridge_rows(c.vectors), _emerging(c))
+    return bridges.sensitivity(bridges.eligibility(bridges.bridge_rows(c.vectors)), _emerging(c))
 
 
 @query(bridges.RESIDUAL_SQL)
@@ -164,21 +165,23 @@ def residual_topk(c: Corpus) -> DataFrame:
     return bridges.residual_head(bridges.bridge_rows(c.vectors), _emerging(c), 0.5)
 
 
-def _ranked(works: DataFrame, *order) -> DataFrame:
-    head = works.orderBy(*order).limit(500)
+def _head(works: DataFrame, k: int, *order) -> DataFrame:
+    head = works.orderBy(*order).limit(k)
     return head.select("work_id", F.row_number().over(W.orderBy(*order)).alias("rank"))
 
 
 @query(bridges.CHURN_SQL, mapped=True)
 def head_churn(c: Corpus) -> DataFrame:
-    old = _ranked(c.included, F.desc("citation_count"), F.asc("work_id"))
-    return bridges.churn(old, _ranked(c.included, F.desc("year"), F.desc("citation_count"), F.asc("work_id")), 200)
+    # the heads are what is compared
+    old = _head(c.included, 200, F.desc("citation_count"), F.asc("work_id"))
+    return bridges.churn(old, _head(c.included, 200, F.desc("year"), F.desc("citation_count"), F.asc("work_id")), 200)
 
 
 @query(metrics.RANK_DISPLACEMENT_SQL.replace("WITH r AS", ", r AS"), mapped=True)
 def rank_displacement(c: Corpus) -> DataFrame:
-    old = _ranked(c.included, F.desc("citation_count"), F.asc("work_id"))
-    return metrics.rank_displacement(old, _ranked(c.included, F.desc("year"), F.asc("work_id")), "work_id")
+    w = c.included.select("work_id", "year", "citation_count")
+    old = ranks.numbered(w, [F.desc("citation_count"), F.asc("work_id")])
+    return metrics.rank_displacement(old, ranks.numbered(w, [F.desc("year"), F.asc("work_id")]), "work_id")
 
 
 @query(
@@ -197,9 +200,9 @@ def topic_jaccard(c: Corpus) -> DataFrame:
     SELECT vec_id AS work_id, printf('c%03d', label) AS cluster_id, rank() OVER (PARTITION BY label ORDER BY vec_id % 17 DESC) + (count(*) OVER (PARTITION BY label, vec_id % 17) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"""
 )
 def rank_percentiles(c: Corpus) -> DataFrame:
-    v = c.vectors.withColumn("x", F.col("work_id") % 17)
-    ends, middle = numeric.rank_percentile_ends(F.col("x"), F.col("cluster_id")), numeric.rank_percentile_middle(F.col("x"), F.col("cluster_id"))
-    return v.select("work_id", "cluster_id", F.round(ends, 6).alias("ends"), F.round(middle, 6).alias("middle"))
+    v = c.vectors.select("work_id", "cluster_id", (F.col("work_id") % 17).alias("x"))
+    p = ranks.percentiles(v, "x", "ends", "middle", ("cluster_id",))
+    return p.select("work_id", "cluster_id", F.round("ends", 6).alias("ends"), F.round("middle", 6).alias("middle"))
 
 
 @query(
@@ -208,11 +211,9 @@ def rank_percentiles(c: Corpus) -> DataFrame:
     SELECT work_id, round(0.3 * (1 - (a - 0.5) / n) + 0.7 * (1 - (b - 0.5) / n), 6) AS hybrid, round(0.5 * (1 - (a - 1) / greatest(1, n - 1)) + 0.5 * (1 - (b - 1) / greatest(1, n - 1)), 6) AS shadow FROM r"""
 )
 def hybrid_blend(c: Corpus) -> DataFrame:
-    g, a, b = F.col("cluster_id"), F.col("work_id") % 17, F.col("work_id") % 23
-    v = c.vectors.withColumns({"a": a, "b": b})
-    hybrid = 0.3 * numeric.rank_percentile_middle(F.col("a"), g) + 0.7 * numeric.rank_percentile_middle(F.col("b"), g)
-    shadow = 0.5 * numeric.rank_percentile_ends(F.col("a"), g) + 0.5 * numeric.rank_percentile_ends(F.col("b"), g)
-    return v.select("work_id", F.round(hybrid, 6).alias("hybrid"), F.round(shadow, 6).alias("shadow"))
+    v = c.vectors.select("work_id", "cluster_id", (F.col("work_id") % 17).alias("a"), (F.col("work_id") % 23).alias("b"))
+    p = ranks.percentiles(ranks.percentiles(v, "a", "a_ends", "a_middle", ("cluster_id",)), "b", "b_ends", "b_middle", ("cluster_id",))
+    return p.select("work_id", F.round(F.expr("0.3D * a_middle + 0.7D * b_middle"), 6).alias("hybrid"), F.round(F.expr("0.5D * a_ends + 0.5D * b_ends"), 6).alias("shadow"))
 
 
 @query(
@@ -425,12 +426,12 @@ def upsert_latest(c: Corpus) -> DataFrame:
 
 
 @query(
-    """, e AS (SELECT DISTINCT 'W' || l_orderkey AS a, 'W' || (l_partkey * 3) AS b FROM lineitem WHERE l_linenumber = 1)
+    """, e AS (SELECT DISTINCT 'W' || l_orderkey AS a, 'W' || (l_partkey * 3) AS b FROM lineitem)
     SELECT x.work_id AS citing_id, y.work_id AS cited_id FROM e JOIN works x ON x.paper_id = a JOIN works y ON y.paper_id = b""",
     mapped=True,
 )
 def citation_edges(c: Corpus) -> DataFrame:
-    lines = c.table("lineitem").where("l_linenumber = 1")
+    lines = c.table("lineitem")
     edges = lines.select(F.concat(F.lit("W"), F.col("l_orderkey").cast("string")).alias("citing"), F.concat(F.lit("W"), (F.col("l_partkey") * 3).cast("string")).alias("cited"))
     return upsert.resolve_edges(edges, c.works)
 
@@ -496,9 +497,8 @@ def distinctness(c: Corpus) -> DataFrame:
 
 @query(reports.COVERAGE_SQL, mapped=True)
 def coverage_by_rank(c: Corpus) -> DataFrame:
-    order = [F.desc("citation_count"), F.asc("work_id")]
-    head = c.included.orderBy(*order).limit(1000)
-    return reports.coverage_by_bucket(head.select("is_core_corpus", F.row_number().over(W.orderBy(*order)).alias("rank")), "is_core_corpus", [10, 50, 200])
+    ranked = ranks.numbered(c.included.select("work_id", "citation_count", "is_core_corpus"), [F.desc("citation_count"), F.asc("work_id")])
+    return reports.coverage_by_bucket(ranked, "is_core_corpus", [10, 50, 200])
 
 
 @query(reports.PARITY_SQL)
@@ -598,7 +598,7 @@ def usable_sources(c: Corpus) -> DataFrame:
 )
 def scoring_arms(c: Corpus) -> DataFrame:
     r = c.vectors.select("work_id", (F.col("work_id") * 7 % 100 / 100.0).alias("f"), (F.col("work_id") * 13 % 100 / 100.0).alias("x"))
-    p = r.withColumns({"fp": numeric.rank_percentile_ends(F.col("f"), F.lit(1)), "xp": numeric.rank_percentile_ends(F.col("x"), F.lit(1))})
+    p = ranks.percentiles(ranks.percentiles(r, "f", "fp", "f_middle"), "x", "xp", "x_middle")
     return curation.scoring_arms(p, "work_id", "f", "x", "fp", "xp").withColumn("score", F.round("score", 6))
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.numeric import clamp01, score6
+from folioscope.operators.bridges import overlap
+from folioscope.operators.ranks import numbered
 from folioscope.plans.catalog import POOL_SQL, in_low_cite_pool, top_topics
+from folioscope.session import stored
 from folioscope.sources.corpus import Corpus
 
 FAMILIES = ("emerging", "bridge", "undercited")
@@ -99,7 +102,8 @@ def paper_scores(c: Corpus, bridge: DataFrame | None = None, semantic: DataFrame
     The families come from one pass over the signals, as an array of structs.
     """
     weights = family_weights(bridge_weight, semantic is not None)
-    s = signals(candidates(c))
+    # the candidates are read several times: for the maxima, the topic shares and the scores
+    s = signals(stored(candidates(c), "candidates"))
     none = F.lit(None).cast("double")
     s = s.join(bridge, "work_id", "left") if bridge is not None else s.withColumns({"bridge_score": none, "bridge_eligible": F.lit(None).cast("boolean")})
     s = s.join(semantic, "work_id", "left") if semantic is not None else s.withColumn("semantic_score", none)
@@ -163,7 +167,7 @@ FROM (SELECT * FROM scores WHERE family = 'emerging' ORDER BY final_score DESC,
 
 def family_ranks(scores: DataFrame, works: DataFrame) -> DataFrame:
     """Exactly one row for each given work and family: its rank there, or null."""
-    ranked = scores.withColumn("rank", F.rank().over(W.partitionBy("family").orderBy(F.desc("final_score"), "work_id")))
+    ranked = numbered(scores.select("work_id", "family", "final_score"), [F.desc("final_score"), F.asc("work_id")], by=("family",))
     families = F.explode(F.array(*[F.lit(f) for f in FAMILIES])).alias("family")
     wanted = works.select("work_id", families)
     order = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int")
@@ -172,7 +176,7 @@ def family_ranks(scores: DataFrame, works: DataFrame) -> DataFrame:
 
 FAMILY_RANKS_SQL = SCORES_CTE + """
 , ranked AS (SELECT work_id, family, CAST(rank() OVER (PARTITION BY family ORDER BY final_score DESC, work_id) AS INTEGER) AS rank FROM scores)
-SELECT w.work_id, f.family, CAST(f.o AS INTEGER) AS family_order, rank FROM (SELECT work_id FROM included WHERE year = 2001) w
+SELECT w.work_id, f.family, CAST(f.o AS INTEGER) AS family_order, rank FROM (SELECT work_id FROM included) w
 CROSS JOIN (VALUES ('emerging', 1), ('bridge', 2), ('undercited', 3)) f(family, o) LEFT JOIN ranked ON ranked.work_id = w.work_id AND ranked.family = f.family"""
 
 
@@ -215,12 +219,14 @@ SELECT work_id, family, signal, role, value, round(c + 1e-8, 5) + 0.0 AS contrib
 def evaluation_arms(c: Corpus, scores: DataFrame, family: str = "undercited", k: int = 50) -> DataFrame:
     """Three orderings of one pool, compared: by score, by citations and by date.
 
-    Recency, citation and topic measures of each arm's first k works.
+    Recency, citation and topic measures of each arm's first k works, its five most common topics, and
+    the Jaccard similarity of its topics with those of each arm.
     """
     pool = c.included.where(in_low_cite_pool()) if family == "undercited" else c.included
-    by_score = pool.join(scores.where(F.col("family") == family).select("work_id", "final_score"), "work_id")
+    own = scores.where(F.col("family") == family).select("work_id", "final_score")
+    pool = stored(pool.select("work_id", "paper_id", "year", "citation_count").join(own, "work_id", "left"), "pool")
     heads = {
-        "ranked": by_score.orderBy(F.desc("final_score"), "work_id").limit(k),
+        "ranked": pool.where("final_score is not null").orderBy(F.desc("final_score"), "work_id").limit(k),
         "citation": pool.orderBy(F.desc("citation_count"), F.desc("year"), "paper_id").limit(k),
         "date": pool.orderBy(F.desc("year"), "paper_id").limit(k),
     }
@@ -228,6 +234,8 @@ def evaluation_arms(c: Corpus, scores: DataFrame, family: str = "undercited", k:
     for name, head in heads.items():
         part = head.select(F.lit(name).alias("arm"), "work_id", "year", "citation_count")
         arms = part if arms is None else arms.unionByName(part)
+    # 3 k rows
+    arms = stored(arms, "arms")
     newest = arms.groupBy("arm").agg(F.max("year").alias("max_year"))
     measured = arms.join(newest, "arm").groupBy("arm").agg(
         F.avg("year").alias("mean_year"),
@@ -237,8 +245,13 @@ def evaluation_arms(c: Corpus, scores: DataFrame, family: str = "undercited", k:
         F.round(F.avg("citation_count"), 4).alias("mean_citations"),
         F.median("citation_count").alias("median_citations"),
     )
-    topics = arms.join(c.work_topics.select("work_id", "topic_name"), "work_id").groupBy("arm").agg(F.count_distinct("topic_name").alias("unique_topics"))
-    return measured.join(topics, "arm", "left")
+    named = stored(c.work_topics.join(arms.select("arm", "work_id"), "work_id").groupBy("arm", "topic_name").agg(F.count(F.lit(1)).alias("n")), "arm-topics")
+    common = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "topic_name")))
+    topics = named.groupBy("arm").agg(F.count(F.lit(1)).alias("unique_topics"), F.array_join(F.transform(F.slice(common, 1, 5), lambda x: x["topic_name"]), "|").alias("top_topics"), F.collect_list("topic_name").alias("names"))
+    sets = topics.select("arm", "names").groupBy().pivot("arm", list(heads)).agg(F.first("names"))
+    with_sets = measured.join(topics, "arm", "left").crossJoin(F.broadcast(sets))
+    similar = [F.round(overlap(F.coalesce("names", F.array().cast("array<string>")), F.coalesce(a, F.array().cast("array<string>")))["jaccard"], 4).alias(f"jaccard_{a}") for a in heads]
+    return with_sets.select(*measured.columns, "unique_topics", "top_topics", *similar)
 
 
 EVALUATION_SQL = SCORES_CTE + f"""
@@ -246,7 +259,10 @@ EVALUATION_SQL = SCORES_CTE + f"""
   SELECT 'ranked' AS arm, work_id, year, citation_count FROM (SELECT pool.*, final_score FROM pool JOIN scores USING (work_id) WHERE family = 'undercited' ORDER BY final_score DESC, work_id LIMIT 50)
   UNION ALL SELECT 'citation', work_id, year, citation_count FROM (SELECT * FROM pool ORDER BY citation_count DESC, year DESC, paper_id LIMIT 50)
   UNION ALL SELECT 'date', work_id, year, citation_count FROM (SELECT * FROM pool ORDER BY year DESC, paper_id LIMIT 50)
-), m AS (SELECT arm, max(year) AS max_year FROM arms GROUP BY arm)
+), m AS (SELECT arm, max(year) AS max_year FROM arms GROUP BY arm), n AS (SELECT arm, topic_name, count(*) AS n FROM arms JOIN work_topics USING (work_id) GROUP BY 1, 2),
+u AS (SELECT arm, count(*) AS unique_topics, array_to_string(list_slice(list(topic_name ORDER BY n DESC, topic_name), 1, 5), '|') AS top_topics, list(topic_name) AS names FROM n GROUP BY arm),
+o AS (SELECT x.arm, y.arm AS other, round(len(list_intersect(x.names, y.names)) / len(list_distinct(list_concat(x.names, y.names)))::DOUBLE, 4) AS j FROM u x, u y)
 SELECT arm, avg(year) AS mean_year, min(year) AS min_year, max(year) AS max_year, round(avg((year >= m.max_year - 1)::INT::DOUBLE), 4) AS share_in_latest_two_years,
-  round(avg(citation_count), 4) AS mean_citations, median(citation_count)::DOUBLE AS median_citations, any_value(u) AS unique_topics
-FROM arms JOIN m USING (arm) LEFT JOIN (SELECT arm, count(DISTINCT topic_name) AS u FROM arms JOIN work_topics USING (work_id) GROUP BY arm) USING (arm) GROUP BY arm"""
+  round(avg(citation_count), 4) AS mean_citations, median(citation_count)::DOUBLE AS median_citations, any_value(u.unique_topics) AS unique_topics, any_value(u.top_topics) AS top_topics,
+  (SELECT j FROM o WHERE o.arm = arms.arm AND other = 'ranked') AS jaccard_ranked, (SELECT j FROM o WHERE o.arm = arms.arm AND other = 'citation') AS jaccard_citation, (SELECT j FROM o WHERE o.arm = arms.arm AND other = 'date') AS jaccard_date
+FROM arms JOIN m USING (arm) LEFT JOIN u USING (arm) GROUP BY arm"""

@@ -96,7 +96,7 @@ def coverage_by_bucket(ranked: DataFrame, labelled: str, edges: list[int]) -> Da
 COVERAGE_SQL = """
 , r AS (SELECT row_number() OVER (ORDER BY citation_count DESC, work_id) AS rank, is_core_corpus AS y FROM included)
 SELECT CASE WHEN rank <= 10 THEN 'up to 10' WHEN rank <= 50 THEN 'up to 50' WHEN rank <= 200 THEN 'up to 200' ELSE 'after 200' END AS bucket, count(*) AS rows, count(*) FILTER (WHERE y) AS labelled, round(count(*) FILTER (WHERE y) / count(*)::DOUBLE, 6) AS share
-FROM (SELECT * FROM r WHERE rank <= 1000) GROUP BY 1"""
+FROM r GROUP BY 1"""
 
 
 def in_caller_order(ids: list[int], rows: DataFrame, key: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -34,3 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, whoever reads it how often."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

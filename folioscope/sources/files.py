@@ -54,15 +54,17 @@ def works_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def normalized(works: DataFrame) -> DataFrame:
-    """Works with a chosen abstract and counts of their parts.
+    """Works with a cleaned title and a chosen, cleaned abstract.
 
     The abstract is the given one, or the one text field, or the inverted index put together.
     """
-    from folioscope.functions.text import blank_to_null, doi_key, text_from_positions, work_token
+    from folioscope.functions.text import blank_to_null, cleaned, doi_key, text_from_positions, work_token
 
-    abstract = F.coalesce(blank_to_null(F.col("abstract")), blank_to_null(F.col("abstract_text")), text_from_positions(F.col("abstract_inverted_index")), F.lit(""))
+    # a Python function cannot take a lambda expression of its own projection; the generator keeps the two apart
+    works = works.withColumn("from_index", F.explode(F.array(text_from_positions(F.col("abstract_inverted_index")))))
+    abstract = cleaned(F.coalesce(blank_to_null(F.col("abstract")), blank_to_null(F.col("abstract_text")), F.col("from_index"), F.lit("")))
     return works.select(
-        work_token(F.col("id")).alias("paper_id"), "source_slug", "page_index", "position", "title", abstract.alias("abstract"), doi_key(F.col("doi")).alias("doi"),
+        work_token(F.col("id")).alias("paper_id"), "source_slug", "page_index", "position", cleaned(F.col("title")).alias("title"), abstract.alias("abstract"), doi_key(F.col("doi")).alias("doi"),
         F.col("publication_year").alias("year"), F.coalesce("cited_by_count", F.lit(0)).alias("citation_count"), "language", "type", F.coalesce("is_retracted", F.lit(False)).alias("is_retracted"),
         F.col("primary_location.source.id").alias("source_id"), F.col("primary_location.source.display_name").alias("source_name"), "updated_date", "topics", "authorships", "referenced_works",
     )
@@ -143,11 +145,11 @@ def source_ids(names: DataFrame, sources: DataFrame) -> DataFrame:
 
     White space and case don't matter. ``sources``: source_id, display_name, aliases.
     """
-    from folioscope.functions.text import collapse
+    from folioscope.functions.text import casefolded, collapse
 
     known = sources.select("source_id", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("display_name"))).alias("n"))
-    known = known.select("source_id", F.lower(collapse(F.col("n"))).alias("key")).groupBy("key").agg(F.min("source_id").alias("source_id"))
-    return names.withColumn("key", F.lower(collapse(F.col("name")))).join(known, "key", "left").drop("key")
+    known = known.select("source_id", casefolded(collapse(F.col("n"))).alias("key")).groupBy("key").agg(F.min("source_id").alias("source_id"))
+    return names.withColumn("key", casefolded(collapse(F.col("name")))).join(known, "key", "left").drop("key")
 
 
 def bucket_coverage(rows: DataFrame, bucket: str, key: str, each: int) -> DataFrame:

@@ -7,56 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.sources.files import PAGE_SCHEMA, normalized, works_of_pages
-from folioscope.sources.upsert import upsert
-
-
-class VersionedTable:
-    """A table kept as numbered versions; a version counts once its marker is written.
-
-    A batch that runs again after a failure writes its own version again, so each batch takes
-    effect once.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path(self.path))]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(path(p, "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{known[-1]}") if known else None
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+from folioscope.sources.upsert import latest
 
 
 def ingest_pages(spark: SparkSession, pages: str, table: str, checkpoint: str, files_per_batch: int = 8) -> StreamingQuery:
-    """Start a query that reads new page files once each and upserts their works by paper_id.
+    """Start a query that reads new page files once each and adds their works to ``table``.
 
-    Later pages win over earlier ones; a later batch wins over an earlier one.
+    Each batch writes the changes it brings, in a partition of its own, and nothing else. A batch that
+    runs again after a failure overwrites that partition, so each takes effect once. ``current_works``
+    gives the table's state.
     """
-    store = VersionedTable(spark, table)
 
     def apply(batch: DataFrame, number: int) -> None:
         works = normalized(works_of_pages(batch)).drop("topics", "authorships", "referenced_works")
-        works = works.withColumn("sequence", F.lit(number) * 1_000_000_000 + F.col("page_index") * 10_000 + F.col("position")).drop("page_index", "position")
-        stored = store.read(before=number)
-        store.write(upsert(stored if stored is not None else works.limit(0), works, ["paper_id"], "sequence"), number)
+        changes = latest(works.withColumn("place", F.struct("page_index", "position")), ["paper_id"], "place").drop("place")
+        changes = changes.withColumn("batch", F.lit(number).cast("long"))
+        changes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
     stream = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(pages)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_works(spark: SparkSession, table: str) -> DataFrame:
+    """The last change of each work: later pages win over earlier ones, and later batches over earlier ones."""
+    changes = spark.read.parquet(table).withColumn("batch", F.col("batch").cast("long"))
+    return latest(changes, ["paper_id"], "batch").drop("batch", "page_index", "position")
+
+
 def watermarks(works: DataFrame, by: str = "source_slug", updated: str = "updated_date") -> DataFrame:
     """Newest update seen for each source: where the next ingest goes on."""
     return works.groupBy(by).agg(F.max(updated).alias("updated_until"), F.count(F.lit(1)).alias("works"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, labels, metrics, neighbors
+from folioscope.operators import bridges, experiments, labels, metrics, neighbors, ranks
 from folioscope.plans import ranking
 from folioscope.sources import files, upsert
 from folioscope.streaming import ingest
@@ -64,8 +64,8 @@ def test_signals_by_hand(spark):
 
 def test_rank_percentiles(spark):
     df = frame(spark, "w string, g int, x double", ("W1", 1, 0.9), ("W2", 1, 0.8), ("W3", 1, 0.8), ("W4", 1, 0.1), ("solo", 2, 0.5))
-    a = by(df.withColumn("p", numeric.rank_percentile_ends(F.col("x"), F.col("g"))), "w", "p")
-    b = by(df.withColumn("p", numeric.rank_percentile_middle(F.col("x"), F.col("g"))), "w", "p")
+    p = ranks.percentiles(df, "x", "a", "b", ("g",))
+    a, b = by(p, "w", "a"), by(p, "w", "b")
     assert a == {"W1": 1.0, "W2": 0.5, "W3": 0.5, "W4": 0.0, "solo": 1.0}
     assert b == {"W1": 0.875, "W2": 0.5, "W3": 0.5, "W4": 0.125, "solo": 0.5}
 
@@ -283,10 +283,43 @@ def test_streaming_ingest_upserts_once(spark, tmp_path):
     ingest.ingest_pages(spark, str(pages), table, check).awaitTermination(120)
     (pages / "2.json").write_text(page("s", 2, {"id": "https://x/W2", "title": "two"}, {"title": "no id"}))
     ingest.ingest_pages(spark, str(pages), table, check).awaitTermination(120)
-    got = {r["paper_id"]: (r["title"], r["abstract"]) for r in ingest.VersionedTable(spark, table).read().collect()}
+    got = {r["paper_id"]: (r["title"], r["abstract"]) for r in ingest.current_works(spark, table).collect()}
     assert got == {"W1": ("new", "kept"), "W2": ("two", "")}
 
 
+def test_ten_batches_of_pages(spark, tmp_path):
+    pages, table = tmp_path / "pages", f"{tmp_path}/table"
+    pages.mkdir()
+    for i in range(10):
+        (pages / f"{i}.json").write_text(page("s", i, {"id": f"W{i}", "title": f"own {i}"}, {"id": "W99", "title": f"shared {i}"}))
+        ingest.ingest_pages(spark, str(pages), table, f"{tmp_path}/check", files_per_batch=1).awaitTermination(120)
+    got = {r["paper_id"]: r["title"] for r in ingest.current_works(spark, table).collect()}
+    assert got == {f"W{i}": f"own {i}" for i in range(10)} | {"W99": "shared 9"}
+
+
+def test_casefold_keys_and_prefixes(spark):
+    assert one(spark, text.title_key(F.lit(" Die  STRASSE Straße "))) == "die strasse strasse"
+    assert one(spark, text.doi_key(F.lit("https://DOI.org/10.1/Straße"))) == "10.1/strasse"
+    assert one(spark, text.prefix_match(F.lit("The  QUICK fox..."), F.lit("the quick fox... and more"))) is True
+    assert one(spark, text.prefix_match(F.lit("the quick cat"), F.lit("the quick fox"))) is False
+    assert one(spark, text.prefix_match(F.lit(" "), F.lit("x"))) is None
+
+
+def test_folds_by_label_and_work(spark):
+    d = spark.createDataFrame([(f"w{i // 2}", float(i // 2 % 4 == 0), i) for i in range(80)], "work string, label double, row int")
+    got = experiments.grouped_folds(d, "work", "label", 5, "s").collect()
+    assert len(got) == 80 and all(len({r["fold"] for r in got if r["work"] == w}) == 1 for w in {r["work"] for r in got})
+    for y in (0.0, 1.0):
+        n = [len({r["work"] for r in got if r["fold"] == f and r["label"] == y}) for f in range(5)]
+        assert max(n) - min(n) <= 1
+
+
+def test_places_over_ranges(spark):
+    d = spark.createDataFrame([(g, i * 7 % 100, i) for g in ("a", "b", None) for i in range(100)], "g string, v int, i int")
+    got = ranks.numbered(d, [F.desc("v"), F.asc("i")], by=("g",)).collect()
+    assert all(r["rank"] == 100 - r["v"] for r in got) and len(got) == 300
+
+
 def test_normalized_works(spark, tmp_path):
     (tmp_path / "p.json").write_text(page("s", 1, {"id": "W5", "abstract_inverted_index": {"b": [1], "a": [0]}, "topics": [{"id": "t1", "display_name": "n", "score": 0.5}], "authorships": [{"author": {"id": None}}, {"author": {"id": "a2", "display_name": "A"}}], "referenced_works": ["W5", "https://x/W6"]}))
     w = files.normalized(files.read_pages(spark, f"{tmp_path}/p.json"))
