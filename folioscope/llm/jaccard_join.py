@@ -283,7 +283,7 @@ def _stars(hubs: DataFrame) -> DataFrame:
     return hubs.where((F.col("hub") != F.col("key")) & _sizes_allow(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
 
 
-def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near_hub: DataFrame) -> DataFrame:
+def _between_components(hubs: DataFrame, rows: DataFrame, roots: DataFrame, near_hub: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of sets that share a shingle, lie in different components and may link.
 
     Sets at a known distance from their hub meet once under the hub, whatever number of its
@@ -291,17 +291,16 @@ def _between_components(hubs: DataFrame, sets: DataFrame, roots: DataFrame, near
     component meet only the rest.
     """
     away = near_hub.select(F.col("a").alias("hub"), F.col("b").alias("key"), "differ")
-    states = sets.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    bits = sets.select("key", "sketch").mapInArrow(_folded, "key long, bits array<long>, half array<long>")
     # one row for each hub and set, however many shingles they share
     members = hubs.select("hub", "key", "n").distinct().join(away, ["hub", "key"], "left").withColumn("differ", F.when(F.col("hub") == F.col("key"), 0).otherwise(F.col("differ")))
-    members = written(members.join(states, "key").select("hub", "key", "n", "root", "differ"), "jaccard-members")
+    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    members = written(members.select("hub", "key", "n", "root", "differ"), "jaccard-members")
     by_hub = members.where("differ is not null").withColumnRenamed("hub", "place")
     # shingles all of whose sets are at a known distance are done with their hub
     open_ = hubs.select("token", "hub", "key").join(members.where("differ is null").select("hub", "key"), ["hub", "key"], "left_semi").select("token").distinct()
     by_token = hubs.select("token", "hub", "key").join(open_, "token", "left_semi").join(members, ["hub", "key"])
     by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "differ")
-    return _pairs_within(by_hub, bits, True).unionByName(_pairs_within(by_token, bits, False)).distinct()
+    return _pairs_within(by_hub, rows, True).unionByName(_pairs_within(by_token, rows, False)).distinct()
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +320,7 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
 
 
-def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame:
+def _pairs_within(members: DataFrame, rows: DataFrame, known: bool) -> DataFrame:
     """Pairs (a, b) of one place and different components that no bound rules out.
 
     With ``known``, all distances to the hub are; else at least one of a pair's is not. The
@@ -335,7 +334,9 @@ def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame
     # one row for each mixed place: Spark broadcasts it by its measured size, and else splits skewed partitions
     blocks_of = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
     places = written(places.select("place", "major", blocks_of(F.col("all") - F.col("most"), X_BLOCK).alias("x_blocks"), blocks_of(F.col("all"), Y_BLOCK).alias("y_blocks")), "jaccard-places")
-    members = written(members.join(places, "place").join(bits, "key"), "jaccard-mixed")
+    members = written(members.join(places, "place"), "jaccard-mixed")
+    bits = _facts(rows, members.select("key"), ("sketch",)).mapInArrow(_folded, "key long, bits array<long>, half array<long>")
+    members = written(members.join(bits, "key"), "jaccard-bits")
 
     def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("key"), F.col(f"{own}_blocks")).cast("int")
@@ -361,15 +362,29 @@ def _pairs_within(members: DataFrame, bits: DataFrame, known: bool) -> DataFrame
     return pairs.select(F.least(c("x", "key"), c("y", "key")).alias("a"), F.greatest(c("x", "key"), c("y", "key")).alias("b"))
 
 
-def in_all_orders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _facts(rows: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """key and some columns of the sets ``keys``; ``row`` is the least of a set's rows.
+
+    The keys are written first: where they measure as small Spark broadcasts them, and then only the
+    rows of these sets move.
+    """
+    keys = written(keys.distinct(), "jaccard-keys")
+    facts = [F.min("row").alias("row") if c == "row" else F.first(c, ignorenulls=True).alias(c) for c in names]
+    return rows.join(keys, "key", "left_semi").groupBy("key").agg(*facts)
+
+
+def _sides(pairs: DataFrame, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The pairs (a, b) with columns of both sets."""
+    sets = _facts(rows, pairs.select(F.explode(F.array("a", "b")).alias("key")), names)
+    one, two = (sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    return pairs.join(one, "a").join(two, "b")
+
+
+def in_all_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix shingle under the second and the third order too, with what
     verification needs of both sets: size, row and sketch."""
-    columns = ("n", "row", "sketch", "second", "third")
-    # few sets are in pairs: Spark broadcasts their keys if they measure as small
-    keys = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-paired")
-    sets = sets.join(keys, "key", "left_semi")
-    one, two = (sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
-    met = pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    met = _sides(pairs, rows, ("n", "row", "sketch", "second", "third"))
+    met = met.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
     return met.select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
 
 
@@ -402,12 +417,20 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "differ", "link"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1) -> DataFrame:
+_NEAR_DDL = "a long, b long, n_a long, n_b long, row_a long, row_b long"
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1, again: bool = False) -> DataFrame:
     """(a, b, differ, link) for the pairs that pass all orders and the sketch bound, relaxed by a factor of ``slack``.
 
-    Only the texts of pairs that passed both are taken up again.
+    Only the texts of pairs that passed both are taken up again. With ``again``, in the second round, whose
+    pairs come from folded sketches, the whole sketches are compared first: they are shorter than prefixes.
     """
-    near = in_all_orders(written(pairs, "jaccard-pairs"), sets).mapInArrow(lambda it: _by_sketch(it, slack), "a long, b long, n_a long, n_b long, row_a long, row_b long")
+    pairs = written(pairs, "jaccard-pairs")
+    if again:
+        sketches = _sides(pairs, rows, ("n", "row", "sketch")).select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
+        pairs = written(sketches.mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL).select("a", "b"), "jaccard-pairs")
+    near = in_all_orders(pairs, rows).mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL)
     near = written(near, "jaccard-near")
     tokens = _tokens_of(texts, near, filter_bits)
     # the tokens of one row stand for all copies of its set; few sets are hubs, so each side takes its own
@@ -472,13 +495,11 @@ def _assigned(docs: DataFrame, frequent: int, filter_bits: int) -> tuple[DataFra
     token, level = frequent_shingles(profile, frequent)
     prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, central int, key long, n long")
     shared = written(_shared(prefixes), "jaccard-shared")
-    met = rows.where("key is not null").join(shared.select("key").distinct(), "key", "left_semi")
-    facts = [F.first(c, ignorenulls=True).alias(c) for c in ("n", "sketch", "second", "third")]
-    sets_met = written(met.groupBy("key").agg(F.min("row").alias("row"), *facts), "jaccard-sets")
+    sets = rows.where("key is not null").select("row", "n", "key", "sketch", "second", "third")
     hubs = _one_hub(shared)
-    checked = written(_verified(_stars(hubs), sets_met, texts, filter_bits, slack=2), "jaccard-checked")
+    checked = written(_verified(_stars(hubs), sets, texts, filter_bits, slack=2), "jaccard-checked")
     roots = written(components(checked.where("link")), "jaccard-roots")
-    more = _verified(_between_components(hubs, sets_met, roots, checked), sets_met, texts, filter_bits).where("link").select("a", "b")
+    more = _verified(_between_components(hubs, sets, roots, checked), sets, texts, filter_bits, again=True).where("link").select("a", "b")
     # the first round's components go on as stars
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
     roots = components(links).withColumnRenamed("node", "key")
