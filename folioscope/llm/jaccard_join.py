@@ -46,7 +46,7 @@ FREQUENT = 1 << 20
 VERY_FREQUENT = 2048
 #: Sets of one group that meet in one block of the second round: outside its largest component, and all.
 X_BLOCK, Y_BLOCK = 4096, 1024
-#: Bits of the filter that spares texts without a candidate the third pass; it only saves work.
+#: Bits of the filters that spare sets without a candidate the shuffle and the third pass; they only save work.
 FILTER_BITS = 1 << 26
 #: Longs of a folded sketch in the second round (2,048 bits); it only saves pairs.
 FOLDED = 32
@@ -365,12 +365,16 @@ def _pairs_within(members: DataFrame, rows: DataFrame, known: bool) -> DataFrame
 def _facts(rows: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """key and some columns of the sets ``keys``; ``row`` is the least of a set's rows.
 
-    The keys are written first: where they measure as small Spark broadcasts them, and then only the
-    rows of these sets move.
+    A filter of the keys keeps most other rows, with their sketches and prefixes, out of the shuffle; at most
+    FILTER_BITS / 64 rows of it are broadcast. The join with the keys themselves decides.
     """
     keys = written(keys.distinct(), "jaccard-keys")
+    slots = _slots(keys.count(), FILTER_BITS)
+    slot = F.pmod("key", F.lit(slots))
+    near = rows.withColumn("at", F.floor(slot / 64).cast("int")).join(F.broadcast(_filter_words(keys, "key", slots)), "at")
+    near = near.where(F.getbit("bits", (slot % 64).cast("int")) == 1).select("key", *names)
     facts = [F.min("row").alias("row") if c == "row" else F.first(c, ignorenulls=True).alias(c) for c in names]
-    return rows.join(keys, "key", "left_semi").groupBy("key").agg(*facts)
+    return near.join(keys, "key", "left_semi").groupBy("key").agg(*facts)
 
 
 def _sides(pairs: DataFrame, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -439,11 +443,23 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, filter_bits:
     return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
 
 
+def _slots(count: int, most: int) -> int:
+    """Slots of a filter for so many values: 16 or more for each, up to ``most``."""
+    bits = 1 << 16
+    while bits < min(most, 16 * count):
+        bits *= 2
+    return bits
+
+
+def _filter_words(values: DataFrame, name: str, bits: int) -> DataFrame:
+    """(at, bits): a bit for each slot that a value falls on, 64 to a row."""
+    slot = F.pmod(F.col(name), F.lit(bits))
+    return values.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
+
+
 def _needed_filter(needed: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each slot that a needed row falls on; at most bits / 64 rows come to the driver."""
-    slot = F.pmod(F.col("row"), F.lit(bits))
-    words = needed.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
-    got = words.toPandas()
+    """The filter of the needed rows; at most bits / 64 rows come to the driver."""
+    got = _filter_words(needed, "row", bits).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[got["at"].to_numpy().astype(np.int64)] = got["bits"].to_numpy().astype(np.int64)
     return out
@@ -472,9 +488,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], wanted: list[np.ndarray]) -> Iter
 
 def _tokens_of(texts: DataFrame, near: DataFrame, filter_bits: int) -> DataFrame:
     """The tokens of the rows ``row_a`` and ``row_b`` of some pairs, and of a few others that share a filter slot."""
-    bits, most = 1 << 16, 16 * near.count()
-    while bits < min(filter_bits, most):
-        bits *= 2
+    bits = _slots(near.count(), filter_bits)
     wanted = [_needed_filter(near.select(F.col(c).alias("row")), bits) for c in ("row_a", "row_b")]
     slotted = texts.withColumn("slot", F.pmod("row", F.lit(bits)))
     return written(slotted.mapInArrow(lambda it: _tokens(it, wanted), _TOKENS_DDL), "jaccard-tokens")
