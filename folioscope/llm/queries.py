@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality, repetition, sharding, token_orc, toxicity
+from folioscope.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality, repetition, reply_trees, resampling, sharding, token_orc, toxicity, turn_repair
 from folioscope.llm.common import table
 
 
@@ -105,6 +105,81 @@ FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+#: crc32 of text: its table, and a list of byte values as a checksum.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+_BYTES = "list_transform(range(0, CAST(length(hex(encode({0}))) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
+_CRC = "xor(list_reduce([4294967295] || {0}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+_NEVER = 1 << 50
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letter}}}"
+
+
+def _put(state: str) -> str:
+    return _edit(state, str(turn_repair.INSERT), "'I'")
+
+
+def _op11_sql() -> str:
+    drop = lambda s: _edit(s, str(turn_repair.DELETE), "'D'")
+    user, assistant = (lambda s: _edit(s, "uc", "ue")), (lambda s: _edit(s, "ac", "ae"))
+    begin = lambda cost, audit: f"{{'c': CAST({cost} AS BIGINT), 'a': '{audit}'}}"
+    first = f"{begin(0, '')} AS s0, {begin(_NEVER, '')} AS s1, {begin(turn_repair.INSERT, 'I')} AS s2, {begin(2 * turn_repair.INSERT, 'II')} AS s3"
+    return f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(_BYTES.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"))} % 20 AS what FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE WHEN what = 1 THEN '' WHEN what = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE WHEN what = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE what <> 0),
+o AS (SELECT *, substr(role, 1, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au'), false) AS illegal,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault FROM o),
+e AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS dead, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM f),
+g AS (SELECT *, CASE WHEN dead OR x <> 's' THEN {_NEVER} ELSE cut END AS sc, CASE WHEN dead THEN {_NEVER} WHEN x = 'u' THEN cut ELSE cut + 2 END AS uc, CASE WHEN x = 'u' THEN 'K' ELSE 'R' END AS ue,
+  CASE WHEN dead THEN {_NEVER} WHEN x = 'a' THEN cut ELSE cut + 2 END AS ac, CASE WHEN x = 'a' THEN 'K' ELSE 'R' END AS ae FROM e),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (illegal) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {first} FROM c
+  UNION ALL
+  SELECT conv_id, i, s0, s1, u AS s2, least(s3, {_put("u")}) AS s3 FROM (
+    SELECT conv_id, i, s0, s1, least(s2, {_put("s0")}, {_put("s1")}, {_put("s3")}) AS u, s3 FROM (
+      SELECT r.conv_id, g.i, {drop("s0")} AS s0, least({drop("s1")}, {_edit("s0", "sc", "'K'")}) AS s1, least({drop("s2")}, {user("s0")}, {user("s1")}, {user("s3")}) AS s2, least({drop("s3")}, {assistant("s2")}) AS s3
+      FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1))
+), b AS (SELECT c.*, least(s0, s3).c AS cost, least(s0, s3).a AS audit FROM r JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.n = r.i),
+-- the letters of the audit: which turn each is about, and which place its turn has in the repaired conversation
+l AS (SELECT conv_id, p, substr(audit, p, 1) AS e FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM b)),
+m AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS j FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+q AS (SELECT m.conv_id, j, e, CASE WHEN e = 'K' THEN g.role END AS role, CASE WHEN e = 'I' THEN '' ELSE g.text END AS text FROM m LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM m.conv_id AND g.i = m.i WHERE e <> 'D'),
+h AS (SELECT *, max(CASE WHEN j = 1 AND substr(role, 1, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM q),
+z AS (SELECT conv_id, sha256(string_agg(coalesce(role, CASE WHEN (j - 1 - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j)) AS repaired_sha256 FROM h GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+OP12_SQL = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORD}) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS f FROM d),
+v AS (SELECT unnest(regexp_extract_all({_LOWERED}, {_PLAIN_WORD})) AS f FROM benchmark),
+k AS (SELECT f, {_CRC.format(_BYTES.format("f"))} % 10000 AS bucket FROM (SELECT f FROM u UNION SELECT f FROM v), t),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (f) GROUP BY bucket), r AS (SELECT bucket, count(*) AS t FROM v JOIN k USING (f) GROUP BY bucket),
+g AS (SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * CAST((SELECT count(*) FROM u) + 10000 AS DOUBLE) / ((coalesce(s, 0) + 1) * CAST((SELECT count(*) FROM v) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(0, 10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN r USING (bucket)),
+w AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM u JOIN k USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+e AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM y LEFT JOIN e USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS body FROM c)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length('### ' || role || ': ' || body || '</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("n_templates")
 
@@ -147,6 +222,18 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_query(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.chat_query(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -156,10 +243,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scan, op2_toxicity, op3_ngram_jaccard, op4_language_id, op5_jump_sharding,
-        op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules, pipeline,
+        op6_quality, op7_token_orc, op8_winnowing, op9_pivotal_mixing, op10_repetition_rules, op11_turn_repair, op12_importance_resampling, op13_reply_trees, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op3_ngram_jaccard": OP3_SQL, "op8_winnowing": OP8_SQL, "op10_repetition_rules": OP10_SQL}
+    return {"op1_license_scan": _op1_sql(), "op3_ngram_jaccard": OP3_SQL, "op8_winnowing": OP8_SQL, "op10_repetition_rules": OP10_SQL, "op11_turn_repair": _op11_sql(), "op12_importance_resampling": OP12_SQL, "op13_reply_trees": OP13_SQL}
