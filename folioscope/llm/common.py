@@ -80,14 +80,21 @@ def held_out(doc_id: str, modulus: int, which: int):
     return F.coalesce(remainder(doc_id, modulus) == F.lit(which), F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, seed: int, total: int | None = None) -> DataFrame:
-    """About ``bound`` rows, chosen by a hash of ``key``: the same rows on every run.
+def bounded_sample(df: DataFrame, keys: tuple[str, ...], bound: int, seed: int, total: int | None = None) -> DataFrame:
+    """About ``bound`` distinct rows at most, chosen by a hash of ``keys``: the same rows on every run.
 
-    Only used to fit classifiers. Each row stands alone, so no sort or limit gathers rows.
+    ``keys`` must tell rows apart, so that an id which repeats with other texts is not chosen as a whole, and
+    rows equal in them count once. Each distinct row stands alone: of N rows the chosen ones are
+    within a few root ``bound`` of the bound. Only used to fit classifiers; no sort or limit gathers rows.
     """
     total = df.count() if total is None else total
-    if total <= bound:
-        return df
-    slots = 1_000_000
-    keep = max(1, int(slots * bound / total))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(slots)) < keep)
+    if total > bound:
+        slots = 1_000_000_000
+        keep = max(1, int(slots * bound / total))
+        df = df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(slots)) < keep)
+    return df.dropDuplicates(list(keys))
+
+
+def one_text_each(docs: DataFrame, *keys: str) -> DataFrame:
+    """keys and text: of the rows with equal keys the text of the least hash, so an id that repeats gives one row."""
+    return docs.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

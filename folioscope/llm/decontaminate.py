@@ -73,21 +73,30 @@ def _window(k: int):
     return lambda i: F.struct(i.alias("place"), F.lit(k).alias("length"), F.get(f"f{k}", i).alias("print"), F.array_join(F.slice("words", i + 1, k), " ").alias("text"))
 
 
-def _is_met(k: int, only: Column):
-    return lambda i: F.array_contains(only, F.get(f"f{k}", i))
+def _of_length(k: int):
+    return lambda w: w["length"] == k
 
 
-def _window_rows(df: DataFrame, lengths: list[int], only: Column | None = None) -> DataFrame:
-    """One row for each window: key, place, length, print, text. ``only`` is an array of the prints to keep."""
+def _printed_place(k: int):
+    return lambda i: F.struct(F.lit(k).alias("length"), i.alias("place"), F.get(f"f{k}", i).alias("print"))
+
+
+def _window_rows(df: DataFrame, lengths: list[int], at: Column | None = None) -> DataFrame:
+    """One row for each window: key, place, length, print, text. ``at`` is an array of struct(length, place) of those to keep."""
     parts = []
     for k in lengths:
-        at = _places(F.col("n"), k)
-        if only is not None:
-            at = F.filter(at, _is_met(k, only))
-        parts.append(F.transform(at, _window(k)))
+        places = _places(F.col("n"), k) if at is None else F.transform(F.filter(at, _of_length(k)), lambda w: w["place"])
+        parts.append(F.transform(places, _window(k)))
     return df.select("key", "n", F.explode(F.concat(*parts)).alias("w")).select("key", "n", "w.*")
 
 
+def _met_places(printed: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """key and ``at``: the windows (length, place) whose fingerprint is one of ``prints``, found by a join."""
+    each = [F.transform(_places(F.col("n"), k), _printed_place(k)) for k in lengths]
+    windows = printed.select("key", F.explode(F.concat(*each)).alias("w")).select("key", "w.*")
+    return windows.join(prints, "print", "left_semi").groupBy("key").agg(F.collect_list(F.struct("length", "place")).alias("at"))
+
+
 def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     """(windows, groups, lengths): print, text and group of each distinct window; the items of each
     group, those that have the same windows in common; and the window lengths that occur, at most SPAN of them."""
@@ -110,12 +119,13 @@ def _hits(docs: DataFrame, windows: DataFrame, groups: DataFrame, lengths: list[
     texts = docs.select(_row_key().alias("key"), "text")
     printed = _with_fingerprints(texts.select("key", words_of(F.col("text")).alias("words")), lengths)
     prints = F.concat(*[F.array_distinct(f"f{n}") for n in lengths])
-    met = printed.select("key", F.explode(prints).alias("print")).join(windows.select("print").distinct(), "print", "left_semi")
-    met = written(met.groupBy("key").agg(F.collect_set("print").alias("met")), "bench-met")
-    # copies of a row have one key and one result, so one of them is enough
-    again = texts.join(met, "key").groupBy("key").agg(F.min("text").alias("text"), F.first("met").alias("met"))
-    again = again.select("key", "met", words_of(F.col("text")).alias("words"))
-    found = _window_rows(_with_fingerprints(again, lengths), lengths, F.col("met"))
+    known = windows.select("print").distinct()
+    met = written(printed.select("key", F.explode(prints).alias("print")).join(known, "print", "left_semi").select("key").distinct(), "bench-met")
+    # only texts with a fingerprint in common are taken up again; copies of a row have one key and one result, so one of them is enough
+    again = texts.join(met, "key").groupBy("key").agg(F.min("text").alias("text"))
+    again = written(again.select("key", words_of(F.col("text")).alias("words")), "bench-texts")
+    places = _met_places(_with_fingerprints(again, lengths), known, lengths)
+    found = _window_rows(_with_fingerprints(again, lengths).join(places, "key"), lengths, F.col("at"))
     # the extension: all words of the window are those of an item's
     found = written(found.join(windows, ["print", "text"]).select("key", "place", "length", "group"), "bench-found")
     by_place = W.partitionBy("key").orderBy("place", "length")

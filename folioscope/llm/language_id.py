@@ -166,14 +166,14 @@ def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_language_model(docs: DataFrame, fold: int | None = 2, modulus: int = 4, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Train on about ``sample_rows`` rows with an id, a text and a language and outside the held-out
+    """Train on about ``sample_rows`` distinct rows with an id, a text and a language and outside the held-out
     remainder; None if there are none. The driver takes their n-gram counts, at most 2^BUCKET_BITS for
     each row whatever its length, and no text."""
     small_batches(docs.sparkSession)
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull())
     if fold is not None:
         labelled = labelled.where(remainder("doc_id", modulus) != fold)
-    picked = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", sample_rows, 4)
+    picked = bounded_sample(labelled.select("doc_id", "text", "lang"), ("doc_id", "text", "lang"), sample_rows, 4)
     counted = picked.mapInArrow(_count_all, "doc_id long, lang string, found array<int>, counts array<int>")
     got = counted.orderBy("doc_id", "lang", "found", "counts").select("lang", "found", "counts").toPandas()
     return train_on_counts(list(zip(got["found"], got["counts"], strict=True)), got["lang"].tolist()) if len(got) else None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_sample, held_out, remainder, small_batches
+from folioscope.llm.common import bounded_sample, held_out, one_text_each, remainder, small_batches
 from folioscope.llm.words import LOWER, SPACED, Words, blocks, grams
 
 #: Training rows at most (about): trusted positives, and unlabelled texts.
@@ -240,15 +240,16 @@ def _score(batches: Iterator[pa.RecordBatch], model: QualityModel | None) -> Ite
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fold: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_POSITIVE, SAMPLE_UNLABELLED)) -> QualityModel | None:
     """Train on about ``sample`` trusted positives and unlabelled texts, both outside the held-out
-    remainder; None without either. Rows without an id are not learned from."""
+    remainder; None without either. Rows without an id are not learned from; of a labelled id that
+    repeats with several texts one is learned from, and repeated rows count once."""
     small_batches(docs.sparkSession)
     good = labels.select("doc_id").where("doc_id is not null and quality = 1").distinct()
     body = docs.select("doc_id", "text").where("doc_id is not null")
     if fold is not None:
         good, body = good.where(remainder("doc_id", modulus) != fold), body.where(remainder("doc_id", modulus) != fold)
     # both samples have a documented bound; only their inputs come to the driver
-    positive = body.join(F.broadcast(bounded_sample(good, "doc_id", sample[0], 61)), "doc_id")
-    unlabelled = bounded_sample(body, "doc_id", sample[1], 62)
+    positive = one_text_each(body.join(F.broadcast(bounded_sample(good, ("doc_id",), sample[0], 61)), "doc_id"), "doc_id")
+    unlabelled = bounded_sample(body, ("doc_id", "text"), sample[1], 62)
     found = []
     for part in (positive, unlabelled):
         got = part.mapInArrow(_features, _FEATURE_DDL).orderBy("doc_id", "x").select("x").toPandas()

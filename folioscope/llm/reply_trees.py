@@ -67,19 +67,20 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     met = nodes.join(known, ["tree", "parent"], "left").withColumn("up", F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent")))
-    now = written(met.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "reply-up")
-    jumps, before = [], None
+    last = written(met.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "reply-up")
+    settled, jumps, before = last.where("up is null"), [], None
     while True:
-        open_ = now.where("up is not null")
+        open_ = last.where("up is not null")
         left = open_.count()
         if left in (0, before):
             break
         before = left
         jumps.append(open_.select("tree", "node", "up"))
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("above"))
+        above = settled.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("above"))
         went = open_.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("above")).alias("total"))
-        now = written(now.where("up is null").unionByName(went), "reply-up")
-    return now.where("up is null").select("tree", "node", "depth", "total"), jumps
+        last = written(went, "reply-up")
+        settled = settled.unionByName(last.where("up is null"))
+    return settled.select("tree", "node", "depth", "total"), jumps
 
 
 def ranked_branches(nodes: DataFrame, reached: DataFrame) -> DataFrame:
@@ -99,10 +100,10 @@ def path_messages(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
 
     Round k adds to each listed message the one 2^k steps further up, so each is listed once.
     """
-    found = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
+    found = written(chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back")), "reply-path")
     for k, jump in enumerate(jumps):
         further = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
-        found = written(found.unionByName(further), "reply-path")
+        found = found.unionByName(written(further, "reply-path"))
     return found
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import bounded_sample, held_out, remainder, small_batches
+from folioscope.llm.common import bounded_sample, held_out, one_text_each, remainder, small_batches
 from folioscope.llm.words import LOWER, PLAIN, Words, blocks
 
 #: Training rows at most (about) of each label: the network is fitted on a hash-chosen sample.
@@ -377,19 +377,20 @@ def _score_all(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterat
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: int | None = 1, modulus: int = 3, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> Network | None:
     """Train on about ``sample`` toxic and clean rows outside the held-out remainder; None without both labels.
 
-    Rows without an id and labels other than 0 and 1 are not learned from.
+    Rows without an id and labels other than 0 and 1 are not learned from. A repeated label counts once, and
+    of an id that repeats with several texts one is learned from, so the rows are bounded by ``sample``.
     """
-    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
+    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").distinct()
     if fold is not None:
         known = known.where(remainder("doc_id", modulus) != fold)
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not count.get(0) or not count.get(1):
         return None
-    picked = bounded_sample(known.where("toxic = 1"), "doc_id", sample[0], 21, count[1])
-    picked = picked.unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", sample[1], 22, count[0]))
+    picked = bounded_sample(known.where("toxic = 1"), ("doc_id", "toxic"), sample[0], 21, count[1])
+    picked = picked.unionByName(bounded_sample(known.where("toxic = 0"), ("doc_id", "toxic"), sample[1], 22, count[0]))
     # the sample has a documented bound, so it may be broadcast, and only its texts come to the driver
     short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_FIT_TEXT)
-    got = short.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text", "toxic").toPandas()
+    got = one_text_each(short.join(F.broadcast(picked), "doc_id"), "doc_id", "toxic").orderBy("doc_id", "text", "toxic").toPandas()
     return train(got["text"].tolist(), got["toxic"].tolist(), count[1] / (count[0] + count[1]))
 
 
