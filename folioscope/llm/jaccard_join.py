@@ -46,6 +46,10 @@ FREQUENT = 1 << 20
 VERY_FREQUENT = 2048
 #: Sets of one group that meet in one block of the second round: outside its largest component, and all.
 X_BLOCK, Y_BLOCK = 4096, 1024
+#: Prefix rows that a task packs together, and rows of one part of the shingles on average.
+CHUNK_ROWS, PART_ROWS = 1 << 20, 1 << 18
+#: Pairs of one hub that meet in one block, to which the hub's set is sent once.
+PAIR_BLOCK = 4096
 #: Bits of the filter that spares texts without a candidate the third pass; it only saves work.
 FILTER_BITS = 1 << 26
 #: Longs of a folded sketch in the second round (2,048 bits); it only saves pairs.
@@ -105,14 +109,37 @@ def may_link(differ: int, na: int, nb: int) -> bool:
     return (200 - PERCENT * 2) * (na + nb) >= (200 + PERCENT * 2) * differ
 
 
-def order_prefix(t: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """The prefix of a set under one of the hash orders: the upper 32 bits of its smallest values.
+def order_bits(n: int) -> int:
+    """Bits that a prefix value of a set of ``n`` keeps: so many that prefixes without a common shingle seldom meet."""
+    return min(48, 14 + prefix_length(n).bit_length())
 
-    Equal shingles have equal values, so sets that share a prefix shingle share one of these.
+
+def order_prefix(t: np.ndarray, factor: np.uint64) -> bytes:
+    """The prefix of a set under one of the hash orders: the upper bits of its smallest values, as steps of 16 bits.
+
+    Equal shingles have equal values, so sets that share a prefix shingle share one of these. A step of
+    65,535 or more is written as 65,535 and what remains.
     """
     p = prefix_length(len(t))
-    x = t * factor
-    return (np.partition(x, p - 1)[:p] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    x = np.sort(np.partition(t * factor, p - 1)[:p]) >> np.uint64(64 - order_bits(len(t)))
+    steps = np.diff(x.astype(np.int64), prepend=0)
+    long = steps // 65535
+    out = np.full(int(long.sum()) + p, 65535, np.uint16)
+    out[np.arange(p) + np.cumsum(long)] = steps % 65535
+    return out.tobytes()
+
+
+def prefix_values(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
+
+
+def prefixes_meet(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    """Whether two prefixes share a value, at the bits that both have."""
+    bits = min(order_bits(na), order_bits(nb))
+    x, y = prefix_values(a) >> (order_bits(na) - bits), prefix_values(b) >> (order_bits(nb) - bits)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return bool((y[at] == x).any())
 
 
 def shared_elements(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,11 +174,11 @@ class Frequent:
 
 _PROFILE = pa.schema(
     [
-        ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())),
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("second", pa.binary()), ("third", pa.binary()),
         ("token", pa.int64()), ("many", pa.int64()),
     ]
 )
-_PROFILE_DDL = "doc_id long, row long, n long, key long, sketch binary, second array<int>, third array<int>, token long, many long"
+_PROFILE_DDL = "doc_id long, row long, n long, key long, sketch binary, second binary, third binary, token long, many long"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,31 +212,105 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_shingles(profile: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and levels (log2 of the count) of at most ``most`` shingles, the most frequent ones."""
+    """Sorted hashes and levels (log2 of the count) of about ``most`` shingles, the most frequent ones."""
     counted = written(profile.where("token is not null").groupBy("token").agg(F.floor(F.log2(F.sum("many"))).cast("int").alias("level")), "frequent")
     by_level = dict(counted.groupBy("level").count().collect())
-    kept, least = 0, 64
+    kept, chosen = 0, F.lit(False)
     for level in sorted(by_level, reverse=True):
+        some = F.col("level") == level
         if kept + by_level[level] > most:
+            # of the last level as many as fit, by hash
+            some = some & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int((most - kept) / by_level[level] * (1 << 30)))
+        chosen, kept = chosen | some, kept + by_level[level]
+        if kept > most:
             break
-        kept, least = kept + by_level[level], level
-    got = counted.where(F.col("level") >= least).toPandas()
+    got = counted.where(chosen).toPandas()
     order = np.argsort(got["token"].to_numpy().view(np.uint64), kind="stable")
     return got["token"].to_numpy().view(np.uint64)[order], got["level"].to_numpy().astype(np.uint8)[order]
 
 
-_PREFIX = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("central", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+_PARTS = pa.schema([("part", pa.int32()), ("body", pa.binary())])
+_PARTS_DDL = "part int, body binary"
+#: Bytes of what is kept of a shingle, of a set's number in a block, and of a salt; of a key, a size and a centrality.
+_ROW_BYTES, _SET_BYTES = (6, 4, 4), (8, 4, 2)
+
 
+def _spread(out: np.ndarray, begin: np.ndarray, count: np.ndarray, width: int, values: np.ndarray) -> None:
+    """Write the lowest ``width`` bytes of ``values`` in planes: for each block all highest bytes first, then the next ones.
+
+    Block b has ``count[b]`` values and begins at byte ``begin[b]``; equal planes compress well.
+    """
+    first, many = np.repeat(begin, count), np.repeat(count, count)
+    within = np.arange(len(values)) - np.repeat(np.cumsum(count) - count, count)
+    for plane in range(width):
+        out[first + plane * many + within] = (values >> np.uint64(8 * (width - 1 - plane))).astype(np.uint8)
 
-def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Prefix shingles of each distinct set of this task, under the first order."""
+
+def _gathered(raw: np.ndarray, at: int, count: int, width: int) -> np.ndarray:
+    planes = raw[at : at + count * width].reshape(width, count)
+    out = np.zeros(count, np.uint64)
+    for plane in planes:
+        out = out << np.uint64(8) | plane
+    return out
+
+
+def pack_parts(token: np.ndarray, salt: np.ndarray, owner: np.ndarray, key: np.ndarray, n: np.ndarray, central: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Prefix rows dealt to parts by shingle and salt, one block of bytes for each part.
+
+    ``owner`` numbers the sets, whose ``key``, size and centrality stand once in a block. Of a shingle 48 bits
+    are kept, in steps: equal ones stay equal, and a few that fall together only make candidates.
+    """
+    token = token >> np.uint64(16)
+    part = (mix(token ^ (salt.astype(np.uint64) << np.uint64(48))) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((token, part))
+    part, token, salt, owner = part[order], token[order], salt[order], owner[order]
+    names, first, rows = np.unique(part, return_index=True, return_counts=True)
+    step = np.diff(token, prepend=np.uint64(0))
+    step[first] = token[first]
+    pairs, which = np.unique(part << 32 | owner, return_inverse=True)
+    sets = np.bincount(np.searchsorted(names, pairs >> 32), minlength=len(names))
+    local = which - np.repeat(np.cumsum(sets) - sets, rows)
+    length = 8 + sum(_SET_BYTES) * sets + sum(_ROW_BYTES) * rows
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    out, at, one = np.zeros(offsets[-1], np.uint8), offsets[:-1].copy(), np.ones(len(names), np.int64)
+    of = (pairs & 0xFFFFFFFF).astype(np.int64)
+    columns = [(one, 4, rows), (one, 4, sets), *zip([sets] * 3, _SET_BYTES, (key[of], n[of], central[of]), strict=True), *zip([rows] * 3, _ROW_BYTES, (step, local, salt), strict=True)]
+    for count, width, values in columns:
+        _spread(out, at, count, width, values.astype(np.int64).view(np.uint64) if values.dtype != np.uint64 else values)
+        at += width * count
+    body = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), body], schema=_PARTS)
+
+
+def unpack_part(body: bytes) -> tuple[np.ndarray, ...]:
+    """token, salt, key, n, central of each row of a block."""
+    raw = np.frombuffer(body, np.uint8)
+    rows, sets = (int(_gathered(raw, at, 1, 4)[0]) for at in (0, 4))
+    at, got = 8, []
+    for count, width in (*((sets, w) for w in _SET_BYTES), *((rows, w) for w in _ROW_BYTES)):
+        got.append(_gathered(raw, at, count, width))
+        at += count * width
+    key, n, central, step, local, salt = got
+    local = local.astype(np.int64)
+    return np.cumsum(step, dtype=np.uint64), salt.astype(np.int64), key.view(np.int64)[local], n.astype(np.int64)[local], central.astype(np.int64)[local]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.ndarray, parts: int, chunk_rows: int) -> Iterator[pa.RecordBatch]:
+    """Prefix shingles of each distinct set of this task, under the first order, packed by part."""
     maybe = np.zeros(1 << 22, bool)
     maybe[(token >> np.uint64(42)).astype(np.int64)] = True
     seen: set[int] = set()
     very = int(math.log2(VERY_FREQUENT))
     any_key = lambda key: int(mix(np.array([key], np.int64).view(np.uint64))[0] >> np.uint64(16))
+    held: list[tuple] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in held]
+        key, n, central = (np.array([x[k] for x in held], np.int64) for k in (2, 3, 4))
+        return pack_parts(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.repeat(np.arange(len(held)), sizes), key, n, central, parts)
+
     for batch in batches:
-        out = []
         for _, _, data, offsets in blocks(batch.column(1)):
             for t in shingle_sets(data, offsets):
                 n = len(t)
@@ -218,47 +319,60 @@ def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.nd
                     continue
                 seen.add(key)
                 p = prefix_length(n)
+                size += p
                 often = np.flatnonzero(maybe[(t >> np.uint64(42)).astype(np.int64)])
                 if len(often):
                     at = np.minimum(np.searchsorted(token, t[often]), len(token) - 1)
                     often, at = often[token[at] == t[often]], at[token[at] == t[often]]
                 if not len(often):
-                    out.append((t[:p], np.zeros(p, np.int32), key, n, 0))
-                    continue
-                rank = np.zeros(n, np.uint8)
-                rank[often] = level[at] + 1
-                first = np.argsort(rank, kind="stable")[:p]
-                # a level is one less than the rank; each more of it doubles the salts
-                salts = np.int64(1) << np.maximum(rank[first].astype(np.int64) - 1 - very, 0)
-                salt = np.where(salts > 1, 1 + (any_key(key) & (salts - 1)), 0).astype(np.int32)
-                out.append((t[first], salt, key, n, int(1000 * rank.mean())))
-        if out:
-            sizes = [len(x[0]) for x in out]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])),
-                    pa.array(np.repeat(np.array([x[4] for x in out], np.int32), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[3] for x in out], np.int64), sizes)),
-                ],
-                schema=_PREFIX,
-            )
+                    held.append((t[:p], np.zeros(p, np.int64), key, n, 0))
+                else:
+                    rank = np.zeros(n, np.uint8)
+                    rank[often] = level[at] + 1
+                    first = np.argsort(rank, kind="stable")[:p]
+                    # a level is one less than the rank; each more of it doubles the salts
+                    salts = np.int64(1) << np.maximum(rank[first].astype(np.int64) - 1 - very, 0)
+                    salt = np.where(salts > 1, 1 + (any_key(key) & (salts - 1)), 0)
+                    held.append((t[first], salt, key, n, int(1000 * rank.mean())))
+                if size >= chunk_rows:
+                    yield packed()
+                    held.clear()
+                    size = 0
+    if held:
+        yield packed()
+
+
+_SHARED = pa.schema([("token", pa.int64()), ("salt", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("hub", pa.struct([("central", pa.int64()), ("key", pa.int64()), ("n", pa.int64())]))])
+_SHARED_DDL = "token long, salt long, key long, n long, hub struct<central:long,key:long,n:long>"
+
+
+def shared_in_part(part: pa.Table) -> pa.Table:
+    """The rows of one part whose shingle several sets have: token, salt, key, n and the shingle's hub, the most central set.
+
+    A set that came in several tasks counts once. A very frequent shingle is dealt by its salt, so its rows
+    meet in many parts; a salt is kept even if it has one set here, as others may have more.
+    """
+    token, salt, key, n, central = (np.concatenate(c) for c in zip(*[unpack_part(b.as_py()) for b in part.column("body")], strict=True))
+    order = np.lexsort((key, salt, token))
+    token, salt, key, n, central = (x[order] for x in (token, salt, key, n, central))
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+    again = np.zeros(len(token), bool)
+    again[1:] = ~new[1:] & (key[1:] == key[:-1])
+    token, salt, key, n, central, new = (x[~again] for x in (token, salt, key, n, central, new))
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    kept = (np.bincount(group) > 1)[group] | (salt > 0)
+    best = np.maximum.reduceat(central, first)
+    # keys are in order within a group, so the last of the most central ones has the largest
+    hub = np.maximum.reduceat(np.where(central == best[group], np.arange(len(key)), -1), first)[group][kept]
+    hubs = pa.StructArray.from_arrays([pa.array(central[hub]), pa.array(key[hub]), pa.array(n[hub])], fields=list(_SHARED.field("hub").type))
+    return pa.Table.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(salt[kept]), pa.array(key[kept]), pa.array(n[kept]), hubs], schema=_SHARED)
 
 
 def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows of shingles that several sets have: token, key, n, and the shingle's hub.
-
-    A very frequent shingle is dealt by its salt, so its rows meet in many tasks; the hubs of its
-    salts then give the one of the shingle.
-    """
-    group = W.partitionBy("token", "salt")
-    rows = prefixes.select("token", "salt", "key", "n", F.max(F.struct("central", "key", "n")).over(group).alias("hub"), F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
-    # a set that came in several tasks counts once; this needs no shuffle of its own
-    return rows.where("lo <> hi or salt > 0").select("token", "salt", "key", "n", "hub").dropDuplicates(["token", "salt", "key"])
-
-
 def _one_hub(shared: DataFrame) -> DataFrame:
     """token, key, n, hub, hub_n with one hub for each shingle.
 
@@ -373,19 +487,47 @@ def _facts(rows: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFram
     return rows.join(keys, "key", "left_semi").groupBy("key").agg(*facts)
 
 
+def _in_blocks(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, ...) with a ``block`` of their set a, and (a, blocks) of the sets with more than one block."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    many = written(many, "jaccard-blocks")
+    block = F.coalesce(F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"), F.lit(0))
+    return pairs.join(many, "a", "left").withColumn("block", block).drop("blocks"), many
+
+
+def _to_blocks(side: DataFrame, many: DataFrame) -> DataFrame:
+    """What is known of each set a, once for each of its blocks."""
+    return side.join(many, "a", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+
+
 def _sides(pairs: DataFrame, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """The pairs (a, b) with columns of both sets."""
+    """The pairs (a, b) with columns of both sets; those of a are sent once for each block of its pairs."""
     sets = _facts(rows, pairs.select(F.explode(F.array("a", "b")).alias("key")), names)
     one, two = (sets.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
-    return pairs.join(one, "a").join(two, "b")
+    pairs, many = _in_blocks(pairs)
+    return pairs.join(two, "b").join(_to_blocks(one, many), ["a", "block"])
+
+
+def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets share a prefix shingle under the second and the third order."""
+    for batch in batches:
+        na, nb, *prefixes = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "second_a", "second_b", "third_a", "third_b"))
+        ok = [prefixes_meet(x, i, y, j) and prefixes_meet(u, i, v, j) for i, j, x, y, u, v in zip(na, nb, *prefixes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in _MET], names=list(_MET)).filter(pa.array(ok, pa.bool_()))
+
+
+_MET = ("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
+_MET_DDL = "a long, b long, n_a long, n_b long, row_a long, row_b long, sketch_a binary, sketch_b binary"
+
+
+def _with_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    return _sides(pairs, rows, ("n", "row", "sketch", "second", "third"))
 
 
 def in_all_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix shingle under the second and the third order too, with what
     verification needs of both sets: size, row and sketch."""
-    met = _sides(pairs, rows, ("n", "row", "sketch", "second", "third"))
-    met = met.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-    return met.select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
+    return _with_orders(pairs, rows).mapInArrow(_in_orders, _MET_DDL)
 
 
 def _by_sketch(batches: Iterator[pa.RecordBatch], slack: int) -> Iterator[pa.RecordBatch]:
@@ -430,12 +572,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, filter_bits:
     if again:
         sketches = _sides(pairs, rows, ("n", "row", "sketch")).select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
         pairs = written(sketches.mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL).select("a", "b"), "jaccard-pairs")
-    near = in_all_orders(pairs, rows).mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL)
+    near = _with_orders(pairs, rows).mapInArrow(lambda it: _by_sketch(_in_orders(it), slack), _NEAR_DDL)
     near = written(near, "jaccard-near")
     tokens = _tokens_of(texts, near, filter_bits)
     # the tokens of one row stand for all copies of its set; few sets are hubs, so each side takes its own
     one, two = (tokens.where(f"for_{x}").select(F.col("key").alias(x), F.col("row").alias(f"row_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-    both = near.join(one, ["a", "row_a"]).join(two, ["b", "row_b"]).select("a", "b", "n_a", "n_b", "t_a", "t_b")
+    near, many = _in_blocks(near)
+    both = near.join(two, ["b", "row_b"]).join(_to_blocks(one, many), ["a", "block", "row_a"]).select("a", "b", "n_a", "n_b", "t_a", "t_b")
     return both.mapInArrow(_by_sets, "a long, b long, differ long, link boolean").dropDuplicates(["a", "b"])
 
 
@@ -493,8 +636,10 @@ def _assigned(docs: DataFrame, frequent: int, filter_bits: int) -> tuple[DataFra
     profile = written(texts.mapInArrow(_profile, _PROFILE_DDL), "jaccard-profile")
     rows = profile.where("token is null")
     token, level = frequent_shingles(profile, frequent)
-    prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level), "token long, salt int, central int, key long, n long")
-    shared = written(_shared(prefixes), "jaccard-shared")
+    packed = rows.where("sketch is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+    parts, chunk_rows = max(16, -(-int(packed) // PART_ROWS)), CHUNK_ROWS
+    prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level, parts, chunk_rows), _PARTS_DDL)
+    shared = written(prefixes.groupBy("part").applyInArrow(shared_in_part, _SHARED_DDL), "jaccard-shared")
     sets = rows.where("key is not null").select("row", "n", "key", "sketch", "second", "third")
     hubs = _one_hub(shared)
     checked = written(_verified(_stars(hubs), sets, texts, filter_bits, slack=2), "jaccard-checked")

@@ -103,6 +103,10 @@ def test_very_frequent_shingles_are_salted(spark, monkeypatch):
     check_components(spark, list(enumerate(texts)))
 
 
+def _prefix(value):
+    return bytearray(np.array([value], np.uint16).tobytes())
+
+
 @pytest.mark.parametrize("broken", [0, 1])
 def test_each_order_filters(spark, monkeypatch, broken):
     """A candidate without a common prefix shingle under one of the further orders is no candidate."""
@@ -110,8 +114,8 @@ def test_each_order_filters(spark, monkeypatch, broken):
     d = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r["component_id"] for r in jaccard_join.near_duplicate_components(d).collect()} == {0}
     sets = spark.createDataFrame(
-        [(k, 10, k, bytearray(8), [k if i == broken else 7], [k if i == 1 - broken else 7]) for k, i in ((1, 0), (2, 0), (3, 2), (4, 2))],
-        "key long, n long, row long, sketch binary, second array<int>, third array<int>",
+        [(k, 10, k, bytearray(8), _prefix(k if i == broken else 7), _prefix(k if i == 1 - broken else 7)) for k, i in ((1, 0), (2, 0), (3, 2), (4, 2))],
+        "key long, n long, row long, sketch binary, second binary, third binary",
     )
     pairs = spark.createDataFrame([(1, 2), (3, 4)], "a long, b long")
     assert [(r["a"], r["b"]) for r in jaccard_join.in_all_orders(pairs, sets).collect()] == [(3, 4)]
@@ -173,10 +177,38 @@ def test_filters_lose_no_link():
             pa_, pb = (jaccard_join._unpacked(jaccard_join._packed(x)) for x in (a, b))
             assert jaccard_join.shared_elements(pa_, pb) == both
             for factor in jaccard_join.ORDERS:
-                assert set(jaccard_join.order_prefix(a, factor).tolist()) & set(jaccard_join.order_prefix(b, factor).tolist())
+                assert jaccard_join.prefixes_meet(jaccard_join.order_prefix(a, factor), len(a), jaccard_join.order_prefix(b, factor), len(b))
     assert linked > 50
 
 
+def test_prefix_values_are_read_back():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 80, 5000):
+        t = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        p = jaccard_join.prefix_length(len(t))
+        for factor in jaccard_join.ORDERS:
+            want = np.sort(t * factor)[:p] >> np.uint64(64 - jaccard_join.order_bits(len(t)))
+            assert jaccard_join.prefix_values(jaccard_join.order_prefix(t, factor)).tolist() == want.astype(np.int64).tolist()
+        # sets without a common shingle seldom meet
+        other = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        met = sum(jaccard_join.prefixes_meet(jaccard_join.order_prefix(t, f), len(t), jaccard_join.order_prefix(other, f), len(other)) for f in jaccard_join.ORDERS)
+        assert met < 2
+
+
+def test_packed_prefixes_are_read_back():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 20), replace=False)) for _ in range(50)]
+    token = np.concatenate(sets).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    owner = np.repeat(np.arange(50), [len(s) for s in sets])
+    salt = np.where(token % np.uint64(7) == 0, 1 + owner % 4, 0)
+    key, n, central = rng.integers(-(2**63), 2**63, 50), rng.integers(1, 10**6, 50), rng.integers(0, 64_000, 50)
+    batch = jaccard_join.pack_parts(token, salt, owner, key, n, central, 5)
+    assert sorted(set(batch.column(0).to_pylist())) == batch.column(0).to_pylist()
+    got = [r for body in batch.column(1) for r in zip(*(x.tolist() for x in jaccard_join.unpack_part(body.as_py())), strict=True)]
+    want = zip((token >> np.uint64(16)).tolist(), salt.tolist(), key[owner].tolist(), n[owner].tolist(), central[owner].tolist(), strict=True)
+    assert sorted(got) == sorted(want)
+
+
 def test_frequent_counts_keep_what_is_frequent():
     f = jaccard_join.Frequent(most=8)
     rng = np.random.default_rng(0)
