@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
 from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, ranks
-from folioscope.plans import catalog, ranking, reports, search
+from folioscope.plans import catalog, fulltext, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
 from folioscope.streaming import ingest
@@ -530,6 +530,16 @@ def search_fragments(c: Corpus) -> DataFrame:
     return c.texts.join(found, "paper_id").select("paper_id", "rank", search.fragments(["the", "with"])(F.col("abstract")).alias("fragments"))
 
 
+@query(fulltext.RANK_SQL)
+def fulltext_rank(c: Corpus) -> DataFrame:
+    return fulltext.ranked(fulltext.build_index(c.texts, "paper_id"), fulltext.ASKED)[0]
+
+
+@query()
+def fulltext_headlines(c: Corpus) -> DataFrame:
+    return fulltext.headlines(fulltext.build_index(c.texts, "paper_id"), c.texts, fulltext.ASKED, limit=50)
+
+
 @query(experiments.MOVES_SQL, mapped=True)
 def rank_moves(c: Corpus) -> DataFrame:
     a, b = [F.desc("citation_count"), F.asc("work_id")], [F.desc("year"), F.desc("citation_count"), F.asc("work_id")]
