@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.order_stats import quantiles
+from folioscope.operators.ranks import before
+
 from folioscope.session import checkpoint_dir
 
 
@@ -79,23 +82,8 @@ FROM (SELECT source, 'good' AS label, quality = 1 AS v FROM labels JOIN document
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """Round-robin folds inside each class, in the order of the key.
-
-    Rows are numbered in two steps, so that a class need not fit in one task: inside blocks of
-    the key's range, and by the number of rows in the blocks before.
-    """
-    blocks = 64
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return df.withColumn("fold", F.lit(0))
-    width = (hi - lo) // blocks + 1
-    b = df.withColumn("block", F.floor((F.col(key) - lo) / width).cast("int"))
-    sizes = b.groupBy(label, "block").count()
-    earlier = F.coalesce(F.sum("count").over(W.partitionBy(label).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col(label).alias("_l"), F.col("block").alias("_b"), earlier.alias("earlier"))
-    nth = F.row_number().over(W.partitionBy(label, "block").orderBy(key))
-    placed = b.withColumn("nth", nth).join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("block") == F.col("_b")))
-    return placed.withColumn("fold", F.pmod(F.col("earlier") + F.col("nth") - 1, F.lit(k)).cast("int")).drop("_l", "_b", "earlier", "nth", "block")
+    """Round-robin folds inside each class, in the order of the key, whatever the size of a class or the spread of the keys."""
+    return before(df, [label], [F.col(key).asc_nulls_first()], {"_nth": F.lit(1)}).withColumn("fold", F.pmod("_nth", F.lit(k)).cast("int")).drop("_nth")
 
 
 FOLDS_SQL = "SELECT doc_id, quality = 1 AS good, CAST((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels JOIN documents USING (doc_id)"
@@ -107,8 +95,8 @@ def impute_and_scale(df: DataFrame, value: str, fold: str, k: int) -> DataFrame:
     A feature without spread becomes 0. Each row is in k - 1 training sets: one exploded aggregation.
     """
     train = df.select(value, F.explode(F.expr(f"filter(sequence(0, {k - 1}), f -> f <> {fold})")).alias("test"))
-    median = train.groupBy("test").agg(F.coalesce(F.median(value), F.lit(0.0)).alias("median"))
-    filled = train.join(median, "test").withColumn("x", F.coalesce(value, "median"))
+    median = quantiles(train, value, {"median": 0.5}, "test")
+    filled = train.join(median, "test", "left").withColumn("median", F.coalesce("median", F.lit(0.0))).withColumn("x", F.coalesce(value, "median"))
     stats = filled.groupBy("test").agg(F.first("median").alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     both = df.join(stats, df[fold] == stats["test"]).withColumn("x", F.coalesce(value, "median"))
     return both.withColumn("z", F.when(F.col("sd") > 0, F.round((F.col("x") - F.col("mean")) / F.col("sd"), 5)).otherwise(0.0))
@@ -122,8 +110,8 @@ s AS (SELECT test, any_value(median) AS median, avg(coalesce(v, median)) AS mean
 SELECT doc_id, fold, round((coalesce(v, median) - mean) / sd, 5) AS z FROM d JOIN s ON fold = test"""
 
 
-def logistic_by_descent(df: DataFrame, features: list[str], label: str, fold: str, epochs: int = 6000, rate: float = 0.15, penalty: float = 1e-3) -> DataFrame:
-    """(test fold, weights, bias): full-batch gradient descent with an L2 penalty on all but the bias.
+def logistic_by_descent(df: DataFrame, features: list[str], label: str, fold: str, k: int = 5, epochs: int = 6000, rate: float = 0.15, penalty: float = 1e-3) -> DataFrame:
+    """(test fold, weights, bias) for each of ``k`` folds: full-batch gradient descent with an L2 penalty on all but the bias.
 
     Every fold's training rows are one group. Equal rows of it come as one with their number, which
     gives the same gradient, so a task holds as many rows as there are distinct ones.
@@ -138,7 +126,7 @@ def logistic_by_descent(df: DataFrame, features: list[str], label: str, fold: st
             b -= rate * error.sum() / many.sum()
         return pd.DataFrame({"test": [int(pdf["test"].iloc[0])], "weights": [np.round(w, 4).tolist()], "bias": [round(float(b), 4)]})
 
-    folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col(fold))).alias("test")
+    folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))).alias("test")
     counted = df.select(*features, label, folds).groupBy("test", *features, label).agg(F.count(F.lit(1)).alias("_many"))
     return counted.groupBy("test").applyInPandas(fit, "test int, weights array<double>, bias double")
 

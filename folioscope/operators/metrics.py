@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.order_stats import joined_back, quantiles
 from folioscope.operators.ranks import before
+from folioscope.session import stored
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
@@ -16,8 +18,8 @@ def roc_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     Null without both labels. Scores are first counted, so the ranks come from distinct values.
     """
     counted = df.where(F.col(label).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("rank", below + (F.col("n") + 1) / 2.0)
+    placed = before(counted, list(by), [F.col(score).asc_nulls_first()], {"_below": F.col("n")})
+    ranked = placed.withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     negatives = F.col("n") - F.col("p")
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * negatives)
@@ -111,9 +113,10 @@ FROM c"""
 def distribution(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, nulls, distinct values, minimum, quartiles (linear interpolation), maximum and mean."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = df.groupBy(*by).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"))
-    return d.select(*by, "n", "nulls", "distinct_values", "min", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("p25", "median", "p75"))], "max", "mean")
+    d = df.groupBy(*by).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), F.count_distinct(v).alias("distinct_values"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 6).alias("mean"))
+    names = ("p25", "median", "p75")
+    d = joined_back(d, quantiles(df, value, dict(zip(names, (0.25, 0.5, 0.75), strict=True)), *by), list(by))
+    return d.select(*by, "n", "nulls", "distinct_values", "min", *[F.round(n, 6).alias(n) for n in names], "max", "mean")
 
 
 DISTRIBUTION_SQL = """
@@ -133,7 +136,10 @@ CORRELATION_SQL = "SELECT source_slug, round(corr(year::DOUBLE, citation_count::
 def rank_displacement(a: DataFrame, b: DataFrame, key: str, rank: str = "rank") -> DataFrame:
     """How far shared rows move between two rankings: mean, median, 90th percentile and maximum."""
     moved = a.select(key, F.col(rank).alias("ra")).join(b.select(key, F.col(rank).alias("rb")), key).select(F.abs(F.col("ra") - F.col("rb")).alias("d"))
-    return moved.agg(F.count("d").alias("shared"), F.round(F.avg("d"), 6).alias("mean"), F.percentile("d", 0.5).alias("median"), F.round(F.percentile("d", 0.9), 6).alias("p90"), F.max("d").alias("max"))
+    moved = stored(moved, "moved")
+    one = moved.agg(F.count("d").alias("shared"), F.round(F.avg("d"), 6).alias("mean"), F.max("d").alias("max"))
+    found = quantiles(moved, "d", {"median": 0.5, "p90": 0.9})
+    return one.crossJoin(F.broadcast(found)).select("shared", "mean", "median", F.round("p90", 6).alias("p90"), "max")  # one row each
 
 
 RANK_DISPLACEMENT_SQL = """

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, ranks
+from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, order_stats, ranks
 from folioscope.plans import catalog, fulltext, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
@@ -221,7 +221,7 @@ def hybrid_blend(c: Corpus) -> DataFrame:
     SELECT o_orderkey, o_totalprice, min(o_totalprice) OVER (PARTITION BY o_orderpriority) AS mn, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS mx FROM orders)"""
 )
 def min_max_scores(c: Corpus) -> DataFrame:
-    return c.table("orders").select(F.col("o_orderkey").alias("work_id"), F.round(numeric.min_max(F.col("o_totalprice"), F.col("o_orderpriority")), 6).alias("scaled"))
+    return order_stats.min_max(c.table("orders"), "o_totalprice", "scaled", "o_orderpriority").select(F.col("o_orderkey").alias("work_id"), F.round("scaled", 6).alias("scaled"))
 
 
 @query("SELECT vec_id AS work_id, round(1 / (1 + exp(-(0.25 + (embedding[1]::DOUBLE - 0.1) / 0.2 * 1.5 + (embedding[2]::DOUBLE + 0.1) / 0.3 * -0.7))), 6) AS probability FROM embeddings")

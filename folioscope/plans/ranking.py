@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.numeric import clamp01, score6
+from folioscope.functions.numeric import clamp01, exact_score, millionths, score6
 from folioscope.operators.bridges import overlap
 from folioscope.operators.ranks import numbered
 from folioscope.plans.catalog import POOL_SQL, in_low_cite_pool, top_topics
@@ -54,6 +54,19 @@ def partial_score(weights: Weights, semantic: Column, velocity: Column, growth:
     return F.when(weight > 0, total).otherwise(0.0) - weights.penalty * F.coalesce(penalty, F.lit(0.0))
 
 
+def _hundredths(weight: float) -> int:
+    return round(100 * weight)
+
+
+def final_score(weights: Weights, semantic: Column, velocity: Column, growth: Column, bridge: Column, penalty: Column) -> Column:
+    """``partial_score`` of signals kept to six places, to six places, in whole numbers; halves go away from zero."""
+    parts = [(_hundredths(w), x) for w, x in ((weights.semantic, semantic), (weights.velocity, velocity), (weights.growth, growth), (weights.bridge, bridge))]
+    weight = sum((F.when(x.isNotNull(), w).otherwise(0) for w, x in parts), F.lit(0)).cast("long")
+    total = sum((F.coalesce(w * millionths(x), F.lit(0)) for w, x in parts), F.lit(0).cast("long"))
+    less = _hundredths(weights.penalty) * F.coalesce(millionths(penalty), F.lit(0))
+    return F.when(weight > 0, exact_score(100 * total - less * weight, 100.0 * weight)).otherwise(exact_score(-less, F.lit(100.0)))
+
+
 def candidates(c: Corpus) -> DataFrame:
     """Included works with their distinct topic ids."""
     topics = c.work_topics.groupBy("work_id").agg(F.collect_set("topic_id").alias("topic_ids"))
@@ -113,7 +126,7 @@ def paper_scores(c: Corpus, bridge: DataFrame | None = None, semantic: DataFrame
         sem = F.col("semantic_score") if family == "emerging" else none
         bri = F.col("bridge_score") if family == "bridge" else none
         eligible = F.col("bridge_eligible") if family == "bridge" else F.lit(None).cast("boolean")
-        final = score6(partial_score(weights[family], sem, F.col("velocity"), F.col("growth"), bri, penalty[family]))
+        final = final_score(weights[family], sem, F.col("velocity"), F.col("growth"), bri, penalty[family])
         return F.struct(
             F.lit(family).alias("family"), score6(sem).alias("semantic"), F.col("velocity").alias("velocity"), F.col("growth").alias("growth"), score6(bri).alias("bridge"),
             score6(penalty[family]).alias("penalty"), F.coalesce(final, F.lit(0.0)).alias("final_score"), eligible.alias("eligible"), F.lit(REASONS[family]).alias("reason"),
@@ -134,20 +147,21 @@ sig AS (
   SELECT rate.*, round(r / max(r) OVER (), 6) AS velocity, coalesce(g.growth, 0.0) AS growth, round(1.0 - n_topics / most::DOUBLE, 6) AS breadth,
     round(ln(1 + citation_count) / max(CASE WHEN in_pool THEN ln(1 + citation_count) END) OVER (), 6) AS popularity
   FROM rate LEFT JOIN growth g USING (work_id)
+), parts AS (
+  SELECT *, CAST(round(velocity * 1000000) AS BIGINT) AS v, CAST(round(growth * 1000000) AS BIGINT) AS g, CAST(round(breadth * 1000000) AS BIGINT) AS b, CAST(round(popularity * 1000000) AS BIGINT) AS p FROM sig
 ), scores AS (
-  SELECT work_id, 'emerging' AS family, velocity, growth, 0.0::DOUBLE AS penalty, round(0.6 * velocity + 0.4 * growth, 6)::DOUBLE AS final_score FROM sig
-  UNION ALL SELECT work_id, 'bridge', velocity, growth, breadth, round(0.35 * velocity + 0.65 * growth - 0.2 * breadth, 6)::DOUBLE FROM sig
-  UNION ALL SELECT work_id, 'undercited', velocity, growth, popularity, round(0.3 * velocity + 0.7 * growth - 0.25 * popularity, 6)::DOUBLE FROM sig WHERE in_pool
+  SELECT work_id, 'emerging' AS family, velocity, growth, 0.0::DOUBLE AS penalty, round((60 * v + 40 * g) / 100.0::DOUBLE) / 1000000.0::DOUBLE AS final_score FROM parts
+  UNION ALL SELECT work_id, 'bridge', velocity, growth, breadth, round((35 * v + 65 * g - 20 * b) / 100.0::DOUBLE) / 1000000.0::DOUBLE FROM parts
+  UNION ALL SELECT work_id, 'undercited', velocity, growth, popularity, round((30 * v + 70 * g - 25 * p) / 100.0::DOUBLE) / 1000000.0::DOUBLE FROM parts WHERE in_pool
 )"""
 
 
 def score_view(c: Corpus) -> DataFrame:
-    """Scores rounded for comparison. A tie is moved off the edge first, as engines round ties differently."""
-    s = paper_scores(c)
-    return s.select("work_id", "family", "velocity", "growth", "penalty", (F.round(F.col("final_score") + 1e-7, 4) + 0.0).alias("final_score"))
+    """Scores and the signals they come from."""
+    return paper_scores(c).select("work_id", "family", "velocity", "growth", "penalty", (F.col("final_score") + 0.0).alias("final_score"))
 
 
-SCORE_VIEW_SQL = SCORES_CTE + " SELECT work_id, family, velocity, growth, penalty, round(final_score + 1e-7, 4) + 0.0 AS final_score FROM scores"
+SCORE_VIEW_SQL = SCORES_CTE + " SELECT work_id, family, velocity, growth, penalty, final_score + 0.0 AS final_score FROM scores"
 
 
 def ranked_list(c: Corpus, scores: DataFrame, family: str, limit: int, eligible_only: bool = False) -> DataFrame:
@@ -191,6 +205,9 @@ def explanations(scores: DataFrame) -> DataFrame:
     def weight(name: str) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for f in FAMILIES for x in (f, getattr(WEIGHTS[f], name))]), F.col("family"))
 
+    def whole(w: Column) -> Column:
+        return F.round(w * 100).cast("long")
+
     total = sum((F.when(F.col(n).isNotNull(), weight(n)).otherwise(0.0) for n in names), F.lit(0.0))
 
     def strength(x: Column) -> Column:
@@ -200,20 +217,20 @@ def explanations(scores: DataFrame) -> DataFrame:
     for n in names:
         x, w = F.col(n), weight(n)
         role = F.when(x.isNull(), "not_computed").when(w > 0, "used").otherwise("measured")
-        parts.append(F.struct(F.lit(n).alias("signal"), role.alias("role"), x.alias("value"), F.when(x.isNotNull(), F.when(total > 0, w / total * x).otherwise(0.0)).alias("contribution"), strength(x).alias("strength")))
+        parts.append(F.struct(F.lit(n).alias("signal"), role.alias("role"), x.alias("value"), F.when(x.isNotNull(), F.when(total > 0, exact_score(whole(w) * millionths(x), 100.0 * total)).otherwise(0.0)).alias("contribution"), strength(x).alias("strength")))
     penalty = F.coalesce("penalty", F.lit(0.0))
-    parts.append(F.struct(F.lit("penalty").alias("signal"), F.lit("penalty").alias("role"), penalty.alias("value"), (-weight("penalty") * penalty).alias("contribution"), strength(penalty).alias("strength")))
+    parts.append(F.struct(F.lit("penalty").alias("signal"), F.lit("penalty").alias("role"), penalty.alias("value"), exact_score(-whole(weight("penalty")) * millionths(penalty), F.lit(100.0)).alias("contribution"), strength(penalty).alias("strength")))
     each = scores.select("work_id", "family", F.explode(F.array(*parts)).alias("s")).select("work_id", "family", "s.*")
-    return each.withColumn("contribution", F.round(F.col("contribution") + 1e-8, 5) + 0.0)
+    return each.withColumn("contribution", F.col("contribution") + 0.0)
 
 
 EXPLANATIONS_SQL = SCORES_CTE + """
-, w AS (SELECT * FROM (VALUES ('emerging', 0.6, 0.4, 0.05), ('bridge', 0.35, 0.65, 0.2), ('undercited', 0.3, 0.7, 0.25)) t(family, v, g, p)),
+, w AS (SELECT * FROM (VALUES ('emerging', 60, 40, 5), ('bridge', 35, 65, 20), ('undercited', 30, 70, 25)) t(family, v, g, p)),
 s AS (SELECT work_id, scores.family, velocity, growth, penalty, v, g, p FROM scores JOIN w ON w.family = scores.family),
-x AS (SELECT work_id, family, 'velocity' AS signal, 'used' AS role, velocity AS value, v * velocity AS c FROM s UNION ALL SELECT work_id, family, 'growth', 'used', growth, g * growth FROM s
-  UNION ALL SELECT work_id, family, 'penalty', 'penalty', penalty, -p * penalty FROM s
+x AS (SELECT work_id, family, 'velocity' AS signal, 'used' AS role, velocity AS value, v * CAST(round(velocity * 1000000) AS BIGINT) AS c FROM s UNION ALL SELECT work_id, family, 'growth', 'used', growth, g * CAST(round(growth * 1000000) AS BIGINT) FROM s
+  UNION ALL SELECT work_id, family, 'penalty', 'penalty', penalty, -p * CAST(round(penalty * 1000000) AS BIGINT) FROM s
   UNION ALL SELECT work_id, family, 'semantic', 'not_computed', NULL, NULL FROM s UNION ALL SELECT work_id, family, 'bridge', 'not_computed', NULL, NULL FROM s)
-SELECT work_id, family, signal, role, value, round(c + 1e-8, 5) + 0.0 AS contribution, CASE WHEN value >= 0.66 THEN 'high' WHEN value >= 0.33 THEN 'medium' WHEN value IS NOT NULL THEN 'low' END AS strength FROM x"""
+SELECT work_id, family, signal, role, value, round(c / 100.0::DOUBLE) / 1000000.0::DOUBLE + 0.0 AS contribution, CASE WHEN value >= 0.66 THEN 'high' WHEN value >= 0.33 THEN 'medium' WHEN value IS NOT NULL THEN 'low' END AS strength FROM x"""
 
 
 def evaluation_arms(c: Corpus, scores: DataFrame, family: str = "undercited", k: int = 50) -> DataFrame:
