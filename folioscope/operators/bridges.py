@@ -39,12 +39,10 @@ def bridge_rows(vectors: DataFrame, k: int = 15) -> DataFrame:
 
 def top_half_cutoff(rows: DataFrame) -> DataFrame:
     """One row: the score at place (n + 1) div 2 from the top, as the top-half eligibility takes it."""
-    n = rows.where("bridge_score is not null").agg(F.count(F.lit(1)).alias("n"))
-    counted = rows.where("bridge_score is not null").groupBy("bridge_score").count()
-    # a running count over distinct scores, not over rows
-    above = F.sum("count").over(W.orderBy(F.desc("bridge_score")).rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = counted.withColumn("upto", above).crossJoin(F.broadcast(n)).where(F.col("upto") >= F.greatest(F.lit(1), F.floor((F.col("n") + 1) / 2)))
-    return placed.agg(F.max("bridge_score").alias("cutoff"))
+    counted = rows.where("bridge_score is not null").groupBy("bridge_score").agg(F.count(F.lit(1)).alias("ties"))
+    n = counted.agg(F.sum("ties").alias("n"))
+    placed = before(counted, [], [F.desc("bridge_score")], {"above": F.col("ties")}).crossJoin(F.broadcast(n))  # one row
+    return placed.where(F.col("above") + F.col("ties") >= F.greatest(F.lit(1), F.floor((F.col("n") + 1) / 2))).agg(F.max("bridge_score").alias("cutoff"))
 
 
 def eligibility(rows: DataFrame, k: int = 15, cross_min: float = 0.40, excluded_ids: tuple[int, ...] = ()) -> DataFrame:
@@ -110,6 +108,59 @@ def residual_head(rows: DataFrame, emerging: DataFrame, penalty: float, k: int =
     return both.withColumn("objective", objective).where("objective is not null").orderBy(F.desc("objective"), "work_id").limit(k).select("work_id", "objective")
 
 
+#: Penalties of the redesign simulation.
+PENALTIES = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+
+
+def redesign(rows: DataFrame, emerging: DataFrame, penalties: tuple[float, ...] = PENALTIES, k: int = 20) -> DataFrame:
+    """For each penalty, over all works and over eligible ones: the head by bridge score less penalty times emerging score.
+
+    All objectives are scored in one pass; a limit on places keeps k rows of each in every task before the shuffle.
+    Says how much of the head the emerging head and the unpenalised head share, its mean scores, and whether the
+    mean emerging score falls (or stays) as the penalty grows, as it must.
+    """
+    both = rows.select("work_id", "bridge_score", "eligible").where("bridge_score is not null").join(emerging.select("work_id", F.coalesce("score", F.lit(0.0)).alias("other")), "work_id", "left").fillna(0.0, ["other"])
+    pools = F.array(F.lit("all"), F.when(F.col("eligible"), F.lit("eligible")))
+    each = both.withColumn("pool", F.explode(F.array_compact(pools))).withColumn("penalty", F.explode(F.array(*[F.lit(p) for p in penalties])))
+    each = each.withColumn("objective", F.round(F.col("bridge_score") - F.col("penalty") * F.col("other"), 5))
+    nth = F.row_number().over(W.partitionBy("pool", "penalty").orderBy(F.desc("objective"), "work_id"))
+    heads = each.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("pool", "penalty")
+    heads = heads.agg(F.array_sort(F.collect_list("work_id")).alias("ids"), F.round(F.avg("bridge_score"), 5).alias("mean_bridge"), F.round(F.avg("other"), 5).alias("mean_emerging"), F.round(F.min("objective"), 5).alias("least_objective"))
+    heads = stored(heads, "heads")  # a row for each pool and penalty
+    plain = heads.where(F.col("penalty") == min(penalties)).select("pool", F.col("ids").alias("plain"))
+    other = head_ids(emerging, "score", "work_id", k).withColumnRenamed("ids", "emerging")
+    met = heads.join(plain, "pool").crossJoin(F.broadcast(other))  # one row
+    fell = F.col("mean_emerging") <= F.lag("mean_emerging").over(W.partitionBy("pool").orderBy("penalty"))
+    return met.select(
+        "pool", "penalty", F.size("ids").alias("head_size"), overlap(F.col("ids"), F.col("emerging"))["jaccard"].alias("vs_emerging_jaccard"), overlap(F.col("ids"), F.col("plain"))["jaccard"].alias("vs_plain_jaccard"),
+        "mean_bridge", "mean_emerging", "least_objective", F.coalesce(fell, F.lit(True)).alias("monotone"),
+    )
+
+
+#: Variants of the grid that tighten one condition step by step, loosest first.
+LADDERS = {
+    "top_percent": ("bridge_score_top_75pct", "bridge_score_top_50pct", "bridge_score_top_25pct"),
+    "distinct_clusters": ("distinct_neighbor_clusters_gte_2", "distinct_neighbor_clusters_gte_3"),
+    "same_share": ("same_cluster_share_lte_0_75", "same_cluster_share_lte_0_6", "same_cluster_share_lte_0_5"),
+    "cross_share": ("cross_cluster_share_gte_0_25", "cross_cluster_share_gte_0_4", "cross_cluster_share_gte_0_5"),
+}
+
+
+def failure_analysis(grid: DataFrame) -> DataFrame:
+    """For each ladder of the sensitivity grid: whether tightening it leaves fewer works, and moves the head away from the emerging one.
+
+    ``grid`` has a row for each variant. A variant without a work has none: its step is skipped and ``steps`` counts those there are.
+    """
+    steps = [F.struct(F.lit(name).alias("ladder"), F.lit(i).alias("step"), F.lit(v).alias("variant")) for name, variants in LADDERS.items() for i, v in enumerate(variants)]
+    place = F.explode(F.filter(F.array(*steps), lambda s: s["variant"] == F.col("variant"))).alias("s")
+    each = grid.select("eligible_total", "vs_emerging_jaccard", "candidate", place).select("s.ladder", "s.step", "eligible_total", "vs_emerging_jaccard", "candidate")
+    before_it = W.partitionBy("ladder").orderBy("step")
+    fewer = F.coalesce(F.col("eligible_total") <= F.lag("eligible_total").over(before_it), F.lit(True))
+    away = F.coalesce(F.col("vs_emerging_jaccard") <= F.lag("vs_emerging_jaccard").over(before_it), F.lit(True))
+    marked = each.withColumn("fewer", fewer).withColumn("away", away)
+    return marked.groupBy("ladder").agg(F.count(F.lit(1)).alias("steps"), F.bool_and("fewer").alias("works_monotone"), F.bool_and("away").alias("jaccard_monotone"), F.bool_or("candidate").alias("any_candidate"), F.min("vs_emerging_jaccard").alias("least_jaccard"))
+
+
 def churn(old: DataFrame, new: DataFrame, k: int) -> DataFrame:
     """How the head changes between two ranked runs (work_id, rank): entering, dropped and moved works."""
     a = old.where(F.col("rank") <= k).select("work_id", F.col("rank").alias("old_rank"))
@@ -153,3 +204,19 @@ j AS (SELECT h.*, len(list_intersect(head, f.l)) AS hf, len(list_intersect(head,
 k AS (SELECT *, round(hf / (nh + nf - hf)::DOUBLE, 6) AS jf, round(hg / (nh + ng - hg)::DOUBLE, 6) AS jg, round(fg / (nf + ng - fg)::DOUBLE, 6) AS jb FROM j)
 SELECT variant, eligible_total, CAST(nh AS INTEGER) AS head_size, jf AS vs_full_jaccard, jg AS vs_emerging_jaccard, CAST(hg AS INTEGER) AS vs_emerging_shared, round(jb - jg, 6) AS delta, median_bridge_score,
   round(jb - jg, 6) >= 0.1 AS improves, round(jb - jg, 6) >= 0.1 AND nh >= 20 AND eligible_total >= 40 AS candidate FROM k"""
+
+_LADDER_ROWS = ", ".join(f"('{name}', {i}, '{v}')" for name, variants in LADDERS.items() for i, v in enumerate(variants))
+FAILURE_SQL = f"""
+SELECT ladder, count(*) AS steps, bool_and(fewer) AS works_monotone, bool_and(away) AS jaccard_monotone, bool_or(candidate) AS any_candidate, min(vs_emerging_jaccard) AS least_jaccard
+FROM (SELECT ladder, candidate, vs_emerging_jaccard, coalesce(eligible_total <= lag(eligible_total) OVER w, true) AS fewer, coalesce(vs_emerging_jaccard <= lag(vs_emerging_jaccard) OVER w, true) AS away
+  FROM ({SENSITIVITY_SQL}) s JOIN (VALUES {_LADDER_ROWS}) l(ladder, step, variant) USING (variant) WINDOW w AS (PARTITION BY ladder ORDER BY step)) GROUP BY ladder"""
+REDESIGN_SQL = BRIDGE_CTE + f"""
+, cut AS (SELECT bridge_score AS cutoff FROM (SELECT bridge_score, row_number() OVER (ORDER BY bridge_score DESC) AS rn, count(*) OVER () AS n FROM rows_ WHERE bridge_score IS NOT NULL) WHERE rn = greatest(1, (n + 1) // 2)),
+o AS (SELECT pool, penalty, work_id, bridge_score, score, round(bridge_score - penalty * score, 5) AS objective FROM rows_ JOIN em USING (work_id), cut, (VALUES {', '.join(f'({p}::DOUBLE)' for p in PENALTIES)}) l(penalty), (VALUES ('all'), ('eligible')) q(pool)
+  WHERE pool = 'all' OR coalesce(n >= 15 AND bridge_score >= cutoff AND cross_share >= 0.4, false)),
+t AS (SELECT *, row_number() OVER (PARTITION BY pool, penalty ORDER BY objective DESC, work_id) AS nth FROM o QUALIFY nth <= 20),
+u AS (SELECT pool, penalty, list(work_id) AS ids, round(avg(bridge_score), 5) AS mean_bridge, round(avg(score), 5) AS mean_emerging, round(min(objective), 5) AS least_objective FROM t GROUP BY pool, penalty),
+g AS (SELECT list(work_id) AS l FROM (SELECT work_id FROM em ORDER BY score DESC, work_id LIMIT 20)),
+j AS (SELECT u.*, len(list_intersect(u.ids, g.l)) AS a, len(g.l) AS na, len(list_intersect(u.ids, p.ids)) AS b, len(p.ids) AS nb, len(u.ids) AS n FROM u JOIN u p ON p.pool = u.pool AND p.penalty = 0, g)
+SELECT pool, penalty, CAST(n AS INTEGER) AS head_size, round(a / (n + na - a)::DOUBLE, 6) AS vs_emerging_jaccard, round(b / (n + nb - b)::DOUBLE, 6) AS vs_plain_jaccard, mean_bridge, mean_emerging, least_objective,
+  coalesce(mean_emerging <= lag(mean_emerging) OVER (PARTITION BY pool ORDER BY penalty), true) AS monotone FROM j"""

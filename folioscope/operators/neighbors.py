@@ -45,6 +45,21 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -similarity[at]))][:k]
 
 
+def best_in_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k rows (side 1) most similar to each query (side 0) of one block, but not the query itself; ties by smaller id."""
+    q, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    out = []
+    if len(q) and len(r):
+        a, b = np.array(q["vector"].tolist()), np.array(r["vector"].tolist())
+        s = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
+        ids, names = r["work_id"].to_numpy(), r["cluster_id"].to_numpy()
+        for i, query in enumerate(q["work_id"].to_numpy()):
+            other = np.flatnonzero(ids != query)
+            at = other[_best(s[i][other], ids[other], k)]
+            out.append(pd.DataFrame({"query_id": query, "work_id": ids[at], "cluster_id": names[at], "similarity": s[i][at]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "work_id": [], "cluster_id": [], "similarity": []})
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, work_id, cluster_id, similarity, nth) of the k nearest works of every query but itself.
 
@@ -59,21 +74,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_B
     right = dealt[1].withColumnRenamed("block", "rb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1)))).withColumn("side", F.lit(1))
     columns = ["qb", "rb", "side", "work_id", "vector", "cluster_id"]
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = []
-        if len(q) and len(r):
-            a, b = np.array(q["vector"].tolist()), np.array(r["vector"].tolist())
-            s = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
-            ids, names = r["work_id"].to_numpy(), r["cluster_id"].to_numpy()
-            for i, query in enumerate(q["work_id"].to_numpy()):
-                other = np.flatnonzero(ids != query)
-                at = other[_best(s[i][other], ids[other], k)]
-                out.append(pd.DataFrame({"query_id": query, "work_id": ids[at], "cluster_id": names[at], "similarity": s[i][at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "work_id": [], "cluster_id": [], "similarity": []})
-
     schema = "query_id long, work_id long, cluster_id string, similarity double"
-    found = left.select(columns).unionByName(right.select(columns)).groupBy("qb", "rb").applyInPandas(search, schema)
+    found = left.select(columns).unionByName(right.select(columns)).groupBy("qb", "rb").applyInPandas(lambda pdf: best_in_block(pdf, k), schema)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "work_id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
 

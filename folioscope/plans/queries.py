@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, order_stats, ranks
+from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, order_stats, ranks, samplers, vector_index
 from folioscope.plans import catalog, fulltext, ranking, reports, search
 from folioscope.sources import files, upsert
 from folioscope.sources.corpus import Corpus, prelude
@@ -165,6 +165,22 @@ def residual_topk(c: Corpus) -> DataFrame:
     return bridges.residual_head(bridges.bridge_rows(c.vectors), _emerging(c), 0.5)
 
 
+@query(bridges.REDESIGN_SQL)
+def redesign_simulation(c: Corpus) -> DataFrame:
+    return bridges.redesign(bridges.eligibility(bridges.bridge_rows(c.vectors)), _emerging(c))
+
+
+@query(bridges.FAILURE_SQL)
+def eligibility_failures(c: Corpus) -> DataFrame:
+    return bridges.failure_analysis(bridges.sensitivity(bridges.eligibility(bridges.bridge_rows(c.vectors)), _emerging(c)))
+
+
+@query()
+def neighbors_by_index(c: Corpus) -> DataFrame:
+    index = vector_index.build_vector_index(c.vectors)
+    return vector_index.nearest_by_index(index, c.vectors.where(F.col("work_id") % 100 == 0), 15, probes=16)
+
+
 def _head(works: DataFrame, k: int, *order) -> DataFrame:
     head = works.orderBy(*order).limit(k)
     return head.select("work_id", F.row_number().over(W.orderBy(*order)).alias("rank"))
@@ -311,6 +327,13 @@ def metric_gates(c: Corpus) -> DataFrame:
     return labels.gates(m, [("enough_rows", "n", ">=", 100), ("good_share", "good", ">=", 0.9), ("toxic_share", "toxic", "<=", 0.2)]).withColumn("observed", F.round("observed", 6))
 
 
+@query(samplers.BUDGET_SQL)
+def budget_sample(c: Corpus) -> DataFrame:
+    d = c.table("labels").join(c.table("documents").select("doc_id", "source", "n_chars"), "doc_id").withColumn("size", F.floor(F.col("n_chars") / 1000))
+    budgets = [samplers.Budget("good-by-source", 0.8, ("source",), F.col("quality") == 1), samplers.Budget("rest-by-size", 0.2, ("size",))]
+    return samplers.sample_with_budgets(d, "doc_id", "blind-1", 100, budgets).select("doc_id", "bucket", "nth")
+
+
 @query()
 def hash_sample(c: Corpus) -> DataFrame:
     return labels.sample_by_hash(c.labels, "doc_id", "review-1", 5, "source").select("doc_id", "source", "nth")
