@@ -425,3 +425,32 @@ def test_quality_where_every_document_has_a_label(spark):
 
 def test_lower_is_ascii_only():
     assert lower("ÄB") == "Äb"
+
+
+# Samples for fitting
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """One id with 200,000 texts, and repeated labels, leave no more rows than the bound says."""
+    from pyspark.sql import functions as F
+
+    from folioscope.llm.common import bounded_sample, one_text_each
+
+    hot = spark.range(200_000, numPartitions=8).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    got = bounded_sample(hot, ("doc_id", "text"), 1000, 4)
+    assert 800 < got.count() < 1200
+    same = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    assert bounded_sample(same, ("doc_id", "text"), 1000, 4).count() <= 1
+    known = spark.createDataFrame([(7, 1)] * 500 + [(7, 0)] * 500, "doc_id long, toxic int").distinct()
+    assert one_text_each(hot.join(bounded_sample(known, ("doc_id", "toxic"), 1500, 21), "doc_id"), "doc_id", "toxic").count() == 2
+
+
+def test_fitting_with_one_hot_id(spark):
+    """Fits get one text of an id that repeats, so a hot id can't fill the sample; repeated labels count once."""
+    good, bad = "a calm and useful text about maps number {}", "you stupid idiot number {}"
+    texts = [(i, (bad if i % 4 == 0 else good).format(i)) for i in range(400)] + [(0, bad.format(f"x{i}")) for i in range(3000)]
+    d = table(spark, [(i, t, "en", "s", 0) for i, t in texts])
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(400)] * 2, "doc_id long, quality int, toxic int")
+    assert toxicity.fit_toxicity(d, labels, fold=None, sample=(50, 100)) is not None
+    assert quality.fit_quality(d, labels, fold=None, sample=(100, 200)) is not None
+    assert language_id.fit_language_model(d, fold=None, sample_rows=200) is not None

@@ -449,6 +449,16 @@ def test_clean_documents_goes_by_row(spark):
     assert rows(decontaminate.clean_documents(d, b), "doc_id", "key") == sorted([(1, 2), (None, 4), (2, 5), (2, 5)], key=repr)
 
 
+def test_decontamination_of_a_very_long_contaminated_text(spark):
+    """Places of fingerprints come from a join, so a text made of items alone costs no more than its words."""
+    rng = random.Random(4)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(500)]
+    text = " ".join(rng.choice(items) for _ in range(2500))
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find_contamination(spark.createDataFrame([(1, text), (2, "no such words here at all " * 3)], "doc_id long, text string"), b)
+    assert rows(got, "doc_id", "n_words", "n_hit") == [(1, 75_000, 75_000), (2, 18, 0)]
+
+
 def test_decontamination_cases(spark):
     t = table(spark, CASES)
     b = spark.createDataFrame([(1, CASES[0][1])], "item_id long, text string")
