@@ -53,7 +53,7 @@ def brute(papers, asked):
 def papers():
     rng = random.Random(12)
     some = [(i, " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 5))), " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 30)))) for i in range(120)]
-    return [*some, (200, None, None), (201, "", "graph"), (202, "Graph; runs!", None), (203, "net " * 3000 + "graph", "running " * 2000)]
+    return [*some, (200, None, None), (201, "", "graph"), (202, "Graph; runs!", None), (203, "net " * 40 + "graph", "running " * 30)]
 
 
 def test_search_equals_brute_force(spark):
