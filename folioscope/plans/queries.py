@@ -656,6 +656,83 @@ def sampling_bands(c: Corpus) -> DataFrame:
     return d.groupBy(text.year_band(F.col("y")).alias("year_band"), text.citation_band(F.col("n")).alias("citation_band")).agg(F.count(F.lit(1)).alias("papers"))
 
 
+# Keys, hashes and keyed changes
+
+
+_FOLDED = "replace(lower({0}), 'ß', 'ss')"
+_COLLAPSED = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def _identity_sql() -> str:
+    doi = "trim(CASE doc_id % 3 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN ' HTTP://DOI.ORG/' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '10.5/' || substr(text, 1, 12) END)"
+    collapsed = _COLLAPSED.format("coalesce(text, '')")
+    shown = f"CASE WHEN length({collapsed}) > 240 THEN rtrim(substr({collapsed}, 1, 239)) || '...' ELSE {collapsed} END"
+    return f"""SELECT doc_id, nullif(regexp_replace({_FOLDED.format(doi)}, '^(https?://doi\\.org/)+', ''), '') AS doi_key, substr({_COLLAPSED.format(_FOLDED.format("coalesce(text, '')"))}, 1, 280) AS title_key,
+  CASE WHEN doc_id % 2 = 0 THEN 'W' || doc_id END AS token, CASE WHEN {collapsed} <> '' THEN starts_with({_FOLDED.format(collapsed)}, substr({_FOLDED.format(shown)}, 1, 80)) END AS same FROM documents"""
+
+
+@query(_identity_sql())
+def identity_keys(c: Corpus) -> DataFrame:
+    n = F.col("doc_id")
+    doi = F.concat(F.when(n % 3 == 0, "https://doi.org/").when(n % 3 == 1, " HTTP://DOI.ORG/").otherwise(""), F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("10.5/"), F.substring("text", 1, 12))))
+    token = text.work_token(F.when(n % 2 == 0, F.concat(F.lit("https://works/w"), n)).otherwise("none"))
+    return c.table("documents").select("doc_id", text.doi_key(doi).alias("doi_key"), text.title_key(F.col("text")).alias("title_key"), token.alias("token"), text.prefix_match(text.preview(F.col("text")), F.col("text")).alias("same"))
+
+
+@query(f"SELECT item_id, {_COLLAPSED.format('text')} AS text FROM benchmark WHERE {_COLLAPSED.format('text')} <> ''")
+def text_rebuilt(c: Corpus) -> DataFrame:
+    index = text.positions_of_text(c.table("benchmark"), "item_id", "text")
+    maps = index.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
+    return maps.select("item_id", text.text_from_positions(F.col("index")).alias("text"))
+
+
+@query("SELECT source_slug, sha256(string_agg(DISTINCT CAST(work_id AS VARCHAR), chr(10) ORDER BY CAST(work_id AS VARCHAR)) || chr(10)) AS set_hash FROM included GROUP BY source_slug", mapped=True)
+def work_set_hashes(c: Corpus) -> DataFrame:
+    return c.included.groupBy("source_slug").agg(text.set_hash(F.col("work_id").cast("string")).alias("set_hash"))
+
+
+_STORED_SQL = "s AS (SELECT o_orderkey AS k, o_orderstatus AS a, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS b FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'new' END AS a, CASE WHEN o_orderkey % 4 = 0 THEN 'clerk' END AS b FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+def _keyed(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    o, k = c.table("orders"), F.col("o_orderkey")
+    old = o.where(k % 5 != 0).select(k.alias("k"), F.col("o_orderstatus").alias("a"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("b"))
+    return old, o.where(k % 3 == 0).select(k.alias("k"), F.when(k % 2 == 0, "new").alias("a"), F.when(k % 4 == 0, "clerk").alias("b"))
+
+
+@query(f"WITH {_STORED_SQL} SELECT k, coalesce(n.a, s.a) AS a, coalesce(n.b, s.b) AS b FROM s FULL JOIN n USING (k)")
+def upsert_keeping_values(c: Corpus) -> DataFrame:
+    return upsert.upsert_coalesce(*_keyed(c), ["k"])
+
+
+@query(f"WITH {_STORED_SQL} SELECT * FROM s UNION ALL SELECT * FROM n WHERE k NOT IN (SELECT k FROM s)")
+def insert_if_absent(c: Corpus) -> DataFrame:
+    return upsert.insert_absent(*_keyed(c), ["k"])
+
+
+@query(f"WITH {_STORED_SQL} SELECT * FROM s WHERE k NOT IN (SELECT k FROM n)")
+def delete_joined(c: Corpus) -> DataFrame:
+    old, new = _keyed(c)
+    return upsert.delete_where_joined(old, new, ["k"])
+
+
+@query("SELECT l_orderkey AS citing, l_partkey AS cited FROM lineitem WHERE l_orderkey % 4 <> 0 UNION ALL SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber <= 2")
+def edge_rewrite(c: Corpus) -> DataFrame:
+    lines = c.table("lineitem")
+    old, new = lines.select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")), lines.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("citing"), F.col("l_suppkey").alias("cited"))
+    return upsert.rewrite_edges(old, new, "citing", c.table("orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("citing")))
+
+
+@query(
+    """WITH r AS (SELECT event_id, 'run-' || user_id % 3 AS run, CASE WHEN event_id % 4 = 0 THEN 'train' ELSE 'audit_only' END AS split, CASE WHEN event_id % 11 <> 0 THEN 'row-' || user_id END AS row_id FROM events)
+    SELECT event_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY event_id) AS nth FROM r WHERE split = 'audit_only' AND run = 'run-1') WHERE nth = 1 OR row_id IS NULL"""
+)
+def audit_split(c: Corpus) -> DataFrame:
+    e, n = c.table("events"), F.col("event_id")
+    rows = e.select("event_id", F.concat(F.lit("run-"), F.col("user_id") % 3).alias("ranking_run_id"), F.when(n % 4 == 0, "train").otherwise("audit_only").alias("split"), F.when(n % 11 != 0, F.concat(F.lit("row-"), F.col("user_id"))).alias("row_id"))
+    return curation.audit_rows(rows, "run-1", "row_id", "event_id")[0].select("event_id", "row_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Corpus(spark, sf_dir))) for name, f in _QUERIES.items()}
 
