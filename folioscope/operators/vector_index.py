@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import SMALL_NORM, norm
-from folioscope.operators.neighbors import QUERY_BLOCK, best_in_block
+from folioscope.operators.neighbors import QUERY_BLOCK, best_in_block, nearest
 from folioscope.session import stored
 
 #: Vectors that the centroids are fitted on, about; cells at most (their centroids go to every task).
@@ -81,6 +81,24 @@ def build_vector_index(vectors: DataFrame, cells: int | None = None, sample_rows
     return VectorIndex(rows, stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-sizes"), centroids)
 
 
+def probes_for(index: VectorIndex, k: int, recall: float = 0.97, sample: int = 128) -> int:
+    """The fewest probes that find ``recall`` of the k exact neighbours of ``sample`` indexed vectors, chosen by a hash.
+
+    Each exact neighbour needs as many probes as the place of its cell in the order of its query, so one exact search of
+    a bounded sample decides; sample x k rows come to the driver.
+    """
+    picked = stored(index.rows.orderBy(F.xxhash64("work_id", F.lit("probes")), "work_id").limit(sample).select("work_id", "cluster_id", "vector"), "probe-sample")
+    exact = nearest(index.rows.select("work_id", "cluster_id", "vector"), picked, k).select("query_id", "work_id")
+    met = exact.join(index.rows.select("work_id", "cell"), "work_id").select("query_id", "cell").toPandas()
+    if not len(met):
+        return 1
+    own = picked.select("work_id", "vector").toPandas().drop_duplicates("work_id")
+    order = np.argsort(-(_unit(own["vector"]) @ index.centroids.T), axis=1, kind="stable")
+    place = dict(zip(own["work_id"], np.argsort(order, axis=1), strict=True))
+    needed = np.sort([place[q][c] + 1 for q, c in zip(met["query_id"], met["cell"], strict=True)])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
 def nearest_by_index(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, work_id, cluster_id, similarity, nth) of the k nearest works that the probed cells hold, but not the query itself."""
     usable = queries.where(norm(F.col("vector")) >= SMALL_NORM).select("work_id", "cluster_id", F.col("vector").cast("array<double>").alias("vector"))

@@ -178,7 +178,7 @@ def eligibility_failures(c: Corpus) -> DataFrame:
 @query()
 def neighbors_by_index(c: Corpus) -> DataFrame:
     index = vector_index.build_vector_index(c.vectors)
-    return vector_index.nearest_by_index(index, c.vectors.where(F.col("work_id") % 100 == 0), 15, probes=16)
+    return vector_index.nearest_by_index(index, c.vectors.where(F.col("work_id") % 100 == 0), 15, vector_index.probes_for(index, 15))
 
 
 def _head(works: DataFrame, k: int, *order) -> DataFrame:

@@ -82,7 +82,7 @@ def test_index_recall_and_exact_way(spark):
     exact = {(r["query_id"], r["work_id"]) for r in neighbors.nearest(vectors, queries, 10).collect()}
     index = vector_index.build_vector_index(vectors, sample_rows=1000)
     assert index.rows.count() == 3000  # every vector with a direction
-    got = {(r["query_id"], r["work_id"]) for r in vector_index.nearest_by_index(index, queries, 10, probes=12, block=64).collect()}
+    got = {(r["query_id"], r["work_id"]) for r in vector_index.nearest_by_index(index, queries, 10, vector_index.probes_for(index, 10), block=64).collect()}
     assert len(got & exact) / len(exact) >= 0.9
     every = {(r["query_id"], r["work_id"]) for r in vector_index.nearest_by_index(index, queries, 10, probes=10_000).collect()}
     assert every == exact
