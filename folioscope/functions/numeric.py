@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,10 @@ def exact_score(numerator: Column, denominator: Column) -> Column:
     Weights are hundredths and signals millionths, so a half is met exactly and no engine's decimal print decides.
     """
     return F.round(numerator / denominator) / 1e6
+
+
+def min_max(value: Column, *within: Column) -> Column:
+    """Scaled to [0, 1]; 0.5 for constant values. For groups that fit in a task; ``order_stats.min_max`` takes any."""
+    group = Window.partitionBy(*within)
+    lo, hi = F.min(value).over(group), F.max(value).over(group)
+    return F.when(hi == lo, 0.5).otherwise((value - lo) / (hi - lo))
