@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -110,27 +109,6 @@ s AS (SELECT test, any_value(median) AS median, avg(coalesce(v, median)) AS mean
 SELECT doc_id, fold, round((coalesce(v, median) - mean) / sd, 5) AS z FROM d JOIN s ON fold = test"""
 
 
-def logistic_by_descent(df: DataFrame, features: list[str], label: str, fold: str, k: int = 5, epochs: int = 6000, rate: float = 0.15, penalty: float = 1e-3) -> DataFrame:
-    """(test fold, weights, bias) for each of ``k`` folds: full-batch gradient descent with an L2 penalty on all but the bias.
-
-    Every fold's training rows are one group. Equal rows of it come as one with their number, which
-    gives the same gradient, so a task holds as many rows as there are distinct ones.
-    """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, many = pdf[features].to_numpy(float), pdf[label].to_numpy(float), pdf["_many"].to_numpy(float)
-        w, b = np.zeros(x.shape[1]), 0.0
-        for _ in range(epochs):
-            error = many * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-            w -= rate * (x.T @ error / many.sum() + penalty * w)
-            b -= rate * error.sum() / many.sum()
-        return pd.DataFrame({"test": [int(pdf["test"].iloc[0])], "weights": [np.round(w, 4).tolist()], "bias": [round(float(b), 4)]})
-
-    folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))).alias("test")
-    counted = df.select(*features, label, folds).groupBy("test", *features, label).agg(F.count(F.lit(1)).alias("_many"))
-    return counted.groupBy("test").applyInPandas(fit, "test int, weights array<double>, bias double")
-
-
 def sample_by_hash(df: DataFrame, key: str, seed: str, each: int, *by: str) -> DataFrame:
     """``each`` rows of each stratum, in the order of a hash of seed and key: the same ones on every run."""
     order = F.xxhash64(F.lit(seed), F.col(key))

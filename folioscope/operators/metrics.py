@@ -146,3 +146,46 @@ RANK_DISPLACEMENT_SQL = """
 WITH r AS (SELECT work_id, row_number() OVER (ORDER BY citation_count DESC, work_id) AS ra, row_number() OVER (ORDER BY year DESC, work_id) AS rb FROM included),
 d AS (SELECT abs(ra - rb) AS d FROM r)
 SELECT count(*) AS shared, round(avg(d), 6) AS mean, quantile_cont(d, 0.5)::DOUBLE AS median, round(quantile_cont(d, 0.9), 6)::DOUBLE AS p90, CAST(max(d) AS INTEGER) AS max FROM d"""
+
+
+def family_context(rows: DataFrame, family: str, score: str, rank: str, targets: list[str]) -> DataFrame:
+    """For each family and target: class counts, rows with a score or rank, median ranks and mean scores of both classes, AUC.
+
+    A row without a score takes no part in the mean and the AUC, one without a rank none in the median.
+    Means are cut, not rounded, to nine places, from scores in whole millionths.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in targets])).alias("p")
+    long = rows.select(family, F.col(score).alias("_score"), F.col(rank).alias("_rank"), pairs).select(family, "p.target", "p.y", "_score", "_rank")
+    long, by = stored(long, "context"), [family, "target"]
+    y, micro = F.col("y"), F.round(F.col("_score") * 1000000).cast("long")
+
+    def mean(name: str, of: Column) -> list[Column]:
+        return [F.sum(F.when(of, micro)).alias(f"_sum_{name}"), F.count_if(of & F.col("_score").isNotNull()).alias(f"_n_{name}")]
+
+    counts = long.groupBy(*by).agg(
+        F.count_if(y).alias("positive_count"), F.count_if(~y).alias("negative_count"), F.count_if(y.isNull()).alias("null_count"),
+        F.count("_score").alias("rows_with_score"), F.count("_rank").alias("rows_with_rank"), *mean("positive", y), *mean("negative", ~y),
+    )
+    for name in ("positive", "negative"):
+        whole = F.expr(f"_sum_{name} * 1000 div nullif(_n_{name}, 0)")
+        counts = counts.withColumn(f"mean_score_{name}", whole / F.lit(1000000000.0)).drop(f"_sum_{name}", f"_n_{name}")
+    middle = quantiles(long.where(y.isNotNull()), "_rank", {"_median": 0.5}, *by, "y")
+    medians = middle.groupBy(*by).agg(F.max(F.when(y, F.col("_median"))).alias("median_rank_positive"), F.max(F.when(~y, F.col("_median"))).alias("median_rank_negative"))
+    auc = roc_auc(long.where(F.col("_score").isNotNull()), "_score", "y", *by).select(*by, "roc_auc")
+    return joined_back(joined_back(counts, medians, by), auc, by)
+
+
+FAMILY_CONTEXT_SQL = """
+, k AS (SELECT work_id, family, final_score, rank() OVER (PARTITION BY family ORDER BY final_score DESC, work_id) AS rank FROM scores),
+r AS (SELECT f.family, w.work_id, final_score, rank, CASE WHEN w.work_id % 3 <> 0 THEN is_core_corpus END AS core, citation_count >= 4 AS cited
+  FROM included w CROSS JOIN (VALUES ('emerging'), ('bridge'), ('undercited')) f(family) LEFT JOIN k ON k.work_id = w.work_id AND k.family = f.family),
+l AS (SELECT family, 'core' AS target, core AS y, final_score, rank FROM r UNION ALL SELECT family, 'cited', cited, final_score, rank FROM r),
+u AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY family, target, final_score) - 1) / 2.0::DOUBLE AS up FROM l WHERE y IS NOT NULL AND final_score IS NOT NULL WINDOW w AS (PARTITION BY family, target ORDER BY final_score)),
+a AS (SELECT family, target, sum(y::INT) AS p, sum((NOT y)::INT) AS n, sum(CASE WHEN y THEN up END) AS s FROM u GROUP BY ALL)
+SELECT family, target, count(*) FILTER (WHERE y) AS positive_count, count(*) FILTER (WHERE NOT y) AS negative_count, count(*) FILTER (WHERE y IS NULL) AS null_count,
+  count(final_score) AS rows_with_score, count(rank) AS rows_with_rank,
+  (sum(CAST(round(final_score * 1000000) AS BIGINT)) FILTER (WHERE y))::BIGINT * 1000 // nullif(count(final_score) FILTER (WHERE y), 0) / 1000000000.0::DOUBLE AS mean_score_positive,
+  (sum(CAST(round(final_score * 1000000) AS BIGINT)) FILTER (WHERE NOT y))::BIGINT * 1000 // nullif(count(final_score) FILTER (WHERE NOT y), 0) / 1000000000.0::DOUBLE AS mean_score_negative,
+  median(rank) FILTER (WHERE y) AS median_rank_positive, median(rank) FILTER (WHERE NOT y) AS median_rank_negative,
+  any_value(CASE WHEN p > 0 AND n > 0 THEN round((s - p * (p + 1) / 2.0::DOUBLE) / (p * n), 6) END) AS roc_auc
+FROM l LEFT JOIN a USING (family, target) GROUP BY family, target"""

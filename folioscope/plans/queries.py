@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import numeric, policy, text, vectors
-from folioscope.operators import bridges, curation, experiments, labels, metrics, neighbors, order_stats, ranks, samplers, vector_index
+from folioscope.operators import bridges, curation, descent, experiments, labels, lineage, metrics, neighbors, order_stats, ranks, samplers, vector_index
 from folioscope.plans import catalog, fulltext, ranking, reports, search
-from folioscope.sources import files, upsert
+from folioscope.sources import files, plan_checks, upsert
 from folioscope.sources.corpus import Corpus, prelude
 from folioscope.streaming import ingest
 
@@ -313,7 +313,7 @@ def impute_zscore(c: Corpus) -> DataFrame:
 @query()
 def logistic_gd(c: Corpus) -> DataFrame:
     d = labels.stratified_folds(c.labels.select("doc_id", "good", (F.col("n_chars") / 1000.0).alias("x"), F.col("good").cast("double").alias("y")), "good", "doc_id", 5)
-    return labels.logistic_by_descent(d, ["x"], "y", "fold")
+    return descent.optimum(d, ["x"], "y", "fold")
 
 
 @query(
@@ -733,6 +733,56 @@ def audit_split(c: Corpus) -> DataFrame:
     return curation.audit_rows(rows, "run-1", "row_id", "event_id")[0].select("event_id", "row_id")
 
 
+# Versions of labels, candidate plans, scores of families
+
+
+def _label_versions(c: Corpus) -> DataFrame:
+    """Five versions of the labels, each with the rows of the one before, but for a few that it loses or alters."""
+    v = c.table("labels").withColumn("version", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
+    kept = v.where((F.col("doc_id") % 5 < F.col("version")) & ~((F.col("doc_id") % 41 == 0) & (F.col("version") == 4)))
+    return kept.withColumn("toxic", F.when((F.col("doc_id") % 37 == 0) & (F.col("version") >= 3), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+
+
+@query(lineage.CHAIN_SQL)
+def label_chain(c: Corpus) -> DataFrame:
+    return lineage.chain(_label_versions(c), "version", ["doc_id", "quality", "toxic"])
+
+
+@query(lineage.FAULTS_SQL)
+def label_faults(c: Corpus) -> DataFrame:
+    return lineage.faults(_label_versions(c), "version", "doc_id", ["doc_id", "quality", "toxic"])
+
+
+@query(plan_checks.VIOLATIONS_SQL)
+def plan_violations(c: Corpus) -> DataFrame:
+    """A plan of each customer's orders, some of them damaged."""
+    k, w = F.col("o_custkey"), F.col("o_orderkey")
+    year = F.year("o_orderdate")
+    late = w % 19 == 0
+    row = F.struct(
+        w.alias("w"), F.concat(F.lit("W"), w.cast("string")).alias("openalex_id"), F.when(w % 17 == 0, " ").otherwise(F.col("o_orderpriority")).alias("title"),
+        F.when(~late, year).alias("year"), F.when(late, year.cast("string")).alias("publication_year"),
+    )
+    each = c.table("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    plan = F.struct(
+        (F.size("rows") + F.when(k % 11 == 0, 1).otherwise(0)).alias("selected_total"), F.lit(5).alias("target_min"), F.lit(25).alias("target_max"),
+        F.when(k % 13 == 0, "none").otherwise("api_key").alias("auth_mode"), F.lit(True).alias("api_key_provided"), F.when(k % 23 == 0, "x").alias("service_api_key"),
+        F.array(F.lit("Dry-run only"), F.lit("no database writes")).alias("caveats"), F.transform("rows", lambda r: r.dropFields("w")).alias("selected_candidates"),
+    )
+    body = F.to_json(plan)
+    half = F.when(k % 7 == 0, F.expr("left(body, length(body) div 2)")).otherwise(F.col("body"))
+    plans = each.withColumn("body", body).select(k.alias("plan_id"), half.alias("body"))
+    return plan_checks.violations(plans, "plan_id", "body")
+
+
+@query(ranking.SCORES_CTE + metrics.FAMILY_CONTEXT_SQL, mapped=True)
+def family_context(c: Corpus) -> DataFrame:
+    scores = ranking.paper_scores(c).select("work_id", "family", "final_score")
+    placed = ranking.family_ranks(scores, c.included).join(scores, ["work_id", "family"], "left")
+    labelled = c.included.select("work_id", F.when(F.col("work_id") % 3 != 0, F.col("is_core_corpus")).alias("core"), (F.col("citation_count") >= 4).alias("cited"))
+    return metrics.family_context(placed.join(labelled, "work_id"), "family", "final_score", "rank", ["core", "cited"]).withColumn("roc_auc", F.round("roc_auc", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Corpus(spark, sf_dir))) for name, f in _QUERIES.items()}
 

@@ -15,7 +15,7 @@ def ingest_pages(spark: SparkSession, pages: str, table: str, checkpoint: str, f
 
     Each batch writes the changes it brings, in a partition of its own, and nothing else. A batch that
     runs again after a failure overwrites that partition, so each takes effect once. ``current_works``
-    gives the table's state.
+    gives the table's state; ``compact`` keeps what it reads bounded by the number of works.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -28,10 +28,64 @@ def ingest_pages(spark: SparkSession, pages: str, table: str, checkpoint: str, f
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_works(spark: SparkSession, table: str) -> DataFrame:
-    """The last change of each work: later pages win over earlier ones, and later batches over earlier ones."""
+def _base_folder(spark: SparkSession, table: str):  # noqa: ANN202
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}-base")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _bases(spark: SparkSession, table: str) -> list[int]:
+    """Last batches of the finished states, ascending; one that has no success mark was never finished."""
+    fs, folder = _base_folder(spark, table)
+    if not fs.exists(folder):
+        return []
+    done = [f.getPath() for f in fs.listStatus(folder) if f.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("upto=")) for p in done)
+
+
+def _state(spark: SparkSession, table: str) -> DataFrame:
+    """The newest finished state and the changes after it, with the batch of each row."""
+    bases = _bases(spark, table)
     changes = spark.read.parquet(table).withColumn("batch", F.col("batch").cast("long"))
-    return latest(changes, ["paper_id"], "batch").drop("batch", "page_index", "position")
+    if not bases:
+        return changes
+    # a partition filter: batches in the state are not read
+    return spark.read.parquet(f"{table.rstrip('/')}-base/upto={bases[-1]}").unionByName(changes.where(F.col("batch") > bases[-1]))
+
+
+def current_works(spark: SparkSession, table: str) -> DataFrame:
+    """The last change of each work: later pages win over earlier ones, and later batches over earlier ones.
+
+    Reads the newest state that ``compact`` left and the batches since.
+    """
+    return latest(_state(spark, table), ["paper_id"], "batch").drop("batch", "page_index", "position")
+
+
+def compact(spark: SparkSession, table: str, keep: int = 1) -> int:
+    """Fold all batches so far into a state of one row for each work; the number of its last batch.
+
+    The state is written beside the table and counts once its success mark is there, so a run that breaks
+    off leaves the one before in force. Batches go on arriving meanwhile; those after the last one are
+    not touched. Then batches that ``keep`` + 1 states hold are deleted, and states but the last
+    ``keep`` + 1: what a reader that began before this call may still read stays. Without a new
+    batch nothing is done. The last batch itself stays, as a stream may run it again.
+    """
+    numbers = sorted(int(r[0]) for r in spark.read.parquet(table).select("batch").distinct().collect())
+    bases = _bases(spark, table)
+    last = numbers[-1]
+    if bases and bases[-1] >= last:
+        return bases[-1]
+    latest(_state(spark, table).where(F.col("batch") <= last), ["paper_id"], "batch").write.mode("overwrite").parquet(f"{table.rstrip('/')}-base/upto={last}")
+    fs, folder = _base_folder(spark, table)
+    held = [*bases, last]
+    if len(held) > keep:
+        oldest = held[-keep - 1]
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for n in held[: -keep - 1]:
+            fs.delete(path(folder, f"upto={n}"), True)
+        for n in numbers:
+            if n <= oldest and n < last:
+                fs.delete(path(f"{table.rstrip('/')}/batch={n}"), True)
+    return last
 
 
 def watermarks(works: DataFrame, by: str = "source_slug", updated: str = "updated_date") -> DataFrame:
