@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import labels, metrics, neighbors, order_stats, samplers, vector_index
+from folioscope.operators import descent, labels, metrics, neighbors, order_stats, samplers, vector_index
 
 
 def test_quantiles_are_exact(spark):
@@ -36,7 +36,7 @@ def test_folds_of_any_number_are_even(spark, k):
     got = labels.stratified_folds(df, "y", "key", k).collect()
     for y in (True, False):
         assert [r["fold"] for r in sorted((r for r in got if r["y"] == y), key=lambda r: r["key"])] == [i % k for i in range(sum(r["y"] == y for r in got))]
-    fitted = labels.logistic_by_descent(labels.stratified_folds(df, "y", "key", k).withColumn("x", F.col("key") / 1000.0).withColumn("t", F.col("y").cast("double")), ["x"], "t", "fold", k, epochs=5)
+    fitted = descent.by_descent(labels.stratified_folds(df, "y", "key", k).withColumn("x", F.col("key") / 1000.0).withColumn("t", F.col("y").cast("double")), ["x"], "t", "fold", epochs=5)
     assert sorted(r["test"] for r in fitted.collect()) == list(range(k))
 
 
