@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.vectors import SMALL_NORM, norm
-from folioscope.operators.neighbors import QUERY_BLOCK, best_in_block, nearest
+from folioscope.operators.neighbors import FOUND, QUERY_BLOCK, best_in_block, nearest
 from folioscope.session import stored
 
 #: Vectors that the centroids are fitted on, about; cells at most (their centroids go to every task).
@@ -114,6 +114,6 @@ def nearest_by_index(index: VectorIndex, queries: DataFrame, k: int, probes: int
 
     columns = ["cell", "row", "query", "side", "work_id", "vector", "cluster_id"]
     both = dealt(asked, "query", "row", 0).select(columns).unionByName(dealt(index.rows, "row", "query", 1).select(columns))
-    found = both.groupBy("cell", "row", "query").applyInPandas(lambda pdf: best_in_block(pdf, k), "query_id long, work_id long, cluster_id string, similarity double")
+    found = both.groupBy("cell", "row", "query").applyInArrow(lambda t: best_in_block(t, k), FOUND)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "work_id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)

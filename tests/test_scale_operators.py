@@ -97,3 +97,30 @@ def test_index_recall_on_the_embeddings(spark, sf_dir):
     exact = {(r["query_id"], r["work_id"]) for r in neighbors.nearest(v, v.where("work_id % 100 = 0"), 15).collect()}
     got = {(r["query_id"], r["work_id"]) for r in queries.queries()["neighbors_by_index"](spark, sf_dir).collect()}
     assert len(got & exact) / len(exact) >= 0.9
+
+
+def test_blocks_of_vectors_grow_with_the_table():
+    assert neighbors.deal(100, 40, block=16) == (7, 3)
+    for n in (10_000, 100_000, 500_000):
+        queries, rows = neighbors.deal(n, n)
+        assert queries * rows <= neighbors.GROUPS and queries + rows <= 40  # so often is a vector shuffled, whatever the size
+    assert neighbors.deal(6_000, 600_000)[0] * 600_000 <= 4_000_000
+    for n in (600_000, 5_000_000):
+        assert -(-n // min(neighbors.deal(n, n))) <= neighbors.MOST_ROWS
+
+
+def test_nearest_of_copies_ties_by_id_in_any_blocks(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 24))
+    x = np.concatenate([base[rng.integers(0, 40, 300)], np.tile(base[0], (200, 1)), 3 * base[:20]])
+    ids = rng.permutation(len(x)) + 1000
+    points = spark.createDataFrame([(int(i), v.tolist(), f"c{i % 7}") for i, v in zip(ids, x, strict=True)] + [(1, [0.0] * 24, "none")], "work_id long, vector array<double>, cluster_id string")
+    want = set()
+    for i, v in zip(ids, x, strict=True):
+        dot, left, right = (sum(a) for a in zip(*((p * q, p * p, q * q) for p, q in zip(x.T, v, strict=True)), strict=True))
+        s = np.clip(dot / np.sqrt(left * right), -1, 1)
+        found = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:6]
+        want |= {(int(i), int(ids[j]), f"c{ids[j] % 7}", n) for n, j in enumerate(found, 1)}
+    for block in (32, 1024):
+        got = neighbors.nearest(points, points, 6, block=block)
+        assert {(r["query_id"], r["work_id"], r["cluster_id"], r["nth"]) for r in got.collect()} == want
