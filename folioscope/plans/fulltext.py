@@ -16,8 +16,11 @@ groups and windows by document:
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +40,7 @@ here there when where why how all any both each few more most other some such no
 
 
 class Index(NamedTuple):
-    """postings: term, key, hits (array of at, title), by term; documents: key, for clauses that only exclude."""
+    """postings: term, first, hits (array of key, at, title; of some texts, whose first key is first), by term; documents: key, for clauses that only exclude."""
 
     postings: DataFrame
     documents: DataFrame
@@ -69,17 +72,64 @@ def stemmed(df: DataFrame, word: str, term: str) -> DataFrame:
     return df.withColumn(term, _rule(F.col("_d"), _FINAL)).drop("_a", "_b", "_c", "_d")
 
 
+def stem(word: str) -> str:
+    """The stem of one word, by the rules of ``stemmed``, for Arrow batches. Few words have an ending that any rule is about."""
+
+    def rule(of: str, rules: tuple, ends: str | tuple[str, ...] = "", mark: bool = False) -> str:
+        if of.endswith(ends):
+            for pattern, cut, add in rules:
+                if re.search(pattern, of):
+                    return of[: max(0, len(of) - cut)] + (add if mark or add != "?" else "")
+        return of
+
+    past = rule(rule(word, _PLURAL, "s"), _PAST, ("ed", "ing"), True)
+    if past.endswith("?"):
+        past = rule(past[:-1], _LEFT)
+    return rule(past, _FINAL, "y")
+
+
+#: Words that are grouped at once, about.
+BATCH_WORDS = 1_000_000
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words, title_words) to a row for each stem of some texts, with its hits in order."""
+    stop = set(STOP_WORDS)
+    for batch in batches:
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        part, begin = np.cumsum(lengths) // BATCH_WORDS, 0
+        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]:
+            key, words, title_words = batch.slice(begin, end - begin).columns
+            n, begin = lengths[begin:end], end
+            coded = words.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            stems = [None if w in stop else stem(w) for w in coded.dictionary.to_pylist()]
+            terms = sorted({t for t in stems if t is not None})
+            number = {t: i for i, t in enumerate(terms)}
+            of = np.array([number.get(t, -1) for t in stems])[coded.indices.to_numpy()]
+            row, at = np.repeat(np.arange(len(n)), n), np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            kept = np.flatnonzero(of >= 0)
+            kept = kept[np.argsort(of[kept], kind="stable")]
+            first = np.flatnonzero(np.r_[True, np.diff(of[kept]) != 0]) if len(kept) else np.zeros(0, int)
+            title = at[kept] < title_words.to_numpy()[row[kept]]
+            hit = pa.StructArray.from_arrays([key.take(pa.array(row[kept])), pa.array(at[kept], pa.int32()), pa.array(title)], ["key", "at", "title"])
+            hits = pa.ListArray.from_arrays(pa.array(np.r_[first, len(kept)], pa.int32()), hit)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(of[kept[first]])), key.take(pa.array(row[kept[first]])), hits], ["term", "first", "hits"])
+
+
 def build_index(papers: DataFrame, key: str) -> Index:
     """The index of title and abstract, stored in the shared folder. Positions go on from the title to the abstract.
 
-    Null and empty texts have no words. Postings are dealt out by ranges of (stem, key), so a stem that
-    every document has fills as many files as it needs.
+    Null and empty texts have no words. Words are grouped by stem where their texts are read, some texts at a time.
+    Postings are dealt out by ranges of (stem, first key), so a stem that every document has fills as many files as it needs.
     """
     p = papers.select(key, words(F.col("title")).alias("t"), words(F.col("abstract")).alias("a"))
-    each = p.select(key, F.size("t").alias("title_words"), F.posexplode(F.concat("t", "a")).alias("at", "word")).where(~F.col("word").isin(STOP_WORDS))
-    each = stemmed(each, "word", "term").select("term", key, F.struct("at", (F.col("at") < F.col("title_words")).alias("title")).alias("hit"))
-    grouped = each.groupBy(key, "term").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
-    ordered = grouped.select("term", key, "hits").repartitionByRange("term", key).sortWithinPartitions("term", key)
+    p = p.select(key, F.concat("t", "a").alias("words"), F.size("t").alias("title_words"))
+    # stored, as the ranges are found by a pass of its own
+    kind = papers.schema[key].dataType.simpleString()
+    grouped = stored(p.mapInArrow(_grouped, f"term string, first {kind}, hits array<struct<key:{kind},at:int,title:boolean>>"), "text-stems")
+    ordered = grouped.repartitionByRange("term", "first").sortWithinPartitions("term", "first")
     return Index(stored(ordered, "postings"), papers.select(key).distinct(), key)
 
 
@@ -118,7 +168,7 @@ def occurrences(index: Index, units: list[tuple]) -> DataFrame:
     """key, clause, unit, excluded, begin, end of each place where a unit stands, and whether both ends lie in the title; only postings of its stems are read."""
     spark, key = index.postings.sparkSession, index.key
     asked = spark.createDataFrame(units, "clause int, unit int, offset int, term string, size int, excluded boolean")
-    hits = index.postings.where(F.col("term").isin(sorted({u[3] for u in units}))).select("term", key, F.explode("hits").alias("hit")).select("term", key, "hit.*")
+    hits = index.postings.where(F.col("term").isin(sorted({u[3] for u in units}))).select("term", F.inline("hits")).withColumnRenamed("key", key)
     # a row for each word of the query
     each = hits.join(F.broadcast(asked), "term").withColumn("begin", F.col("at") - F.col("offset"))
     single = each.where("size = 1").select(key, "clause", "unit", "excluded", "begin", F.col("at").alias("end"), "title", F.col("title").alias("title_end"))

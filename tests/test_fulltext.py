@@ -94,3 +94,21 @@ def test_headlines_show_covers(spark):
             assert len(shown) == min(8, len(words_of[r["id"]])) and any(w.startswith("[[") for w in shown)
             text = words_of[r["id"]]
             assert any(text[i : i + len(plain)] == plain for i in range(len(text)))
+
+
+def test_index_groups_where_a_text_is_read(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [*papers(), (200, "runs net", "graphs"), (204, "Seeing fed bleed y sky ies flies", "sized hopping falling filing trying")]
+    words = sorted({w for r in rows for w in tokens(r[1]) + tokens(r[2])} | {"s", "ss", "ed", "ing", "eed", "by", "yes", "x9ing", "controlling", "created"})
+    want = fulltext.stemmed(spark.createDataFrame([(w,) for w in words], "w string"), "w", "term").collect()
+    assert {r["w"]: fulltext.stem(r["w"]) for r in want} == {r["w"]: r["term"] for r in want}
+    df = spark.createDataFrame(rows, "paper_id long, title string, abstract string")
+    monkeypatch.setattr(fulltext, "BATCH_WORDS", 40)
+    kept = []
+    monkeypatch.setattr(fulltext, "stored", lambda df, name: (kept.append((name, df)), df)[1])
+    index = fulltext.build_index(df, "paper_id")
+    assert "Exchange" not in kept[0][1]._jdf.queryExecution().executedPlan().toString()  # no word is shuffled before it is grouped
+    got = sorted((r["key"], r["term"], r["at"], r["title"]) for r in index.postings.select("term", F.inline("hits")).collect())
+    each = [(k, fulltext.stem(w), i, i < len(tokens(t))) for k, t, a in rows for i, w in enumerate(tokens(t) + tokens(a)) if w not in fulltext.STOP_WORDS]
+    assert got == sorted(each)
