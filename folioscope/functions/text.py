@@ -49,13 +49,14 @@ def doi_key(doi: Column) -> Column:
     return F.nullif(F.regexp_replace(casefolded(F.trim(doi)), "^(https?://doi\\.org/)+", ""), F.lit(""))
 
 
-def title_key(title: Column) -> Column:
-    return F.substring(collapse(casefolded(F.coalesce(title, F.lit("")))), 1, 280)
+def title_key(title: Column, most: int = 280) -> Column:
+    # folding makes a character one or more and leaves white space alone, so the first ones are enough
+    return F.substring(casefolded(F.substring(collapse(F.coalesce(title, F.lit(""))), 1, most)), 1, most)
 
 
 def prefix_match(preview: Column, full: Column, most: int = 80) -> Column:
     """Whether the full text begins as the preview does, over ``most`` characters at most; null if one is blank."""
-    p, f = (casefolded(collapse(F.coalesce(x, F.lit("")))) for x in (preview, full))
+    p, f = (casefolded(F.substring(collapse(F.coalesce(x, F.lit(""))), 1, most)) for x in (preview, full))
     return F.when((p != "") & (f != ""), F.startswith(f, F.substring(p, 1, most)))
 
 

@@ -482,3 +482,15 @@ def test_registered_descent_takes_all_steps(spark, sf_dir):
             error = 1 / (1 + np.exp(-np.clip(x * w + b, -30, 30))) - y
             w, b = w - 0.15 * ((x * error).mean() + 1e-3 * w), b - 0.15 * error.mean()
         assert abs(weights[0] - w) < 2e-4 and abs(bias - b) < 2e-4
+
+
+
+def test_only_the_beginning_of_a_text_is_folded(spark, monkeypatch):
+    from folioscope.functions import text
+
+    df = frame(spark, "a string, b string", ("  STRASSE  ß" + " Ω" * 400, "strasse ss" + "\t ω" * 400), ("x", "xy"), (None, "a"), ("ß" * 300, "s" * 700))
+    got = df.select(text.title_key(F.col("a")).alias("k"), text.prefix_match(F.col("b"), F.col("a")).alias("same")).collect()
+    assert got[0]["k"] == ("strasse ss" + " ω" * 400)[:280] and got[3]["k"] == "s" * 280
+    assert [r["same"] for r in got] == [True, False, None, True]
+    monkeypatch.setattr(text, "casefolded", F.pandas_udf(lambda s: s.str.len().astype(str), "string"))
+    assert max(int(r[0]) for r in df.select(text.title_key(F.col("a"))).collect()) == 280
