@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.metrics import roc_auc
 from folioscope.operators.ranks import before
+from folioscope.session import stored
 
 
 def canonical_groups(rows: DataFrame, key: str, row: str) -> DataFrame:
@@ -55,7 +56,7 @@ def scorer(numeric: list[str], categorical: list[str] = (), strength: float = 0.
 
 def out_of_fold(rows: DataFrame, pipeline: Pipeline, k: int) -> DataFrame:
     """Probabilities of every row from the model of the other folds; k is small, so folds go one by one."""
-    out = None
+    out, rows = None, stored(rows, "scored-rows")  # each pass of a fit reads them, in few tasks
     for fold in range(k):
         model = pipeline.fit(rows.where(F.col("fold") != fold))
         got = model.transform(rows.where(F.col("fold") == fold)).withColumn("probability", vector_to_array("_probability")[1])
@@ -66,6 +67,7 @@ def out_of_fold(rows: DataFrame, pipeline: Pipeline, k: int) -> DataFrame:
 
 def transfer_matrix(rows: DataFrame, pipeline: Pipeline, pool: str) -> DataFrame:
     """AUC of the model of each pool on every pool; the pools are a handful of named sets."""
+    rows = stored(rows, "pool-rows")
     names = sorted(r[0] for r in rows.select(pool).distinct().collect())
     out = None
     for name in names:
@@ -78,7 +80,7 @@ def transfer_matrix(rows: DataFrame, pipeline: Pipeline, pool: str) -> DataFrame
 
 def strength_sweep(rows: DataFrame, numeric: list[str], strengths: list[float], k: int) -> DataFrame:
     """Pooled out-of-fold AUC for each penalty strength."""
-    out = None
+    out, rows = None, stored(rows, "sweep-rows")
     for s in strengths:
         scored = out_of_fold(rows, scorer(numeric, strength=s), k).withColumn("good", F.col("label") == 1)
         got = roc_auc(scored, "probability", "good").select(F.lit(float(s)).alias("strength"), F.round("roc_auc", 4).alias("roc_auc"))

@@ -494,3 +494,10 @@ def test_only_the_beginning_of_a_text_is_folded(spark, monkeypatch):
     assert [r["same"] for r in got] == [True, False, None, True]
     monkeypatch.setattr(text, "casefolded", F.pandas_udf(lambda s: s.str.len().astype(str), "string"))
     assert max(int(r[0]) for r in df.select(text.title_key(F.col("a"))).collect()) == 280
+
+
+
+def test_fits_read_stored_rows_in_few_tasks(spark):
+    rows = spark.range(300).selectExpr("id", "cast(id % 2 as double) as label", "cast(id % 7 as double) as x", "cast(id % 3 as int) as fold").repartition(50, "id")
+    got = experiments.out_of_fold(rows, experiments.scorer(["x"]), 3)
+    assert got.count() == 300 and got.rdd.getNumPartitions() < 50
