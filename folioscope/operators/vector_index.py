@@ -23,6 +23,8 @@ from folioscope.session import stored
 
 #: Vectors that the centroids are fitted on, about; cells at most (their centroids go to every task).
 SAMPLE_ROWS, MOST_CELLS, ROUNDS = 20_000, 4096, 10
+#: Numbers that a task holds at once as it deals vectors to cells, about.
+CELLED_NUMBERS = 2_000_000
 
 
 class VectorIndex(NamedTuple):
@@ -58,11 +60,14 @@ def _celled(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near = _unit(pdf["vector"]) @ centroids.T if len(pdf) else np.zeros((0, len(centroids)))
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            out = pdf.loc[pdf.index.repeat(cells.shape[1])].reset_index(drop=True)
-            out["cell"] = cells.ravel().astype("int32")
-            yield out[["cell", "work_id", "cluster_id", "vector"]]
+            # as many rows at once as bound the products and the repeated vectors
+            step = max(1, CELLED_NUMBERS // max(len(centroids), min(probes, len(centroids)) * centroids.shape[1]))
+            for begin in range(0, len(pdf), step):
+                part = pdf.iloc[begin : begin + step].reset_index(drop=True)
+                cells = np.argsort(-(_unit(part["vector"]) @ centroids.T), axis=1, kind="stable")[:, :probes]
+                out = part.loc[part.index.repeat(cells.shape[1])].reset_index(drop=True)
+                out["cell"] = cells.ravel().astype("int32")
+                yield out[["cell", "work_id", "cluster_id", "vector"]]
 
     return df.select("work_id", "cluster_id", "vector").mapInPandas(run, "cell int, work_id long, cluster_id string, vector array<double>")
 

@@ -124,3 +124,17 @@ def test_nearest_of_copies_ties_by_id_in_any_blocks(spark):
     for block in (32, 1024):
         got = neighbors.nearest(points, points, 6, block=block)
         assert {(r["query_id"], r["work_id"], r["cluster_id"], r["nth"]) for r in got.collect()} == want
+
+
+def test_vectors_go_to_cells_in_bounded_batches(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0], "c") for i in range(90)], "work_id long, vector array<double>, cluster_id string")
+    centroids = np.eye(3)
+    want = sorted(tuple(r)[:2] for r in vector_index._celled(points, centroids, 2).collect())
+    assert len(want) == 180
+    monkeypatch.setattr(vector_index, "CELLED_NUMBERS", 60)
+    seen = []
+    monkeypatch.setattr(type(points), "mapInPandas", lambda self, run, schema: seen.append(run))
+    vector_index._celled(points, centroids, 2)
+    parts = list(seen[0](iter([points.toPandas()])))
+    assert max(len(p) for p in parts) <= 20
+    assert sorted((int(c), int(w)) for p in parts for c, w in zip(p["cell"], p["work_id"], strict=True)) == want
