@@ -484,7 +484,6 @@ def test_registered_descent_takes_all_steps(spark, sf_dir):
         assert abs(weights[0] - w) < 2e-4 and abs(bias - b) < 2e-4
 
 
-
 def test_only_the_beginning_of_a_text_is_folded(spark, monkeypatch):
     from folioscope.functions import text
 
@@ -496,6 +495,15 @@ def test_only_the_beginning_of_a_text_is_folded(spark, monkeypatch):
     assert max(int(r[0]) for r in df.select(text.title_key(F.col("a"))).collect()) == 280
 
 
+def test_rewrites_deal_edges_by_rows(spark, monkeypatch):
+    from folioscope.sources import upsert
+
+    monkeypatch.setattr(upsert, "TASK_ROWS", 50)
+    edges = spark.range(1000).selectExpr("id % 100 as citing", "id as cited")
+    got = upsert.rewrite_edges(edges, edges.where("cited < 200").selectExpr("citing", "-cited as cited"), "citing", edges.where("citing < 10").select("citing"))
+    assert got.rdd.getNumPartitions() >= 20
+    assert sorted((r["citing"], r["cited"]) for r in got.collect()) == sorted([(i % 100, i) for i in range(1000) if i % 100 >= 10] + [(i % 100, -i) for i in range(200) if i % 100 < 10])
+
 
 def test_fits_read_stored_rows_in_few_tasks(spark):
     rows = spark.range(300).selectExpr("id", "cast(id % 2 as double) as label", "cast(id % 7 as double) as x", "cast(id % 3 as int) as fold").repartition(50, "id")
