@@ -778,9 +778,10 @@ def plan_violations(c: Corpus) -> DataFrame:
 @query(ranking.SCORES_CTE + metrics.FAMILY_CONTEXT_SQL, mapped=True)
 def family_context(c: Corpus) -> DataFrame:
     scores = ranking.paper_scores(c).select("work_id", "family", "final_score")
-    placed = ranking.family_ranks(scores, c.included).join(scores, ["work_id", "family"], "left")
     labelled = c.included.select("work_id", F.when(F.col("work_id") % 3 != 0, F.col("is_core_corpus")).alias("core"), (F.col("citation_count") >= 4).alias("cited"))
-    return metrics.family_context(placed.join(labelled, "work_id"), "family", "final_score", "rank", ["core", "cited"]).withColumn("roc_auc", F.round("roc_auc", 6))
+    # one join: scores come with their ranks, labels with their works
+    placed = ranking.family_ranks(scores, labelled, ("final_score",), ("core", "cited"))
+    return metrics.family_context(placed, "family", "final_score", "rank", ["core", "cited"]).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -179,13 +179,13 @@ SELECT CAST(row_number() OVER (ORDER BY final_score DESC, work_id) AS INTEGER) A
 FROM (SELECT * FROM scores WHERE family = 'emerging' ORDER BY final_score DESC, work_id LIMIT 50) JOIN works USING (work_id) LEFT JOIN top_topics USING (work_id)"""
 
 
-def family_ranks(scores: DataFrame, works: DataFrame) -> DataFrame:
-    """Exactly one row for each given work and family: its rank there, or null."""
+def family_ranks(scores: DataFrame, works: DataFrame, of_score: tuple[str, ...] = (), of_work: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly one row for each given work and family: its rank there, or null; with further columns of the score and of the work."""
     ranked = numbered(scores.select("work_id", "family", "final_score"), [F.desc("final_score"), F.asc("work_id")], by=("family",))
     families = F.explode(F.array(*[F.lit(f) for f in FAMILIES])).alias("family")
-    wanted = works.select("work_id", families)
+    wanted = works.select("work_id", families, *of_work)
     order = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int")
-    return wanted.join(ranked.select("work_id", "family", "rank"), ["work_id", "family"], "left").select("work_id", "family", order.alias("family_order"), "rank")
+    return wanted.join(ranked.select("work_id", "family", "rank", *of_score), ["work_id", "family"], "left").select("work_id", "family", order.alias("family_order"), "rank", *of_score, *of_work)
 
 
 FAMILY_RANKS_SQL = SCORES_CTE + """

@@ -509,3 +509,10 @@ def test_fits_read_stored_rows_in_few_tasks(spark):
     rows = spark.range(300).selectExpr("id", "cast(id % 2 as double) as label", "cast(id % 7 as double) as x", "cast(id % 3 as int) as fold").repartition(50, "id")
     got = experiments.out_of_fold(rows, experiments.scorer(["x"]), 3)
     assert got.count() == 300 and got.rdd.getNumPartitions() < 50
+
+
+def test_family_ranks_carry_columns(spark):
+    scores = frame(spark, "work_id long, family string, final_score double", (1, "bridge", 0.5), (2, "bridge", 0.7))
+    works = frame(spark, "work_id long, core boolean", (1, True), (2, None))
+    got = ranking.family_ranks(scores, works, ("final_score",), ("core",)).where("family in ('bridge', 'emerging')")
+    assert sorted((r["work_id"], r["family"], r["rank"], r["final_score"], r["core"]) for r in got.collect()) == [(1, "bridge", 2, 0.5, True), (1, "emerging", None, None, True), (2, "bridge", 1, 0.7, None), (2, "emerging", None, None, None)]
