@@ -377,12 +377,13 @@ def _one_hub(shared: DataFrame) -> DataFrame:
     """token, key, n, hub, hub_n with one hub for each shingle.
 
     The hubs of a shingle's salts are compared, and the best goes back to each salt, so the rows
-    of a very frequent shingle stay dealt out.
+    of a very frequent shingle stay dealt out. A row for each salt is written, as later steps read
+    the hubs several times and their plans would each hold this comparison.
     """
     salted = shared.where("salt > 0")
     each = salted.groupBy("token", "salt").agg(F.max("hub").alias("hub"))
     best = each.groupBy("token").agg(F.max("hub").alias("hub"))
-    by_salt = each.select("token", "salt").join(best, "token")
+    by_salt = written(each.select("token", "salt").join(best, "token"), "jaccard-salts")
     rows = shared.where("salt = 0").select("token", "key", "n", "hub").unionByName(salted.drop("hub").join(by_salt, ["token", "salt"]).select("token", "key", "n", "hub"))
     return rows.select("token", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
 
@@ -412,6 +413,7 @@ def _between_components(hubs: DataFrame, rows: DataFrame, roots: DataFrame, near
     by_hub = members.where("differ is not null").withColumnRenamed("hub", "place")
     # shingles all of whose sets are at a known distance are done with their hub
     open_ = hubs.select("token", "hub", "key").join(members.where("differ is null").select("hub", "key"), ["hub", "key"], "left_semi").select("token").distinct()
+    open_ = written(open_, "jaccard-open")
     by_token = hubs.select("token", "hub", "key").join(open_, "token", "left_semi").join(members, ["hub", "key"])
     by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "differ")
     return _pairs_within(by_hub, rows, True).unionByName(_pairs_within(by_token, rows, False)).distinct()

@@ -95,7 +95,7 @@ def read_block(data: np.ndarray, offsets: np.ndarray, net: Network) -> Block:
     code = (left * np.uint32(65599) + c) * np.uint32(40503) + right * np.uint32(2654435761)
     code ^= code >> np.uint32(15)
     code *= np.uint32(2246822519)
-    buckets = (code >> np.uint32(32 - 13)).astype(np.int32)
+    buckets = (code >> np.uint32(32 - 13)).astype(np.uint16)  # CHAR_BUCKETS fit
     rows = net.slots[(h & np.uint64(WORD_SLOTS - 1)).astype(np.int64)]
     known = np.append(net.vocabulary, np.uint64(0))
     rows = np.where(known[rows] == h, rows, len(net.vocabulary))
@@ -103,18 +103,21 @@ def read_block(data: np.ndarray, offsets: np.ndarray, net: Network) -> Block:
 
 
 def read_blocks(raw: list[bytes], net: Network) -> Block:
-    """Words of many texts, read in small blocks."""
-    parts = []
+    """Words of many texts, read in small blocks; what is joined is let go at once, as this runs on the driver."""
+    rows, buckets, lengths, words = [], [], [], []
     for lo in range(0, len(raw), 64):
         some = raw[lo : lo + 64]
-        parts.append(read_block(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in some])]), net))
-    words = np.cumsum([0] + [len(b.hashes) for b in parts])
-    byte = np.cumsum([0] + [len(b.buckets) for b in parts])
-    return Block(
-        np.concatenate([b.rows for b in parts]).astype(np.int32), np.concatenate([b.buckets for b in parts]),
-        np.concatenate([b.bytes_at[:-1] + at for b, at in zip(parts, byte, strict=False)] + [byte[-1:]]),
-        np.concatenate([b.first[:-1] + at for b, at in zip(parts, words, strict=False)] + [words[-1:]]), np.zeros(0, np.uint64),
-    )
+        b = read_block(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in some])]), net)
+        for parts, part in ((rows, b.rows.astype(np.int32)), (buckets, b.buckets), (lengths, np.diff(b.bytes_at).astype(np.int32)), (words, np.diff(b.first))):
+            parts.append(part)
+
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        whole = np.concatenate(parts)
+        parts.clear()
+        return whole
+
+    bounds = lambda n: np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    return Block(rows=joined(rows), buckets=joined(buckets), bytes_at=bounds(joined(lengths)), first=bounds(joined(words)), hashes=np.zeros(0, np.uint64))
 
 
 def document_words(raw: list[bytes], least: float) -> np.ndarray:
@@ -318,6 +321,7 @@ def train(texts: list[str], labels: list[int], toxic_rate: float, seed: int = 2,
     vocabulary = document_words([r for r, f in zip(raw, fold, strict=True) if f != 3], max(MIN_TEXTS, MIN_TEXT_SHARE * len(y)))
     net = new_network(vocabulary, seed)
     b = read_blocks(raw, net)
+    del raw
     doc, start, size = windows_of(b.first)
     fit = fold[doc] != 3
     step = 0

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -454,3 +455,18 @@ def test_fitting_with_one_hot_id(spark):
     assert toxicity.fit_toxicity(d, labels, fold=None, sample=(50, 100)) is not None
     assert quality.fit_quality(d, labels, fold=None, sample=(100, 200)) is not None
     assert language_id.fit_language_model(d, fold=None, sample_rows=200) is not None
+
+
+def test_training_texts_are_read_in_little_memory():
+    """The driver holds the words of the sample about once, and each text's words stay its own."""
+    rng = random.Random(4)
+    raw = [" ".join(f"w{rng.randrange(9000)}é" for _ in range(rng.randrange(0, 600))).encode() for _ in range(300)]
+    net = toxicity.new_network(np.zeros(0, np.uint64), 1)
+    tracemalloc.start()
+    b = toxicity.read_blocks(raw, net)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = [toxicity.read_block(np.frombuffer(r, np.uint8), np.array([0, len(r)]), net) for r in raw]
+    assert np.diff(b.first).tolist() == [len(x.rows) for x in one]
+    assert np.array_equal(b.buckets, np.concatenate([x.buckets for x in one])) and np.array_equal(np.diff(b.bytes_at), np.concatenate([np.diff(x.bytes_at) for x in one]))
+    assert b.buckets.itemsize == 2 and peak < 20 * sum(len(r) for r in raw)

@@ -103,6 +103,15 @@ def test_very_frequent_shingles_are_salted(spark, monkeypatch):
     check_components(spark, list(enumerate(texts)))
 
 
+def test_hubs_of_salts_are_compared_once(spark):
+    """Plans that read the hubs hold no aggregate over salts, so they stay small on the driver."""
+    hub = lambda c, k: (c, k, 10)
+    found = [(1, 0, 5, 10, hub(3, 5)), (1, 0, 6, 10, hub(3, 5)), (2, 1, 7, 10, hub(4, 7)), (2, 2, 8, 10, hub(9, 8)), (2, 2, 9, 10, hub(9, 8))]
+    hubs = jaccard_join._one_hub(spark.createDataFrame(found, jaccard_join._SHARED_DDL))
+    assert {tuple(r) for r in hubs.collect()} == {(1, 5, 10, 5, 10), (1, 6, 10, 5, 10), (2, 7, 10, 8, 10), (2, 8, 10, 8, 10), (2, 9, 10, 8, 10)}
+    assert "Aggregate" not in hubs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _prefix(value):
     return bytearray(np.array([value], np.uint16).tobytes())
 
