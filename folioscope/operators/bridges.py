@@ -32,9 +32,9 @@ def mix_signals(vectors: DataFrame, k: int = 15) -> DataFrame:
 
 
 def bridge_rows(vectors: DataFrame, k: int = 15) -> DataFrame:
-    """(work_id, bridge_score, n, same_share, cross_share, distinct_clusters)."""
+    """(work_id, bridge_score, n, same_share, cross_share, distinct_clusters); stored, as the neighbour search is behind every row."""
     score = bridge_boundary(vectors).select("work_id", F.round("boundary", 6).alias("bridge_score"))
-    return score.join(mix_signals(vectors, k), "work_id", "left")
+    return stored(score.join(mix_signals(vectors, k), "work_id", "left"), "bridge-signals")
 
 
 def top_half_cutoff(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import descent, labels, metrics, neighbors, order_stats, samplers, vector_index
+from folioscope.operators import bridges, descent, labels, metrics, neighbors, order_stats, samplers, vector_index
+from folioscope.sources.corpus import Corpus
 
 
 def test_quantiles_are_exact(spark):
@@ -109,6 +110,17 @@ def test_blocks_of_vectors_grow_with_the_table():
         assert -(-n // min(neighbors.deal(n, n))) <= neighbors.MOST_ROWS
 
 
+def test_a_vector_is_sent_as_often_from_a_large_table_as_from_a_small_one():
+    often = [sum(neighbors.deal(n, n)) for n in (10_256, 51_282, 102_560, 500_000)]
+    assert set(often) == {19}
+    assert sum(neighbors.deal(615_360, 615_360)) <= 20
+
+
+def test_the_neighbour_search_stands_once_behind_a_cutoff(spark, sf_dir):
+    rows = bridges.eligibility(bridges.bridge_rows(Corpus(spark, sf_dir).vectors))
+    assert "FlatMapGroups" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_of_copies_ties_by_id_in_any_blocks(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 24))
