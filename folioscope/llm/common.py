@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -42,28 +42,42 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
+#: Whether Spark deletes an execution's shuffle files at its end, or when the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, folder: str, name: str) -> DataFrame:
+    spark, path = df.sparkSession, f"{folder}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; cuts lineage and survives lost executors.
 
-    Results read such tables later, so they stay until the folder is emptied, or, inside
-    ``scratch_tables``, until that block ends.
+    The shuffle files of the write go at its end. Results read such tables later, so they stay until the
+    folder is emptied, or, inside ``scratch_tables``, until that block ends.
     """
-    spark = df.sparkSession
-    path = f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, _scratch.get() or shared_dir(df.sparkSession), name)
 
 
 @contextmanager
-def scratch_tables(spark: SparkSession) -> Iterator[None]:
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables that ``written`` makes inside are deleted at the end; nothing lazy may outlive the block.
 
-    Each block has a folder of its own, so pipelines that run side by side don't touch each other's.
+    What must outlive it is written by the function that the block gets: it goes where ``written`` put tables
+    before. Each block has a folder of its own, so pipelines that run side by side don't touch each other's.
     """
+    around = _scratch.get() or shared_dir(spark)
     folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
     token = _scratch.set(folder)
     try:
-        yield
+        yield lambda df, name: _write(df, around, name)
     finally:
         _scratch.reset(token)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

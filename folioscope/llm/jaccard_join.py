@@ -8,16 +8,15 @@ shingles with its partner, under any order of all shingles that both sides use.
    one node from here on), its prefixes under the second and third order, an odd sketch of the
    set, and mergeable counts of frequent shingles.
 2. First order: frequent shingles last, then by hash. These prefixes are shuffled by shingle; a
-   shingle with several sets makes one star: each set against the hub, the set that consists most
-   of frequent shingles.
-3. The filters of all orders are intersected: a candidate of the first order and the size bound
-   must share a prefix shingle under the second and under the third order too. No set has been
-   fetched up to here.
-4. Verification: a lower bound of the difference from the odd sketches, then the exact
-   intersection of the sets, which are taken up again for the surviving pairs only.
+   shingle with several sets of sizes that may link makes one star: each set against the hub, the set that
+   consists most of frequent shingles.
+3. A lower bound of the difference from the odd sketches rules out most candidates of the first order and
+   the size bound. The filters of all orders are intersected: a candidate must share a prefix shingle under
+   the second and under the third order too. No set has been fetched up to here.
+4. Verification: the exact intersection of the sets, which are taken up again for the surviving pairs only.
 5. Verified links give components. A second round takes the pairs of different components under
    one shingle, so no link between components is missed; they pass the same filters and the same
-   verification. With A and B elements between two sets and their hub, the two sets differ in at
+   verification. A shingle of two sets has made its only pair in the first round. With A and B elements between two sets and their hub, the two sets differ in at
    least |A - B| elements, and in at least as many as the bits in which their folded odd sketches
    differ; pairs that this rules out are never made, and groups that are already one component
    make no pairs at all. A large group is dealt out in blocks of bounded size.
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import small_batches, written
+from folioscope.llm.common import scratch_tables, small_batches, written
 from folioscope.llm.components import components
 from folioscope.llm.words import LOWER, SPACED, Words, blocks, grams, mix
 
@@ -57,6 +56,8 @@ FOLDED = 32
 #: Odd multipliers that define the second and third order.
 ORDERS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 _FORTY = np.uint64((1 << 40) - 1)
+#: In place of a salt: only two sets have the shingle.
+TWO_SETS = -1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -233,6 +234,9 @@ _PARTS = pa.schema([("part", pa.int32()), ("body", pa.binary())])
 _PARTS_DDL = "part int, body binary"
 #: Bytes of what is kept of a shingle, of a set's number in a block, and of a salt; of a key, a size and a centrality.
 _ROW_BYTES, _SET_BYTES = (6, 4, 4), (8, 4, 2)
+#: A shingle's 48 bits times the first, modulo 2^48, is its image; times the second it is itself again.
+_IMAGE, _BITS48 = np.uint64(0x9E3779B97F4B), np.uint64((1 << 48) - 1)
+_TOKEN = np.uint64(pow(int(_IMAGE), -1, 1 << 48))
 
 
 def _spread(out: np.ndarray, begin: np.ndarray, count: np.ndarray, width: int, values: np.ndarray) -> None:
@@ -257,42 +261,52 @@ def _gathered(raw: np.ndarray, at: int, count: int, width: int) -> np.ndarray:
 def pack_parts(token: np.ndarray, salt: np.ndarray, owner: np.ndarray, key: np.ndarray, n: np.ndarray, central: np.ndarray, parts: int) -> pa.RecordBatch:
     """Prefix rows dealt to parts by shingle and salt, one block of bytes for each part.
 
-    ``owner`` numbers the sets, whose ``key``, size and centrality stand once in a block. Of a shingle 48 bits
-    are kept, in steps: equal ones stay equal, and a few that fall together only make candidates.
+    ``owner`` numbers the sets, whose ``key``, size and centrality stand once in a block, in steps of the keys.
+    Of a shingle 48 bits are kept, in steps: equal ones stay equal, and a few that fall together only make
+    candidates. A part has a range of the shingles' images, so that steps don't grow with the number of parts.
     """
-    token = token >> np.uint64(16)
-    part = (mix(token ^ (salt.astype(np.uint64) << np.uint64(48))) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((token, part))
-    part, token, salt, owner = part[order], token[order], salt[order], owner[order]
+    image = (token >> np.uint64(16)) * _IMAGE & _BITS48
+    part = (image >> np.uint64(24)) * np.uint64(parts) >> np.uint64(24)
+    part = np.where(salt > 0, mix(image ^ (salt.astype(np.uint64) << np.uint64(48))) % np.uint64(parts), part).astype(np.int64)
+    by_key = np.argsort(key.view(np.uint64))
+    place = np.empty(len(key), np.int64)
+    place[by_key] = np.arange(len(key))
+    key, n, central, owner = key.view(np.uint64)[by_key], n[by_key], central[by_key], place[owner]
+    order = np.lexsort((image, part))
+    part, image, salt, owner = part[order], image[order], salt[order], owner[order]
     names, first, rows = np.unique(part, return_index=True, return_counts=True)
-    step = np.diff(token, prepend=np.uint64(0))
-    step[first] = token[first]
+    step = np.diff(image, prepend=np.uint64(0))
+    step[first] = image[first]
     pairs, which = np.unique(part << 32 | owner, return_inverse=True)
     sets = np.bincount(np.searchsorted(names, pairs >> 32), minlength=len(names))
-    local = which - np.repeat(np.cumsum(sets) - sets, rows)
+    first_set = np.cumsum(sets) - sets
+    local = which - np.repeat(first_set, rows)
+    of = (pairs & 0xFFFFFFFF).astype(np.int64)
+    key_step = np.diff(key[of], prepend=np.uint64(0))
+    key_step[first_set] = key[of][first_set]
     length = 8 + sum(_SET_BYTES) * sets + sum(_ROW_BYTES) * rows
     offsets = np.concatenate([[0], np.cumsum(length)])
     out, at, one = np.zeros(offsets[-1], np.uint8), offsets[:-1].copy(), np.ones(len(names), np.int64)
-    of = (pairs & 0xFFFFFFFF).astype(np.int64)
-    columns = [(one, 4, rows), (one, 4, sets), *zip([sets] * 3, _SET_BYTES, (key[of], n[of], central[of]), strict=True), *zip([rows] * 3, _ROW_BYTES, (step, local, salt), strict=True)]
+    columns = [(one, 4, rows), (one, 4, sets), *zip([sets] * 3, _SET_BYTES, (key_step, n[of], central[of]), strict=True), *zip([rows] * 3, _ROW_BYTES, (step, local, salt), strict=True)]
     for count, width, values in columns:
         _spread(out, at, count, width, values.astype(np.int64).view(np.uint64) if values.dtype != np.uint64 else values)
         at += width * count
-    body = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), body], schema=_PARTS)
+    codec = pa.Codec("zstd", compression_level=1)
+    bodies = [out[lo : lo + 8].tobytes() + codec.compress(out[lo + 8 : hi].tobytes(), asbytes=True) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(bodies, pa.binary())], schema=_PARTS)
 
 
 def unpack_part(body: bytes) -> tuple[np.ndarray, ...]:
     """token, salt, key, n, central of each row of a block."""
-    raw = np.frombuffer(body, np.uint8)
-    rows, sets = (int(_gathered(raw, at, 1, 4)[0]) for at in (0, 4))
-    at, got = 8, []
+    rows, sets = (int(_gathered(np.frombuffer(body, np.uint8), at, 1, 4)[0]) for at in (0, 4))
+    raw = np.frombuffer(pa.Codec("zstd").decompress(body[8:], sum(_SET_BYTES) * sets + sum(_ROW_BYTES) * rows, asbytes=True), np.uint8)
+    at, got = 0, []
     for count, width in (*((sets, w) for w in _SET_BYTES), *((rows, w) for w in _ROW_BYTES)):
         got.append(_gathered(raw, at, count, width))
         at += count * width
     key, n, central, step, local, salt = got
-    local = local.astype(np.int64)
-    return np.cumsum(step, dtype=np.uint64), salt.astype(np.int64), key.view(np.int64)[local], n.astype(np.int64)[local], central.astype(np.int64)[local]
+    local, key = local.astype(np.int64), np.cumsum(key, dtype=np.uint64).view(np.int64)
+    return np.cumsum(step, dtype=np.uint64) * _TOKEN & _BITS48, salt.astype(np.int64), key[local], n.astype(np.int64)[local], central.astype(np.int64)[local]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], token: np.ndarray, level: np.ndarray, parts: int, chunk_rows: int) -> Iterator[pa.RecordBatch]:
@@ -349,21 +363,31 @@ _SHARED_DDL = "token long, salt long, key long, n long, hub struct<central:long,
 def shared_in_part(part: pa.Table) -> pa.Table:
     """The rows of one part whose shingle several sets have: token, salt, key, n and the shingle's hub, the most central set.
 
-    A set that came in several tasks counts once. A very frequent shingle is dealt by its salt, so its rows
-    meet in many parts; a salt is kept even if it has one set here, as others may have more.
+    A set that came in several tasks counts once. Where the sizes leave a gap that no link can span, the sets
+    on its sides are told apart as if they had different shingles: each range of sizes has a hub of its own,
+    and one with a single set is gone. A very frequent shingle is dealt by its salt, so its rows meet in many
+    parts; a salt is kept whole, even if it has one set here, as others may have more. Rows of two sets alone
+    have TWO_SETS as their salt: these sets are one pair, that of the star.
     """
     token, salt, key, n, central = (np.concatenate(c) for c in zip(*[unpack_part(b.as_py()) for b in part.column("body")], strict=True))
-    order = np.lexsort((key, salt, token))
+    order = np.lexsort((key, n, salt, token))
     token, salt, key, n, central = (x[order] for x in (token, salt, key, n, central))
-    new = np.ones(len(token), bool)
+    new, again = np.ones(len(token), bool), np.zeros(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-    again = np.zeros(len(token), bool)
     again[1:] = ~new[1:] & (key[1:] == key[:-1])
+    gap = np.zeros(len(token), bool)
+    gap[1:] = ~new[1:] & (salt[1:] == 0) & (n[:-1] * 100 < n[1:] * PERCENT)
+    # a size is less than 2^32, so a shingle has a hundred ranges at most
+    ranges = np.cumsum(gap)
+    ranges -= ranges[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    token, new = token << np.uint64(8) | ranges.astype(np.uint64), new | gap
     token, salt, key, n, central, new = (x[~again] for x in (token, salt, key, n, central, new))
     group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    kept = (np.bincount(group) > 1)[group] | (salt > 0)
+    sets = np.bincount(group)[group]
+    kept = (sets > 1) | (salt > 0)
+    salt = np.where((sets == 2) & (salt == 0), TWO_SETS, salt)
     best = np.maximum.reduceat(central, first)
-    # keys are in order within a group, so the last of the most central ones has the largest
+    # of the most central ones the last, which has the largest size and key
     hub = np.maximum.reduceat(np.where(central == best[group], np.arange(len(key)), -1), first)[group][kept]
     hubs = pa.StructArray.from_arrays([pa.array(central[hub]), pa.array(key[hub]), pa.array(n[hub])], fields=list(_SHARED.field("hub").type))
     return pa.Table.from_arrays([pa.array(token[kept].view(np.int64)), pa.array(salt[kept]), pa.array(key[kept]), pa.array(n[kept]), hubs], schema=_SHARED)
@@ -412,10 +436,12 @@ def _between_components(hubs: DataFrame, rows: DataFrame, roots: DataFrame, near
     members = written(members.select("hub", "key", "n", "root", "differ"), "jaccard-members")
     by_hub = members.where("differ is not null").withColumnRenamed("hub", "place")
     # shingles all of whose sets are at a known distance are done with their hub
-    open_ = hubs.select("token", "hub", "key").join(members.where("differ is null").select("hub", "key"), ["hub", "key"], "left_semi").select("token").distinct()
+    afar = members.where("differ is null").select("hub", "key")
+    open_ = _maybe_among(hubs.select("token", "hub", "key"), afar, "hub", "key").join(afar, ["hub", "key"]).select("token").distinct()
     open_ = written(open_, "jaccard-open")
-    by_token = hubs.select("token", "hub", "key").join(open_, "token", "left_semi").join(members, ["hub", "key"])
-    by_token = by_token.select(F.col("token").alias("place"), "key", "n", "root", "differ")
+    by_token = _maybe_among(hubs.select("token", "hub", "key"), open_, "token").join(open_, "token").join(members, ["hub", "key"])
+    # read twice: for the places' components, and for the members of mixed ones
+    by_token = written(by_token.select(F.col("token").alias("place"), "key", "n", "root", "differ"), "jaccard-by-token")
     return _pairs_within(by_hub, rows, True).unionByName(_pairs_within(by_token, rows, False)).distinct()
 
 
@@ -481,12 +507,28 @@ def _pairs_within(members: DataFrame, rows: DataFrame, known: bool) -> DataFrame
 def _facts(rows: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """key and some columns of the sets ``keys``; ``row`` is the least of a set's rows.
 
-    The keys are written first: where they measure as small Spark broadcasts them, and then only the
-    rows of these sets move.
+    The keys are written first: where they measure as small Spark broadcasts them. Of more keys a bit
+    each is broadcast, so that in either case only the rows of these sets move, and a few others.
     """
     keys = written(keys.distinct(), "jaccard-keys")
     facts = [F.min("row").alias("row") if c == "row" else F.first(c, ignorenulls=True).alias(c) for c in names]
-    return rows.join(keys, "key", "left_semi").groupBy("key").agg(*facts)
+    # an inner join, as Spark would take a semi join before the bits
+    return _maybe_among(rows, keys, "key").join(keys, "key").groupBy("key").agg(*facts)
+
+
+def _maybe_among(rows: DataFrame, some: DataFrame, *on: str) -> DataFrame:
+    """The rows that may have a partner in ``some`` by the columns ``on``: each row of ``some`` sets one of
+    FILTER_BITS bits at most, and the bits are broadcast. It only saves shuffled rows; a join follows.
+    """
+    bits, most = 1 << 16, 16 * some.count()
+    while bits < min(FILTER_BITS, most):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
+    word = F.shiftright(slot, 6).cast("int")
+    mark = F.lit(1).cast("long")
+    table = some.select(word.alias("word_"), (slot % 64).cast("int").alias("bit")).groupBy("word_").agg(F.bit_or(F.call_function("shiftleft", mark, "bit")).alias("bits_"))
+    hit = F.call_function("shiftright", F.col("bits_"), (slot % 64).cast("int")).bitwiseAND(mark) == 1
+    return rows.join(F.broadcast(table), word == F.col("word_")).where(hit).select(*rows.columns)
 
 
 def _in_blocks(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -518,18 +560,14 @@ def _in_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in _MET], names=list(_MET)).filter(pa.array(ok, pa.bool_()))
 
 
-_MET = ("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
-_MET_DDL = "a long, b long, n_a long, n_b long, row_a long, row_b long, sketch_a binary, sketch_b binary"
-
-
-def _with_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    return _sides(pairs, rows, ("n", "row", "sketch", "second", "third"))
+_MET = ("a", "b", "n_a", "n_b", "row_a", "row_b")
+_NEAR_DDL = "a long, b long, n_a long, n_b long, row_a long, row_b long"
 
 
 def in_all_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share a prefix shingle under the second and the third order too, with what
-    verification needs of both sets: size, row and sketch."""
-    return _with_orders(pairs, rows).mapInArrow(_in_orders, _MET_DDL)
+    """The pairs (a, b) that share a prefix shingle under the second and the third order too, with the size
+    and a row of both sets."""
+    return _sides(pairs, rows, ("n", "row", "second", "third")).mapInArrow(_in_orders, _NEAR_DDL)
 
 
 def _by_sketch(batches: Iterator[pa.RecordBatch], slack: int) -> Iterator[pa.RecordBatch]:
@@ -561,20 +599,16 @@ def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "differ", "link"])
 
 
-_NEAR_DDL = "a long, b long, n_a long, n_b long, row_a long, row_b long"
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1, again: bool = False) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, filter_bits: int, slack: int = 1) -> DataFrame:
     """(a, b, differ, link) for the pairs that pass all orders and the sketch bound, relaxed by a factor of ``slack``.
 
-    Only the texts of pairs that passed both are taken up again. With ``again``, in the second round, whose
-    pairs come from folded sketches, the whole sketches are compared first: they are shorter than prefixes.
+    Only the texts of pairs that passed both are taken up again. Sketches are shorter than prefixes and rule
+    out most pairs, so they are compared first, and prefixes sent for the pairs that are left.
     """
     pairs = written(pairs, "jaccard-pairs")
-    if again:
-        sketches = _sides(pairs, rows, ("n", "row", "sketch")).select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
-        pairs = written(sketches.mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL).select("a", "b"), "jaccard-pairs")
-    near = _with_orders(pairs, rows).mapInArrow(lambda it: _by_sketch(_in_orders(it), slack), _NEAR_DDL)
+    sketches = _sides(pairs, rows, ("n", "row", "sketch")).select("a", "b", "n_a", "n_b", "row_a", "row_b", "sketch_a", "sketch_b")
+    pairs = written(sketches.mapInArrow(lambda it: _by_sketch(it, slack), _NEAR_DDL).select("a", "b"), "jaccard-pairs")
+    near = in_all_orders(pairs, rows)
     near = written(near, "jaccard-near")
     tokens = _tokens_of(texts, near, filter_bits)
     # the tokens of one row stand for all copies of its set; few sets are hubs, so each side takes its own
@@ -643,10 +677,15 @@ def _assigned(docs: DataFrame, frequent: int, filter_bits: int) -> tuple[DataFra
     prefixes = texts.mapInArrow(lambda it: _prefixes(it, token, level, parts, chunk_rows), _PARTS_DDL)
     shared = written(prefixes.groupBy("part").applyInArrow(shared_in_part, _SHARED_DDL), "jaccard-shared")
     sets = rows.where("key is not null").select("row", "n", "key", "sketch", "second", "third")
-    hubs = _one_hub(shared)
-    checked = written(_verified(_stars(hubs), sets, texts, filter_bits, slack=2), "jaccard-checked")
-    roots = written(components(checked.where("link")), "jaccard-roots")
-    more = _verified(_between_components(hubs, sets, roots, checked), sets, texts, filter_bits, again=True).where("link").select("a", "b")
+    hubs = _one_hub(shared.where(F.col("salt") != TWO_SETS))
+    twos = shared.where(F.col("salt") == TWO_SETS).select("token", "key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
+    # what a round has stored goes as soon as its links are written
+    with scratch_tables(docs.sparkSession) as keep:
+        checked = keep(_verified(_stars(hubs.unionByName(twos)), sets, texts, filter_bits, slack=2), "jaccard-checked")
+    with scratch_tables(docs.sparkSession) as keep:
+        roots = keep(components(checked.where("link")), "jaccard-roots")
+    with scratch_tables(docs.sparkSession) as keep:
+        more = keep(_verified(_between_components(hubs, sets, roots, checked), sets, texts, filter_bits).where("link").select("a", "b"), "jaccard-more")
     # the first round's components go on as stars
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
     roots = components(links).withColumnRenamed("node", "key")

@@ -3,16 +3,18 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import CASES, docs, lower, plain, rows, spaced, table
 from pyspark.sql import functions as F
 
-from folioscope.llm import components, decontaminate, jaccard_join, mixing, queries, sharding, token_orc
+from folioscope.llm import common, components, decontaminate, jaccard_join, mixing, queries, sharding, token_orc
 
 # Near duplicates
 
@@ -218,6 +220,64 @@ def test_packed_prefixes_are_read_back():
     assert sorted(got) == sorted(want)
 
 
+def test_packed_prefixes_are_small():
+    """Steps of tokens and keys, compressed: before, a row had 14 bytes and a set 14 more in each part."""
+    rng = np.random.default_rng(9)
+    token, owner = rng.integers(0, 2**64, 40_000, dtype=np.uint64), np.repeat(np.arange(400), 100)
+    key, n, central, salt = rng.integers(-(2**63), 2**63, 400), rng.integers(300, 700, 400), np.zeros(400, np.int64), np.zeros(40_000, np.int64)
+    bodies = jaccard_join.pack_parts(token, salt, owner, key, n, central, 20).column(1)
+    assert sum(len(b.as_py()) for b in bodies) < 9 * len(token)
+    # a part has a range of images, so parts are of like size
+    assert len(bodies) == 20 and max(len(b.as_py()) for b in bodies) < 1.5 * min(len(b.as_py()) for b in bodies)
+
+
+def test_sizes_that_cannot_link_part_a_shingle():
+    """Each range of sizes has its own hub; a set alone in its range is gone, and two sets are marked as one pair."""
+    n = np.array([1000, 110, 10, 100, 11, 111, 7, 200])
+    token, key = np.array([5 << 20] * 7 + [9 << 20], np.uint64), np.arange(8) - 4
+    batch = jaccard_join.pack_parts(token, np.zeros(8, np.int64), np.arange(8), key, n, np.array([9, 3, 0, 0, 0, 0, 9, 9]), 1)
+    got = jaccard_join.shared_in_part(pa.Table.from_batches([batch, batch])).to_pylist()
+    assert sorted((r["n"], r["key"], r["salt"], r["hub"]["n"]) for r in got) == [(10, -2, -1, 11), (11, 0, -1, 11), (100, -1, 0, 110), (110, -3, 0, 110), (111, 1, 0, 110)]
+    assert len({r["token"] for r in got}) == 2
+
+
+def test_very_frequent_shingles_keep_all_sizes():
+    """Sets of a salt may have partners under other salts, so none is dropped and no pair is marked."""
+    n, one = np.array([10, 1000, 11]), np.ones(3, np.int64)
+    batch = jaccard_join.pack_parts(np.full(3, 5 << 20, np.uint64), one, np.arange(3), np.arange(3), n, one, 1)
+    got = jaccard_join.shared_in_part(pa.Table.from_batches([batch])).to_pylist()
+    assert sorted(r["n"] for r in got) == [10, 11, 1000] and {(r["salt"], r["hub"]["n"]) for r in got} == {(1, 1000)} and len({r["token"] for r in got}) == 1
+
+
+def test_rows_without_a_partner_stay_where_they_are(spark):
+    """Keys too many to broadcast: their bits leave the partners and a few others."""
+    rows = spark.range(-50_000, 50_000).select(F.col("id").alias("key"), F.col("id").alias("row"))
+    some = rows.where("key % 100 = 0").select("key")
+    got = {r["key"] for r in jaccard_join._maybe_among(rows, some, "key").collect()}
+    assert got >= set(range(-50_000, 50_000, 100)) and len(got) < 4000
+    assert jaccard_join._maybe_among(rows, some.limit(0), "key").count() == 0
+    # the bits come before the shuffle: no semi join is taken ahead of them
+    facts = jaccard_join._facts(rows, some, ("row",))
+    assert "LeftSemi" not in facts._jdf.queryExecution().optimizedPlan().toString() and facts.count() == 1000
+
+
+def test_what_is_stored_on_the_way_goes(spark):
+    """Tables of a round go with it, and the shuffle files of a write at its end."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.rglob("jaccard-*"))
+    d = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, 60 + i))) for i in range(20)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.near_duplicate_components(d).collect()} == {0}
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.rglob("jaccard-*")) - before} == {"jaccard-profile", "jaccard-shared", "jaccard-salts", "jaccard-checked", "jaccard-roots", "jaccard-more"}
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    many, setting = files(), spark.conf.get(common.CLEAN_UP)
+    common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-shuffled")
+    for _ in range(50):
+        if files() <= many:
+            break
+        time.sleep(0.2)
+    assert files() <= many and spark.conf.get(common.CLEAN_UP) == setting
+
+
 def test_frequent_counts_keep_what_is_frequent():
     f = jaccard_join.Frequent(most=8)
     rng = np.random.default_rng(0)
